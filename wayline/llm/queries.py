@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import packing
-from wayline.session import table
+from wayline.llm import packing, warc
+from wayline.session import scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), path))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_pages(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc}
 SQL: dict[str, str] = {}
