@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, packing, warc
+from wayline.llm import fingerprint, packing, secrets, warc
 from wayline.session import scratch, table
 
 
@@ -34,6 +34,16 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    rows = secrets.scan_paths(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    own = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return rows.select(F.col("path").alias("doc_id"), *map(of, base), F.sha2(joined(own), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
+    "op6_secrets": op6_secrets, 
     "op4_fingerprint": op4_fingerprint, "op1_packing": op1_packing, "op2_warc": op2_warc}
 SQL: dict[str, str] = {}
