@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, packing, secrets, warc
+from wayline.llm import fingerprint, language, packing, secrets, warc
 from wayline.session import scratch, table
 
 
@@ -22,6 +22,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language.fold_of("doc_id", 3) == 1, F.lit(False)))
+    model = language.train(rows.where(~F.col("held_out")).select("text", "lang"))
+    return language.predict(rows.select("doc_id", "held_out", "text"), model)
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -44,6 +50,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op6_secrets": op6_secrets, 
     "op4_fingerprint": op4_fingerprint, "op1_packing": op1_packing, "op2_warc": op2_warc}
 SQL: dict[str, str] = {}
