@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, language, packing, secrets, warc
+from wayline.llm import fingerprint, language, packing, secrets, toxicity, warc
 from wayline.session import scratch, table
 
 
@@ -49,7 +49,26 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("path").alias("doc_id"), *map(of, base), F.sha2(joined(own), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = toxicity.SAMPLE) -> DataFrame:
+    """Texts with their toxic labels, of about `sample` learnable ones: text and label.
+
+    The sample is drawn from the labels before the join, so what is broadcast is bounded by it.
+    """
+    marks = labels.where((language.fold_of("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1 << 32)).cast("double") / float(1 << 32)
+    marks = marks.where(spot < min(1.0, sample / max(marks.count(), 1)))
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "label")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(language.fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op3_language": op3_language,
     "op6_secrets": op6_secrets, 
     "op4_fingerprint": op4_fingerprint, "op1_packing": op1_packing, "op2_warc": op2_warc}
