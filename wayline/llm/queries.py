@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, language, packing, secrets, toxicity, warc
+from wayline.llm import fingerprint, jaccard, language, packing, secrets, toxicity, warc
 from wayline.session import scratch, table
 
 
@@ -67,7 +67,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=4, share=(85, 100))
+
+
 QUERIES = {
+    "op10_jaccard": op10_jaccard,
     "op8_toxicity": op8_toxicity,
     "op3_language": op3_language,
     "op6_secrets": op6_secrets, 
