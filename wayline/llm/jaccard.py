@@ -4,7 +4,9 @@
    fixed order serves a correct join; this one keeps shared boilerplate out of the way.
 2. Each document's set is profiled: size, signature, and its prefix, the n-grams of which two sets as alike as asked
    must share one. Equal sets collapse to their least id.
-3. Prefix n-grams that several sets have connect them to candidate groups; sets without such stay alone.
+3. The product of the prefix incidences gives, for each pair of sets, how many prefix n-grams they share; pairs whose
+   sizes, counts and positions leave no room for the overlap asked for are discarded. An n-gram that more than HEAVY
+   sets of about one size have in their prefixes is not multiplied out: it makes one candidate group of them.
 4. A candidate group is cut into blocks. For each pair of blocks, the incidence matrices of documents by n-grams are
    multiplied, which accumulates the overlap counts; pairs below the bound that the sizes give are discarded, and
    each task returns edges that connect what it has linked, not all pairs.
@@ -16,6 +18,7 @@ with nothing. Rows that repeat an id are one vertex: what either row links to is
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +33,10 @@ from wayline.llm.components import Forest, components
 from wayline.llm.shingles import mix, shingle_hashes, shingle_rarity, word_hashes
 from wayline.session import written
 
-TABLE_BITS, CHUNK, BLOCK = 20, 1 << 14, 192
+TABLE_BITS, CHUNK, BLOCK, HEAVY = 20, 1 << 14, 192, 64
 LEVELS = 4095
+#: A set of at least STEPS[k] n-grams must share k + 2 prefix n-grams with another such set.
+STEPS = (16, 48, 128)
 
 
 def commonness(docs: DataFrame) -> np.ndarray:
@@ -82,8 +87,38 @@ def ordered_set(words: np.ndarray, n: int, common: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(size: int, share: tuple[int, int]) -> int:
-    """Two sets as alike as the share share an element of their prefixes in any one order."""
-    return size - -(-share[0] * size // share[1]) + 1 if size else 0
+    """Two sets as alike as the share have in common, in prefixes so long in any one order, needed(size) elements."""
+    return size - -(-share[0] * size // share[1]) + needed(size) if size else 0
+
+
+def needed(size: int) -> int:
+    return 1 + sum(size >= s for s in STEPS)
+
+
+def candidates(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between sets that may link: from classes (rep, n_shingles, prefix)."""
+    rows = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    columns = rows.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).where("sets > 1")
+    # sizes of linked sets differ by the share at most: they are in one class of sizes, or in two that are neighbours
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(share[1] / share[0]) * 1.000001)).cast("int")
+    places = F.array(F.struct(size_class.alias("class"), F.lit(True).alias("home")), F.struct((size_class + 1).alias("class"), F.lit(False).alias("home")))
+    placed = columns.withColumn("place", F.explode(places)).select("gram", "rep", "n", "pos", "place.class", "place.home")
+    column = Window.partitionBy("gram", "class")
+    met = placed.withColumn("sets", F.count("*").over(column)).withColumn("homes", F.count_if("home").over(column)).withColumn("first", F.min("rep").over(column)).where("sets > 1 AND homes > 0")
+    heavy = met.where((F.col("sets") > HEAVY) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    light = met.where(F.col("sets") <= HEAVY).groupBy("gram", "class").agg(F.collect_list(F.struct("rep", "n", "pos", "home")).alias("held"))
+    size_bound = lambda x, y: share[1] * F.least(x, y) >= share[0] * F.greatest(x, y)
+    partner = lambda y: y["home"] & (~F.col("x.home") | (y["rep"] > F.col("x.rep"))) & size_bound(y["n"], F.col("x.n"))
+    pairs = light.select("held", F.explode("held").alias("x")).select("x", F.explode(F.filter("held", partner)).alias("y"))
+    product = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(
+        F.count("*").alias("both"), F.max("x.pos").alias("at"), F.max("y.pos").alias("bt"), F.first("x.n").alias("n"), F.first("y.n").alias("m")
+    )
+    step = lambda c: sum(((c >= s).cast("int") for s in STEPS), F.lit(1))
+    # what both have so far and what the shorter rest could add, against the least overlap for the share
+    room = F.col("both") + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("bt"))
+    enough = (share[0] + share[1]) * room >= share[0] * (F.col("n") + F.col("m"))
+    kept = product.where(enough & (F.col("both") >= F.least(step(F.col("n")), step(F.col("m")))))
+    return kept.select("a", "b").unionByName(heavy)
 
 
 def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
@@ -147,12 +182,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = written(profiles(docs, n, share), "profiles")
     useful = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(useful.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
+    classes = written(useful.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "classes")
 
-    column = Window.partitionBy("gram")
-    rows = classes.select("rep", F.explode("prefix").alias("gram"))
-    shared = rows.withColumn("first", F.min("rep").over(column)).where("rep <> first")
-    group = written(components(shared.select(F.col("rep").alias("a"), F.col("first").alias("b"))), "candidates")
+    group = written(components(candidates(classes, share)), "candidates")
     sizes = written(group.groupBy("component").count(), "group-sizes")
     total = sizes.where(F.col("count") <= block).agg(F.sum("count")).first()[0] or 0
 
