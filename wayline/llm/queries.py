@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, jaccard, language, packing, secrets, toxicity, warc
+from wayline.llm import fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
 from wayline.session import scratch, table
 
 
@@ -71,7 +71,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=4, share=(85, 100))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
     "op8_toxicity": op8_toxicity,
     "op3_language": op3_language,
