@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
+from wayline.llm import bpe, fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
 from wayline.session import scratch, table
 
 
@@ -75,7 +75,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    of = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return rows.select("doc_id", "n_tokens", of("ids").alias("ids_sha256"), of("decoded").alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
     "op8_toxicity": op8_toxicity,
