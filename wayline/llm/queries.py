@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
+from wayline.llm import bpe, collisions, fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
 from wayline.session import scratch, table
 
 
@@ -81,7 +81,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", of("ids").alias("ids_sha256"), of("decoded").alias("decoded_sha256"))
 
 
+def op7_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 QUERIES = {
+    "op7_collisions": op7_collisions,
     "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard": op10_jaccard,
