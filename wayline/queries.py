@@ -5,6 +5,405 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayline.functions import vectors as V
+from wayline.operators import evidence, identity, sequential, tracks, workload
+from wayline.operators.matching import match_by_key, occurrences
+from wayline.plans.events import Event, parse_event
+from wayline.plans.matches import from_events, observed_once
+from wayline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+#: The events table's types as predicates of a user.
+USER = {x: "object: visual_object, minimum_confidence?: number 0..1" for x in ("signup", "purchase", "error", "view", "click")}
+PREDICATES = USER
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def event(name: str, pattern: dict) -> Event:
+    return parse_event({"event": name, "roles": {r: {"class": "user"} for r in "UVW"}, "pattern": pattern}, USER, None)
+
+
+def pattern_query(name: str, pattern: dict, sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: occurrences(event(name, pattern), from_events(table(spark, sf_dir, "events")))
+    if sql:
+        SQL[name] = sql
+
+
+# patterns over events
+
+SEED = "{name!r} AS event, s.ts AS matched_at, {done} AS completed_at, 'cam' || (s.user_id % 4) AS matched_source, s.event_type AS predicate, CAST(s.user_id AS VARCHAR) AS u"
+AFTER = "(p.ts > s.ts OR (p.ts = s.ts AND p.event_id > s.event_id))"
+
+
+def _seed(name: str, done: str) -> str:
+    return SEED.format(name=name, done=done)
+
+
+pattern_query("leaf_confident", {"purchase": {"object": "U", "minimum_confidence": 0.2}}, f"SELECT {_seed('leaf_confident', 's.ts')} FROM events s WHERE s.event_type = 'purchase' AND least(s.value / 500, 1.0) >= 0.2")
+pattern_query(
+    "seq_within_greedy",
+    {"seq": [{"signup": {"object": "U"}}, {"within": {"max": "24h", "pattern": {"purchase": {"object": "U"}}}}]},
+    f"""SELECT {_seed("seq_within_greedy", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'purchase' AND {AFTER} AND p.ts <= s.ts + INTERVAL 24 HOUR
+    WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "seq_unbounded",
+    {"seq": [{"signup": {"object": "U"}}, {"purchase": {"object": "U"}}]},
+    f"""SELECT {_seed("seq_unbounded", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'purchase' AND {AFTER}
+    WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "seq_branching",
+    {"seq": [{"signup": {"object": "U"}}, {"within": {"max": "10m", "pattern": {"purchase": {"object": "V"}}}}]},
+    f"""SELECT {_seed("seq_branching", "MIN(p.ts)")}, CAST(p.user_id AS VARCHAR) AS v FROM events s JOIN events p ON p.user_id <> s.user_id AND p.event_type = 'purchase' AND {AFTER} AND p.ts <= s.ts + INTERVAL 10 MINUTE
+    WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type, p.user_id""",
+)
+pattern_query(
+    "within_minimum",
+    {"seq": [{"signup": {"object": "U"}}, {"within": {"min": "2h", "max": "24h", "pattern": {"purchase": {"object": "U"}}}}]},
+    f"""SELECT {_seed("within_minimum", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'purchase' AND p.ts BETWEEN s.ts + INTERVAL 2 HOUR AND s.ts + INTERVAL 24 HOUR
+    WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "seq_of_three",
+    {"seq": [{"signup": {"object": "U"}}, {"within": {"max": "24h", "pattern": {"error": {"object": "U"}}}}, {"within": {"max": "24h", "pattern": {"purchase": {"object": "U"}}}}]},
+    f"""WITH first AS (SELECT s.event_id, s.user_id, s.ts, s.event_type, min_by(p.event_id, p.event_id) AS id2, MIN(p.ts) AS ts2 FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'error' AND {AFTER} AND p.ts <= s.ts + INTERVAL 24 HOUR
+        WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type)
+    SELECT {_seed("seq_of_three", "MIN(p.ts)")} FROM first s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'purchase' AND (p.ts > s.ts2 OR (p.ts = s.ts2 AND p.event_id > s.id2)) AND p.ts <= s.ts2 + INTERVAL 24 HOUR
+    GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "all_two_objects",
+    {"all": [{"signup": {"object": "U"}}, {"purchase": {"object": "V"}}]},
+    """SELECT 'all_two_objects' AS event, least(a.ts, b.ts) AS matched_at, greatest(a.ts, b.ts) AS completed_at, 'cam' || (CASE WHEN a.ts < b.ts THEN a.user_id ELSE b.user_id END % 4) AS matched_source,
+    CASE WHEN a.ts < b.ts THEN 'signup' ELSE 'purchase' END AS predicate, CAST(a.user_id AS VARCHAR) AS u, CAST(b.user_id AS VARCHAR) AS v FROM
+    (SELECT MIN(greatest(a.ts, b.ts)) AS done, a.user_id AS au, b.user_id AS bu, least(a.ts, b.ts) AS seed FROM events a JOIN events b ON a.event_type = 'signup' AND b.event_type = 'purchase' AND a.user_id <> b.user_id AND b.ts BETWEEN a.ts - INTERVAL 5 MINUTE AND a.ts + INTERVAL 5 MINUTE GROUP BY 2, 3, 4) k
+    JOIN events a ON a.user_id = k.au AND a.event_type = 'signup' JOIN events b ON b.user_id = k.bu AND b.event_type = 'purchase' AND least(a.ts, b.ts) = k.seed AND greatest(a.ts, b.ts) = k.done""",
+)
+pattern_query(
+    "any_of_two",
+    {"seq": [{"signup": {"object": "U"}}, {"within": {"max": "12h", "pattern": {"any": [{"purchase": {"object": "U"}}, {"error": {"object": "U"}}]}}}]},
+    f"""SELECT {_seed("any_of_two", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type IN ('purchase', 'error') AND {AFTER} AND p.ts <= s.ts + INTERVAL 12 HOUR
+    WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "two_of_three",
+    {"k_of_n": {"k": 2, "patterns": [{x: {"object": "U"}} for x in ("click", "view", "purchase")]}},
+    f"""SELECT {_seed("two_of_three", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type IN ('click', 'view', 'purchase') AND p.event_type <> s.event_type AND {AFTER} AND p.ts <= s.ts + INTERVAL 5 MINUTE
+    WHERE s.event_type IN ('click', 'view', 'purchase') GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+pattern_query(
+    "sustained_two_hours",
+    {"for": {"duration": "2h", "pattern": {"view": {"object": "U"}}}},
+    f"""SELECT {_seed("sustained_two_hours", "MIN(p.ts)")} FROM events s JOIN events p ON p.user_id = s.user_id AND p.event_type = 'view' AND p.ts >= s.ts + INTERVAL 2 HOUR
+    WHERE s.event_type = 'view' GROUP BY s.event_id, s.user_id, s.ts, s.event_type""",
+)
+
+
+@query("matcher_by_key", SQL["seq_within_greedy"])
+def matcher_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship by the exact matcher, key by key."""
+    pattern = {"seq": [{"signup": {"object": "U"}}, {"within": {"max": "24h", "pattern": {"purchase": {"object": "U"}}}}]}
+    return match_by_key(event("seq_within_greedy", pattern), from_events(table(spark, sf_dir, "events")))
+
+
+@query("nested_all_by_key")
+def nested_all_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators nested in all have no plan of joins: evaluated per user."""
+    of = lambda x: {x: {"object": "U"}}
+    pattern = {"seq": [of("signup"), {"within": {"max": "24h", "pattern": {"all": [of("view"), {"seq": [of("click"), of("purchase")]}]}}}]}
+    return match_by_key(event("nested_all", pattern), from_events(table(spark, sf_dir, "events")))
+
+
+@query("observed_once", "SELECT MIN(event_id) AS seq, ts AS at, event_type AS predicate, CAST(user_id AS VARCHAR) AS object FROM events GROUP BY ts, event_type, user_id")
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = from_events(table(spark, sf_dir, "events"))
+    again = twice.withColumn("seq", F.col("seq") + 1_000_000_000)
+    return observed_once(twice.unionByName(again)).select("seq", F.timestamp_micros("t").cast("timestamp_ntz").alias("at"), "predicate", F.col("arguments")["object"].alias("object"))
+
+
+# predicates over tracks: an hour is a frame, a user an object
+
+TRACKS = """tracks AS (SELECT 'cam' || (user_id % 4) AS source, epoch_us(date_trunc('hour', ts)) AS t, CAST(user_id AS VARCHAR) AS object_id,
+    CASE user_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'backpack' END AS class, least(value / 50, 1.0) AS confidence,
+    CAST(event_id * 37 % 900 AS DOUBLE) AS x1, CAST(event_id * 53 % 500 AS DOUBLE) AS y1, CAST(event_id * 37 % 900 + 20 + user_id % 30 AS DOUBLE) AS x2, CAST(event_id * 53 % 500 + 30 + user_id % 20 AS DOUBLE) AS y2,
+    CAST(event_id % 7 - 3 AS DOUBLE) AS velocity_x, CAST(event_id % 5 - 2 AS DOUBLE) AS velocity_y
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id DESC) AS n FROM events) WHERE n = 1),
+  hours AS (SELECT DISTINCT t FROM tracks), frames AS (SELECT DISTINCT s.source, h.t FROM hours h, (SELECT DISTINCT source FROM tracks) s)"""
+
+
+def user_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    last = evidence.latest_by(rows, ["user_id", "hour"], ["event_id"])
+    real = lambda text: F.expr(text).cast("double")
+    return last.select(
+        F.concat(F.lit("cam"), F.col("user_id") % 4).alias("source"), F.unix_micros("hour").alias("t"), F.col("user_id").cast("string").alias("object_id"),
+        F.element_at(F.array(*map(F.lit, ("person", "car", "backpack"))), (F.col("user_id") % 3 + 1).cast("int")).alias("class"), F.least(F.col("value") / 50, F.lit(1.0)).alias("confidence"),
+        real("event_id * 37 % 900").alias("x1"), real("event_id * 53 % 500").alias("y1"), real("event_id * 37 % 900 + 20 + user_id % 30").alias("x2"), real("event_id * 53 % 500 + 30 + user_id % 20").alias("y2"),
+        F.lit(None).cast("double").alias("world_x"), F.lit(None).cast("double").alias("world_y"), F.lit(None).cast("string").alias("world_frame"),
+        real("event_id % 7 - 3").alias("velocity_x"), real("event_id % 5 - 2").alias("velocity_y"), F.lit(5).alias("age"),
+    )
+
+
+def hour_frames(found: DataFrame) -> DataFrame:
+    """Every hour that any source saw, for each source."""
+    sources = found.select("source").distinct()
+    return found.select("t").distinct().crossJoin(F.broadcast(sources)).select("source", "t")  # four sources
+
+
+def _flat(rows: DataFrame, *arguments: str) -> DataFrame:
+    return rows.select("t", "predicate", "source", "confidence", *(F.col("arguments")[a].alias(a) for a in arguments))
+
+
+EPISODES = """, ticks AS (SELECT source, t, lead(t) OVER w AS after, lag(t) OVER w AS before FROM frames WINDOW w AS (PARTITION BY source ORDER BY t)),
+  seen AS (SELECT tracks.*, after, before, lag(tracks.t) OVER o AS was, lag(after) OVER o AS was_after, lead(tracks.t) OVER o AS again FROM tracks JOIN ticks ON tracks.source = ticks.source AND tracks.t = ticks.t WINDOW o AS (PARTITION BY tracks.source, object_id ORDER BY tracks.t)),
+  numbered AS (SELECT *, SUM(CASE WHEN was IS NULL OR (before > was AND before - was_after >= 18000000000) THEN 1 ELSE 0 END) OVER (PARTITION BY source, object_id ORDER BY t) AS episode FROM seen)"""
+
+
+@query("present", f"WITH {TRACKS}{EPISODES} SELECT t, 'present' AS predicate, source, confidence, object_id AS object FROM (SELECT *, row_number() OVER (PARTITION BY source, object_id, episode ORDER BY t) AS n FROM numbered WHERE confidence >= 0.5) WHERE n = 1")
+def present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    return _flat(tracks.present(found, hour_frames(found), 5 * HOUR), "object")
+
+
+@query(
+    "exits",
+    f"""WITH {TRACKS}{EPISODES}, spans AS (SELECT *, MIN(t) OVER (PARTITION BY source, object_id, episode) AS since FROM numbered)
+    SELECT g.gone AS t, 'exits' AS predicate, s.source, s.confidence, s.object_id AS object FROM spans s JOIN (SELECT s.source, s.object_id, s.t, MIN(f.t) AS gone FROM spans s JOIN frames f ON f.source = s.source AND f.t >= s.after + 18000000000
+      AND (s.again IS NULL OR f.t < s.again) WHERE s.again IS NULL OR s.again > s.after GROUP BY s.source, s.object_id, s.t) g ON g.source = s.source AND g.object_id = s.object_id AND g.t = s.t WHERE s.t - s.since >= 3600000000""",
+)
+def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    return _flat(tracks.exits(found, hour_frames(found), 5 * HOUR, HOUR), "object")
+
+
+@query(
+    "moving",
+    f"""WITH {TRACKS}, m AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, lag(t) OVER o AS wt, lag((x1 + x2) / 2) OVER o AS wx, lag((y1 + y2) / 2) OVER o AS wy, lag(x2 - x1) OVER o AS ww FROM tracks WINDOW o AS (PARTITION BY source, object_id ORDER BY t))
+    SELECT t, 'moving' AS predicate, source, confidence, object_id AS object FROM m WHERE t - wt >= 200000 AND sqrt((cx - wx) * (cx - wx) + (cy - wy) * (cy - wy)) / greatest((x2 - x1 + ww) / 2, 1.0) / ((t - wt) / 1000000) >= 0.0005""",
+)
+def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(tracks.moving(user_tracks(spark, sf_dir), least_widths=0.0005), "object")
+
+
+GAP = "sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) * ((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) * ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2)) / greatest((a.x2 - a.x1 + (b.x2 - b.x1)) / 2, 1.0)"
+NOMINAL = "CASE {0}.class WHEN 'person' THEN 0.55 WHEN 'car' THEN 4.0 ELSE 0.45 END"
+METRES = f"{GAP} * ({NOMINAL.format('a')} + {NOMINAL.format('b')}) / 2"
+PAIR = "a.source = b.source AND a.t = b.t AND a.object_id <> b.object_id"
+
+
+@query("near", f"WITH {TRACKS} SELECT a.t, 'near' AS predicate, a.source, least(a.confidence, b.confidence) AS confidence, a.object_id AS object_a, b.object_id AS object_b FROM tracks a JOIN tracks b ON {PAIR} WHERE NOT (a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) AND {GAP} <= 4")
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(tracks.near(user_tracks(spark, sf_dir), max_gap=4.0), "object_a", "object_b")
+
+
+@query(
+    "follows",
+    f"""WITH {TRACKS}, v AS (SELECT *, sqrt(velocity_x * velocity_x + velocity_y * velocity_y) AS speed FROM tracks) SELECT a.t, 'follows' AS predicate, a.source, least(a.confidence, b.confidence) AS confidence, a.object_id AS leader, b.object_id AS follower FROM v a JOIN v b ON {PAIR}
+    WHERE a.speed > 1e-9 AND b.speed > 1e-9 AND a.velocity_x * b.velocity_x + a.velocity_y * b.velocity_y >= 0.5 * a.speed * b.speed AND ((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) * a.velocity_x + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) * a.velocity_y > 0 AND {METRES} <= 15""",
+)
+def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(tracks.follows(user_tracks(spark, sf_dir)), "leader", "follower")
+
+
+@query(
+    "interactions",
+    f"""WITH {TRACKS}, d AS (SELECT a.source, a.t, a.object_id AS item, b.object_id AS holder, {METRES} AS metres FROM tracks a JOIN tracks b ON a.source = b.source AND a.t = b.t AND a.class = 'backpack' AND b.class IN ('person', 'car')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source, t, item ORDER BY metres, holder) AS n FROM d) SELECT one.source, one.t, one.item, one.holder AS participant_a, two.holder AS participant_b, 1 - two.metres / 20 AS score FROM r one JOIN r two ON one.source = two.source AND one.t = two.t AND one.item = two.item AND one.n = 1 AND two.n = 2 WHERE two.metres <= 20""",
+)
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.interactions(user_tracks(spark, sf_dir), 20.0)
+
+
+@query("conversations", f"WITH {TRACKS}, speech AS (SELECT source, t FROM tracks GROUP BY source, t HAVING COUNT(DISTINCT class) >= 2) SELECT a.t, 'conversation' AS predicate, a.source, least(a.confidence, b.confidence) AS confidence, a.object_id AS participant_a, b.object_id AS participant_b FROM tracks a JOIN tracks b ON {PAIR} AND a.class = 'person' AND b.class = 'person' JOIN speech ON speech.source = a.source AND speech.t = a.t WHERE {METRES} <= 2.5")
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    speech = found.groupBy("source", "t").agg(F.count_distinct("class").alias("speakers"), F.lit("any words").alias("text"))
+    return _flat(tracks.conversations(found, speech, required_terms="Words, any"), "participant_a", "participant_b")
+
+
+# hours stand for frames here, so the waits are hours too
+SCALED = {
+    "enters": {"absence_us": 5 * HOUR},
+    "boarding": {"close_m": 12.0, "moving_mps": 1.0, "stopped_us": 0, "wait_us": 48 * HOUR},
+    "transfers": {"close_m": 40.0, "stable_us": 0, "forget_us": 200 * HOUR},
+}
+for _name, _settings in SCALED.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=getattr(sequential, _name), k=_settings: (lambda found: f(found, hour_frames(found), **k).drop("classes"))(user_tracks(spark, sf_dir))
+
+
+@query("tracked_objects")
+def tracked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    frames = found.groupBy("source", "t").agg(F.array_sort(F.collect_list(F.struct("object_id", "class", "confidence", "x1", "y1", "x2", "y2"))).alias("detections"))
+    return sequential.track_objects(frames)
+
+
+@query("audio_events")
+def audio_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("mic"), F.col("user_id") % 16).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.create_map(F.lit("Siren"), F.least(F.col("value") / 100, F.lit(1.0)), F.lit("Machine gun"), F.col("value") / 400).alias("scores"))
+    return sequential.audio_events(rows).drop("classes")
+
+
+# evidence, identity, workload
+
+
+@query("gated", "SELECT user_id, ts, value FROM (SELECT *, last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 20 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM events) WHERE g = 1")
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.gated(table(spark, sf_dir, "events"), F.col("value"), 60, 20, "user_id", "ts").select("user_id", "ts", "value")
+
+
+@query("sampled", "SELECT user_id, MIN(ts) AS ts FROM events GROUP BY user_id, epoch_us(ts) // 86400000000")
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return evidence.sampled(rows, 1 / 86400, "user_id").select("user_id", "ts")
+
+
+@query("latest_value", "SELECT p.event_id, (SELECT max_by(v.value, v.event_id) FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts) AS value FROM events p WHERE p.event_type = 'purchase'")
+def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return evidence.latest_per_stream(rows.where("event_type = 'purchase'").select("event_id", "user_id", "t"), rows.where("event_type = 'view'").select("user_id", "t", "value"), "user_id", "value").select("event_id", "value")
+
+
+SEGMENTS = "segments AS (SELECT o_orderkey AS segment, o_custkey AS source, o_orderdate AS event_start, MAX(l_shipdate) AS event_end FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("event_end"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("event_start"))
+    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_orderkey").alias("segment"), F.col("o_custkey").alias("source"), "event_start", "event_end")
+
+
+for _how, _where in (("overlap", "event_start < TIMESTAMP '1996-03-01' AND event_end > TIMESTAMP '1996-02-01'"), ("contained", "event_start >= TIMESTAMP '1996-02-01' AND event_end <= TIMESTAMP '1996-03-01'"), ("covering", "event_start <= TIMESTAMP '1996-02-01' AND event_end >= TIMESTAMP '1996-03-01'")):
+    QUERIES[f"segments_{_how}"] = lambda spark, sf_dir, how=_how: evidence.segments_touching(segments(spark, sf_dir), F.expr("TIMESTAMP_NTZ'1996-02-01'"), F.expr("TIMESTAMP_NTZ'1996-03-01'"), how)
+    SQL[f"segments_{_how}"] = f"WITH {SEGMENTS} SELECT * FROM segments WHERE {_where}"
+
+
+@query("scores", "SELECT *, tp / NULLIF(tp + fp, 0) AS precision, tp / NULLIF(tp + fn, 0) AS recall FROM (SELECT COUNT(*) FILTER (quality = 1 AND toxic = 1) AS tp, COUNT(*) FILTER (quality = 1 AND toxic <> 1) AS fp, COUNT(*) FILTER (quality <> 1 AND toxic = 1) AS fn, COUNT(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels)")
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.binary_scores(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("active_seconds", "SELECT user_id, SUM(n - t) / 1000000 AS active_seconds, COUNT(*) AS starts FROM (SELECT user_id, event_type, epoch_us(ts) AS t, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), 1709251200000000) AS n FROM events) WHERE event_type IN ('view', 'click') GROUP BY user_id")
+def active_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").isin("view", "click").alias("active"))
+    return evidence.active_seconds(log, "user_id", F.lit(1709251200000000))
+
+
+@query("condition_schedule", "SELECT value AS due_seconds, 'apply' AS action, CAST(user_id AS VARCHAR) AS link FROM events UNION ALL SELECT value + 5 AS due_seconds, 'restore' AS action, CAST(user_id AS VARCHAR) AS link FROM events WHERE event_type = 'error'")
+def condition_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("value").alias("starts_at_seconds"), F.when(F.col("event_type") == "error", 5.0).alias("remains_for_seconds"), F.col("user_id").cast("string").alias("affected_link_name"))
+    return evidence.condition_schedule(rows)
+
+
+@query("link_state", "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def link_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.latest_by(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("user_id", "value")
+
+
+@query("counter_rates", "SELECT event_id, CASE WHEN value >= w THEN (value - w) / ((epoch_us(ts) - wt) / 1000000) END AS rate FROM (SELECT *, lag(value) OVER o AS w, lag(epoch_us(ts)) OVER o AS wt FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts))")
+def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return evidence.counter_rates(rows, "user_id", "value").select("event_id", "rate")
+
+
+@query("leading_candidate", "SELECT event, candidate, fraction FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY fraction DESC, candidate) AS n FROM (SELECT event_type AS event, user_id AS candidate, COUNT(*) / 100.0 AS fraction FROM events GROUP BY 1, 2)) WHERE n = 1")
+def leading_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("event"), F.col("user_id").alias("candidate")).agg(F.count("*").alias("satisfied")).withColumns({"completed_at": F.lit(None).cast("timestamp"), "matched_at": F.lit(None).cast("timestamp")})
+    return evidence.leading(rows, 100).select("event", "candidate", "fraction")
+
+
+@query("association_candidates", "SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id - 60 AND a.vec_id + 60 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
+def association_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.association_candidates(moments(spark, sf_dir), 60_000_000, 0.3).select("left_id", "right_id")
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as descriptions by two sources, one a second."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), (F.col("vec_id") % 2).alias("source"), (F.col("vec_id") * 1_000_000).alias("t"), F.lit("m@1").alias("model"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("associations")
+def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.one_to_one(identity.association_candidates(moments(spark, sf_dir), 60_000_000, 0.3))
+
+
+#: Edges between users of purchases that follow one another in the table; small groups, a few long chains.
+LINKED = "edges AS (SELECT DISTINCT a.user_id AS l, b.user_id AS r FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.value > 40 AND a.user_id <> b.user_id)"
+
+
+@query("identities", f"WITH RECURSIVE {LINKED}, users AS (SELECT user_id, MIN(ts) AS f FROM events GROUP BY user_id), both_ways AS (SELECT l, r FROM edges UNION SELECT r, l FROM edges), reach(a, b) AS (SELECT user_id, user_id FROM users UNION SELECT reach.a, both_ways.r FROM reach JOIN both_ways ON reach.b = both_ways.l) SELECT reach.a AS object_id, min_by(reach.b, u.f) AS canonical_id FROM reach JOIN users u ON u.user_id = reach.b GROUP BY reach.a")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    seen = events.groupBy(F.col("user_id").alias("object_id")).agg(F.min("ts").alias("first_seen")).withColumn("class", F.lit("user"))
+    a, b = events.alias("a"), events.alias("b")
+    both = (F.col("a.event_type") == "purchase") & (F.col("b.event_type") == "purchase") & (F.col("a.value") > 40) & (F.col("a.user_id") != F.col("b.user_id"))
+    linked = a.join(b, F.col("b.event_id") == F.col("a.event_id") + 1).where(both).select(F.col("a.user_id").alias("left_id"), F.col("b.user_id").alias("right_id")).distinct()
+    return identity.identities(seen, linked).select("object_id", "canonical_id")
+
+
+@query("coalesced_demands", "SELECT user_id % 4 AS site, event_type AS predicate, MIN(ts) AS expires_at, COUNT(DISTINCT user_id) AS consumers FROM events GROUP BY 1, 2")
+def coalesced_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demands = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("site"), F.col("event_type").alias("predicate"), F.lit("").alias("arguments"), F.col("ts").alias("expires_at"), F.col("user_id").alias("consumer"))
+    return workload.coalesced(demands).select("site", "predicate", "expires_at", F.size("consumers").cast("long").alias("consumers"))
+
+
+@query("node_load", "SELECT plan, node, greatest(CASE WHEN cpu = 0 THEN 0 ELSE cpu / 4 END, CASE WHEN memory = 0 THEN 0 ELSE memory / 500 END) AS peak FROM (SELECT user_id AS plan, event_id % 3 AS node, CAST(COUNT(*) AS DOUBLE) AS cpu, SUM(value) AS memory FROM (SELECT * FROM events ORDER BY event_id) WHERE event_type <> 'error' GROUP BY 1, 2)")
+def node_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("plan"), (F.col("event_id") % 3).alias("node"), F.lit(1.0).alias("cpu"), F.col("value").cast("decimal(12,2)").alias("memory"), F.lit(0.0).alias("gpu"), (F.col("event_type") == "error").alias("running"))
+    nodes = spark.range(3).select(F.col("id").alias("node"), F.lit(4.0).alias("cpu"), F.lit(500.0).alias("memory"), F.lit(1.0).alias("gpu"))
+    return workload.load(steps.withColumn("memory", F.col("memory").cast("double")), nodes).select("plan", "node", F.round("peak", 6).alias("peak"))
+
+
+SQL["node_load"] = SQL["node_load"].replace("AS peak FROM", "AS p FROM", 1).join(["SELECT plan, node, round(p, 6) AS peak FROM (", ")"])
+
+
+@query("ranked_plans", "SELECT request, plan, n AS rank FROM (SELECT event_type AS request, event_id AS plan, row_number() OVER (PARTITION BY event_type ORDER BY value, user_id, event_id) AS n FROM events) WHERE n <= 8")
+def ranked_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("request"), F.col("event_id").alias("plan"), F.col("value").alias("completion_ms"), F.lit(0).alias("slack_ms"), F.col("user_id").alias("new_providers"), F.lit(0).alias("bytes"), F.lit(0.0).alias("peak"), F.lit(1.0).alias("quality"))
+    return workload.ranked(rows).select("request", "plan", F.col("rank").cast("long").alias("rank"))
+
+
+@query("reconciled", "SELECT coalesce(r.user_id, w.user_id) AS provider, CASE WHEN r.user_id IS NULL THEN 'START' WHEN w.user_id IS NULL THEN 'STOP' ELSE 'KEEP' END AS action FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 60) r FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 60) w ON r.user_id = w.user_id")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("value > 60").select(F.lit("n").alias("node"), F.col("user_id").alias("provider"), "event_type")
+    return workload.reconciled(rows.where("event_type = 'view'"), rows.where("event_type = 'click'")).select("provider", "action")
+
+
+@query("shortest_paths", "WITH RECURSIVE l AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, 1.0 + n_regionkey AS ms FROM nation), p(src, dst, ms, hops) AS (SELECT src, dst, ms, 1 FROM l UNION ALL SELECT p.src, l.dst, p.ms + l.ms, hops + 1 FROM p JOIN l ON p.dst = l.src WHERE hops < 6 AND p.src <> l.dst) SELECT src, dst, MIN(ms) AS latency_ms FROM p GROUP BY 1, 2")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 1) % 25).alias("dst"), (1.0 + F.col("n_regionkey")).cast("double").alias("latency_ms"), F.lit(100.0).alias("mbps"))
+    return workload.shortest_paths(links, 5).select("src", "dst", "latency_ms")
+
+
+SQL["shortest_paths"] = SQL["shortest_paths"].replace("1.0 + n_regionkey", "CAST(1 + n_regionkey AS DOUBLE)")
+
+
+@query("voices", "SELECT vec_id, least(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / 64) / 0.1, 1.0) >= 1 AS loud FROM embeddings")
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(V.voice(F.col("embedding"), 0.1) >= 1, F.lit(False)).alias("loud"))
+
+
+@query("smoothed_throughput")
+def smoothed_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("mbps"))
+    return workload.smoothed(rows)
+
+
+@query("evidence_relay")
+def evidence_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return sequential.suppressed_repeats(rows, "user_id", 6 * HOUR)
