@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.components import Forest, components
+from wayline.operators.components import Forest, components
 from wayline.llm.shingles import BASE, mix
 from wayline.session import written
 

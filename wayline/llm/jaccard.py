@@ -29,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.llm.components import Forest, components
+from wayline.operators.components import Forest, components
 from wayline.llm.shingles import mix, shingle_hashes, shingle_rarity, word_hashes
 from wayline.session import written
 
-TABLE_BITS, CHUNK, BLOCK, HEAVY = 20, 1 << 14, 192, 64
+TABLE_BITS, CHUNK, HEAVY = 20, 1 << 14, 64
+#: A block has so many documents or n-grams, about, at most.
+BLOCK, BLOCK_GRAMS = 512, 1_500_000
+#: Ids that may be broadcast; more are joined by a shuffle.
+FEW_IDS = 200_000
 LEVELS = 4095
 #: A set of at least STEPS[k] n-grams must share k + 2 prefix n-grams with another such set.
 STEPS = (16, 48, 128)
@@ -185,14 +189,15 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
     classes = written(useful.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "classes")
 
     group = written(components(candidates(classes, share)), "candidates")
-    sizes = written(group.groupBy("component").count(), "group-sizes")
-    total = sizes.where(F.col("count") <= block).agg(F.sum("count")).first()[0] or 0
+    counted = group.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
+    sizes = counted.groupBy("component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("grams"))
+    sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")), "group-sizes")
+    alone = sizes.where("blocks = 1").agg(F.sum("count"), F.sum("grams")).first()
 
     small = F.col("blocks") == 1
-    bins = max(1, total // block)
+    bins = int(max(1, (alone[0] or 0) // block, (alone[1] or 0) // BLOCK_GRAMS))
     member = (
         group.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("own", "other"))
@@ -211,7 +216,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
         edges = forest.edges()
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    blocks = docs.join(member, "doc_id").select("doc_id", "text", "task", "side")
+    member = written(member, "members")
+    ids = written(group.select(F.col("id").alias("doc_id")), "candidate-ids")
+    # first the texts of candidates alone, then a copy for each pair of blocks
+    texts = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+    blocks = texts.join(member, "doc_id").select("doc_id", "text", "task", "side")
     links = blocks.groupBy("task").applyInArrow(multiplied, "a long, b long")
     found = components(links).select(F.col("id").alias("rep"), "component")
     named = written(classes.select("rep", "s1", "s2").join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "named")
@@ -220,7 +229,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
 
 
 def one_of_each(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents, with all of their columns, that have the least id of their component; null ids stay."""
-    kept = jaccard_groups(docs, n, share).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.join(written(kept, "kept"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents, with all of their columns, that have the least id of their component; null ids stay.
+
+    What goes is the smaller part, so the documents are held against that.
+    """
+    gone = jaccard_groups(docs, n, share).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(written(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.components import components
+from wayline.operators.components import components
 from wayline.llm.shingles import BASE, BATCH, _tables, mix
 from wayline.session import written
 
@@ -237,7 +237,8 @@ def repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     classed = written(counts.join(found, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("class")), "line-counts")
     firsts = classed.groupBy("class").agg(F.min(F.struct("first", "id")).alias("kept"), F.sum("n").alias("in_class")).where("in_class > 1")
     dropping = written(classed.join(firsts, "class").select("id", "kept"), "line-firsts")
-    going = every.join(dropping, "id").where((F.col("doc_id") != F.col("kept.first.doc_id")) | (F.col("line") != F.col("kept.first.line")))
+    # neither these nor the lines that go have a bound, so they are never broadcast
+    going = every.join(dropping.hint("merge"), "id").where((F.col("doc_id") != F.col("kept.first.doc_id")) | (F.col("line") != F.col("kept.first.line")))
     return going.select("doc_id", "line", (F.col("id") == F.col("kept.id")).alias("exact"))
 
 
@@ -255,7 +256,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, all rows and columns, with repeated lines taken out of their texts."""
     gone = written(repeats(docs, edits, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone")), "line-report")
-    joined = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__gone", k.cast("long")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn("text", text).select(docs.columns)
