@@ -203,11 +203,11 @@ class WordPieces:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _joined(self, words: list[str]) -> tuple[str, str, int]:
-        """Ids and tokens of words in the byte alphabet, joined by spaces, and how many."""
-        tokens = []
+        """Ids of words in the byte alphabet and what they decode to, joined by spaces, and how many."""
+        ids = []
         for word in words:
-            tokens += [t for t in self.bpe.word(word) if t in self.bpe.ids]
-        return " ".join([str(self.bpe.ids[t]) for t in tokens]), " ".join(tokens), len(tokens)
+            ids += [self.bpe.ids[t] for t in self.bpe.word(word) if t in self.bpe.ids]
+        return " ".join(map(str, ids)), self.decode(ids), len(ids)
 
     def _run(self, run: str) -> tuple[str, str, int]:
         words = self.pattern.findall(run)
@@ -241,7 +241,7 @@ class WordPieces:
         return [known.get(run) or self._run(run) for run in self._split(text)]
 
     def pieces(self, text: str) -> list[tuple[str, str, int]]:
-        """(ids, tokens, how many) of the parts of a text, in order."""
+        """(ids, their text, how many) of the parts of a text, in order."""
         out, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
             out += self._runs(text[at : m.start()])
@@ -289,7 +289,7 @@ def loaded(path: str) -> WordPieces:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """For each of docs (doc_id, text): ids joined by spaces, their number, and the text that they decode to.
 
-    Decoding goes by the ids alone. vocabulary is a path that every worker can read.
+    Decoding goes by the ids alone; a run's is kept with its ids. vocabulary is a path that every worker can read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,4 +94,19 @@ QUERIES = {
     "op3_language": op3_language,
     "op6_secrets": op6_secrets, 
     "op4_fingerprint": op4_fingerprint, "op1_packing": op1_packing, "op2_warc": op2_warc}
-SQL: dict[str, str] = {}
+#: Base32 of a SHA-1, five hexadecimal digits to four letters.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(p), CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '')"
+_COMPONENTS = "both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)"
+
+SQL: dict[str, str] = {
+    "op2_warc": f"""WITH q AS (SELECT page_id, coalesce(html, '') AS p FROM pages), m AS (SELECT *, MAX(page_id) OVER (PARTITION BY p) AS largest FROM q)
+        SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> largest THEN largest END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM m""",
+    "op7_collisions": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95), {_COMPONENTS}
+        SELECT vec_id, (SELECT COUNT(*) FROM both_ways WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) AS component_id, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) = vec_id AS kept FROM embeddings""",
+    "op10_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id), overlap AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM overlap JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)), {_COMPONENTS}
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, MIN(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+}
