@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
-from wayline.operators import evidence, identity, sequential, tracks, workload
+from wayline.operators import audio, evidence, identity, sequential, tracks, workload
 from wayline.operators.components import components
 from wayline.sources import recordings
 
@@ -175,3 +175,29 @@ def test_completions_round_trip(spark, sf, tmp_path):
     recordings.write_completions(done, ["U"], str(tmp_path / "out"))
     back = recordings.read_completions(spark, str(tmp_path / "out"))
     assert back.count() == 69 and set(back.first().bindings) == {"U"}
+
+
+def test_bearings(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(0)
+    sound = dice.standard_normal(400)
+    for delay in (-3, 0, 4):
+        bearing, sure = audio.phase_delay(np.roll(sound, delay), sound, 16000, 0.2)
+        assert bearing == pytest.approx(np.degrees(np.arcsin(delay / 16000 * 343 / 0.2)), abs=1e-6) and 0 < sure <= 1
+    rows = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0], 100), (2, None, [1.0], 100)], "id int, left array<double>, right array<double>, rate int")
+    assert {r.id: r.bearing_degrees for r in audio.localized(rows, 0.5).collect()} == {1: 0.0, 2: None}
+    heard = spark.createDataFrame([("s", 0, 355.0, 0.8)], "site string, t long, bearing_degrees double, confidence double")
+    seen = spark.createDataFrame([("s", 0, "a", 5.0, 0.9), ("s", 0, "b", 90.0, 0.9)], "site string, t long, object_id string, bearing_degrees double, confidence double")
+    assert [(r.object_id, r.error_degrees, r.score) for r in audio.seen_and_heard(heard, seen).collect()] == [("a", 10.0, 0.4)]
+
+
+def test_progress(spark):
+    from wayline.operators.matching import progress_by_key
+    from wayline.plans.events import parse_event
+    from wayline.plans.matches import SCHEMA
+
+    event = parse_event({"event": "e", "roles": {"X": {"class": "x"}}, "pattern": {"seq": [{"a": {"object": "X"}}, {"within": {"max": "5s", "pattern": {"b": {"object": "X"}}}}]}}, {"a": "object: visual_object", "b": "object: visual_object"}, None)
+    rows = [(k, t * S, p, "s", 1.0, "t", {"object": "x"}, {}) for k, (t, p) in enumerate([(0, "a"), (1, "b"), (2, "a"), (9, "a")])]
+    got = [(r.bindings, r.satisfied, r.completed, r.expired) for r in progress_by_key(event, spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [("X=x", 1, 1, 1)]

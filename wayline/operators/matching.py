@@ -19,11 +19,8 @@ def completion_schema(event: Event) -> str:
     return "event string, matched_at timestamp_ntz, completed_at timestamp_ntz, matched_source string, predicate string" + (f", {roles}" if roles else "")
 
 
-def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
-    """Occurrences among matches of equal key: a column, or the role that all leaves carry.
-
-    The stream of a key is read in (time, arrival) order, sorted by Spark; a key's candidates are the state.
-    """
+def _dealt(event: Event, matches: DataFrame, key: str | None) -> DataFrame:
+    """The matches that the event uses, by key and in order."""
     rows = observed_once(matches)
     if key is None:
         common = event.common_roles()
@@ -32,10 +29,21 @@ def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> Da
         names = {(x.predicate, a) for x in event.pattern.leaves() for a, r in x.roles if r == common[0]}
         by = F.coalesce(*(F.when(F.col("predicate") == p, F.col("arguments")[a]) for p, a in sorted(names)))
     else:
-        by = F.col(key)
+        by = F.col(key).cast("string")
     used = sorted({x.predicate for x in event.pattern.leaves()})
     keyed = rows.where(F.col("predicate").isin(used)).withColumn("__key", by).where(F.col("__key").isNotNull())
-    dealt = keyed.select("__key", "t", "seq", "predicate", "source", "confidence", "arguments", "classes").repartition(F.col("__key")).sortWithinPartitions("__key", "t", "seq")
+    return keyed.select("__key", "t", "seq", "predicate", "source", "confidence", "arguments", "classes").repartition(F.col("__key")).sortWithinPartitions("__key", "t", "seq")
+
+
+def _at(t: int) -> pd.Timestamp:
+    return pd.Timestamp(t, unit="us")
+
+
+def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
+    """Occurrences among matches of equal key: a column, or the role that all leaves carry.
+
+    The stream of a key is read in (time, arrival) order, sorted by Spark; a key's candidates are the state.
+    """
     roles = event.pattern.role_names()
     names = ["event", "matched_at", "completed_at", "matched_source", "predicate", *(r.lower() for r in roles)]
 
@@ -47,11 +55,39 @@ def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> Da
                 if matcher is None or r[0] != current:
                     current, matcher = r[0], Matcher(event)
                 for c in matcher.feed(Match(r[1], r[2], r[3], r[4], r[5], dict(r[6]), dict(r[7]))):
-                    at = [pd.Timestamp(t, unit="us") for t in (c.matched_at, c.completed_at)]
-                    out.append((event.name, *at, c.matched_source, c.predicate, *(c.bindings.get(x) for x in roles)))
+                    out.append((event.name, _at(c.matched_at), _at(c.completed_at), c.matched_source, c.predicate, *(c.bindings.get(x) for x in roles)))
             yield pd.DataFrame(out, columns=names)
 
-    return dealt.mapInPandas(run, completion_schema(event))
+    return _dealt(event, matches, key).mapInPandas(run, completion_schema(event))
+
+
+def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
+    """Where each key stands after its last match: one row per open candidate, and the counts of the key's others."""
+    total = sum(1 for _ in event.pattern.leaves())
+    schema = "key string, matched_at timestamp_ntz, bindings string, satisfied int, fraction double, completed int, expired int, late int"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, matcher, done, out = None, None, 0, []
+
+        def close() -> None:
+            if matcher is not None:
+                for c in matcher.candidates:
+                    ids = ",".join(f"{r}={v}" for r, v in c.bindings)
+                    out.append((current, _at(c.seed_t), ids, len(c.hits), len(c.hits) / total, done, matcher.expired, matcher.late))
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if matcher is None or r[0] != current:
+                    close()
+                    current, matcher, done = r[0], Matcher(event), 0
+                done += len(matcher.feed(Match(r[1], r[2], r[3], r[4], r[5], dict(r[6]), dict(r[7]))))
+            yield pd.DataFrame(out, columns=names)
+            out = []
+        close()
+        yield pd.DataFrame(out, columns=names)
+
+    return _dealt(event, matches, key).mapInPandas(run, schema)
 
 
 def occurrences(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
-from wayline.operators import evidence, identity, sequential, tracks, workload
-from wayline.operators.matching import match_by_key, occurrences
+from wayline.operators import audio, evidence, identity, sequential, tracks, workload
+from wayline.operators.matching import match_by_key, occurrences, progress_by_key
 from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
 from wayline.session import table
@@ -128,6 +128,14 @@ def nested_all_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_by_key(event("nested_all", pattern), from_events(table(spark, sf_dir, "events")))
 
 
+@query("progress")
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open candidates of signup, then error and purchase, per user."""
+    of = lambda x: {x: {"object": "U"}}
+    pattern = {"seq": [of("signup"), {"within": {"max": "48h", "pattern": {"seq": [of("error"), of("purchase")]}}}]}
+    return progress_by_key(event("progress", pattern), from_events(table(spark, sf_dir, "events")))
+
+
 @query("observed_once", "SELECT MIN(event_id) AS seq, ts AS at, event_type AS predicate, CAST(user_id AS VARCHAR) AS object FROM events GROUP BY ts, event_type, user_id")
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = from_events(table(spark, sf_dir, "events"))
@@ -159,9 +167,9 @@ def user_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hour_frames(found: DataFrame) -> DataFrame:
-    """Every hour that any source saw, for each source."""
-    sources = found.select("source").distinct()
-    return found.select("t").distinct().crossJoin(F.broadcast(sources)).select("source", "t")  # four sources
+    """Every hour that any source saw, for each of the four sources."""
+    sources = F.array(*(F.lit(f"cam{k}") for k in range(4)))
+    return found.select("t").distinct().select(F.explode(sources).alias("source"), "t")
 
 
 def _flat(rows: DataFrame, *arguments: str) -> DataFrame:
@@ -407,3 +415,18 @@ def smoothed_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
     return sequential.suppressed_repeats(rows, "user_id", 6 * HOUR)
+
+
+@query("localized")
+def localized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as one channel of sound, and the same two samples later as the other."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("left"), F.concat(F.slice("embedding", 3, 62), F.slice("embedding", 1, 2)).alias("right"), F.lit(16000).alias("rate"))
+    return audio.localized(rows, 0.2).select("vec_id", F.round("bearing_degrees", 3).alias("bearing_degrees"))
+
+
+@query("recipes", "WITH RECURSIVE p AS (SELECT 'n' || n_nationkey AS provider, CASE WHEN n_nationkey >= 5 THEN 't' || (n_nationkey // 5) END AS i, 't' || (n_nationkey // 5 + 1) AS o FROM nation WHERE n_nationkey % 5 < 2), r(chain, i) AS (SELECT provider, i FROM p WHERE o = 't5' UNION ALL SELECT p.provider || '>' || r.chain, p.i FROM r JOIN p ON p.o = r.i) SELECT chain FROM r WHERE i IS NULL")
+def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as providers in five layers, two a layer: every chain through them."""
+    layer = F.floor(F.col("n_nationkey") / 5)
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("provider"), F.when(F.col("n_nationkey") >= 5, F.concat(F.lit("t"), layer)).alias("input"), F.concat(F.lit("t"), layer + 1).alias("output"), (F.col("n_nationkey") % 5 < 2).alias("enabled"))
+    return workload.recipes(rows, "t5").select(F.array_join("chain", ">").alias("chain"))
