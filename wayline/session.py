@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, where they could not import it by themselves."""
+    root = Path(__file__).resolve().parents[1]
+    found = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    context = spark.sparkContext
+    if root in found or getattr(context, "_wayline_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="wayline-")) / "wayline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.glob("wayline/**/*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    context._wayline_shipped = True
