@@ -35,8 +35,8 @@ from wayline.session import written
 
 TABLE_BITS, CHUNK, HEAVY = 20, 1 << 14, 64
 #: A block has so many documents or n-grams, about, at most.
-BLOCK, BLOCK_GRAMS = 512, 1_500_000
-#: Ids that may be broadcast; more are joined by a shuffle.
+BLOCK, BLOCK_GRAMS = 512, 700_000
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
 FEW_IDS = 200_000
 LEVELS = 4095
 #: A set of at least STEPS[k] n-grams must share k + 2 prefix n-grams with another such set.
@@ -159,7 +159,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray | None, share: tuple[int, i
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
     overlap = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = 8192
+    width = 4096
     cuts = np.searchsorted(column, np.arange(0, column[-1] + width, width))
     for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if lo == hi:
@@ -217,9 +217,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     member = written(member, "members")
-    ids = written(group.select(F.col("id").alias("doc_id")), "candidate-ids")
-    # first the texts of candidates alone, then a copy for each pair of blocks
-    texts = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+    if member.count() <= FEW_IDS:
+        texts, member = docs, F.broadcast(member)
+    else:  # the texts of candidates alone are dealt out again
+        ids = group.select(F.col("id").alias("doc_id"))
+        texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
     blocks = texts.join(member, "doc_id").select("doc_id", "text", "task", "side")
     links = blocks.groupBy("task").applyInArrow(multiplied, "a long, b long")
     found = components(links).select(F.col("id").alias("rep"), "component")

@@ -13,7 +13,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 _lower = np.arange(256, dtype=np.uint64)
 _lower[65:91] += 32
