@@ -10,9 +10,23 @@ from wayline.llm import bpe, collisions, fingerprint, jaccard, language, lines,
 from wayline.session import scratch, table
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: fewer of them in an Arrow batch keep Python workers small. A session's own choice stays."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), path))
+    return packing.with_crc(packing.pack(documents(spark, sf_dir), path))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +37,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language.fold_of("doc_id", 3) == 1, F.lit(False)))
+    rows = documents(spark, sf_dir).withColumn("held_out", F.coalesce(language.fold_of("doc_id", 3) == 1, F.lit(False)))
     model = language.train(rows.where(~F.col("held_out")).select("text", "lang"))
     return language.predict(rows.select("doc_id", "held_out", "text"), model)
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compared(table(spark, sf_dir, "documents")).select(
+    return fingerprint.compared(documents(spark, sf_dir)).select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
@@ -42,7 +56,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("assign", "access", "hex")
-    rows = secrets.scan_paths(table(spark, sf_dir, "documents"))
+    rows = secrets.scan_paths(documents(spark, sf_dir))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     own = F.filter("spans", lambda s: s["kind"].isin(*base))
@@ -61,22 +75,22 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = toxicity.SAMPLE)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(language.fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=4, share=(85, 100))
+    return jaccard.jaccard_groups(documents(spark, sf_dir), n=4, share=(85, 100))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(documents(spark, sf_dir))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    rows = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     of = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return rows.select("doc_id", "n_tokens", of("ids").alias("ids_sha256"), of("decoded").alias("decoded_sha256"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import jaccard, lines, packing, secrets, toxicity
-from wayline.llm.queries import labelled
+from wayline.llm.queries import labelled, small_batches
 from wayline.session import table
 
 
@@ -25,25 +25,30 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from this run's labels."""
+    small_batches(spark)
     model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
+    return toxicity.score(docs, model, name="__toxicity").where("__toxicity < 0.5").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, exactly or nearly, go from the texts; all documents stay."""
+    small_batches(spark)
     return _measured(lines.without_repeats(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 of their five-word shingles, the one with the least id stays."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, n=5, share=(80, 100))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mask; all documents stay."""
+    small_batches(spark)
     return _measured(secrets.redacted(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences of 2048 tokens, with a checksum of each piece's ids."""
+    small_batches(spark)
     return packing.with_crc(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
