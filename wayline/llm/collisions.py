@@ -154,6 +154,20 @@ def counted(plan: Plan):
     return rows
 
 
+def connected(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The members of each connected set of a symmetric matrix, whole rows at a time; lone ones are left out."""
+    open_ = near.any(axis=1)
+    while open_.any():
+        members = np.zeros(len(near), dtype=bool)
+        edge = np.array([int(open_.argmax())])
+        members[edge] = True
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & ~members)
+            members[edge] = True
+        open_ &= ~members
+        yield np.flatnonzero(members)
+
+
 def compared(least: float):
     """Links of a block's vectors, or between two blocks': their number by vector, and edges that connect them."""
 
@@ -161,22 +175,17 @@ def compared(least: float):
         table = table.combine_chunks()
         ids, times = np.array(table.column("id").to_pylist()), np.array(table.column("times").to_pylist(), dtype=np.int64)
         side = np.array(table.column("side").to_pylist())
-        links, forest = np.zeros(len(ids), dtype=np.int64), Forest()
+        links, up = np.zeros(len(ids), dtype=np.int64), ids.astype(np.int64)
         for places, unit in usable(table.column("embedding").chunk(0)):
             own, n = side[places], times[places]
-            across = (own >= 0).all()
-            for at in range(0, len(unit), 1024):
-                near = unit[at : at + 1024] @ unit.T >= least
-                if across:
-                    near &= own[at : at + 1024, None] != own[None, :]
-                near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-                links[places[at : at + 1024]] += near @ n
-                for i in np.flatnonzero(near.any(axis=1)):
-                    partners = places[np.flatnonzero(near[i])]
-                    for p in partners[partners > places[at + i]].tolist():
-                        forest.join(int(ids[places[at + i]]), int(ids[p]))
-        up = [forest.find(x) for x in ids.tolist()]
-        return pa.table({"id": pa.array(ids, pa.int64()), "up": pa.array(up, pa.int64()), "links": pa.array(links)})
+            near = unit @ unit.T >= least
+            if (own >= 0).all():
+                near &= own[:, None] != own[None, :]
+            np.fill_diagonal(near, False)
+            links[places] = near @ n
+            for members in connected(near):
+                up[places[members]] = ids[places[members]].min()
+        return pa.table({"id": pa.array(ids, pa.int64()), "up": pa.array(up), "links": pa.array(links)})
 
     return rows
 
