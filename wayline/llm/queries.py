@@ -112,7 +112,22 @@ QUERIES = {
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(p), CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '')"
 _COMPONENTS = "both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)"
 
+
+
+def _spans_of(rank: int, rule: secrets.Rule) -> str:
+    """Spans of one rule: a match begins after the parts between matches and the matches before it."""
+    pattern = ("(?i)" if rule.ignore_case else "") + rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, list_sum(list_transform(parts[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : k - 1], lambda x: length(x))), 0) AS start, length(found[k]) AS size
+        FROM (SELECT doc_id, found, held, parts, unnest(range(1, len(found) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {rule.group}) AS held, string_split_regex(t, '{pattern}') AS parts FROM d)) WHERE length(held[k]) >= {max(rule.least, 1)}"""
+
+
+_SPANS = " UNION ALL ".join(_spans_of(k, r) for k, r in enumerate(secrets.RULES))
+_SPAN = "kind || ':' || start || ':' || (start + size)"
+
 SQL: dict[str, str] = {
+    "op6_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}), g AS (SELECT doc_id, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "op2_warc": f"""WITH q AS (SELECT page_id, coalesce(html, '') AS p FROM pages), m AS (SELECT *, MAX(page_id) OVER (PARTITION BY p) AS largest FROM q)
         SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id <> largest THEN largest END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM m""",
