@@ -133,6 +133,14 @@ SQL: dict[str, str] = {
         CASE WHEN page_id <> largest THEN largest END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM m""",
     "op7_collisions": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95), {_COMPONENTS}
         SELECT vec_id, (SELECT COUNT(*) FROM both_ways WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) AS component_id, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) = vec_id AS kept FROM embeddings""",
+    "op9_line_dedup": f"""WITH RECURSIVE occ AS (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+        num AS (SELECT t, length(t) AS n, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM occ WHERE length(t) >= 20)),
+        links AS (SELECT x.i AS a, y.i AS b FROM num x JOIN num y ON x.i < y.i AND y.n BETWEEN x.n - 2 AND x.n + 2
+          WHERE (left(x.t, x.n // 3) = left(y.t, x.n // 3) OR right(x.t, x.n // 3) = right(y.t, x.n // 3) OR contains(y.t, substr(x.t, x.n // 3 + 1, x.n // 3))) AND levenshtein(x.t, y.t) <= 2), {_COMPONENTS},
+        class AS (SELECT t, least(i, coalesce(m, i)) AS c FROM num LEFT JOIN (SELECT a, MIN(b) AS m FROM reach GROUP BY a) ON a = i),
+        placed AS (SELECT doc_id, line, t, row_number() OVER w AS k, first_value(t) OVER w AS f FROM occ JOIN class USING (t) WINDOW w AS (PARTITION BY c ORDER BY doc_id, line)),
+        gone AS (SELECT doc_id, COUNT(*) FILTER (t = f) AS e, COUNT(*) FILTER (t <> f) AS o, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM placed WHERE k > 1 GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(e, 0) AS n_exact, coalesce(o, 0) AS n_near, coalesce(removed, '') AS removed FROM documents d LEFT JOIN gone ON gone.doc_id = d.doc_id""",
     "op10_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
         n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id), overlap AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
