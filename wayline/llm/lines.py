@@ -59,8 +59,8 @@ def _hash(sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return mix((sums[start + length] - sums[start]) * inverse[start] + length.astype(np.uint64) * BASE)
 
 
-def lines_of(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None]]:
-    """(places of texts, line numbers, ids, texts joined) of the lines that are long enough, in batches."""
+def lines_of(texts: list[str | None], min_chars: int, cut: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """(places of texts, line numbers, ids, and, if asked for, the lines) of lines that are long enough, in batches."""
     for first, held in _batches(texts):
         joined = "\n".join(held)
         codes = _codes(held)
@@ -71,7 +71,8 @@ def lines_of(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.ndarr
         number = np.arange(len(starts)) - np.searchsorted(starts, begins)[place]
         kept = np.flatnonzero(ends - starts >= min_chars)
         ids = _hash(_sums(codes), starts[kept], (ends - starts)[kept]).astype(np.int64)
-        yield first + place[kept], number[kept], ids, [joined[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]
+        spans = zip(starts[kept].tolist(), ends[kept].tolist(), strict=True) if cut else ()
+        yield first + place[kept], number[kept], ids, [joined[a:b] for a, b in spans]
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -80,7 +81,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0)
-            for place, number, ids, _ in lines_of(batch.column(1).to_pylist(), min_chars):
+            for place, number, ids, _ in lines_of(batch.column(1).to_pylist(), min_chars, cut=False):
                 yield pa.RecordBatch.from_arrays([docs.take(pa.array(place)), pa.array(number, pa.int64()), pa.array(ids)], names=["doc_id", "line", "id"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, line long, id long")
