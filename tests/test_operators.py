@@ -116,6 +116,15 @@ def test_gate_windows_and_as_of(spark):
     assert sorted((r.t, len(r.samples)) for r in cut.collect()) == [(0, 2), (S, 2), (2 * S, 1)]
 
 
+def test_recent_evidence(spark):
+    openers = spark.createDataFrame([("k", 100, 5, "a"), ("k", 10, 1, "b"), ("m", 7, 1, "c"), (None, 50, 9, "d")], "key string, t long, seq long, name string")
+    held = spark.createDataFrame([("k", 20, 2), ("k", 60, 3), ("k", 95, 4), ("k", 100, 6), (None, 40, 8)], "key string, t long, seq long")
+    rows = {r["name"]: (r["evidence_t"], r["evidence_seq"]) for r in evidence.with_recent_evidence(openers, held, 40).collect()}
+    # the newest before a is at 95, so 60 is kept and 20 is not; b has nothing before it; m has none at all
+    assert rows == {"a": (60, 3), "b": (20, 2), "c": (None, None), "d": (40, 8)}
+    assert evidence.with_recent_evidence(openers.limit(0), held, 40).count() == 0
+
+
 def test_identity(spark):
     pairs = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.95), ("b", "y", 0.9), ("b", "x", 0.8)], "left_id string, right_id string, similarity double")
     assert sorted((r.left_id, r.right_id) for r in identity.one_to_one(pairs).collect()) == [("a", "y"), ("b", "x")]

@@ -40,6 +40,23 @@ def latest_per_stream(left: DataFrame, right: DataFrame, key: str, value: str, t
     return rows.select("row.*", F.when(fresh, F.col(f"__v.{value}")).alias(value))
 
 
+def with_recent_evidence(openers: DataFrame, evidence: DataFrame, lookback_us: int, key: str = "key") -> DataFrame:
+    """Each opener (key, t, seq, ...) with the evidence (key, t, seq) that a stage opened by it takes.
+
+    Evidence is kept for lookback_us behind the key's newest evidence. An opener takes the earliest that is kept when
+    it comes, which may precede it, and else the first that follows; evidence_t and evidence_seq are null if there is
+    none. (t, seq) is the order of both tables. One sort a key, no range join; a null key is a key.
+    """
+    kept = Window.partitionBy(key).orderBy("t").rangeBetween(-lookback_us, 0)
+    held = evidence.select(key, "t", "seq", F.struct("t", "seq").alias("__own"), F.min(F.struct("t", "seq")).over(kept).alias("__kept"))
+    own = openers.select(key, "t", "seq", F.struct(*openers.columns).alias("__row"))
+    in_order = Window.partitionBy(key).orderBy("t", "seq", F.col("__row").isNotNull())
+    before = F.last("__kept", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__own", ignorenulls=True).over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    both = own.unionByName(held, allowMissingColumns=True).withColumn("__e", F.coalesce(before, after))
+    return both.where(F.col("__row").isNotNull()).select("__row.*", F.col("__e.t").alias("evidence_t"), F.col("__e.seq").alias("evidence_seq"))
+
+
 def segments_touching(segments: DataFrame, start: Column, end: Column, how: str = "overlap", at: Column | None = None) -> DataFrame:
     """Stored segments (event_start, event_end, expires_at) that overlap an interval (half open), lie in it, or cover it."""
     a, b = F.col("event_start"), F.col("event_end")

@@ -300,6 +300,20 @@ for _how, _where in (("overlap", "event_start < TIMESTAMP '1996-03-01' AND event
     SQL[f"segments_{_how}"] = f"WITH {SEGMENTS} SELECT * FROM segments WHERE {_where}"
 
 
+@query(
+    "recent_evidence",
+    """WITH e AS (SELECT user_id AS u, ts AS et, event_id AS ei FROM events WHERE event_type = 'error'),
+    n AS (SELECT p.event_id, p.user_id, p.ts, MAX(e.et) AS newest FROM events p LEFT JOIN e ON e.u = p.user_id AND (e.et < p.ts OR (e.et = p.ts AND e.ei < p.event_id)) WHERE p.event_type = 'purchase' GROUP BY ALL)
+    SELECT event_id, evidence FROM (SELECT n.event_id, e.ei AS evidence, row_number() OVER (PARTITION BY n.event_id ORDER BY e.et, e.ei) AS k FROM n
+    LEFT JOIN e ON e.u = n.user_id AND CASE WHEN newest IS NULL THEN e.et > n.ts OR (e.et = n.ts AND e.ei > n.event_id) ELSE e.et BETWEEN newest - INTERVAL 24 HOUR AND newest END) WHERE k = 1""",
+)
+def recent_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as openers of a stage that waits for errors of the same user, a day of which is kept."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("seq"))
+    openers, errors = (rows.where(F.col("event_type") == x).drop("event_type") for x in ("purchase", "error"))
+    return evidence.with_recent_evidence(openers, errors, 24 * HOUR).select(F.col("seq").alias("event_id"), F.col("evidence_seq").alias("evidence"))
+
+
 @query("scores", "SELECT *, tp / NULLIF(tp + fp, 0) AS precision, tp / NULLIF(tp + fn, 0) AS recall FROM (SELECT COUNT(*) FILTER (quality = 1 AND toxic = 1) AS tp, COUNT(*) FILTER (quality = 1 AND toxic <> 1) AS fp, COUNT(*) FILTER (quality <> 1 AND toxic = 1) AS fn, COUNT(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels)")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.binary_scores(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)

@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores put before it while a column (in any case of letters) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below spark.checkpoint.dir, which driver and executors share.
 
