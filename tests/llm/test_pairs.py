@@ -155,6 +155,16 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_names_that_clash(spark):
+    """Columns called like the operators' own ones come back as they were; a very long text loses its repeated half."""
+    half = "\n".join(f"line number {k} of a very long document" for k in range(30000))
+    rows = [(1, half + "\n" + half, *"abcde"), (2, "AKIA" + "A" * 16, *"fghij"), (3, None, *"klmno")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __gone string, __Lines string, __blob string, __spans string")
+    for f, first in ((lambda d: lines.without_repeats(d, edits=0), half), (jaccard.one_of_each, rows[0][1]), (secrets.redacted, rows[0][1])):
+        got = sorted(map(tuple, f(df).collect()))
+        assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in rows] and got[0][1] == first
+
+
 def test_the_pipeline_stage_by_stage(spark, sf):
     docs = table(spark, sf, "documents")
     columns, seen = docs.dtypes, {}

@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from wayline.operators.components import Forest, components
 from wayline.llm.shingles import mix, shingle_hashes, shingle_rarity, word_hashes
-from wayline.session import written
+from wayline.session import unused, written
 
 TABLE_BITS, CHUNK, HEAVY = 20, 1 << 14, 64
 #: A block has so many documents or n-grams, about, at most.
@@ -235,5 +235,6 @@ def one_of_each(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100))
 
     What goes is the smaller part, so the documents are held against that.
     """
-    gone = jaccard_groups(docs, n, share).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    other = unused("__gone", docs.columns)
+    gone = jaccard_groups(docs, n, share).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(written(gone, "gone"), docs["doc_id"] == F.col(other), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators.components import components
 from wayline.llm.shingles import BASE, BATCH, _tables, mix
-from wayline.session import written
+from wayline.session import unused, written
 
 EDITS, MIN_CHARS = 2, 20
 #: Ids that may be broadcast; more are joined by a shuffle.
@@ -256,8 +256,11 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, all rows and columns, with repeated lines taken out of their texts."""
-    gone = written(repeats(docs, edits, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone")), "line-report")
-    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__gone", k.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(docs.columns)
+    doc, gone, lines = (unused(x, docs.columns) for x in ("__doc", "__gone", "__lines"))
+    drops = written(repeats(docs, edits, min_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(gone)), "line-report")
+    joined = docs.join(drops.hint("merge"), F.col("doc_id") == F.col(doc), "left")
+    # a set difference of line numbers: looking each line up in the list would take its length times theirs
+    cut = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n", -1)))
+    numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbers, lambda k: F.get(lines, k.cast("int"))), "\n"))
+    return cut.withColumn("text", text).select(docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wayline.session import written
+from wayline.session import unused, written
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
@@ -131,8 +131,9 @@ def _masked(text: str, spans: list, mask: str) -> str:
 def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents, all of their columns and rows, with secrets in their texts replaced."""
     columns = docs.columns
-    keyed = docs.withColumn("__blob", F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)))
-    fresh = written(scan(addressed(docs.withColumn("__path", F.lit(0)), "__path", text), None, rules), "ledger").where(F.size("spans") > 0)
-    hit = keyed.join(fresh.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
-    masked = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_masked(F.coalesce(text, F.lit("")), F.coalesce("__spans", F.array().cast(SPANS)), F.lit(mask)))
+    blob, spans = unused("__blob", columns), unused("__spans", columns)
+    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)))
+    fresh = written(scan(addressed(docs.select(F.lit(0).alias("path"), F.col(text).alias("text")), "path", "text"), None, rules), "ledger").where(F.size("spans") > 0)
+    hit = keyed.join(fresh.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    masked = F.when(F.col(spans).isNull(), F.col(text)).otherwise(_masked(F.coalesce(text, F.lit("")), F.coalesce(spans, F.array().cast(SPANS)), F.lit(mask)))
     return hit.withColumn(text, masked).select(columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm import jaccard, lines, packing, secrets, toxicity
 from wayline.llm.queries import labelled, small_batches
-from wayline.session import table
+from wayline.session import table, unused
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents with a toxicity score of 0.5 or more go; the model learns from this run's labels."""
     small_batches(spark)
     model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, name="__toxicity").where("__toxicity < 0.5").select(docs.columns)
+    name = unused("__toxicity", docs.columns)
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
