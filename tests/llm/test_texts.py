@@ -271,6 +271,36 @@ def test_toxicity(spark):
     assert toxicity.score(empty, toxicity.train(df.where("label = 1"))).first().score == 1
 
 
+def spaced_by_hand(text):
+    """Runs of four word characters and more, each but the last followed by one separator, from and to word bounds."""
+    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    at = n = 0
+    while at < len(text):
+        end, k = None, at
+        if word(at) and not word(at - 1):
+            while word(k):
+                if k - at >= 6 and not word(k + 1):
+                    end = k
+                if k + 1 == len(text) or text[k + 1] not in " .*_-":
+                    break
+                k += 2
+        n, at = (n, at + 1) if end is None else (n + 1, end + 1)
+    return n
+
+
+def test_toxicity_counts_spaced_letters_at_any_length():
+    spot = toxicity.FEATURES.index("spaced")
+    count = lambda text: toxicity.features(text, toxicity.Lexicon())[spot]
+    dice = random.Random(3)
+    pieces = ["i d i o t", "f.o.o.l", "a_b_c_d", "x-y", "clean words", "n*a*s*t*y", "é à ü ö", "_ _ _ _", "a b_c d_e", "!", "ab c d e f"]
+    for size in (50, 90_000):
+        text = " ".join(dice.choice(pieces) + dice.choice(["", ",", " ok"]) for _ in range(size))
+        assert count(text) == spaced_by_hand(text) > 0
+    assert len(text) > 200_000
+    short = "you i.d.i.o.t and f o o l! "
+    assert count(short) == count(short + "clean words, " * 20_000) == 2
+
+
 def test_isotonic_fit_rises():
     dice = np.random.default_rng(1)
     raw = dice.normal(size=400)

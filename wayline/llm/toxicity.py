@@ -94,7 +94,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     marks = sum(map(len, re.findall(r"[!?#$%&*@^~]+", text)))
     return [
         np.log1p(len(text)), np.log1p(len(words)), strong, strong / n, medium, medium / n, weak / n, total, total / n, *top[:3],
-        clean / n, near, you / n, capitals / letters, upper / n, text.count("!") / n, marks / chars, digits / chars, odd / n, len(_SPACED.findall(text)) if chars < 200_000 else 0.0, len(counts) / n, letters / n,
+        clean / n, near, you / n, capitals / letters, upper / n, text.count("!") / n, marks / chars, digits / chars, odd / n, sum(1 for _ in _SPACED.finditer(text)), len(counts) / n, letters / n,
     ]
 
 
