@@ -301,6 +301,11 @@ def test_toxicity_counts_spaced_letters_at_any_length():
     assert count(short) == count(short + "clean words, " * 20_000) == 2
 
 
+def test_toxicity_learns_beginnings_of_eight_letters_from_12000_rows():
+    assert toxicity.SAMPLE == 12000
+    assert toxicity.keys("abcdefghij") == ["=abcdefghij", "^abc", "^abcd", "^abcde", "^abcdef", "^abcdefg", "^abcdefgh"]
+
+
 def test_isotonic_fit_rises():
     dice = np.random.default_rng(1)
     raw = dice.normal(size=400)
