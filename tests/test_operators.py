@@ -154,6 +154,19 @@ def test_workload(spark):
     assert ms == 1005.0
 
 
+def test_shortest_paths_have_no_limit_of_hops(spark):
+    schema = "src string, dst string, latency_ms double, mbps double"
+    ring = [(f"n{k}", f"n{(k + 1) % 20}", 1.0 + k % 5, 100.0) for k in range(20)]
+    got = {(r.src, r.dst): r.latency_ms for r in workload.shortest_paths(spark.createDataFrame(ring, schema)).collect()}
+    assert got == {(f"n{a}", f"n{(a + m) % 20}"): sum(1.0 + (a + k) % 5 for k in range(m)) for a in range(20) for m in range(1, 20)}
+    # a path as short as another, but wider, is found later; what follows it gets wider too
+    wide = [("x", "p", 1.0, 9.0), ("p", "q", 1.0, 9.0), ("q", "y", 1.0, 9.0), ("x", "y", 3.0, 1.0), ("y", "v", 1.0, 9.0), ("v", "u", 1.0, 9.0)]
+    got = {(r.src, r.dst): (r.latency_ms, r.mbps) for r in workload.shortest_paths(spark.createDataFrame(wide, schema)).collect()}
+    assert got["x", "u"] == (5.0, 9.0)
+    with pytest.raises(ValueError, match="negative"):
+        workload.shortest_paths(spark.createDataFrame([("a", "b", -1.0, 1.0), ("b", "a", 0.0, 1.0)], schema))
+
+
 def test_store(spark):
     store = spark.createDataFrame([(1, "a")], "id long, v string")
     fresh = spark.createDataFrame([(1, "b"), (2, "c")], "id long, v string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,21 +36,26 @@ def transfer_ms(latency, mbps, size):
     return F.when(size == 0, latency).otherwise(latency + F.try_divide(size * 8, mbps * 1_000_000) * 1000)
 
 
-def shortest_paths(links: DataFrame, most_hops: int = 16) -> DataFrame:
+def shortest_paths(links: DataFrame, most_hops: int | None = None) -> DataFrame:
     """Least latency between nodes of links (src, dst, latency_ms, mbps), with the narrowest hop's bandwidth.
 
-    An unknown bandwidth makes the whole path's unknown. Paths grow hop by hop until none improves.
+    An unknown bandwidth makes the whole path's unknown. Paths grow hop by hop until none improves, which takes
+    latencies that are not negative. Where most_hops is given, paths of at most that many hops after the first count.
     """
     best = Window.partitionBy("src", "dst").orderBy("latency_ms", F.desc_nulls_last("mbps"))
     first = lambda df: df.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     hop = written(first(links.select("src", "dst", "latency_ms", "mbps").where("src <> dst")), "links")
+    if most_hops is None and hop.where("latency_ms < 0").take(1):
+        raise ValueError("a negative latency: paths could improve without end")
     paths = hop
-    for _ in range(most_hops):
+    for _ in count() if most_hops is None else range(most_hops):
         p, h = paths.alias("p"), hop.alias("h")
         narrow = F.when(F.col("p.mbps").isNotNull() & F.col("h.mbps").isNotNull(), F.least("p.mbps", "h.mbps"))
         longer = p.join(h, (F.col("p.dst") == F.col("h.src")) & (F.col("p.src") != F.col("h.dst"))).select(F.col("p.src"), F.col("h.dst"), (F.col("p.latency_ms") + F.col("h.latency_ms")).alias("latency_ms"), narrow.alias("mbps"))
         new = written(first(paths.unionByName(longer)), "paths")
-        changed = new.join(paths.select("src", "dst", F.col("latency_ms").alias("was")), ["src", "dst"], "left").where(F.col("was").isNull() | (F.col("latency_ms") < F.col("was")))
+        old = paths.select("src", "dst", F.col("latency_ms").alias("was"), F.col("mbps").alias("had"), F.lit(True).alias("known"))
+        wider = F.col("latency_ms").eqNullSafe(F.col("was")) & F.col("mbps").isNotNull() & (F.col("had").isNull() | (F.col("mbps") > F.col("had")))
+        changed = new.join(old, ["src", "dst"], "left").where(F.col("known").isNull() | (F.col("latency_ms") < F.col("was")) | wider)
         paths, done = new, not changed.take(1)
         if done:
             break
