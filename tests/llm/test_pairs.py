@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wayline.llm import collisions, jaccard, lines, packing, queries, secrets
+from wayline.llm import shingles as hashing
 from wayline.operators.components import Forest
 from wayline.session import table, written
 
@@ -76,15 +77,16 @@ def test_banded_distance():
 
 
 def removed(rows, edits, least):
+    """What goes from each row (doc_id, text), by its place in rows: equal lines, and near ones that are long enough."""
     spots = defaultdict(list)
-    for doc, text in rows:
-        for k, line in enumerate((text or "").split("\n") if text is not None else ()):
-            if len(line) >= least:
-                spots[line].append((doc, k))
+    for at, (_, text) in enumerate(rows):
+        for k, line in enumerate(text.split("\n") if text is not None else ()):
+            if line.strip(" \t\n\r\v\f"):
+                spots[line].append((at, k))
     every, forest = sorted(spots), Forest()
     for i, a in enumerate(every):
         for j in range(i):
-            if abs(len(a) - len(every[j])) <= edits and lev_within(a, every[j], edits):
+            if min(len(a), len(every[j])) >= least and abs(len(a) - len(every[j])) <= edits and lev_within(a, every[j], edits):
                 forest.join(i, j)
     classes = defaultdict(list)
     for i, a in enumerate(every):
@@ -92,8 +94,8 @@ def removed(rows, edits, least):
     gone = defaultdict(list)
     for members in classes.values():
         members.sort()
-        for (doc, k), line in members[1:]:
-            gone[doc].append((k, line == members[0][1]))
+        for (at, k), line in members[1:]:
+            gone[rows[at][0]].append((k, line == members[0][1]))
     return gone
 
 
@@ -101,7 +103,7 @@ def removed(rows, edits, least):
 def test_lines(spark, edits):
     dice = random.Random(edits)
     words = "alpha beta gamma delta epsilon zeta eta theta".split()
-    base = [" ".join(dice.choices(words, k=dice.randint(4, 8))) for _ in range(20)]
+    base = [" ".join(dice.choices(words, k=dice.randint(4, 8))) for _ in range(20)] + ["}", "end.", " ", ""]
     rows = [(d, "\n".join(edit(dice, dice.choice(base), "xé") for _ in range(dice.randint(0, 5)))) for d in range(50)] + [(500, None)]
     got = {r.doc_id: r for r in lines.line_report(spark.createDataFrame(rows, DOCS), edits, 20).collect()}
     want = removed(rows, edits, 20)
@@ -155,6 +157,53 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A row keeps what only it has, though another row of its id repeats lines there."""
+    once, same = "this sentence occurs once and nowhere else", "a line that many documents have in common"
+    df = spark.createDataFrame([(1, f"{once}\nother"), (1, f"{same}\n{same}"), (2, f"{same}\n}}"), (3, "}\n\n \n}")], DOCS)
+    got = sorted((r.doc_id, r.n_lines, r.n_exact, r.removed) for r in lines.line_report(df).collect())
+    assert got == [(1, 2, 0, ""), (1, 2, 1, "1"), (2, 2, 1, "0"), (3, 4, 2, "0,3")]
+    assert sorted((r.doc_id, r.text) for r in lines.without_repeats(df).collect()) == [(1, same), (1, f"{once}\nother"), (2, "}"), (3, "\n ")]
+    assert sorted(r.doc_id for r in lines.without_repeats(df, emptied=False).collect()) == [1, 1, 2]
+
+
+def test_long_lines_are_hashed_piece_by_piece(monkeypatch):
+    dice = random.Random(4)
+    text = "".join(dice.choices("abcdé \n", k=4000)) + "".join(dice.choices("abcdé ", k=3000))
+    line, spots, sizes = text.split("\n")[-1], np.array([0, 5, 100, 64, 128, 700]), np.array([10, 0, 2000, 64, 1, 650])
+
+    def seen():
+        rows = [(int(p), int(n), int(i), t) for ps, ns, ids, ts in lines.lines_of([text, None, "x\n\ny"]) for p, n, i, t in zip(ps, ns, ids, ts, strict=True)]
+        return rows, lines.Sums(line).hashes(spots, sizes).tolist(), lines.sketches(line, np.array([0]), np.array([len(line)])).tolist()
+
+    whole = seen()
+    monkeypatch.setattr(lines, "BATCH", 64)
+    assert seen() == whole
+    assert [(p, n, t) for p, n, _, t in whole[0]] == [(k, n, t) for k, x in enumerate([text, "", "x\n\ny"]) for n, t in enumerate(x.split("\n")) if t.strip()]
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """(5, A) belongs to A's group and (5, B) to B's: neither group loses its last copy, and equal rows count once."""
+    a, b = "a b c d e f g h", "p q r s t u v w x y z"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5), (8, "only here and nowhere else", 6), (8, a, 7), (9, None, 8), (9, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df, 4, (85, 100)).collect())
+    assert got == [(3, 5, 3), (5, 5, 3), (5, 8, 5), (5, 8, 5), (7, 8, 5), (8, 2, 8), (8, 5, 3), (9, 0, 9), (9, 0, 9)]
+    kept = sorted((r.doc_id, r.text or "", r.own) for r in jaccard.one_of_each(df, 4, (85, 100)).collect())
+    assert kept[0] == (3, a, 1) and kept[1][:2] == (5, b) and kept[1][2] in (3, 4) and kept[2:] == [(8, "only here and nowhere else", 6), (9, "", 8), (9, "", 9)]
+
+
+def test_words_of_long_texts_are_hashed_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(hashing, "BATCH", 64)
+    dice, base, whole = random.Random(1), int(hashing.BASE), 1 << 64
+    for _ in range(200):
+        texts = ["".join(dice.choice("aB é \n") * dice.choice([1, 1, 1, 70]) for _ in range(dice.choice([0, 3, 30, 300]))) or None for _ in range(5)]
+        for k, hashes in hashing.word_hashes(texts):
+            words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (texts[k] or "").encode())]
+            sums = [(sum(c * pow(base, i, whole) for i, c in enumerate(w)) + len(w)) % whole for w in words]
+            assert hashes.tolist() == hashing.mix(np.array(sums, dtype=np.uint64)).tolist()
+
+
 def test_names_that_clash(spark):
     """Columns called like the operators' own ones come back as they were; a very long text loses its repeated half."""
     half = "\n".join(f"line number {k} of a very long document" for k in range(30000))
@@ -176,9 +225,8 @@ def test_the_pipeline_stage_by_stage(spark, sf):
     before, after = seen["line dedup"]
     old = {r.doc_id: r.text for r in before.collect()}
     gone = removed(sorted(old.items()), lines.EDITS, lines.MIN_CHARS)
-    for r in after.collect():
-        drop = {k for k, _ in gone.get(r.doc_id, [])}
-        assert r.text == "\n".join(x for k, x in enumerate(old[r.doc_id].split("\n")) if k not in drop) and r.n_chars == len(r.text)
+    new = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {k for k, _ in gone.get(d, [])}) for d, t in old.items()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in after.collect()} == {d: (t, len(t)) for d, t in new.items() if t.strip() or t == old[d]}
     before, after = seen["n-gram Jaccard join"]
     sets, exact = {r.doc_id: shingles(r.text, 5) for r in before.collect()}, Forest()
     for a in sets:

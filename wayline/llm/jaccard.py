@@ -6,14 +6,17 @@
    must share one. Equal sets collapse to their least id.
 3. The product of the prefix incidences gives, for each pair of sets, how many prefix n-grams they share; pairs whose
    sizes, counts and positions leave no room for the overlap asked for are discarded. An n-gram that more than HEAVY
-   sets of about one size have in their prefixes is not multiplied out: it makes one candidate group of them.
+   sets of about one size have in their prefixes is not multiplied out: it makes one candidate group of them. N-grams
+   are counted by partial sums and joined back, so one that a third of all sets have is split like any skewed join.
 4. A candidate group is cut into blocks. For each pair of blocks, the incidence matrices of documents by n-grams are
    multiplied, which accumulates the overlap counts; pairs below the bound that the sizes give are discarded, and
    each task returns edges that connect what it has linked, not all pairs.
 5. Components of those edges give the result.
 
-Null and empty texts and texts without words have empty sets and link with nothing. A null id is kept and links
-with nothing. Rows that repeat an id are one vertex: what either row links to is linked. Other columns are ignored.
+Equal sets are one class, known by 128 bits of sums over its hashed n-grams; the first 64 stand for it in edges. Rows
+are documents of their own, also where they repeat an id: one id in two texts links neither to the other. Null and
+empty texts and texts without words have empty sets and link with nothing. A null id is kept and links with nothing.
+Other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BLOCK, BLOCK_GRAMS = 512, 700_000
 #: Rows of ids that may be broadcast; more are joined by a shuffle.
 FEW_IDS = 200_000
 LEVELS = 4095
+#: Words that a task holds before it counts them.
+WORDS = 1 << 20
 #: A set of at least STEPS[k] n-grams must share k + 2 prefix n-grams with another such set.
 STEPS = (16, 48, 128)
 
@@ -52,14 +57,16 @@ def commonness(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(1 << TABLE_BITS, dtype=np.int64)
         held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for _, words in word_hashes(batch.column(0).to_pylist()):
-                held.append(words >> np.uint64(64 - TABLE_BITS))
-                if sum(map(len, held[-1:])) and len(held) > 2000:
-                    totals += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(totals))
-                    held = []
+                held.append((words >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
+                size += len(words)
+                if size > WORDS:
+                    totals += np.bincount(np.concatenate(held), minlength=len(totals))
+                    held, size = [], 0
         if held:
-            totals += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(totals))
+            totals += np.bincount(np.concatenate(held), minlength=len(totals))
         yield _chunks(totals, TaskContext.get().partitionId() % 64)
 
     def summed(table: pa.Table) -> pa.Table:
@@ -102,15 +109,18 @@ def needed(size: int) -> int:
 def candidates(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Edges (a, b) between sets that may link: from classes (rep, n_shingles, prefix)."""
     rows = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    columns = rows.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).where("sets > 1")
+    shared = rows.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
+    columns = rows.join(shared.hint("merge"), "gram", "left_semi")
     # sizes of linked sets differ by the share at most: they are in one class of sizes, or in two that are neighbours
     size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(share[1] / share[0]) * 1.000001)).cast("int")
     places = F.array(F.struct(size_class.alias("class"), F.lit(True).alias("home")), F.struct((size_class + 1).alias("class"), F.lit(False).alias("home")))
-    placed = columns.withColumn("place", F.explode(places)).select("gram", "rep", "n", "pos", "place.class", "place.home")
-    column = Window.partitionBy("gram", "class")
-    met = placed.withColumn("sets", F.count("*").over(column)).withColumn("homes", F.count_if("home").over(column)).withColumn("first", F.min("rep").over(column)).where("sets > 1 AND homes > 0")
+    placed = columns.withColumn("place", F.explode(places)).select(F.xxhash64("gram", "place.class").alias("spot"), "rep", "n", "pos", "place.home")
+    placed = written(placed, "placed")
+    counts = placed.groupBy("spot").agg(F.count("*").alias("sets"), F.max("home").alias("homes"), F.min("rep").alias("first")).where("sets > 1 AND homes").drop("homes")
+    # no step after this join needs its partitioning, so that a skewed n-gram can be split
+    met = written(placed.join(counts.hint("merge"), "spot"), "met")
     heavy = met.where((F.col("sets") > HEAVY) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    light = met.where(F.col("sets") <= HEAVY).groupBy("gram", "class").agg(F.collect_list(F.struct("rep", "n", "pos", "home")).alias("held"))
+    light = met.where(F.col("sets") <= HEAVY).groupBy("spot").agg(F.collect_list(F.struct("rep", "n", "pos", "home")).alias("held"))
     size_bound = lambda x, y: share[1] * F.least(x, y) >= share[0] * F.greatest(x, y)
     partner = lambda y: y["home"] & (~F.col("x.home") | (y["rep"] > F.col("x.rep"))) & size_bound(y["n"], F.col("x.n"))
     pairs = light.select("held", F.explode("held").alias("x")).select("x", F.explode(F.filter("held", partner)).alias("y"))
@@ -126,13 +136,14 @@ def candidates(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """Size, signature and prefix of the set of each of docs (doc_id, own, text)."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(commonness(docs))
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, ones, twos, prefixes = batch.column(0), [], [], [], []
-            for _, words in word_hashes(batch.column(1).to_pylist()):
+            sizes, ones, twos, prefixes = [], [], [], []
+            for _, words in word_hashes(batch.column(2).to_pylist()):
                 own = ordered_set(words, n, common.value)
                 sizes.append(len(own))
                 ones.append(int(np.add.reduce(mix(own), dtype=np.uint64).astype(np.int64)))
@@ -141,9 +152,10 @@ def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             offsets = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), lists], names=["doc_id", "n_shingles", "s1", "s2", "prefix"])
+            columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, ones, twos)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "own", "n_shingles", "s1", "s2", "prefix"])
 
-    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", "own", "text").mapInArrow(profiled, "doc_id long, own long, n_shingles long, s1 long, s2 long, prefix array<long>")
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray | None, share: tuple[int, int]) -> list[tuple[int, int]]:
@@ -178,18 +190,19 @@ def linked(sets: list[np.ndarray], sides: np.ndarray | None, share: tuple[int, i
     return list(zip(a[link].tolist(), b[link].tolist(), strict=True))
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text).
+def _grouped(docs: DataFrame, n: int, share: tuple[int, int], block: int) -> DataFrame:
+    """(doc_id, own, n_shingles, kept) of documents (doc_id, own, text), own being a hash of the text.
 
-    Two documents link when the intersection of their sets is at least share[0] / share[1] of the union.
+    kept (doc_id, own) is the least row of the row's component; null where the set is empty or the id null.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = written(profiles(docs, n, share), "profiles")
     useful = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(useful.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "classes")
+    grouped = useful.groupBy(F.col("s1").alias("rep"), "s2").agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
+    classes = written(grouped, "classes")
 
     group = written(components(candidates(classes, share)), "candidates")
-    counted = group.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
+    counted = group.join(classes.select(F.col("rep").alias("id"), "n_shingles", "least"), "id")
+    counted = written(counted, "candidate-sizes")
     sizes = counted.groupBy("component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("grams"))
     sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")), "group-sizes")
     alone = sizes.where("blocks = 1").agg(F.sum("count"), F.sum("grams")).first()
@@ -197,44 +210,64 @@ def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
     small = F.col("blocks") == 1
     bins = int(max(1, (alone[0] or 0) // block, (alone[1] or 0) // BLOCK_GRAMS))
     member = (
-        group.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        counted.join(sizes.select("component", "blocks"), "component")
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
+        .withColumn("lo", F.least("mine", "other"))
+        .withColumn("hi", F.greatest("mine", "other"))
         .withColumn("task", F.when(small, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "lo", "hi")))
-        .withColumn("side", F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("own") == F.col("hi")).cast("int")))
-        .select(F.col("id").alias("doc_id"), "task", "side")
+        .withColumn("side", F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("mine") == F.col("hi")).cast("int")))
+        .select("least.doc_id", "least.own", "id", "task", "side")
     )
 
     def multiplied(table: pa.Table) -> pa.Table:
-        ids, sides = table.column("doc_id").to_pylist(), np.array(table.column("side").to_pylist())
-        sets = [np.unique(shingle_hashes(words, n)) for _, words in word_hashes(table.column("text").to_pylist())]
-        forest = Forest()
+        ids, sides = np.array(table.column("id").to_pylist(), dtype=np.int64), np.array(table.column("side").to_pylist())
+        _, once = np.unique(ids, return_index=True)  # rows that repeat id and text
+        texts = table.column("text").to_pylist()
+        sets = [np.unique(shingle_hashes(words, n)) for _, words in word_hashes([texts[k] for k in once])]
+        ids, sides, forest = ids[once], sides[once], Forest()
         for a, b in linked(sets, sides if (sides >= 0).all() else None, share):
-            forest.join(ids[a], ids[b])
+            forest.join(int(ids[a]), int(ids[b]))
         edges = forest.edges()
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     member = written(member, "members")
-    if member.count() <= FEW_IDS:
-        texts, member = docs, F.broadcast(member)
-    else:  # the texts of candidates alone are dealt out again
-        ids = group.select(F.col("id").alias("doc_id"))
-        texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    blocks = texts.join(member, "doc_id").select("doc_id", "text", "task", "side")
-    links = blocks.groupBy("task").applyInArrow(multiplied, "a long, b long")
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    named = written(classes.select("rep", "s1", "s2").join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "named")
-    whole = profile.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).alias("s1"), "s2")
-    return whole.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    side = F.broadcast(member) if member.count() <= FEW_IDS else member.hint("merge")
+    blocks = docs.join(side, ["doc_id", "own"]).select("id", "text", "task", "side")
+    found = written(components(blocks.groupBy("task").applyInArrow(multiplied, "a long, b long")), "linked")
+    # the least row of each component of more than one class, for the members that are not alone
+    least = found.join(classes.select(F.col("rep").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("kept"))
+    named = found.join(least, "component").select(F.col("id").alias("rep"), "kept")
+    named = written(classes.select("rep", "s2", "least").join(named, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("kept", "least").alias("kept")), "named")
+    whole = profile.select("doc_id", "own", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2")
+    return whole.join(named, ["s1", "s2"], "left").select("doc_id", "own", "n_shingles", "kept")
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text).
+
+    Two documents link when the intersection of their sets is at least share[0] / share[1] of the union.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("own", F.xxhash64("text"))
+    return _grouped(rows, n, share, block).select("doc_id", "n_shingles", F.coalesce("kept.doc_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents, with all of their columns, that have the least id of their component; null ids stay.
+    """The documents, with all of their columns, that are the least row, by id and text, of their component.
 
-    What goes is the smaller part, so the documents are held against that.
+    Rows with a null id or an empty set stay. Of rows that have id and text in common one stays. What goes is the
+    smaller part, so the documents are held against that.
     """
-    other = unused("__gone", docs.columns)
-    gone = jaccard_groups(docs, n, share).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(written(gone, "gone"), docs["doc_id"] == F.col(other), "left_anti")
+    doc, own, times = (unused(x, docs.columns) for x in ("__doc", "__own", "__times"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("own", F.xxhash64("text"))
+    decided = _grouped(rows, n, share, BLOCK).where("kept IS NOT NULL")
+    keys = written(decided.groupBy("doc_id", "own").agg(F.first("kept").alias("kept"), F.count("*").alias("times")), "decided")
+    keys = keys.where("times > 1 OR kept <> struct(doc_id, own)").select(F.col("doc_id").alias(doc), F.col("own").alias(own), F.when(F.expr("kept = struct(doc_id, own)"), F.col("times")).alias(times))
+    keys = written(keys, "gone")
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own))
+    kept = docs.join(keys.where(F.col(times).isNull()), same, "left_anti")
+    again = keys.where(F.col(times).isNotNull())
+    if not again.take(1):
+        return kept
+    once = kept.join(again, same).dropDuplicates([doc, own]).select(docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -1,15 +1,18 @@
 """Line deduplication: of each class of equal or nearly equal lines, one occurrence in the corpus stays.
 
-Lines of at least min_chars code points within `edits` edit operations of one another link. A line is cut into
-edits + 1 segments, so one segment of the shorter line occurs unchanged in the other, at one of few offsets. Keys of
-segment number, length and content index the lines; each line probes the index at its own and up to `edits` smaller
-lengths with the substrings that can match there. Probes that meet an index key must have sketches, parities of
-hashed character pairs, as near as so many edits leave them; what remains is verified by banded bit-parallel edit
-distance. Classes are the components of the links, and the occurrence that stays is the first by document and line.
-
-Lines are told apart by 64-bit hashes of their content. Shorter lines always stay. Null texts have no lines and stay
-null, empty texts have one empty line; rows that repeat a doc_id share its lines' places, so that of a repeated row the
-same lines go; lines of rows with a null doc_id stay, and count as nobody's first occurrence. Tables may be empty.
+Equal lines link, whatever their length, and so do lines of at least min_chars code points within `edits` edit
+operations of one another; shorter ones leave nothing to cut. A line is cut into edits + 1 segments, so one segment of
+the shorter line occurs unchanged in the other, at one of few offsets. Keys of segment number, length and content
+index the lines; each line probes the index at its own and up to `edits` smaller lengths with the substrings that can
+match there. Probes that meet an index key must have sketches, parities of hashed character pairs, as near as so many
+edits leave them; what remains is verified by banded bit-parallel edit distance. Classes are the components of the
+links, and the occurrence that stays is the first by document and line.
+
+Lines are told apart by 64-bit hashes of their content. Lines of nothing but white space are layout, not content: they
+always stay. Null texts have no lines and stay null, empty texts have one blank line. Rows are documents of their own,
+also where they repeat a doc_id with another text (their order is then that of the texts' hashes); rows that repeat
+both share their lines' places, so that of a repeated row the same lines go. Lines of rows with a null doc_id stay, and
+count as nobody's first occurrence. Tables may be empty.
 """
 
 from __future__ import annotations
@@ -22,80 +25,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.operators.components import components
-from wayline.llm.shingles import BASE, BATCH, _tables, mix
+from wayline.llm.shingles import BASE, BATCH, INVERSE, _tables, mix
 from wayline.session import unused, written
 
 EDITS, MIN_CHARS = 2, 20
 #: Ids that may be broadcast; more are joined by a shuffle.
 FEW_IDS = 200_000
+#: Lines that a task remembers to have met.
+SEEN = 250_000
 _WORD = (1 << 64) - 1
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of a batch's characters together, with the place of the first."""
-    held, first, size = [], 0, 0
+def _items(texts: list[str | None]) -> Iterator[tuple[int, int, str]]:
+    """(place, number of the first line, piece): texts of more than a batch are cut between lines."""
     for k, text in enumerate(texts):
-        if held and size + len(text or "") > BATCH:
-            yield first, held
-            held, first, size = [], k, 0
-        held.append(text or "")
-        size += len(text or "") + 1
+        text, at, line = text or "", 0, 0
+        while len(text) - at > BATCH:
+            cut = text.rfind("\n", at, at + BATCH)
+            if cut < 0 and (cut := text.find("\n", at + BATCH)) < 0:
+                break
+            piece = text[at:cut]
+            yield k, line, piece
+            at, line = cut + 1, line + piece.count("\n") + 1
+        yield k, line, text[at:]
+
+
+def _batches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Places, first line numbers and pieces, of about a batch's characters together."""
+    held, size = [], 0
+    for item in _items(texts):
+        if held and size + len(item[2]) > BATCH:
+            places, numbers, pieces = zip(*held, strict=True)
+            yield np.array(places), np.array(numbers), list(pieces)
+            held, size = [], 0
+        held.append(item)
+        size += len(item[2]) + 1
     if held:
-        yield first, held
+        places, numbers, pieces = zip(*held, strict=True)
+        yield np.array(places), np.array(numbers), list(pieces)
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
-def _sums(codes: np.ndarray) -> np.ndarray:
-    power, _ = _tables(len(codes) + 1)
-    return np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * power[: len(codes)])))
+def _powers_at(base: np.uint64, n: np.ndarray) -> np.ndarray:
+    """The base to each of the powers, by squaring."""
+    out, square, n = np.ones(len(n), dtype=np.uint64), np.full(1, base), n.astype(np.int64)
+    while n.any():
+        out = np.where(n & 1, out * square, out)
+        square, n = square * square, n >> 1
+    return out
+
+
+class Sums:
+    """Running polynomial sums of a text, from which substrings are hashed.
+
+    Up to a batch they are held for every place. Of a longer text, which is one long line, they are taken batch by
+    batch at the places that are asked for.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.held = self._of(text) if len(text) <= 2 * BATCH else None
 
+    @staticmethod
+    def _of(text: str) -> np.ndarray:
+        codes = _codes(text)
+        return np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * _tables(len(codes))[0][: len(codes)])))
 
-def _hash(sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of the characters from start on; equal content gives equal hashes anywhere in the buffer."""
-    _, inverse = _tables(len(sums))
-    return mix((sums[start + length] - sums[start]) * inverse[start] + length.astype(np.uint64) * BASE)
+    def _at(self, spots: np.ndarray) -> np.ndarray:
+        out, before = np.zeros(len(spots), dtype=np.uint64), np.zeros(1, dtype=np.uint64)
+        for at in range(0, len(self.text), BATCH):
+            own = self._of(self.text[at : at + BATCH]) * _powers_at(BASE, np.array([at]))
+            inside = (spots > at) & (spots <= at + BATCH)
+            out[inside] = (before + own[spots[inside] - at])
+            before = before + own[-1:]
+        return out
 
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hashes of the substrings; equal content gives equal hashes anywhere."""
+        tail = length.astype(np.uint64) * BASE
+        if self.held is not None:
+            return mix((self.held[start + length] - self.held[start]) * _tables(len(self.held))[1][start] + tail)
+        return mix((self._at(start + length) - self._at(start)) * _powers_at(INVERSE, start) + tail)
 
-def lines_of(texts: list[str | None], min_chars: int, cut: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """(places of texts, line numbers, ids, and, if asked for, the lines) of lines that are long enough, in batches."""
-    for first, held in _batches(texts):
+
+def lines_of(texts: list[str | None], min_chars: int = 0, cut: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """(places of texts, line numbers, ids, and, if asked for, the lines) of lines that are not blank and long enough."""
+    for places, numbers, held in _batches(texts):
         joined = "\n".join(held)
-        codes = _codes(held)
+        codes = _codes(joined)
         breaks = np.flatnonzero(codes == 10)
         starts, ends = np.concatenate(([0], breaks + 1)), np.append(breaks, len(codes))
         begins = np.cumsum([0] + [len(x) + 1 for x in held])
-        place = np.searchsorted(begins, starts, side="right") - 1
-        number = np.arange(len(starts)) - np.searchsorted(starts, begins)[place]
-        kept = np.flatnonzero(ends - starts >= min_chars)
-        ids = _hash(_sums(codes), starts[kept], (ends - starts)[kept]).astype(np.int64)
+        item = np.searchsorted(begins, starts, side="right") - 1
+        number = np.arange(len(starts)) - np.searchsorted(starts, begins)[item] + numbers[item]
+        shown = np.concatenate(([0], np.cumsum((codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32)))))
+        kept = np.flatnonzero((shown[ends] > shown[starts]) & (ends - starts >= min_chars))
+        ids = Sums(joined).hashes(starts[kept], (ends - starts)[kept]).astype(np.int64)
         spans = zip(starts[kept].tolist(), ends[kept].tolist(), strict=True) if cut else ()
-        yield first + place[kept], number[kept], ids, [joined[a:b] for a, b in spans]
+        yield places[item[kept]], number[kept], ids, [joined[a:b] for a, b in spans]
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, id) of every long enough line of docs (doc_id, text)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, line, id) of every line of docs (doc_id, own, text) that is not blank."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0)
-            for place, number, ids, _ in lines_of(batch.column(1).to_pylist(), min_chars, cut=False):
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(place)), pa.array(number, pa.int64()), pa.array(ids)], names=["doc_id", "line", "id"])
+            for place, number, ids, _ in lines_of(batch.column(2).to_pylist(), cut=False):
+                at = pa.array(place)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int64()), pa.array(ids)], names=["doc_id", "own", "line", "id"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, line long, id long")
+    return docs.select("doc_id", "own", "text").mapInArrow(rows, "doc_id long, own long, line long, id long")
 
 
 def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, text) of the lines, each once for every task that meets it."""
+    """(id, text) of the lines that are long enough, each once or a few times for every task that meets it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, ids, texts in lines_of(batch.column(0).to_pylist(), min_chars):
                 out = [(i, t) for i, t in zip(ids.tolist(), texts, strict=True) if i not in seen and not seen.add(i)]
-                if len(seen) > 2_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 if out:
                     i, t = zip(*out, strict=True)
@@ -117,14 +170,19 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def sketches(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def sketches(text: str, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64 parities of the hashed character pairs of each line; an edit changes at most four pairs."""
-    pairs = mix(codes[:-1] * BASE + codes[1:]) >> np.uint64(58)
-    bits = np.concatenate((np.uint64(1) << pairs, [np.uint64(0)]))
-    bits[starts + lengths - 1] = 0
-    inside = starts + lengths
-    bits[inside[inside < len(bits)]] = 0  # the line break's own pair
-    return np.bitwise_xor.reduceat(bits, starts)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for at in range(0, max(len(text) - 1, 1), BATCH):  # pieces share a character, and more than one is a lone long line
+        codes = _codes(text[at : at + BATCH + 1])
+        bits = np.concatenate((np.uint64(1) << (mix(codes[:-1] * BASE + codes[1:]) >> np.uint64(58)), [np.uint64(0)]))
+        if len(text) <= BATCH + 1:
+            bits[starts + lengths - 1] = 0
+            inside = starts + lengths
+            bits[inside[inside < len(bits)]] = 0  # the line break's own pair
+            return np.bitwise_xor.reduceat(bits, starts)
+        out ^= np.bitwise_xor.reduce(bits)
+    return out
 
 
 def _keyed(edits: int, probing: bool, min_chars: int):
@@ -132,16 +190,16 @@ def _keyed(edits: int, probing: bool, min_chars: int):
         seen: set[int] = set()
         for batch in batches:
             held_ids, held_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if len(seen) > SEEN:
+                seen.clear()
             fresh = [k for k, i in enumerate(held_ids) if i not in seen and not seen.add(i)]
-            texts = [held_texts[k] for k in fresh]
             every = np.array([held_ids[k] for k in fresh], dtype=np.int64)
-            for first, held in _batches(texts):
-                own = every[first : first + len(held)]
-                codes = _codes(held)
+            for places, _, held in _batches([held_texts[k] for k in fresh]):
+                own, joined = every[places], "\n".join(held)
                 lengths = np.array([len(x) for x in held], dtype=np.int64)
                 starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-                sums, sketch = _sums(codes), sketches(codes, starts, lengths).astype(np.int64)
-                keys, who = [], []
+                sums, sketch = Sums(joined), sketches(joined, starts, lengths).astype(np.int64)
+                spots, sizes, tags, who = [], [], [], []
                 for less in range(edits + 1 if probing else 1):
                     indexed = lengths - less
                     for i, (at, size) in enumerate(segments(indexed, edits)):
@@ -150,13 +208,13 @@ def _keyed(edits: int, probing: bool, min_chars: int):
                         for shift in range(lo, hi + 1):
                             spot = at + shift
                             fits = np.flatnonzero((spot >= 0) & (spot + size <= lengths) & (indexed >= min_chars))
-                            tag = indexed[fits].astype(np.uint64) * np.uint64(edits + 1) + np.uint64(i)
-                            keys.append(mix(_hash(sums, starts[fits] + spot[fits], size[fits]) ^ mix(tag)))
+                            tags.append(indexed[fits].astype(np.uint64) * np.uint64(edits + 1) + np.uint64(i))
+                            spots.append(starts[fits] + spot[fits])
+                            sizes.append(size[fits])
                             who.append(fits)
-                if len(held):
-                    at = np.concatenate(who)
-                    columns = [np.concatenate(keys).astype(np.int64), own[at], sketch[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "sketch"])
+                at, keys = np.concatenate(who), mix(sums.hashes(np.concatenate(spots), np.concatenate(sizes)) ^ mix(np.concatenate(tags)))
+                columns = [keys.astype(np.int64), own[at], sketch[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "sketch"])
 
     return rows
 
@@ -228,39 +286,52 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     return pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(verified, "a long, b long")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text), own telling apart rows that repeat an id with another text."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("own", F.xxhash64("text"))
+
+
 def repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, exact) of every line that goes; exact tells whether the class's first line has the same text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    """(doc_id, own, line, exact) of every line that goes from docs (doc_id, own, text); exact tells whether the
+    class's first line has the same text."""
+    docs = docs.where("doc_id IS NOT NULL")
     found = written(components(links(docs, edits, min_chars)), "line-classes")
-    every = occurrences(docs, min_chars).distinct()
+    every = occurrences(docs).distinct()
     # only ids that are linked have another class than themselves
-    counts = every.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    counts = every.groupBy("id").agg(F.min(F.struct("doc_id", "own", "line")).alias("first"), F.count("*").alias("n"))
     classed = written(counts.join(found, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("class")), "line-counts")
     firsts = classed.groupBy("class").agg(F.min(F.struct("first", "id")).alias("kept"), F.sum("n").alias("in_class")).where("in_class > 1")
     dropping = written(classed.join(firsts, "class").select("id", "kept"), "line-firsts")
     # neither these nor the lines that go have a bound, so they are never broadcast
-    going = every.join(dropping.hint("merge"), "id").where((F.col("doc_id") != F.col("kept.first.doc_id")) | (F.col("line") != F.col("kept.first.line")))
-    return going.select("doc_id", "line", (F.col("id") == F.col("kept.id")).alias("exact"))
+    going = every.join(dropping.hint("merge"), "id").where(F.struct("doc_id", "own", "line") != F.col("kept.first"))
+    return going.select("doc_id", "own", "line", (F.col("id") == F.col("kept.id")).alias("exact"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document: its lines, how many go as exact and as near repeats, and which."""
-    gone = repeats(docs, edits, min_chars).groupBy("doc_id").agg(
+    rows = _rows(docs)
+    gone = repeats(rows, edits, min_chars).groupBy("doc_id", "own").agg(
         F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_list("line")).alias("gone")
     )
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split("text", "\n", -1)).cast("long") * F.when(F.col("text").isNotNull(), 1), F.lit(0)).alias("n_lines"))
-    return own.join(written(gone, "line-report"), "doc_id", "left").select(
+    own = rows.select("doc_id", "own", F.coalesce(F.size(F.split("text", "\n", -1)).cast("long") * F.when(F.col("text").isNotNull(), 1), F.lit(0)).alias("n_lines"))
+    return own.join(written(gone, "line-report"), ["doc_id", "own"], "left").select(
         "doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed")
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents, all rows and columns, with repeated lines taken out of their texts."""
-    doc, gone, lines = (unused(x, docs.columns) for x in ("__doc", "__gone", "__lines"))
-    drops = written(repeats(docs, edits, min_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(gone)), "line-report")
-    joined = docs.join(drops.hint("merge"), F.col("doc_id") == F.col(doc), "left")
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, emptied: bool = True) -> DataFrame:
+    """The documents, with all columns, without repeated lines. Documents of which nothing but white space is left
+    stay only if `emptied` says so; those that had nothing else to begin with always stay."""
+    doc, own, gone, lines = (unused(x, docs.columns) for x in ("__doc", "__own", "__gone", "__lines"))
+    found = repeats(_rows(docs), edits, min_chars).groupBy(F.col("doc_id").alias(doc), F.col("own").alias(own))
+    drops = written(found.agg(F.collect_list("line").alias(gone)), "line-report")
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own))
+    joined = docs.join(drops.hint("merge"), same, "left")
     # a set difference of line numbers: looking each line up in the list would take its length times theirs
     cut = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n", -1)))
     numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(numbers, lambda k: F.get(lines, k.cast("int"))), "\n"))
-    return cut.withColumn("text", text).select(docs.columns)
+    cut = cut.withColumn("text", text)
+    if not emptied:
+        cut = cut.where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.select(docs.columns)

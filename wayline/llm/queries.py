@@ -10,13 +10,15 @@ from wayline.llm import bpe, collisions, fingerprint, jaccard, language, lines,
 from wayline.session import scratch, table
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Texts are long: fewer of them in an Arrow batch keep Python workers small. A session's own choice stays."""
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, str(rows))
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, str(size))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +136,9 @@ SQL: dict[str, str] = {
     "op7_collisions": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95), {_COMPONENTS}
         SELECT vec_id, (SELECT COUNT(*) FROM both_ways WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) AS component_id, least(vec_id, coalesce((SELECT MIN(b) FROM reach WHERE reach.a = vec_id), vec_id)) = vec_id AS kept FROM embeddings""",
     "op9_line_dedup": f"""WITH RECURSIVE occ AS (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-        num AS (SELECT t, length(t) AS n, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM occ WHERE length(t) >= 20)),
+        num AS (SELECT t, length(t) AS n, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM occ WHERE regexp_matches(t, '[^\\x20\\x09-\\x0D]'))),
         links AS (SELECT x.i AS a, y.i AS b FROM num x JOIN num y ON x.i < y.i AND y.n BETWEEN x.n - 2 AND x.n + 2
-          WHERE (left(x.t, x.n // 3) = left(y.t, x.n // 3) OR right(x.t, x.n // 3) = right(y.t, x.n // 3) OR contains(y.t, substr(x.t, x.n // 3 + 1, x.n // 3))) AND levenshtein(x.t, y.t) <= 2), {_COMPONENTS},
+          WHERE x.n >= 20 AND y.n >= 20 AND (left(x.t, x.n // 3) = left(y.t, x.n // 3) OR right(x.t, x.n // 3) = right(y.t, x.n // 3) OR contains(y.t, substr(x.t, x.n // 3 + 1, x.n // 3))) AND levenshtein(x.t, y.t) <= 2), {_COMPONENTS},
         class AS (SELECT t, least(i, coalesce(m, i)) AS c FROM num LEFT JOIN (SELECT a, MIN(b) AS m FROM reach GROUP BY a) ON a = i),
         placed AS (SELECT doc_id, line, t, row_number() OVER w AS k, first_value(t) OVER w AS f FROM occ JOIN class USING (t) WINDOW w AS (PARTITION BY c ORDER BY doc_id, line)),
         gone AS (SELECT doc_id, COUNT(*) FILTER (t = f) AS e, COUNT(*) FILTER (t <> f) AS o, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM placed WHERE k > 1 GROUP BY doc_id)

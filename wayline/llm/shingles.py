@@ -22,12 +22,19 @@ _space[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = []
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, to n at least."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(BATCH + 1, n + 1)
-        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b)))) for b in (BASE, INVERSE)]
-    return _powers
+def _tables(n: int = BATCH) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, to n at least; kept up to a batch's size."""
+    if not _powers:
+        _powers[:] = _made(BATCH)
+    return _powers if n <= BATCH else _made(n)
+
+
+def _made(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, b)))) for b in (BASE, INVERSE)]
+
+
+def power(n: int) -> np.uint64:
+    return np.uint64(pow(int(BASE), n, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,25 +43,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in a buffer, and where they begin."""
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomials of the words in a buffer of at most about a batch, their lengths, and where they begin."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.concatenate(([False], ~_space[raw], [False]))
     change = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = change[::2], change[1::2]
-    power, inverse = _tables(len(raw))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_lower[raw] * power[: len(raw)])))
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), starts
+    powers, inverse = _tables(len(raw))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_lower[raw] * powers[: len(raw)])))
+    return (sums[ends] - sums[starts]) * inverse[starts], (ends - starts).astype(np.uint64), starts
+
+
+def _long(data: bytes) -> np.ndarray:
+    """Hashes of the words of one long text, piece by piece; a word that a cut goes through is put together again."""
+    out, cut = [], None
+    for at in range(0, len(data), BATCH):
+        size = min(BATCH, len(data) - at)
+        values, lengths, starts = _words(data[at : at + size])
+        goes_on = len(starts) > 0 and starts[-1] + int(lengths[-1]) == size and at + size < len(data)
+        if cut is not None and len(starts) and starts[0] == 0:
+            values[:1] = cut[0] + power(int(cut[1][0])) * values[:1]
+            lengths[:1] += cut[1]
+        elif cut is not None:
+            out.append(mix(cut[0] + cut[1]))
+        cut = (values[-1:], lengths[-1:]) if goes_on else None
+        n = len(values) - goes_on
+        out.append(mix(values[:n] + lengths[:n]))
+    return np.concatenate(out)
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, hashes of its words) for every text, in order; texts are hashed together up to a batch's bytes."""
+    """(place, hashes of its words) for every text, in order. Texts are hashed together up to a batch's bytes, and
+    longer ones a batch at a time, so memory is bounded but for the hashes themselves."""
     held: list[bytes] = []
     first = size = 0
 
     def out() -> Iterator[tuple[int, np.ndarray]]:
-        hashes, starts = _words(b"\n".join(held))
+        values, lengths, starts = _words(b"\n".join(held))
+        hashes = mix(values + lengths)
         begins = np.cumsum([0] + [len(x) + 1 for x in held])
         cuts = np.searchsorted(starts, begins)
         for j in range(len(held)):
@@ -64,7 +90,12 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         data = (text or "").encode("utf-8", "surrogatepass")
         if held and size + len(data) > BATCH:
             yield from out()
-            held, first, size = [], k, 0
+            held, size = [], 0
+        if len(data) > BATCH:
+            yield k, _long(data)
+            continue
+        if not held:
+            first = k
         held.append(data)
         size += len(data) + 1
     if held:

@@ -32,13 +32,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, exactly or nearly, go from the texts; all documents stay."""
+    """Lines that repeat an earlier one, exactly or nearly, go from the texts, and with them documents of which nothing
+    is left: the copies. Documents that were blank or null before stay."""
     small_batches(spark)
-    return _measured(lines.without_repeats(docs))
+    return _measured(lines.without_repeats(docs, emptied=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their five-word shingles, the one with the least id stays."""
+    """Of each group of documents linked by 0.8 of their five-word shingles, the row with the least id stays."""
     small_batches(spark)
     return jaccard.one_of_each(docs, n=5, share=(80, 100))
 
