@@ -124,6 +124,24 @@ def test_warc_segments_and_edges(spark):
     assert [r.error for r in warc.reassembled(lost).where("page_id = 1").collect()] == ["a segment is missing or repeated"]
 
 
+def test_warc_of_damaged_archives(spark, tmp_path):
+    import gzip
+
+    good = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("X-Page-Id", 1)], warc.framed(b"hello", 2)) + b"\r\n\r\n"
+    lost = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 2\r\nContent-Length: many\r\n\r\nwhatever\r\n\r\n"
+    endless = warc.record([("WARC-Type", "response"), ("X-Page-Id", 3)], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nA\r\n-6\r\n") + b"\r\n\r\n"
+    odd = warc.record([("WARC-Type", "continuation"), ("WARC-Segment-Number", "two"), ("X-Page-Id", "x")], b"") + b"\r\n\r\n"
+    for name, data in {"a.warc": good + lost + good + endless + odd, "b.warc.gz": gzip.compress(good)[:-9], "c.warc": b"", "d.warc": good[:-20]}.items():
+        (tmp_path / name).write_bytes(data)
+    got = sorted(((r.page_id or 0, r.payload_bytes if r.error is None else 0, r.error or "") for r in warc.read_pages(spark, str(tmp_path)).collect()))
+    damaged = [g for g in got if "damaged" in g[2]]
+    rest = [g for g in got if g not in damaged]
+    assert len(damaged) == 1 and rest == [(0, 0, "the segment's number is not one"), (1, 0, "the archive ends inside a block"), (1, 5, ""), (1, 5, ""), (2, 0, "the block's length is not a number"), (3, 0, "a chunk's size is not hexadecimal")]
+    empty = scratch(spark, "w")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_pages(spark, empty).count() == 0
+
+
 def test_unframing():
     for size in (1, 7, 100):
         assert warc.unframed(warc.framed(b"abc\r\n0\r\n\r\n" * 9, size)) == b"abc\r\n0\r\n\r\n" * 9
@@ -149,6 +167,24 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.predict(df.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_repeated_texts_neither_fill_nor_empty_a_sample(spark, monkeypatch):
+    """One text in 100,000 rows reaches the driver once for each label, and other texts are still there."""
+    hot = spark.range(100_000).select(F.lit("the same old words in every row").alias("text"), F.lit("en").alias("lang"), (F.col("id") % 2).cast("int").alias("label"))
+    others = [(f"der Hund und die Katze {chr(97 + k % 26)}{k}", "de", k % 2) for k in range(300)] + [(f"les chats et le chien {k}", "fr", 1) for k in range(40)]
+    rows = hot.unionByName(spark.createDataFrame(others, "text string, lang string, label int"))
+    got = language.sample_vectors(rows.select("text", "lang"), "lang", 100)
+    count = {lang: sum(g[0] == lang for g in got) for lang in ("en", "de", "fr")}
+    assert count["en"] == 1 and count["fr"] == 40 and 50 < count["de"] < 150
+    assert language.train(rows.select("text", "lang")).labels == ["de", "en", "fr"]
+    kept = []
+    monkeypatch.setattr(toxicity, "written", lambda df, tag: kept.append(written(df, tag)) or kept[-1])
+    model = toxicity.train(rows.select("text", "label"), sample=100)
+    assert kept[0].where("text LIKE 'the same%'").count() <= 2 and 50 < kept[0].count() < 160 and 0.4 < model.share < 0.6
+    labels = spark.createDataFrame([(7, 1)] * 5000 + [(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert queries.labelled(docs, labels).groupBy("text").count().where("count > 1").count() == 0
+
+
 def test_fingerprints(spark, sf):
     rows = sorted(texts(spark, sf).items())
     got = {r.doc_id: r for r in queries.op4_fingerprint(spark, sf).collect()}

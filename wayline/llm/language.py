@@ -3,12 +3,13 @@
 Features are hashed n-grams of one to three lower-cased characters, everything but letters counting as a space; the
 value is the share of the text's n-grams times the inverse document frequency, which is taken over all training
 documents. The weights are learned on the driver by follow-the-regularised-leader with elastic-net penalties from a
-stratified sample of at most about SAMPLE documents a language, a fifth of which is kept to fit the temperature.
+stratified sample of about SAMPLE distinct texts a language, a fifth of which is kept to fit the temperature.
 Whole texts are used throughout. A prediction is a function of the text alone, and the model's size is fixed by the
 number of buckets and languages.
 
 A text that is null or has no letter is `und` with score 0; so is every text if there are no training rows.
-Training rows need a label; repeated rows count as often as they occur; empty tables give no rows.
+Training rows need a label. In the sample a text counts once for each of its labels, however often it occurs; in the
+document frequencies every row counts. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -79,27 +80,34 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample_vectors(docs: DataFrame, label: str, per_label: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
-    """Sparse term-frequency vectors of about per_label rows a label, chosen by hash, and whether they calibrate."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
+    """Sparse term-frequency vectors of about per_label distinct texts a label, and whether they calibrate.
+
+    A text is chosen by its hash at a rate that follows from the number of distinct texts, so copies neither fill the
+    sample nor empty it. A task sends each chosen text once, and the tasks' repeats are dropped before the driver.
+    """
+    own = docs.withColumn("own", F.xxhash64("text", F.lit("sample")))
+    sizes = {r[0]: r[1] for r in own.groupBy(label).agg(F.approx_count_distinct("own", 0.02)).collect()}
     if not sizes:
         return []
     # compared in doubles: 2^32 hashes, of which a label's share is kept
-    rates = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))))
-    spot = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    chosen = docs.where(spot < rates[F.col(label)]).select(label, "text", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)).alias("fold"))
+    rates = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n) if n > 20 else 1.0))))
+    spot = F.pmod("own", F.lit(1 << 32)).cast("double") / float(1 << 32)
+    chosen = own.where(spot < rates[F.col(label)]).select(label, "text", "own", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)).alias("fold"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            names, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            held = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            fresh = [x for x in held if (x[0], x[2]) not in seen and not seen.add((x[0], x[2]))]
             rows = []
-            for k, buckets in grams(batch.column(1).to_pylist()):
+            for k, buckets in grams([x[1] for x in fresh]):
                 at, n = np.unique(buckets, return_counts=True)
-                rows.append((names[k], folds[k] == 0, at.astype("<u2").tobytes(), (n / len(buckets)).astype("<f4").tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = (pa.string(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["label", "fold", "at", "tf"])
+                rows.append((fresh[k][0], fresh[k][2], fresh[k][3] == 0, at.astype("<u2").tobytes(), (n / len(buckets)).astype("<f4").tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["label", "own", "fold", "at", "tf"])
 
-    rows = chosen.mapInArrow(vectors, "label string, fold boolean, at binary, tf binary").collect()
+    rows = chosen.mapInArrow(vectors, "label string, own long, fold boolean, at binary, tf binary").dropDuplicates(["label", "own"]).select("label", "fold", "at", "tf").collect()
     rows.sort(key=lambda r: (hash_of(bytes(r[2]) + bytes(r[3])), r[0]))
     return [(r[0], r[1], np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<f4")) for r in rows]
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import bpe, collisions, fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
-from wayline.session import scratch, table
+from wayline.session import scratch, table, written
 
 
 ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -32,6 +32,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     read = warc.read_pages(spark, path)
@@ -68,12 +69,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = toxicity.SAMPLE) -> DataFrame:
     """Texts with their toxic labels, of about `sample` learnable ones: text and label.
 
-    The sample is drawn from the labels before the join, so what is broadcast is bounded by it.
+    The sample is drawn by id from the distinct (id, label) pairs before the join. It is broadcast if it is as small
+    as that makes it, which its count shows, and joined by a shuffle otherwise.
     """
-    marks = labels.where((language.fold_of("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    marks = labels.where((language.fold_of("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).distinct()
     spot = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    marks = marks.where(spot < min(1.0, sample / max(marks.count(), 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "label")
+    marks = written(marks.where(spot < min(1.0, sample / max(marks.count(), 1))), "marks")
+    marks = F.broadcast(marks) if marks.count() <= 4 * sample else marks
+    return docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id").select("text", "label")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

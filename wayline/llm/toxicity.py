@@ -4,12 +4,12 @@ A lexicon is learned from labelled training texts: words, beginnings of words (t
 with look-alike characters undone, each with the log-odds of its documents being toxic. The features of a text are
 densities and counts of lexicon entries at several strengths, their nearness to second-person words, the shares of
 capitals, punctuation and obfuscated words, and its length. Histogram trees are boosted on the driver on those
-features of at most about SAMPLE labelled rows; a fifth of them is kept for the isotonic fit. Whole texts are read,
+features of about SAMPLE labelled texts at most; a fifth of them is kept for the isotonic fit. Whole texts are read,
 and a score depends on the text alone.
 
 Null texts count as empty and get a score like any other. Rows without a label, or with another than 0 and 1, teach
-nothing; without rows of both labels every score is the share of ones, or 0. Documents labelled more than once
-count once for each label row. Empty tables give no rows.
+nothing; without rows of both labels every score is the share of ones, or 0. A text counts once for each of its labels,
+however many rows have it, so the sample is bounded whatever repeats. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -244,16 +244,20 @@ def _lexicon(counts: DataFrame, total: Row | None, halves: str) -> Lexicon:
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (text, label 0 or 1); sample bounds the labelled rows that it is fitted on."""
-    rows = rows.where(F.col("label").isin(0, 1)).select(F.col("text").cast("string"), F.col("label").cast("int"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    content = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.where(F.col("label").isin(0, 1)).select(content.alias("text"), F.col("label").cast("int"))
+    rows = rows.withColumn("own", F.xxhash64("text", F.lit("sample")))
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").agg(F.approx_count_distinct("own", 0.02)).collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
     if len(sizes) < 2:
         return Model(Lexicon(), None, (np.zeros(1), np.zeros(1)), share)
-    content = F.coalesce("text", F.lit(""))
-    spot = F.pmod(F.xxhash64(content, F.lit("sample")), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    fold, half = F.pmod(F.xxhash64(content, F.lit("fold")), F.lit(5)), F.pmod(F.xxhash64(content, F.lit("half")), F.lit(2))
-    chosen = written(rows.where(spot < min(1.0, sample / total)).withColumn("fold", fold).withColumn("half", half), "toxicity-sample")
+    # the share of distinct texts that makes the sample; counts are off by a few hundredths
+    rate = sample / total if total > 1.05 * sample else 1.0
+    spot = F.pmod("own", F.lit(1 << 32)).cast("double") / float(1 << 32)
+    fold, half = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)), F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2))
+    once = rows.where(spot < rate).dropDuplicates(["own", "label"])
+    chosen = written(once.select("text", "label", fold.alias("fold"), half.alias("half")), "toxicity-sample")
     # a lexicon flatters the rows that it has learned from, so rows are measured by that of the other half
     lexicon, *others = learn_lexicons(chosen)
 

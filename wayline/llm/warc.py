@@ -5,9 +5,12 @@ response, the others are revisits that refer to it. A response block is an HTTP
 framing; blocks longer than a segment go on in continuation records. Archives are gzip-compressed text files
 written by Spark's own sink, so any file system that Spark knows will do.
 
-Reading: records are parsed by their declared lengths, continuation records are grouped by origin, ordered by
-segment number and joined, the total length is verified, and the chunked framing is decoded. A record that fails a
-check is kept, with what is wrong in `error`.
+Reading: archives are read once and their records, parsed by their declared lengths, kept as a table. Continuation
+records are grouped by origin, ordered by segment number and joined, the total length is verified, and the chunked
+framing is decoded. A record that fails a check is kept, with what is wrong in `error`: a length that is no number
+(the next record is then looked for by its version line), a damaged compression, chunk sizes that are not hexadecimal
+digits. One archive is one row of Spark's binaryFile source, which takes up to 2 GB; archives written here are far
+smaller, as a file takes a bounded number of records.
 
 Null html is an empty payload, a null page_id is read back as null, and its payload group's largest id stays null
 if all are. Rows that repeat page and payload become records of their own, of one type. Empty tables give no rows.
@@ -19,7 +22,9 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from wayline.session import written
 
 CRLF = b"\r\n"
+RECORDS_A_FILE = 8192
 DATE = "2024-01-01T00:00:00Z"
 RECORD = (
     "record_id string, warc_type string, target_uri string, page_id long, payload_digest string, payload_bytes long, "
@@ -63,7 +69,10 @@ def unframed(block: bytes) -> bytes:
         end = body.find(CRLF, at)
         if end < 0:
             raise ValueError("a chunk has no size line")
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+            raise ValueError("a chunk's size is not hexadecimal")
+        size = int(digits, 16)
         at = end + 2
         if size == 0:
             return b"".join(parts)
@@ -121,29 +130,51 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32768, chun
 
     rows = classified(pages).select("page_id", "url", "html", "largest")
     # the cast keeps the bytes as they are, and the text sink writes them
-    rows.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _parsed(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """The records of one archive, in constant memory but for the record at hand."""
+    line = b""
     while True:
-        line = stream.readline()
+        line = line or stream.readline()
         if not line:
             return
         if not line.strip():
+            line = b""
             continue
         error = None if line.startswith(b"WARC/") else "a record does not begin with its version"
         fields: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
-        block = stream.read(length)
-        if len(block) != length:
-            error = "the archive ends inside a block"
-        number = lambda key: int(fields[key]) if key in fields else None
+        line, block, length = b"", b"", fields.get("content-length", "0")
+        if re.fullmatch("[0-9]{1,15}", length):
+            block = stream.read(int(length))
+            if len(block) != int(length):
+                error = "the archive ends inside a block"
+        else:
+            error = "the block's length is not a number"
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                pass
+
+        def number(key: str, fields: dict[str, str] = fields) -> int | None:
+            return int(fields[key]) if re.fullmatch("-?[0-9]{1,18}", fields.get(key, "")) else None
+
+        segment = number("warc-segment-number")
+        if segment is None and "warc-segment-number" in fields or segment is not None and not 0 < segment < 1 << 31:
+            error, segment = error or "the segment's number is not one", None
         value = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
-        yield (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), number("x-page-id"), value, number("x-payload-length"), number("x-refers-to-page-id"), number("warc-segment-number"), fields.get("warc-segment-origin-id"), number("warc-segment-total-length"), block, error)
+        yield (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), number("x-page-id"), value, number("x-payload-length"), number("x-refers-to-page-id"), segment, fields.get("warc-segment-origin-id"), number("warc-segment-total-length"), block, error)
+
+
+def _safely(content: bytes) -> Iterator[tuple]:
+    """The records of an archive, compressed or not; where it is damaged, a record that says so ends it."""
+    raw = io.BytesIO(content)
+    try:
+        yield from _parsed(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw)
+    except (OSError, EOFError, zlib.error) as e:
+        yield (*[None] * 10, b"", f"the archive's compression is damaged: {e}")
 
 
 def _arrow_type(name: str) -> pa.DataType:
@@ -162,10 +193,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                raw = io.BytesIO(content.as_buffer())
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
                 rows, held = [], 0
-                for x in _parsed(stream):
+                for x in _safely(content.as_buffer()):
                     rows.append(x)
                     held += len(x[10])
                     if held > 8_000_000 or len(rows) >= 2000:
@@ -206,7 +235,10 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages as the archives below path have them: decoded and verified payloads, revisits without one."""
+    """Pages as the archives below path have them: decoded and verified payloads, revisits without one.
+
+    The archives are read once: their records are written as a table, of which segments and whole records are taken.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,4 +258,4 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             yield _batch(rows, PAGE)
 
     columns = ["page_id", "target_uri", "warc_type", "payload_digest", "payload_bytes", "refers_to", "block", "error"]
-    return reassembled(read_records(spark, path)).select(columns).mapInArrow(decode, PAGE)
+    return reassembled(written(read_records(spark, path), "warc-records")).select(columns).mapInArrow(decode, PAGE)
