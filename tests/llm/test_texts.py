@@ -220,6 +220,28 @@ def test_bpe(spark, sf):
         assert (got[doc].n_tokens, got[doc].ids_sha256, got[doc].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(whole.decode(ids, skip_special_tokens=False)))
 
 
+def test_bpe_edges(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, None), (1, None), (2, ""), (3, "x y"), (3, "x y")], "doc_id long, text string").withColumn("ids", F.lit("z"))
+    got = sorted((r.doc_id or 0, r.ids, r.n_tokens, r.decoded) for r in bpe.encode(df, WORDS).collect())
+    whole = Tokenizer.from_file(WORDS)
+    want = [(doc or 0, " ".join(map(str, ids := whole.encode(text or "", add_special_tokens=False).ids)), len(ids), whole.decode(ids, skip_special_tokens=False)) for doc, text, _ in df.collect()]
+    assert got == sorted(want)
+    assert bpe.encode(df.limit(0), WORDS).count() == 0
+
+
+def test_decoding_token_by_token():
+    whole, own = Tokenizer.from_file(WORDS), bpe.WordPieces(WORDS)
+    for text in ODD:
+        ids, machine = whole.encode(text, add_special_tokens=False).ids, bpe.Decoder(own)
+        text_so_far = ""
+        for k, i in enumerate(ids):
+            text_so_far += machine.feed(i)
+            assert text_so_far == whole.decode(ids[: k + 1], skip_special_tokens=False)
+            if k > 50:
+                break
+        assert own.decode(ids) == whole.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_on_odd_texts():
     whole, own = Tokenizer.from_file(WORDS), bpe.WordPieces(WORDS)
     dice = random.Random(5)
@@ -281,13 +303,31 @@ def test_the_ledger_scans_what_is_new(spark):
     assert old.count() == 1
     fresh = {len(r.rules) for r in secrets.scan(own, old).collect()}
     assert fresh == {len(secrets.RULES), len(secrets.RULES) - 2}
-    rows = secrets.scan_paths(df, ledger=old).collect()
-    assert sorted((r.path, [tuple(s) for s in r.spans]) for r in rows) == [(1, [("assign", 0, 16)]), (1, [("assign", 0, 16)]), (2, []), (3, [("assign", 2, 18), ("access", 19, 43)])]
     clean = secrets.redacted(df.withColumn("blob", F.lit(7))).collect()
     assert sorted((r.doc_id, r.text or "", r.blob) for r in clean) == [(1, "[SECRET]", 7), (1, "[SECRET]", 7), (2, "", 7), (3, "é [SECRET] [SECRET]", 7)]
     assert secrets.scan_paths(df.limit(0)).count() == 0
 
 
+def test_the_ledger_outlives_a_run(spark, tmp_path):
+    """A second run scans new blobs and new rule versions only, and tells of all versions of all paths."""
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    first = [(1, "v1", "token = abcdef12"), (2, "v1", "nothing"), (3, "v1", "token = abcdef12")]
+    second = [*first, (1, "v2", "token = abcdef12 and AKIA" + "A" * 20), (2, "v2", None), (2, "v2", None)]
+    schema = "doc_id long, commit string, text string"
+    found = lambda rows, rules: sorted((r.path, r.version, [tuple(s) for s in r.spans]) for r in secrets.scan_paths(spark.createDataFrame(rows, schema), version="commit", ledger=ledger, rules=rules).collect())
+    token = [("assign", 0, 16)]
+    assert found(first, secrets.RULES[:1]) == [(1, "v1", token), (2, "v1", []), (3, "v1", token)]
+    assert ledger.read().count() == 2
+    assert found(first, secrets.RULES[:1]) == [(1, "v1", token), (2, "v1", []), (3, "v1", token)]
+    assert ledger.read().count() == 2
+    assert found(second, secrets.RULES[:2]) == [(1, "v1", token), (1, "v2", [*token, ("access", 21, 45)]), (2, "v1", []), (2, "v2", []), (2, "v2", []), (3, "v1", token)]
+    assert sorted((len(r.rules), r.rules[0]) for r in ledger.read().collect()) == [(1, "access@1"), (1, "access@1"), (1, "assign@1"), (1, "assign@1"), (2, "assign@1"), (2, "assign@1")]
+    newer = (secrets.Rule("assign", 2, r"(token) = (abc)", ("token",), True, 2, 3), secrets.RULES[1])
+    assert found(second, newer)[0] == (1, "v1", [("assign", 0, 11)])
+    ledger.add(ledger.read().where("size(spans) > 0").limit(1))
+    assert found(first, secrets.RULES[:1]) == [(1, "v1", token), (2, "v1", []), (3, "v1", token)]
+
+
 def test_toxicity(spark):
     words = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(12) for j in range(12)]
     dice, rows = random.Random(7), []

@@ -5,10 +5,13 @@ own encoding and forms a valid pair with the token that ends the rest of the pre
 merges, applied to both together, give the two again. A token is emitted once it is stable, when the last tokens of
 all prefixes that may still matter descend from it. How many symbols that can take at most, the lookahead, follows
 from the merge list: a merge decision depends on what follows only through a chain of ever earlier merges. The state
-is a window of the longest token's length, so memory does not grow with the word or the text.
+is a window of the longest token's length, so memory does not grow with the word or the text. A word of at most two
+windows is decided at its end by the same steps, and neighbours in alphabetical order share the steps of what they
+begin with.
 
-Decoding is an incremental machine from bytes to text, which holds back the bytes of an unfinished character and
-puts replacement characters for invalid ones.
+Decoding is an incremental machine, fed token by token (Decoder). Where the file names no decoder, the text is the
+tokens' names with a blank between them, and the machine's state is whether a blank is due; otherwise it goes from
+bytes to text, holds back the bytes of an unfinished character, and puts replacement characters for invalid ones.
 
 Null texts count as empty and have no tokens. The vocabulary is a tokenizers file; special tokens in a text are
 found before anything else, as that library does.
@@ -26,7 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE, AHEAD = 600_000, 8_000_000
+CACHE, AHEAD = 600_000, 4_000_000
+#: Characters that the runs of text that are kept with their ids may have together, with what they decode to.
+HELD = 48_000_000
 ENCODED = "doc_id long, ids string, n_tokens long, decoded string"
 _loaded: dict[str, Bpe] = {}
 
@@ -196,18 +201,21 @@ class WordPieces:
         self.letters = str.maketrans(dict(enumerate(byte_alphabet())))
         self.common = regex.compile("[\x09-\x0d\x20-\x7e\xa0\xa1\xa7\xab\xb0\xb1\xb4\xb6\xb7\xbb\xbf-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac]*")
         self.after_mark = re.compile(r"[^\w\s][.,]|_[.,]")
+        self.decoder = file["decoder"]
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.held = 0
 
     def normalised(self, text: str) -> str:
         """NFC, and lower case character by character: a sigma at a word's end is like any other."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _joined(self, words: list[str]) -> tuple[str, str, int]:
-        """Ids of words in the byte alphabet and what they decode to, joined by spaces, and how many."""
+        """Ids of words in the byte alphabet, joined by spaces, what they decode to within a text, and how many."""
         ids = []
         for word in words:
             ids += [self.bpe.ids[t] for t in self.bpe.word(word) if t in self.bpe.ids]
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
+        machine = Decoder(self, begun=True)
+        return " ".join(map(str, ids)), "".join([machine.feed(i) for i in ids]), len(ids)
 
     def _run(self, run: str) -> tuple[str, str, int]:
         words = self.pattern.findall(run)
@@ -223,14 +231,15 @@ class WordPieces:
 
     def prepare(self, texts: Iterable[str | None]) -> None:
         """Encode the runs of these texts ahead, in their alphabetical order, in which neighbours begin alike."""
-        if len(self.known) > CACHE:
-            self.known = {}
+        if self.held > HELD:
+            self.known, self.held = {}, 0
         fresh: set[str] = set()
         for text in texts:
             if text and self.common.fullmatch(text):
                 fresh.update(self._split(text))
         for run in sorted(fresh - self.known.keys()):
-            self.known[run] = self._run(run)
+            ids, decoded, _ = self.known[run] = self._run(run)
+            self.held += len(run) + len(ids) + len(decoded)
 
     def _runs(self, text: str) -> list[tuple[str, str, int]]:
         """What the runs of a text between white space give."""
@@ -245,7 +254,7 @@ class WordPieces:
         out, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
             out += self._runs(text[at : m.start()])
-            out.append((str(self.bpe.special[m[0]]), m[0], 1))
+            out.append((str(self.bpe.special[m[0]]), Decoder(self, begun=True).feed(self.bpe.special[m[0]]), 1))
             at = m.end()
         return [p for p in out + self._runs(text[at:] if at else text) if p[2]]
 
@@ -253,8 +262,28 @@ class WordPieces:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split()]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The tokens' names joined by spaces, as that library decodes where a file names no decoder."""
-        return " ".join(self.bpe.names[i] for i in ids if i in self.bpe.names)
+        machine = Decoder(self)
+        return "".join([machine.feed(i) for i in ids]) + machine.finish()
+
+
+class Decoder:
+    """Text from token after token. begun: whether tokens came before."""
+
+    def __init__(self, pieces: WordPieces, begun: bool = False):
+        self.bpe, self.begun, self.named = pieces.bpe, begun, pieces.decoder is None
+        self.bytes = None if self.named else BytesToText(pieces.bpe)
+
+    def feed(self, token: int) -> str:
+        if not self.named:
+            return self.bytes.feed(token)
+        name = self.bpe.names.get(token)
+        if name is None:
+            return ""
+        blank, self.begun = " " if self.begun else "", True
+        return blank + name
+
+    def finish(self) -> str:
+        return "" if self.named else self.bytes.finish()
 
 
 class BytesToText:
@@ -289,7 +318,9 @@ def loaded(path: str) -> WordPieces:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """For each of docs (doc_id, text): ids joined by spaces, their number, and the text that they decode to.
 
-    Decoding goes by the ids alone; a run's is kept with its ids. vocabulary is a path that every worker can read.
+    Decoding goes by the ids alone, through the incremental machine; what a run's ids give is kept with them, and a
+    text's are put together in order. A null id is kept, rows that repeat stay, and an empty table gives no rows.
+    vocabulary is a path that every worker can read; its file must name no decoder or a byte-level one.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +338,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 for text in texts[first : first + 100]:
                     found = own.pieces(text or "")
                     ids.append(" ".join([p[0] for p in found]))
-                    decoded.append(" ".join([p[1] for p in found]))
+                    decoded.append("".join([p[1] for p in found])[own.decoder is None :])
                     counts.append(sum([p[2] for p in found]))
                 yield pa.RecordBatch.from_arrays([docs.slice(first, 100), pa.array(ids), pa.array(counts, pa.int64()), pa.array(decoded)], names=["doc_id", "ids", "n_tokens", "decoded"])
 

@@ -1,8 +1,10 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is addressed by the SHA-256 of its content. The ledger holds, for each blob, the rule
-versions that have scanned it and what they found; a scan reads only blobs with rule versions missing there, once
-per blob however many paths have it, and findings are joined back to all paths.
+Every version of every path is addressed by the SHA-256 of its content. The ledger, a table in a folder that outlives
+a run, holds for each blob the rule versions that have scanned it and what they found; a scan reads only blobs with rule
+versions missing there, once per blob however many paths and versions have it, adds what it found to the ledger, and
+findings are joined back to all paths and versions. A rule that gets a new version is run again on every blob, the
+others are not. Runs that add the same blob at one time leave equal rows, which count once.
 
 Spans are code points, end exclusive, leftmost and non-overlapping for each rule. Null texts count as empty and
 have no spans; repeated rows get a row each; an empty table gives no rows; other columns are ignored by scans and
@@ -16,12 +18,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wayline.session import unused, written
+from wayline.session import scratch, unused, written
 
+#: A session's setting that names the folder of the ledger; without it every run begins with an empty one.
+FOLDER = "spark.wayline.secrets.ledger"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 
@@ -66,10 +71,29 @@ def found(text: str, rules: tuple[Rule, ...], lower: str | None = None) -> list[
     return [(rules[k].kind, start, end) for start, k, end in sorted(spans)]
 
 
-def addressed(versions: DataFrame, path: str, text: str) -> DataFrame:
-    """path and text with the blob that addresses the content."""
+class Ledger:
+    """What has been scanned: rows (blob, rules, spans) in Parquet files below a folder that all runs share."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or spark.conf.get(FOLDER, None) or scratch(spark, "ledger")
+
+    def read(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LEDGER)
+
+    def add(self, fresh: DataFrame) -> None:
+        fresh.select("blob", "rules", "spans").write.mode("append").parquet(self.path)
+
+
+def addressed(versions: DataFrame, path: str, text: str, version: str | None = None) -> DataFrame:
+    """path, version (null where there is no such column) and text with the blob that addresses the content."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return versions.select(F.col(path).alias("path"), content.alias("text")).withColumn("blob", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+    which = F.lit(None).cast("string") if version is None else F.col(version).cast("string")
+    return versions.select(F.col(path).alias("path"), which.alias("version"), content.alias("text")).withColumn("blob", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -102,19 +126,26 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     kept = ledger.where(F.arrays_overlap("rules", now))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     current = F.filter(ranked, lambda s: F.exists(F.col("rules"), lambda r: F.array_contains(now, r) & F.startswith(r, F.concat(s["kind"], F.lit("@")))))
-    every = kept.withColumn("ranked", current).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("ranked"))).alias("ranked"))
+    every = kept.withColumn("ranked", current).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranked")))).alias("ranked"))
     return every.select("blob", F.transform("ranked", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
-def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Each version's path with its spans; the blobs scanned now are written as new ledger rows before the join."""
-    own = addressed(versions, path, text)
-    fresh = written(scan(own, ledger, rules), "ledger")
-    if ledger is None:
-        known = fresh.select("blob", "spans")
-    else:
-        known = written(findings(ledger.unionByName(fresh), rules), "findings")
-    return own.select("path", "blob").join(known, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+def known(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of all blobs of addressed() versions, after those that the ledger lacks have been scanned."""
+    before = ledger.read()
+    if before.take(1):
+        ledger.add(scan(versions, before, rules))
+        return written(findings(ledger.read(), rules), "findings")
+    ledger.add(scan(versions, None, rules))
+    # one row a blob, by all rules: no need to gather
+    return ledger.read().select("blob", "spans")
+
+
+def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", version: str | None = None, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Each row's path and version with the spans in its text; blobs not scanned before are added to the ledger."""
+    own = addressed(versions, path, text, version)
+    spans = known(own, ledger or Ledger(versions.sparkSession), rules)
+    return own.select("path", "version", "blob").join(spans, "blob", "left").select("path", "version", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 @F.udf(StringType(), useArrow=True)
@@ -128,12 +159,13 @@ def _masked(text: str, spans: list, mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents, all of their columns and rows, with secrets in their texts replaced."""
     columns = docs.columns
     blob, spans = unused("__blob", columns), unused("__spans", columns)
-    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)))
-    fresh = written(scan(addressed(docs.select(F.lit(0).alias("path"), F.col(text).alias("text")), "path", "text"), None, rules), "ledger").where(F.size("spans") > 0)
-    hit = keyed.join(fresh.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 256)))
+    own = addressed(docs.select(F.lit(0).alias("path"), F.col(text).alias("text")), "path", "text")
+    hits = known(own, ledger or Ledger(docs.sparkSession), rules).where(F.size("spans") > 0)
+    hit = keyed.join(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
     masked = F.when(F.col(spans).isNull(), F.col(text)).otherwise(_masked(F.coalesce(text, F.lit("")), F.coalesce(spans, F.array().cast(SPANS)), F.lit(mask)))
     return hit.withColumn(text, masked).select(columns)
