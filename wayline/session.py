@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,14 +41,17 @@ def unused(name: str, columns: list[str]) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the cluster names no such folder (tests) is a temporary one set. The paths of one application
-    share a parent, so that they can be removed together when it has ended.
+    Only a local master, where driver and executors are one process, gets a temporary folder if none is named; on a
+    cluster that is an error, as its machines do not see each other's folders. The paths of one application share a
+    parent, so that they can be removed together when it has ended.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
         found = context._jsc.sc().getCheckpointDir()
         if not found.isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
             found = context._jsc.sc().getCheckpointDir()
         root = found.get()
