@@ -36,6 +36,21 @@ def test_embeddings(spark):
     assert sum(exact.find(k) == got[k].component_id for k in got) / len(got) > 0.97
 
 
+def test_recall_at_the_least_cosine(spark):
+    """Pairs barely above the least cosine, strangers otherwise: at least 0.95 of them are found, and no others."""
+    dice = np.random.default_rng(11)
+    a, b = dice.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    cosine = 0.9505
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate((a, cosine * a + np.sqrt(1 - cosine**2) * b)))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in collisions.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[k + 1500] == (1, k) for k in range(1500)) / 1500
+    assert found >= 0.95
+    assert all(n == 0 and c == k or (n, c) == (1, k % 1500) for k, (n, c) in got.items())
+
+
 def test_embedding_edges(spark):
     rows = [(None, [1.0]), (0, None), (1, []), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0]), (6, [1e-200, 1e-210]), (7, [1.0, None]), (8, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))

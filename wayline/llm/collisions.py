@@ -1,12 +1,14 @@
 """Near-duplicate embeddings by collision-counting projections.
 
-Each vector is projected on many random lines. Lines are taken in groups; two vectors meet if in one group they fall
-into the same cell on every line, the cells' number of lines growing with the logarithm of the table, so that
-strangers seldom meet. Those that meet are sorted along one more line, and in the window around each the pairs are
-counted: on how many of LINES further lines is one in the other's window? Pairs whose count reaches a threshold,
-which a pair at the least cosine misses with a chance of MISS, make candidate groups; the number of groups of lines
-is set so that such a pair meets with a chance of RECALL. Candidate groups are compared in blocks, by matrix products
-in double precision; links are counted and connected there, never listed.
+Each vector is projected on many random lines. A line alone leaves a share of all vectors in any window that near pairs
+need, so windows are taken within cells: lines are taken in groups, and in each group the vectors that fall into the
+same cell on every line are sorted along one more projection, another one for each group. In the window around each
+vector there, the collisions of each pair are counted: on how many of LINES projections is one in the other's window?
+Pairs whose count reaches a threshold, which a pair at the least cosine misses with a chance of MISS, make candidate
+groups. The cells' number of lines grows with the logarithm of the table, so that strangers seldom meet, and the number
+of groups, so of sorted projections, is set so that a pair at the least cosine is met in one of them with a chance of
+RECALL. Candidate groups are compared in blocks, by matrix products in double precision; links are counted and
+connected there, never listed.
 
 Equal vectors are one vector with a multiplicity. Cells with more than CROWD vectors are candidate groups as they
 are. Vectors that are null, zero, or have null or non-finite components link with nothing; vectors of different
@@ -58,7 +60,7 @@ class Plan:
             if miss > MISS:
                 self.threshold = k
                 break
-        # the one line along which those that meet are sorted
+        # the window along a group's sorted projection: four spreads of a pair at the least cosine
         self.reach = math.ceil(4 * near / STEP)
 
     def draw(self, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +106,9 @@ def entries(vectors: DataFrame, plan: Plan) -> DataFrame:
                     steps = np.clip(np.rint(part @ counting / STEP), -127, 127).astype(np.int8)
                     sketches = [s.tobytes() for s in steps]
                     n = plan.groups
+                    along = steps[:, np.arange(n) % LINES].astype(np.int32)  # group g is sorted along projection g
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(own, n)), pa.array(np.repeat(steps[:, 0].astype(np.int32), n)), pa.array([s for s in sketches for _ in range(n)], pa.binary())],
+                        [pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(own, n)), pa.array(along.ravel()), pa.array([s for s in sketches for _ in range(n)], pa.binary())],
                         names=["key", "id", "along", "sketch"],
                     )
 
