@@ -229,6 +229,53 @@ def test_names_that_clash(spark):
         assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in rows] and got[0][1] == first
 
 
+HOT = 3000
+
+
+def test_one_line_one_ngram_one_vector_in_a_third_of_all_rows(spark):
+    """Whole results where a third of the rows share a line, a passage or a vector."""
+    hot = "this very line stands in a third of all of the documents"
+    rows = [(k, f"{hot}\nown line of document {k * 7919} alone" if k % 3 == 0 else f"other text {k * 104729} of number {k}") for k in range(HOT)]
+    df = spark.createDataFrame(rows, DOCS)
+    gone = {r.doc_id: r.removed for r in lines.line_report(df, edits=0).collect()}
+    assert {d for d, x in gone.items() if x} == set(range(3, HOT, 3)) and set(gone.values()) == {"", "0"}
+    words = [f"w{k}" for k in range(4000)]
+    dice = random.Random(8)
+    shared = " ".join(words[:30])
+    rows = [(k, shared + " " + " ".join(dice.choices(words, k=3 if k % 6 else 30)) if k % 3 == 0 else " ".join(dice.choices(words, k=20))) for k in range(1200)]
+    sets, exact = {d: shingles(t, 4) for d, t in rows}, Forest()
+    for a in range(0, 1200, 3):
+        for b in range(0, a, 3):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                exact.join(a, b)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS), 4, (85, 100)).collect()}
+    assert got == {d: exact.find(d) for d in sets} and len(set(got.values())) < 1200
+    noise = np.random.default_rng(5).standard_normal((HOT, 16))
+    rows = [(k, [1.0] * 16 if k % 3 == 0 else noise[k].tolist()) for k in range(HOT)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in collisions.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[k] == (HOT // 3 - 1, 0) for k in range(0, HOT, 3))
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark, sf):
+    docs = table(spark, sf, "documents").withColumns({c: F.lit("kept") for c in ("__toxicity", "__Doc", "__own", "__gone", "__lines", "__blob", "__spans", "__times")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name != "packing":
+            assert stage(spark, docs, sf).where("__Doc = 'kept'").columns == docs.columns
+
+
+def test_the_toxicity_stage_goes_by_the_scores(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, name = table(spark, sf, "documents"), corpus_pipeline.STAGES[0]
+    kept = {r.doc_id for r in name[1](spark, docs, sf).collect()}
+    scores = {r.doc_id: r.score for r in queries.op8_toxicity(spark, sf).collect()}
+    assert kept == {d for d, s in scores.items() if s < 0.5} and 0 < len(kept) < len(scores)
+    marks = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    clean = [d for d, toxic in marks.items() if toxic == 0 and d in scores]
+    assert sum(d in kept for d in clean) / len(clean) > 0.97
+
+
 def test_the_pipeline_stage_by_stage(spark, sf):
     docs = table(spark, sf, "documents")
     columns, seen = docs.dtypes, {}

@@ -54,6 +54,20 @@ def test_packing(spark, sf):
     assert padding < 2048 * table(spark, sf, "documents").rdd.getNumPartitions()
 
 
+def test_the_packing_query(spark, sf):
+    """Every id of every document once, by the library, and the checksum of each piece's ids."""
+    import zlib
+
+    known, whole, filled = texts(spark, sf), Tokenizer.from_file(BYTES), defaultdict(int)
+    for r in queries.op1_packing(spark, sf).collect():
+        ids = [*whole.encode(known[r.doc_id], add_special_tokens=False).ids, 1]
+        own = np.array(ids[r.start : r.start + r.length], dtype="<u4")
+        assert len(own) == r.length > 0 and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(own.tobytes())
+        filled[r.doc_id] += r.length
+        assert r.offset + r.length <= 2048
+    assert filled == {d: len(whole.encode(t, add_special_tokens=False).ids) + 1 for d, t in known.items()}
+
+
 def test_the_tokenizers_library_agrees():
     whole = Tokenizer.from_file(BYTES)
     for text in ODD:
@@ -163,6 +177,8 @@ def test_language_edges(spark):
     model = language.train(df.select("text", "lang"))
     got = {r.doc_id: r for r in language.predict(df.select("doc_id", "text"), model).collect()}
     assert got[2].lang_pred == got[3].lang_pred == "und" and got[4].lang_pred in ("en", "de")
+    clash = language.predict(df.withColumns({"Score": F.lit("s"), "lang_pred": F.lit(1)}), model)
+    assert clash.columns == ["doc_id", "lang", "lang_pred", "score"] and clash.count() == 5
     none = language.train(df.limit(0).select("text", "lang"))
     assert {r.lang_pred for r in language.predict(df.select("doc_id", "text"), none).collect()} == {"und"}
 
@@ -185,6 +201,49 @@ def test_repeated_texts_neither_fill_nor_empty_a_sample(spark, monkeypatch):
     assert queries.labelled(docs, labels).groupBy("text").count().where("count > 1").count() == 0
 
 
+def plain_fingerprint(text):
+    """Byte by byte, with the hash rolled forward instead of computed for all places at once."""
+    import zlib
+
+    data, letters = text.encode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+
+    def signed(size, most):
+        out, chunk, window, total, weighted, mixed, ends = "", b"", [0] * 7, 0, 0, 0, 0
+        for k, c in enumerate(data):
+            weighted = weighted - total + 7 * c
+            total += c - window[k % 7]
+            window[k % 7] = c
+            mixed = (mixed << 5 ^ c) & 0xFFFFFFFF
+            chunk += bytes([c])
+            if ((total + weighted + mixed) & 0xFFFFFFFF) % size == size - 1:
+                ends += 1
+                if len(out) < most - 1:
+                    out, chunk = out + letters[zlib.crc32(chunk) & 63], b""
+        return (out + letters[zlib.crc32(chunk) & 63] if chunk else out), ends
+
+    while block > 3 and signed(block, 64)[1] < 32:
+        block //= 2
+    return f"{block}:{signed(block, 64)[0]}:{signed(2 * block, 32)[0]}"
+
+
+def test_fingerprints_byte_by_byte():
+    dice = random.Random(2)
+    cases = ["", "a", "é" * 50, "x" * 5000, "漢字かな" * 40]
+    cases += ["".join(dice.choices("abc de\n", k=dice.choice([10, 200, 3000]))) for _ in range(25)]
+    cases += [" ".join(dice.choice(["word", "other", "thing", str(dice.random())]) for _ in range(dice.choice([20, 400]))) for _ in range(10)]
+    for text in cases:
+        assert fingerprint.fingerprint(text) == plain_fingerprint(text)
+    for _ in range(300):
+        one, other = dice.choice(cases), dice.choice(cases)
+        a, b = plain_fingerprint(one).split(":"), plain_fingerprint(other).split(":")
+        pairs = [(x, y) for m, x in ((1, a[1]), (2, a[2])) for n, y in ((1, b[1]), (2, b[2])) if m * int(a[0]) == n * int(b[0]) and x and y]
+        want = 1.0 if a == b else max((1 - lev(x, y) / max(len(x), len(y)) for x, y in pairs), default=0.0)
+        assert fingerprint.likeness(":".join(a), ":".join(b)) == pytest.approx(want)
+
+
 def test_fingerprints(spark, sf):
     rows = sorted(texts(spark, sf).items())
     got = {r.doc_id: r for r in queries.op4_fingerprint(spark, sf).collect()}
@@ -347,6 +406,34 @@ def test_toxicity(spark):
     assert toxicity.score(empty, toxicity.train(df.where("label = 1"))).first().score == 1
 
 
+def test_the_toxicity_query(spark):
+    """Held-out accuracy on the given table, and every document once."""
+    sf = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    got = queries.op8_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in table(spark, sf, "documents").select("doc_id").collect())
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [(r.score, marks[r.doc_id]) for r in got if r.held_out and marks.get(r.doc_id) in (0, 1)]
+    ones, zeros = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
+    assert auc > 0.9 and sum((s >= 0.5) == y for s, y in held) / len(held) > 0.9
+
+
+def test_toxicity_edges(spark, tmp_path):
+    docs = [(k, ("you vile idiot " if k % 3 == 0 else "a calm sentence ") + f"number {k}") for k in range(200)]
+    rows = spark.createDataFrame([*docs, (None, "you idiot"), (500, None), (501, ""), (7, "again")], "doc_id long, text string").withColumn("label", F.lit("x"))
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)] * 2 + [(None, 1), (8, 1), (9, None), (10, 5)], "doc_id long, toxic int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    marks.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 204 and all(0 <= r.score <= 1 for r in got)
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got if r.doc_id is not None and r.doc_id < 200) > 195
+    (tmp_path / "e").mkdir()
+    rows.limit(0).write.parquet(str(tmp_path / "e/documents.parquet"))
+    marks.limit(0).write.parquet(str(tmp_path / "e/labels.parquet"))
+    assert queries.op8_toxicity(spark, str(tmp_path / "e")).count() == 0
+
+
 def spaced_by_hand(text):
     """Runs of four word characters and more, each but the last followed by one separator, from and to word bounds."""
     word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")

@@ -197,17 +197,19 @@ def temperature(kept: list[tuple[np.ndarray, int]]) -> float:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, and what else is asked for) with lang_pred and score."""
+    """docs (text, and what else they have) with lang_pred and score in place of the text and of columns so called."""
+
+    names_kept = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = model.scores(batch.column("text").to_pylist())
-            kept = [n for n in batch.schema.names if n != "text"]
+            kept = [n for n in batch.schema.names if n in names_kept]
             columns = [batch.column(n) for n in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(scored, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names_kept)
+    return docs.select(*names_kept, "text").mapInArrow(scored, f"{fields}, lang_pred string, score double")
 
 
 def fold_of(id_column: str, folds: int) -> Column:
