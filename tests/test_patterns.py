@@ -6,7 +6,7 @@ import pytest
 from wayline.operators.matching import match_by_key, occurrences
 from wayline.plans.compiler import Unsupported, compile_event
 from wayline.plans.events import parse_event
-from wayline.plans.matcher import Match, Matcher
+from wayline.plans.matcher import Match, Matcher, echoes
 from wayline.plans.matches import SCHEMA
 
 S = 1_000_000
@@ -101,13 +101,78 @@ def test_plans_agree_with_the_exact_matcher(spark, k):
         assert set(rows_of(e, match_by_key(e, df))) == exact(e, rows)
 
 
-def test_what_has_no_plan_goes_by_keys(spark):
-    e = event({"all": [one("a", "X"), {"seq": [one("b", "X"), one("c", "X")]}]})
-    rows = random_rows(5)
-    df = spark.createDataFrame(rows, SCHEMA)
+def inside(most, pattern, least=None):
+    return {"within": {"max": most, "pattern": pattern} | ({"min": least} if least else {})}
+
+
+def lasting(how_long, pattern):
+    return {"for": {"duration": how_long, "pattern": pattern}}
+
+
+ALARM = {"n": {"class": "alarm"}}
+#: The shapes of the acceptance cases, over the traces' predicates, and other nestings.
+NESTED = {
+    "convoy": {"seq": [one("a", "X"), {"all": [one("b", "X"), {"seq": [one("a", "Y"), {"all": [one("b", "Y"), {"seq": [one("a", "Z"), one("b", "Z")]}]}]}]}]},
+    "rendezvous": {"seq": [one("a", "X"), {"any": [lasting("3s", two("Y", "Z")), {"g": {"x": "Y", "y": "Z"}}]}, one("c", "W")]},
+    "alarm_or_shot": {"seq": [{"any": [{"n": {"class": "shot"}}, {"n": {"class": "alarm", "level": 0.4}}]}, inside("30s", one("b", "X"))]},
+    "present_then_alarm": {"seq": [{"all": [one("a", "X"), one("a", "Y")]}, {"n": {"class": "alarm", "level": 0.4}}, inside("30s", one("b", "X"))]},
+    "chase": {"seq": [one("a", "X"), lasting("3s", two("X", "Y"))]},
+    "convergence": {"seq": [one("a", "X"), {"all": [two("X", "Y"), two("X", "Z"), two("Y", "Z")]}]},
+    "same_predicate_bound_and_new": {"seq": [two("X", "Y"), {"all": [two("X", "Y"), two("X", "Z")]}]},
+    "k_of_nested": {"k_of_n": {"k": 2, "patterns": [{"seq": [one("a", "X"), one("b", "X")]}, inside("9s", one("c", "X")), lasting("4s", two("X", "Y"))]}},
+    "any_of_windows": {"seq": [one("a", "X"), {"any": [inside("5s", {"seq": [one("b", "X"), one("c", "X")]}), inside("20s", one("b", "Y"), "6s")]}, one("c", "X")]},
+    "all_of_windows": {"seq": [one("a", "X"), {"all": [inside("8s", one("b", "X")), inside("20s", {"any": [one("c", "X"), two("X", "Y")]})]}]},
+    "leading_window": {"seq": [inside("15s", {"seq": [one("a", "X"), one("b", "X")]}), one("c", "X")]},
+    "sustained_then_more": {"seq": [lasting("2s", two("X", "Y")), inside("6s", one("a", "X"), "1s"), one("b", "Y")]},
+    "windows_in_windows": {"seq": [one("a", "X"), inside("90s", {"seq": [inside("60s", one("b", "X"), "2s"), inside("50s", {"k_of_n": {"k": 2, "patterns": [one("a", "X"), one("b", "X"), one("c", "X")]}})]})]},
+    "sustained_twice": {"seq": [one("a", "X"), {"all": [lasting("3s", two("X", "Y")), two("X", "Y")]}]},
+}
+
+
+def nested_event(pattern):
+    signatures = SIGNATURES | {"g": "x: visual_object, y: visual_object", "n": "class: audio_class, level?: number 0..1"}
+    return parse_event({"event": "e", "roles": {r: {"class": "vehicle"} for r in "WXYZ"}, "pattern": pattern}, signatures, None)
+
+
+def nested_rows(seed, n=70):
+    dice, t, out = random.Random(seed), 0, []
+    for i in range(n):
+        t += dice.choice([0, 1, 1, 2, 4]) * S
+        name, ids = dice.choice("aaabbbccffffgnn"), dice.sample("pqrs", 2)
+        pair = {"x": ids[0], "y": ids[1]}
+        args = {"f": pair, "g": pair, "n": {"class": dice.choice(["alarm", "alarm", "shot"])} | dice.choice([{}, {"level": "0.40"}, {"level": "0.5"}])}.get(name, {"object": ids[0]})
+        out.append((i, t, name, dice.choice(["s1", "s2"]), 1.0, "t", args, {}))
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(NESTED))
+def test_nested_patterns_agree_with_the_exact_matcher(spark, name):
+    """With a horizon longer than the trace, so that nothing ends early, and with a short one."""
+    e = nested_event(NESTED[name])
+    rows = [r for seed in range(2) for r in [(x[0] + 1000 * seed, x[1] + 10_000 * S * seed, *x[2:]) for x in nested_rows(seed + 40)]]
+    want = exact(e, rows[:70]) | exact(e, rows[70:])
+    got = rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA), 400_000))
+    assert sorted(got, key=str) == sorted(want, key=str) and want
+    short = set(rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA), 15_000)))
+    assert {w for w in want if w[1] - w[0] <= 15 * S} >= short and short <= want
+
+
+def test_what_has_no_bound_needs_a_horizon_or_a_key(spark):
+    e = nested_event({"seq": [one("a", "X"), one("b", "Y")]})
+    df = spark.createDataFrame(random_rows(5), SCHEMA)
+    with pytest.raises(Unsupported, match="horizon"):
+        occurrences(e, df)
+    assert set(rows_of(e, occurrences(e, df, horizon_ms=900_000))) == exact(e, random_rows(5))
+    e = event({"seq": [one("a", "X"), {"within": {"min": "1s", "max": "9s", "pattern": one("b", "X")}}]})
+    lead = event({"seq": [{"within": {"min": "1s", "max": "9s", "pattern": {"seq": [one("a", "X"), one("b", "X")]}}}, one("c", "X")]})
     with pytest.raises(Unsupported):
-        compile_event(e, df)
-    assert set(rows_of(e, occurrences(e, df))) == exact(e, rows)
+        compile_event(lead, df)
+    assert set(rows_of(lead, occurrences(lead, df))) == exact(lead, random_rows(5))
+
+
+def test_echoed_literals_are_compared_as_values():
+    assert echoes("0.50", 0.5) and echoes("5", 5.0) and not echoes("x", 0.5) and not echoes("0.6", 0.5)
+    assert echoes("true", True) and echoes("False", False) and not echoes("1", True) and echoes(None, 3) and echoes("a", "a")
 
 
 def test_empty_tables(spark):

@@ -25,7 +25,7 @@ def _dealt(event: Event, matches: DataFrame, key: str | None) -> DataFrame:
     if key is None:
         common = event.common_roles()
         if not common:
-            raise Unsupported("no role is common to all leaves: name a column to evaluate by")
+            raise Unsupported("no role is common to all leaves: name a column to evaluate by, or a horizon for a plan of joins")
         names = {(x.predicate, a) for x in event.pattern.leaves() for a, r in x.roles if r == common[0]}
         by = F.coalesce(*(F.when(F.col("predicate") == p, F.col("arguments")[a]) for p, a in sorted(names)))
     else:
@@ -90,9 +90,13 @@ def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) ->
     return _dealt(event, matches, key).mapInPandas(run, schema)
 
 
-def occurrences(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
-    """The event's occurrences: by joins where the pattern has such a plan, by keys otherwise."""
+def occurrences(event: Event, matches: DataFrame, key: str | None = None, horizon_ms: int | None = None) -> DataFrame:
+    """The event's occurrences: by joins where the pattern has such a plan, by keys otherwise.
+
+    A pattern in which a leaf shares no role with what precedes it, and has no window either, needs a horizon: how long
+    a candidate may live. Without one it goes by keys, if all leaves carry a role or the caller names a key.
+    """
     try:
-        return compile_event(event, matches)
+        return compile_event(event, matches, horizon_ms)
     except Unsupported:
         return match_by_key(event, matches, key)

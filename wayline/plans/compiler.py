@@ -1,24 +1,29 @@
 """Patterns as DataFrame plans: joins in (time, arrival) order, with the matcher's consumption rules.
 
-A table of candidates has one row per partial occurrence: seed, last match, activation, and a column per role. A leaf
-that binds a new object joins every later match; one that binds none takes the first. Among the children of all, any
-and k_of_n that wait together, the first match of a child that binds nothing new uses the candidate up, so a child
-that does bind joins only matches before that one. Shared roles are join keys; where there are none, both sides are
-cut into time buckets as wide as the window, which makes the range join an equi join.
+What a candidate waits for depends on which leaves it has met, and the windows on when. So a plan goes from state to
+state, a state being the set of leaves met and of sustained ones begun, fewest first: a table holds all candidates of a
+state, whatever the order in which they met its leaves, with seed, last match, the time of each leaf met and a column
+per role. In a state, a leaf that binds a new object joins every later match; one that binds none takes the first
+(`min(struct(t, seq))`), and the first match that only such leaves take uses the candidate up, so that a leaf that
+binds joins no match after it. All operators, nested in any way, are rules for a state's waits and windows (`waits`).
+
+Shared roles are join keys. Where a leaf shares none, its window, or the horizon that bounds how long any candidate
+lives, cuts both sides into time buckets, which makes the range join an equi join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.plans.events import BROADER, Event, Pattern
+from wayline.plans.events import BROADER, CLASSES, Event, Pattern
 from wayline.plans.matches import observed_once
+from wayline.session import written
 
-MS = 1000
+MS, NEVER = 1000, 1 << 62
 _PLAIN = ["s_t", "s_seq", "s_source", "s_leaf"]
 
 
@@ -26,22 +31,68 @@ class Unsupported(NotImplementedError):
     """The pattern has no plan of joins; evaluate it by keys with operators.matching.match_by_key."""
 
 
-def compile_event(event: Event, matches: DataFrame) -> DataFrame:
+def compile_event(event: Event, matches: DataFrame, horizon_ms: int | None = None) -> DataFrame:
     """All occurrences of the event: event, matched_at, completed_at, matched_source, predicate, and a column a role.
 
-    An occurrence is told apart by its seed and bindings; the earliest completion counts.
+    An occurrence is told apart by its seed and bindings; the earliest completion counts. With a horizon, candidates
+    end that long after their seed.
     """
-    return _Compiler(event, observed_once(matches)).run()
+    return _Compiler(event, observed_once(matches), horizon_ms).run()
+
+
+class Wait(NamedTuple):
+    """A leaf that a state waits for: from when, until when, and the length of the shortest window around it."""
+
+    leaf: int
+    opens: Column | None
+    until: Column | None
+    width: int | None
+    sustained: bool
+
+    def ending(self, until: Column | None, width: int | None) -> Wait:
+        return self._replace(until=_least(self.until, until), width=_shorter(self.width, width))
+
+
+class State(NamedTuple):
+    met: frozenset[int]
+    begun: frozenset[int]
+
+
+def _least(*columns: Column | None) -> Column | None:
+    some = [c for c in columns if c is not None]
+    return None if not some else some[0] if len(some) == 1 else F.least(*some)
+
+
+def _shorter(*widths: int | None) -> int | None:
+    return min((w for w in widths if w is not None), default=None)
+
+
+def _both(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 class _Compiler:
-    def __init__(self, event: Event, matches: DataFrame):
-        self.event, self.matches = event, matches
+    def __init__(self, event: Event, matches: DataFrame, horizon_ms: int | None):
+        self.event, self.matches, self.horizon = event, matches, horizon_ms
         self.order = list(event.pattern.leaves())
+        self.durations: dict[int, int] = {}
 
     def run(self) -> DataFrame:
         roles = self.event.pattern.role_names()
-        done = self.seeded(self.event.pattern)
+        open_: dict[State, list[DataFrame]] = {}
+        for leaf, sustained in self.first(self.event.pattern, 0):
+            state = State(frozenset(), frozenset({leaf})) if sustained else State(frozenset({leaf}), frozenset())
+            open_.setdefault(state, []).append(self.seed(leaf, sustained))
+        done = []
+        while open_:
+            state = min(open_, key=lambda s: (2 * len(s.met) + len(s.begun), sorted(s.met)))
+            rows = reduce(DataFrame.unionByName, open_.pop(state))
+            t, waits, _, _ = self.root(state)
+            if t is not None:
+                done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_"))))
+                continue
+            for after, more in self.advanced(state, rows, waits):
+                open_.setdefault(after, []).append(more)
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
         names = [f"r_{r}" for r in roles]
         best = rows.groupBy("s_leaf", "s_t", "s_source", *names).agg(F.min("act").alias("done"))
@@ -49,21 +100,88 @@ class _Compiler:
         at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
         return best.select(F.lit(self.event.name).alias("event"), at("s_t").alias("matched_at"), at("done").alias("completed_at"), F.col("s_source").alias("matched_source"), predicate.alias("predicate"), *(F.col(f"r_{r}").alias(r.lower()) for r in roles))
 
+    # what a state waits for
+
+    def first(self, node: Pattern, at: int, sustained: bool = False) -> list[tuple[int, bool]]:
+        """The leaves that can seed a candidate."""
+        if node.op == "leaf":
+            return [(at, sustained)]
+        if node.op == "within" and node.least_ms > 0:
+            raise Unsupported("a leading within with a minimum")
+        some = list(zip(node.children, self.places(node, at), strict=True))
+        if node.op in ("seq", "within", "for"):
+            some = some[:1]
+        return [x for child, place in some for x in self.first(child, place, node.op == "for")]
+
+    def places(self, node: Pattern, at: int) -> list[int]:
+        """The number of each child's first leaf."""
+        out = []
+        for child in node.children:
+            out.append(at)
+            at += sum(1 for _ in child.leaves())
+        return out
+
+    def root(self, state: State):
+        until = None if self.horizon is None else F.col("s_t") + self.horizon * MS
+        return self.waits(self.event.pattern, 0, F.col("s_t"), until, None if self.horizon is None else self.horizon * MS, state)
+
+    def waits(self, node: Pattern, at: int, active: Column, until: Column | None, width: int | None, state: State) -> tuple[Column | None, list[Wait], Column | None, int | None]:
+        """When the node was complete, or else its waits and its deadline: the time after which it has failed."""
+        if node.op == "leaf":
+            return (F.col(f"h_{at}"), [], None, None) if at in state.met else (None, [Wait(at, None, until, width, False)], None, None)
+        if node.op == "for":
+            self.durations[at] = node.least_ms * MS
+            return (F.col(f"h_{at}"), [], None, None) if at in state.met else (None, [Wait(at, None, until, width, True)], until, width)
+        inner = lambda k, a, u, w: self.waits(node.children[k], places[k], a, u, w, state)
+        places = self.places(node, at)
+        if node.op == "seq":
+            for k in range(len(places)):
+                t, waits, deadline, wide = inner(k, active, until, width)
+                if t is None:
+                    return None, waits, deadline, wide
+                active = t
+            return active, [], None, None
+        if node.op == "within":
+            opens, closes, most = active + node.least_ms * MS, active + node.most_ms * MS, max(node.most_ms * MS, 1)
+            t, waits, deadline, wide = inner(0, opens, _least(until, closes), _shorter(width, most))
+            if t is not None:
+                return t, [], None, None
+            deadline, wide = _least(deadline, closes), _shorter(wide, most)
+            waits = [w._replace(opens=opens if w.opens is None else F.greatest(opens, w.opens)) for w in waits]
+            return None, [w.ending(deadline, wide) for w in waits], deadline, wide
+        parts = [inner(k, active, until, width) for k in range(len(places))]
+        times = [t for t, _, _, _ in parts if t is not None]
+        need = {"all": len(parts), "any": 1, "k_of_n": node.k}[node.op]
+        if len(times) >= need:
+            return (times[0] if len(times) == 1 else F.greatest(*times)), [], None, None
+        pending = [p for p in parts if p[0] is None]
+        waits = [w for _, ws, _, _ in pending for w in ws]
+        # the node fails with the child that leaves too few
+        spare, ends = len(pending) - (need - len(times)), [d for _, _, d, _ in pending if d is not None]
+        deadline, wide = None, None
+        if len(ends) > spare:
+            deadline = _least(*ends) if spare == 0 else F.sort_array(F.array(*ends))[spare]
+            wide = max(w for _, _, d, w in pending if d is not None)
+        if times and node.op != "any":
+            window = node.most_ms * MS
+            deadline, wide = _least(deadline, until, _least(*times) + window), _shorter(wide, width, window)
+        return None, [w.ending(deadline, wide) for w in waits], deadline, wide
+
     # leaves
 
     def leaf(self, leaf: Pattern) -> DataFrame:
         """(t, seq, source, roles) of the matches that fit a leaf by themselves."""
         fits = F.col("predicate") == leaf.predicate
         for name, value in leaf.literals:
-            said = F.col("arguments")[name]
-            fits &= said.isNull() | (said == str(value))
+            fits &= _echoes(F.col("arguments")[name], value)
             if name == "minimum_confidence":
                 fits &= F.col("confidence") >= value
         for argument, role in leaf.roles:
             kind = self.event.roles[role]
             seen = F.col("classes")[argument]
             fits &= F.col("arguments")[argument].isNotNull() & (F.col("arguments")[argument] != "")
-            fits &= seen.isNull() | seen.isin(kind, *BROADER.get(kind, ()))
+            plain = F.replace(F.trim(F.lower(seen)), F.lit(" "), F.lit("_"))
+            fits &= seen.isNull() | seen.isin(kind, *BROADER.get(kind, ())) | ((plain == kind) if kind in CLASSES else F.lit(False))
         columns = [F.col("arguments")[a].alias(f"r_{r}") for a, r in leaf.roles]
         own = self.matches.where(fits).select("t", "seq", "source", *columns)
         for k, (_, one) in enumerate(leaf.roles):
@@ -71,172 +189,123 @@ class _Compiler:
                 own = own.where(F.col(f"r_{one}") != F.col(f"r_{other}"))
         return own
 
-    def place(self, leaf: Pattern) -> int:
-        return next(k for k, x in enumerate(self.order) if x is leaf)
+    def roles(self, leaf: int) -> list[str]:
+        return [f"r_{r}" for _, r in self.order[leaf].roles]
 
-    def bound(self, candidates: DataFrame) -> list[str]:
-        return [c for c in candidates.columns if c.startswith("r_")]
+    def seed(self, leaf: int, sustained: bool) -> DataFrame:
+        own = self.leaf(self.order[leaf])
+        seed = {"s_t": F.col("t"), "s_seq": F.col("seq"), "s_source": F.col("source"), "s_leaf": F.lit(leaf), "l_t": F.col("t"), "l_seq": F.col("seq"), (f"b_{leaf}" if sustained else f"h_{leaf}"): F.col("t")}
+        return own.withColumns(seed).select(*seed, *self.roles(leaf))
 
-    def joined(self, candidates: DataFrame, leaf: Pattern, opens: Column | None, width: int | None) -> DataFrame:
-        """Candidates with each later match that fits: columns m_t, m_seq, and the roles that it binds."""
-        has, own = self.bound(candidates), self.leaf(leaf)
-        roles = [f"r_{r}" for _, r in leaf.roles]
+    # from state to state
+
+    def joined(self, candidates: DataFrame, waits: list[Wait], state: State) -> DataFrame:
+        """Candidates with each later match that fits one of the waits, which share the roles that the candidates have.
+
+        Columns leaf, m_t, m_seq, and m_ before each role that the leaves carry.
+        """
+        has = [c for c in candidates.columns if c.startswith("r_")]
+        roles = self.roles(waits[0].leaf)
         shared, new = [r for r in roles if r in has], [r for r in roles if r not in has]
-        m = own.select(F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles))
-        c = candidates
+        parts = [self.leaf(self.order[w.leaf]).select(F.lit(w.leaf).alias("leaf"), F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles)) for w in waits]
+        m, c = reduce(DataFrame.unionByName, parts), candidates
         on = [c[r] == m[f"m_{r}"] for r in shared]
         if not shared:
-            if width is None:
-                raise Unsupported(f"{leaf.predicate} shares no role with what precedes it and has no bounded window")
+            if any(w.until is None or w.width is None for w in waits):
+                raise Unsupported(f"{self.order[waits[0].leaf].predicate} shares no role with what precedes it and has no bounded window: a horizon would bound it")
+            width = max(w.width for w in waits)
             bucket = lambda t: F.floor(t / F.lit(width)).cast("long")
-            c = c.withColumn("__bucket", F.explode(F.sequence(bucket(F.greatest(F.col("l_t"), opens) if opens is not None else F.col("l_t")), F.greatest(bucket(F.col("until")), bucket(F.col("l_t"))))))
+            last = F.greatest(F.col("l_t"), *(w.until for w in waits))
+            c = c.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("l_t")), bucket(last))))
             m = m.withColumn("__its", bucket(F.col("m_t")))
             on = [c["__bucket"] == m["__its"]]
-        later = (m["m_t"] > c["l_t"]) | ((m["m_t"] == c["l_t"]) & (m["m_seq"] > c["l_seq"]))
-        on += [later, c["until"].isNull() | (m["m_t"] <= c["until"])]
-        if opens is not None:
-            on.append(m["m_t"] >= opens)
+        on.append((F.col("m_t") > F.col("l_t")) | ((F.col("m_t") == F.col("l_t")) & (F.col("m_seq") > F.col("l_seq"))))
+        fits = []
+        for w in waits:
+            own = [F.col("leaf") == w.leaf]
+            own += [F.col("m_t") >= w.opens] if w.opens is not None else []
+            own += [F.col("m_t") <= w.until] if w.until is not None else []
+            own += [F.col("m_t") >= F.col(f"b_{w.leaf}") + self.durations[w.leaf]] if w.leaf in state.begun else []
+            fits.append(_both(own))
+        on.append(reduce(lambda a, b: a | b, fits))
         on += [m[f"m_{r}"] != c[h] for r in new for h in has]
-        out = c.join(m, reduce(lambda a, b: a & b, on))
-        return out.select(*candidates.columns, "m_t", "m_seq", *(F.col(f"m_{r}").alias(r) for r in new))
-
-    def advanced(self, joined: DataFrame, keep: list[str]) -> DataFrame:
-        """The match is the last one now, and its time the activation of what follows."""
-        changed = joined.withColumns({"l_t": F.col("m_t"), "l_seq": F.col("m_seq"), "act": F.col("m_t")})
-        return changed.select(*keep)
-
-    def first(self, joined: DataFrame, columns: list[str]) -> DataFrame:
-        """The earliest match for each candidate."""
-        best = joined.groupBy(*columns).agg(F.min(F.struct("m_t", "m_seq")).alias("__m"))
-        return best.select(*columns, F.col("__m.m_t").alias("m_t"), F.col("__m.m_seq").alias("m_seq"))
-
-    def step_leaf(self, candidates: DataFrame, leaf: Pattern, opens: Column | None, width: int | None) -> DataFrame:
-        joined = self.joined(candidates, leaf, opens, width)
-        keep = [c for c in joined.columns if not c.startswith("m_")]
-        if keep == candidates.columns:
-            joined = self.first(joined, keep)
-        return self.advanced(joined, keep)
-
-    # operators: candidates that complete the node, from candidates that activate it
-
-    def step(self, candidates: DataFrame, node: Pattern, opens: Column | None = None, width: int | None = None) -> list[DataFrame]:
-        if node.op == "leaf":
-            return [self.step_leaf(candidates, node, opens, width)]
-        if node.op == "for":
-            return [self.sustained(self.begun(candidates, node, opens, width), node)]
-        if node.op == "seq":
-            rows = self.step(candidates, node.children[0], opens, width)
-            for child in node.children[1:]:
-                rows = [x for r in rows for x in self.step(r, child, None, width)]
-            return rows
-        if node.op == "within":
-            return self.within(candidates, node, width)
-        return self.together(candidates, node, list(node.children), opens, width, [])
-
-    def within(self, candidates: DataFrame, node: Pattern, width: int | None, seeding: Callable | None = None) -> list[DataFrame]:
-        closes = F.col("act") + node.most_ms * MS
-        inner = candidates.withColumns({"__opens": F.col("act") + node.least_ms * MS, "__closes": closes, "__outer": F.col("until"), "until": F.least(F.col("until"), closes)})
-        span = max(node.most_ms * MS, 1)
-        rows = seeding(inner) if seeding else self.step(inner, node.children[0], F.col("__opens"), min(width, span) if width else span)
-        return [r.where("act BETWEEN __opens AND __closes").withColumn("until", F.col("__outer")).drop("__opens", "__closes", "__outer") for r in rows]
-
-    def begun(self, candidates: DataFrame, node: Pattern, opens: Column | None, width: int | None) -> DataFrame:
-        """Sustained evidence begins with the first match for each binding."""
-        joined = self.joined(candidates, node.children[0], opens, width)
-        keep = [c for c in joined.columns if not c.startswith("m_")]
-        return self.advanced(self.first(joined, keep), keep)
-
-    def sustained(self, begun: DataFrame, node: Pattern) -> DataFrame:
-        """And is enough at the first later match of the same binding that is `duration` away."""
-        rows = begun.withColumn("__from", F.col("l_t") + node.least_ms * MS)
-        if not node.children[0].roles:
-            raise Unsupported("a sustained predicate without roles")
-        return self.step_leaf(rows, node.children[0], F.col("__from"), None).drop("__from")
-
-    def together(self, candidates: DataFrame, node: Pattern, waiting: list[Pattern], opens: Column | None, width: int | None, met: list[Pattern]) -> list[DataFrame]:
-        """all, any and k_of_n over leaves: every order in which they can be satisfied."""
-        if any(c.op != "leaf" for c in node.children):
-            raise Unsupported(f"{node.op} over other than predicates")
-        if len({c.predicate for c in node.children}) < len(node.children):
-            raise Unsupported(f"{node.op} over one predicate twice")
-        need = {"all": len(node.children), "any": 1, "k_of_n": node.k}[node.op]
-        if len(met) >= need:
-            return [candidates]
-        if met and node.op != "any":
-            width = min(width, node.most_ms * MS) if width else node.most_ms * MS
-        has = set(self.bound(candidates))
-        plain = [c for c in waiting if all(f"r_{r}" in has for _, r in c.roles)]
-        marked, columns = candidates, candidates.columns
-        for child in plain:
-            name = f"__first{self.place(child)}"
-            found = self.first(self.joined(candidates, child, opens, width), columns).select(*(F.col(c).alias(f"x_{c}") for c in columns), F.struct("m_t", "m_seq").alias(name))
-            same = reduce(lambda a, b: a & b, (marked[c].eqNullSafe(found[f"x_{c}"]) for c in columns))
-            marked = marked.join(found, same, "left").drop(*(f"x_{c}" for c in columns))
-        firsts = {c: F.col(f"__first{self.place(c)}") for c in plain}
-        out = []
-        for child in waiting:
-            if child in firsts:
-                mine = firsts[child]
-                others = [x for c, x in firsts.items() if c is not child]
-                ahead = reduce(lambda a, b: a & b, (x.isNull() | (mine < x) for x in others), mine.isNotNull())
-                rows = marked.where(ahead).withColumns({"m_t": mine["m_t"], "m_seq": mine["m_seq"]})
-                rows = self.advanced(rows, columns)
-            else:
-                joined = self.joined(marked, child, opens, width)
-                keep = [c for c in joined.columns if not c.startswith(("m_", "__first"))]
-                before = reduce(lambda a, b: a & b, (x.isNull() | (F.struct("m_t", "m_seq") < x) for x in firsts.values()), F.lit(True))
-                rows = self.advanced(joined.where(before), keep)
-            if not met and need > 1 and node.op != "any":
-                rows = self.joining(rows, node)
-            left = [c for c in waiting if c is not child]
-            done = self.together(rows, node, left, opens, width, [*met, child])
-            out += [self.rejoined(d) for d in done] if not met and need > 1 else done
-        return out
-
-    def joining(self, rows: DataFrame, node: Pattern) -> DataFrame:
-        """The window for the rest begins with the first child that is complete."""
-        return rows.withColumns({"__before": F.col("until"), "until": F.least(F.col("until"), F.col("act") + node.most_ms * MS)})
-
-    def rejoined(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("until", F.col("__before")).drop("__before")
-
-    # seeds
-
-    def seeded(self, node: Pattern) -> list[DataFrame]:
-        """Candidates that complete a node that nothing precedes: its activation is the seed's own time."""
-        if node.op == "leaf":
-            return [self.seed(node)]
-        if node.op == "for":
-            return [self.sustained(self.seed(node.children[0]), node)]
-        if node.op == "seq":
-            rows = self.seeded(node.children[0])
-            for child in node.children[1:]:
-                rows = [x for r in rows for x in self.step(r, child)]
-            return rows
-        if node.op == "within":
-            return self.seeded_within(node)
-        out = []
-        need = {"all": len(node.children), "any": 1, "k_of_n": node.k}[node.op]
-        for child in node.children:
-            if child.op != "leaf":
-                raise Unsupported(f"{node.op} over other than predicates")
-            rows, left = self.seed(child), [c for c in node.children if c is not child]
-            if need > 1:
-                out += [self.rejoined(d) for d in self.together(self.joining(rows, node), node, left, None, None, [child])]
-            else:
-                out.append(rows)
+        return c.join(m, _both(on)).select(*candidates.columns, "leaf", "m_t", "m_seq", *(F.col(f"m_{r}").alias(f"m_{r}") for r in new))
+
+    def after(self, state: State, wait: Wait) -> State:
+        if wait.sustained and wait.leaf not in state.begun:
+            return State(state.met, state.begun | {wait.leaf})
+        return State(state.met | {wait.leaf}, state.begun - {wait.leaf})
+
+    def moved(self, rows: DataFrame, columns: list[str], state: State, wait: Wait) -> tuple[State, DataFrame]:
+        """The candidates of the next state: the match is their last one, and the leaf's time is known."""
+        after, k = self.after(state, wait), wait.leaf
+        name = f"h_{k}" if k in after.met else f"b_{k}"
+        kept = [c for c in columns if c not in ("l_t", "l_seq", f"b_{k}")]
+        new = [r for r in self.roles(k) if r not in columns]
+        return after, rows.select(*kept, F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new))
+
+    def advanced(self, state: State, rows: DataFrame, waits: list[Wait]) -> list[tuple[State, DataFrame]]:
+        columns = rows.columns
+        plain = [w for w in waits if all(r in columns for r in self.roles(w.leaf))]
+        binding = [w for w in waits if w not in plain]
+        named = lambda w: self.order[w.leaf].predicate
+        holding = [w for w in binding] + [w for w in plain if w.leaf in state.begun]
+        if any(named(p) == named(h) for p in plain for h in holding if p is not h):
+            return self.weighed(state, rows, plain, binding)
+        out, marked = [], rows
+        if plain:
+            groups: dict[tuple[str, ...], list[Wait]] = {}
+            for w in plain:
+                groups.setdefault(tuple(sorted(self.roles(w.leaf))), []).append(w)
+            if len(groups) + bool(binding) > 1:
+                rows = written(rows, "state")
+            found = [self.joined(rows, g, state) for g in groups.values()]
+            if binding:  # candidates that no such match uses up
+                found.append(rows.withColumns({"leaf": F.lit(None).cast("int"), "m_t": F.lit(None).cast("long"), "m_seq": F.lit(None).cast("long")}))
+            firsts = [F.min(F.when(F.col("leaf") == w.leaf, F.struct("m_t", "m_seq"))).alias(f"f_{w.leaf}") for w in plain]
+            marked = reduce(DataFrame.unionByName, found).groupBy(*columns).agg(*firsts)
+            marked = marked.withColumn("star", F.least(*(f"f_{w.leaf}" for w in plain)) if len(plain) > 1 else F.col(f"f_{plain[0].leaf}"))
+        if len(plain) + len(binding) > 1:
+            marked = written(marked, "state")
+        for w in plain:
+            taken = marked.where(F.col(f"f_{w.leaf}") == F.col("star")).withColumns({"m_t": F.col("star.m_t"), "m_seq": F.col("star.m_seq")})
+            out.append(self.moved(taken, columns, state, w))
+        for w in binding:
+            found = self.joined(marked, [w], state)
+            if plain:
+                found = found.where(F.col("star").isNull() | (F.struct("m_t", "m_seq") < F.col("star")))
+            if w.sustained and self.root(State(state.met | {w.leaf}, state.begun))[0] is not None:
+                # nothing follows it: for each binding, evidence that began later is complete no earlier
+                keep = [*columns, *(f"m_{r}" for r in self.roles(w.leaf) if r not in columns)]
+                found = found.groupBy(*keep).agg(F.min(F.struct("m_t", "m_seq")).alias("m")).select(*keep, "m.m_t", "m.m_seq")
+            out.append(self.moved(found, columns, state, w))
         return out
 
-    def seeded_within(self, node: Pattern) -> list[DataFrame]:
-        child = node.children[0]
-        if node.least_ms > 0 or child.op not in ("leaf", "for"):
-            raise Unsupported("a leading within with a minimum, or over more than one predicate")
-        if child.op == "leaf":
-            return [self.seed(child)]
-        begun = self.seed(child.children[0]).withColumns({"until": F.col("act") + node.most_ms * MS})
-        return [self.sustained(begun, child).withColumn("until", F.lit(None).cast("long"))]
-
-    def seed(self, leaf: Pattern) -> DataFrame:
-        own = self.leaf(leaf)
-        seed = {"s_t": F.col("t"), "s_seq": F.col("seq"), "s_source": F.col("source"), "s_leaf": F.lit(self.place(leaf)), "l_t": F.col("t"), "l_seq": F.col("seq"), "act": F.col("t"), "until": F.lit(None).cast("long")}
-        return own.withColumns(seed).select(*_PLAIN, "l_t", "l_seq", "act", "until", *(f"r_{r}" for _, r in leaf.roles))
+    def weighed(self, state: State, rows: DataFrame, plain: list[Wait], binding: list[Wait]) -> list[tuple[State, DataFrame]]:
+        """The same where one match can fit leaves of both sorts: it uses a candidate up only if it fits none that binds,
+        and none that is being sustained."""
+        columns = rows.columns
+        rows = written(rows.withColumn("cid", F.monotonically_increasing_id()), "state")
+        parts = [self.joined(rows, [w], state).withColumn("keeps", F.lit(w in binding)) for w in (*plain, *binding)]
+        for w in plain:
+            if w.leaf in state.begun:
+                early = self.joined(rows, [w], State(state.met, frozenset()))
+                parts.append(early.where(F.col("m_t") < F.col(f"b_{w.leaf}") + self.durations[w.leaf]).withColumns({"leaf": F.lit(-1), "keeps": F.lit(True)}))
+        found = [p.select("cid", "leaf", "m_t", "m_seq", "keeps", *(c for c in p.columns if c.startswith("m_r_"))) for p in parts]
+        fits = written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), "fits")
+        uses = fits.groupBy("cid", "m_t", "m_seq").agg(F.max("keeps").alias("keeps")).where("NOT keeps")
+        star = uses.groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias("star"))
+        live = fits.join(star, "cid", "left").where(F.col("star").isNull() | (F.struct("m_t", "m_seq") <= F.col("star"))).drop("star", "keeps")
+        live = written(live, "fits")
+        return [self.moved(rows.join(live.where(F.col("leaf") == w.leaf), "cid"), columns, state, w) for w in (*plain, *binding)]
+
+
+def _echoes(said: Column, value: object) -> Column:
+    """Whether an echoed literal, if there is one, equals the pattern's: numbers as numbers, truth values as such."""
+    if isinstance(value, bool):
+        same = F.lower(said) == str(value).lower()
+    elif isinstance(value, int | float):
+        same = F.coalesce(said.try_cast("double") == float(value), F.lit(False))
+    else:
+        same = said == str(value)
+    return said.isNull() | same

@@ -53,6 +53,20 @@ class Completion(NamedTuple):
     predicate: str
 
 
+def echoes(said: str | None, value: object) -> bool:
+    """Whether an echoed literal equals the pattern's: numbers as numbers, truth values as such."""
+    if said is None:
+        return True
+    if isinstance(value, bool):
+        return said.lower() == str(value).lower()
+    if isinstance(value, int | float):
+        try:
+            return float(said) == float(value)
+        except ValueError:
+            return False
+    return said == str(value)
+
+
 @dataclass
 class Matcher:
     event: Event
@@ -155,7 +169,7 @@ class Matcher:
             else:
                 own[role] = who
         for argument, value in leaf.literals:
-            if argument in m.arguments and m.arguments[argument] != str(value):
+            if argument in m.arguments and not echoes(m.arguments[argument], value):
                 return None
             if argument == "minimum_confidence" and m.confidence < value:
                 return None
