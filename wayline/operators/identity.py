@@ -2,66 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.functions.vectors import cosine
+from wayline.functions.vectors import dot, normalized
+from wayline.operators.components import components
 from wayline.session import written
 
 
-def association_candidates(vectors: DataFrame, gap_us: int, least: float = 0.75) -> DataFrame:
+def association_candidates(vectors: DataFrame, gap_us: int | None, least: float = 0.75, pairs: list[tuple] | None = None) -> DataFrame:
     """Pairs (left_id, right_id, similarity) of vectors (object_id, source, t, model, vector) of different sources.
 
-    Times are at most gap_us apart: slots as wide make the time condition a join key.
+    Times are at most gap_us apart: slots as wide make the time condition a join key, and only one side is put into
+    the neighbouring slots. None is an open gap: all times of a model meet. pairs, if given, are the pairs of sources,
+    in either order, that may meet. Vectors are normalised once, before they are paired.
     """
-    slot = F.floor(F.col("t") / F.lit(gap_us + 1))
-    a = vectors.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("a")
-    b = vectors.withColumn("slot", slot).alias("b")
-    near = (F.abs(F.col("a.t") - F.col("b.t")) <= gap_us) & (F.col("a.source") < F.col("b.source")) & (F.col("a.object_id") != F.col("b.object_id"))
-    pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.model") == F.col("b.model")) & near)
-    rows = pairs.select(F.col("a.object_id").alias("left_id"), F.col("b.object_id").alias("right_id"), cosine(F.col("a.vector"), F.col("b.vector")).alias("similarity"))
-    return rows.where(F.col("similarity") >= least)
+    rows = vectors.select("object_id", "source", "t", "model", normalized(F.col("vector")).alias("unit"), F.size("vector").alias("n"))
+    rows = rows.where(F.coalesce(F.col("n") > 0, F.lit(False)))
+    keys, near = ["model", "n"], (F.col("a.source") < F.col("b.source")) & (F.col("a.object_id") != F.col("b.object_id"))
+    one = other = rows
+    if gap_us is not None:
+        slot = F.floor(F.col("t") / F.lit(gap_us + 1))
+        one = rows.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+        other, keys = rows.withColumn("slot", slot), [*keys, "slot"]
+        near &= F.abs(F.col("a.t") - F.col("b.t")) <= gap_us
+    if pairs is not None:
+        allowed = [F.col("a.source").eqNullSafe(F.lit(x)) & F.col("b.source").eqNullSafe(F.lit(y)) for p, q in pairs for x, y in ((p, q), (q, p))]
+        near &= reduce(lambda x, y: x | y, allowed, F.lit(False))
+    a, b = one.alias("a"), other.alias("b")
+    met = a.join(b, reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys), near))
+    found = met.select(F.col("a.object_id").alias("left_id"), F.col("b.object_id").alias("right_id"), dot(F.col("a.unit"), F.col("b.unit")).alias("similarity"))
+    return found.where(F.col("similarity") >= least)
 
 
 def one_to_one(candidates: DataFrame) -> DataFrame:
-    """Greedy choice by similarity, then ids: round by round, all pairs that are the best of both ends are taken."""
+    """Greedy choice by similarity, then ids: round by round, all pairs that are the best of both ends are taken.
+
+    An object is taken once on the left and once on the right.
+    """
     left = written(candidates.groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity")), "pairs")
     taken = None
     while left.take(1):
         order = [F.desc("similarity"), "left_id", "right_id"]
-        # an object may stand on either side
-        ends = left.withColumn("end", F.explode(F.array("left_id", "right_id")))
+        ends = left.withColumn("end", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left_id").alias("id")), F.struct(F.lit("r").alias("side"), F.col("right_id").alias("id")))))
         best = ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy(*order))).where("n = 1").groupBy("left_id", "right_id", "similarity").count().where("count = 2").drop("count")
         best = written(best, "chosen")
         taken = best if taken is None else taken.unionByName(best)
-        used = written(best.select(F.explode(F.array("left_id", "right_id")).alias("used")), "used")
-        free = left.join(used, left["left_id"] == used["used"], "left_anti").join(used, left["right_id"] == used["used"], "left_anti")
-        left = written(free, "pairs")
+        left = written(left.join(best.select("left_id"), "left_id", "left_anti").join(best.select("right_id"), "right_id", "left_anti").select(left.columns), "pairs")
     return candidates.limit(0).select("left_id", "right_id", "similarity") if taken is None else taken
 
 
 def identities(seen: DataFrame, associations: DataFrame) -> DataFrame:
     """(object_id, canonical_id, conflict): merged objects take the id of the one that was seen first.
 
-    seen has object_id, class, first_seen. A merge of different classes is marked as a conflict, not refused.
+    seen has object_id, class, first_seen. A merge of different classes is marked as a conflict, not refused. Objects are
+    numbered by their hashes for the components, which are joined to ids again; objects without links are on their own.
     """
-    ids = seen.select("object_id", "first_seen", "class")
-    label = written(ids.select("object_id", F.struct("first_seen", "object_id").alias("root")), "labels")
-    both = associations.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    edges = written(both.union(both.select("b", "a")).distinct(), "edges")
-    while True:
-        heard = edges.join(label, edges["b"] == label["object_id"]).groupBy("a").agg(F.min("root").alias("heard"))
-        # the least root of the neighbours, and what that root itself has found since
-        near = label.join(heard, label["object_id"] == heard["a"], "left").select("object_id", F.least("root", F.coalesce("heard", "root")).alias("root"))
-        jump = label.select(F.col("object_id").alias("via"), F.col("root").alias("far"))
-        new = written(near.join(jump, F.col("root.object_id") == F.col("via"), "left").select("object_id", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        if not new.join(label.withColumnRenamed("root", "old"), "object_id").where("root <> old").take(1):
-            break
-        label = new
-    named = new.select("object_id", F.col("root.object_id").alias("canonical_id")).join(ids, "object_id")
-    kinds = named.groupBy("canonical_id").agg((F.count_distinct("class") > 1).alias("conflict"))
-    return named.select("object_id", "canonical_id").join(kinds, "canonical_id").select("object_id", "canonical_id", "conflict")
+    number = F.xxhash64(F.col("object_id").cast("string"))
+    ids = seen.select("object_id", "first_seen", "class", number.alias("id"))
+    edges = associations.select(F.xxhash64(F.col("left_id").cast("string")).alias("a"), F.xxhash64(F.col("right_id").cast("string")).alias("b"))
+    # objects that are linked but were never seen have no part in naming
+    named = written(ids.join(written(components(edges), "objects"), "id", "left").withColumn("group", F.coalesce("component", "id")), "grouped")
+    groups = named.groupBy("group").agg(F.min(F.struct("first_seen", "object_id")).alias("root"), (F.count_distinct("class") > 1).alias("conflict"))
+    return named.join(groups, "group").select("object_id", F.col("root.object_id").alias("canonical_id"), "conflict")
 
 
 def recanonicalised(completions: DataFrame, roles: list[str], names: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from math import hypot, sqrt
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us:
                 a = active[i] = {"last": x, "came": None, "missing": None}
                 cx, cy = _centre(x)
                 size = lambda y: max(y["x2"] - y["x1"], y["y2"] - y["y1"])
-                replaces = any(o["last"]["class"] == x["class"] and hypot(cx - _centre(o["last"])[0], cy - _centre(o["last"])[1]) <= max(size(x), size(o["last"])) for o in lost)
+                replaces = any(o["last"]["class"].lower() == x["class"].lower() and hypot(cx - _centre(o["last"])[0], cy - _centre(o["last"])[1]) <= max(size(x), size(o["last"])) for o in lost)
                 if state["begun"] and not replaces:
                     a["came"] = (cx, cy, max(5.0, 0.25 * min(x["x2"] - x["x1"], x["y2"] - x["y1"])))
             a["last"], a["missing"] = x, None
@@ -119,7 +121,11 @@ def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us:
 
 
 def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m: float = 2.0, apart_m: float = 5.0, moving_mps: float = 0.75, stopped_us: int = SECOND // 2, wait_us: int = 8 * SECOND) -> DataFrame:
-    """boards: a person vanishes by a vehicle that then leaves. disembarks: one appears by a stopped vehicle, then parts."""
+    """boards: a person vanishes by a vehicle that then leaves. disembarks: one appears by a stopped vehicle, then parts.
+
+    A person is a candidate for one vehicle at a time, the one that was nearest last.
+    """
+    nearest = lambda p, among: min(((_metres(p, c), i) for i, c in among.items()), default=None)
 
     def step(state: dict, row: Any) -> list[tuple]:
         now, out = _objects(row), []
@@ -133,88 +139,117 @@ def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m
                 stopped.setdefault(i, row.t)
             else:
                 stopped.pop(i, None)
-        nearest = lambda p, among: min(((_metres(p, c), i) for i, c in among.items()), default=None)
-        if state["begun"]:
-            for i, p in people.items():
-                if i not in state["people"] and (by := nearest(p, cars)) and by[0] <= close_m and row.t - stopped.get(by[1], row.t) >= stopped_us:
-                    state["off"][i, by[1]] = row.t
-            for i, p in state["people"].items():
-                if i not in people and (by := nearest(p, state["cars"])) and by[0] <= close_m:
-                    state["on"][i, by[1]] = (state["t"], state["cars"][by[1]], p)
-        for (i, c), t in list(state["off"].items()):
+        tell = lambda what, sure, i, c: (row.t, what, row.source, float(min(max(sure, 0.0), 1.0)), "tracks", {"person": i, "vehicle": c}, {"person": "person", "vehicle": "vehicle"})
+        for i, p in people.items():
+            if i not in state["people"] and (by := nearest(p, cars)) and by[0] <= close_m and by[1] in stopped and row.t - stopped[by[1]] >= stopped_us:
+                state["off"][i] = (by[1], row.t)
+        for i, p in state["people"].items():
+            if i not in people and (by := nearest(p, state["cars"])) and by[0] <= close_m:
+                state["on"][i] = (by[1], state["t"], state["cars"][by[1]])
+        for i, (c, t) in list(state["off"].items()):
             if row.t - t > wait_us:
-                del state["off"][i, c]
+                del state["off"][i]
             elif i in people and c in cars and _metres(people[i], cars[c]) >= apart_m:
-                del state["off"][i, c]
+                del state["off"][i]
                 if ("off", i, c) not in state["told"]:
                     state["told"].add(("off", i, c))
-                    out.append(_match(row, "disembarks", cars[c]["confidence"], person=people[i], vehicle=cars[c]))
-        for (i, c), (t, then, p) in list(state["on"].items()):
+                    out.append(tell("disembarks", min(people[i]["confidence"], cars[c]["confidence"]), i, c))
+        for i, (c, t, then) in list(state["on"].items()):
             if row.t - t > wait_us:
-                del state["on"][i, c]
+                del state["on"][i]
             elif c in cars and (_moved(then, cars[c]) >= leave_m or (_speed(cars[c]) or 0.0) > moving_mps):
-                del state["on"][i, c]
+                del state["on"][i]
                 if ("on", i, c) not in state["told"]:
                     state["told"].add(("on", i, c))
-                    out.append(_match(row, "boards", cars[c]["confidence"], person=p, vehicle=cars[c]))
-        state.update(people=people, cars=cars, t=row.t, begun=True)
+                    out.append(tell("boards", cars[c]["confidence"], i, c))
+        state.update(people=people, cars=cars, t=row.t)
         return out
 
-    start = lambda: {"people": {}, "cars": {}, "stopped": {}, "on": {}, "off": {}, "told": set(), "t": None, "begun": False}
+    start = lambda: {"people": {}, "cars": {}, "stopped": {}, "on": {}, "off": {}, "told": set(), "t": None}
     return fold(framed(tracks, frames), "source", ["t"], start, step, MATCHES)
 
 
+def _position(a: dict) -> tuple[float, float]:
+    return (a["world_x"], a["world_y"]) if _known(a.get("world_x")) else _centre(a)
+
+
 def _moved(then: dict, now: dict) -> float:
-    return _metres(then, now)
+    """How far an object has come: in the world, or by the width of its present box."""
+    (ax, ay), (bx, by) = _position(then), _position(now)
+    raw = hypot(ax - bx, ay - by)
+    return raw if _known(now.get("world_x")) else raw / max(now["x2"] - now["x1"], 1.0) * _width(now)
 
 
 def transfers(tracks: DataFrame, frames: DataFrame, close_m: float = 1.5, stable_us: int = SECOND, forget_us: int = 5 * SECOND) -> DataFrame:
-    """Custody of items: a new nearest holder, stable for stable_us, takes over from the old one."""
+    """Custody of items: a new nearest holder, in a later frame still the nearest and for stable_us at least, takes over.
+
+    Custody of an item out of view is forgotten forget_us after it was last confirmed.
+    """
 
     def step(state: dict, row: Any) -> list[tuple]:
         now, out = _objects(row), []
         holders = {i: x for i, x in now.items() if _is(x, ("person", *VEHICLES))}
         for i, item in ((i, x) for i, x in now.items() if _is(x, PACKAGES)):
-            own = state.setdefault(i, {"pending": None, "held": None, "seen": row.t})
-            own["seen"] = row.t
+            own = state.setdefault(i, {"pending": None, "held": None})
             by = min(((_metres(item, h), k) for k, h in holders.items()), default=None)
             if by is None or by[0] > close_m:
                 own["pending"] = None
                 continue
             if own["pending"] is None or own["pending"][0] != by[1]:
                 own["pending"] = (by[1], row.t)
+                continue
             if row.t - own["pending"][1] < stable_us:
                 continue
             holder = holders[by[1]]
             sure = min(item["confidence"], holder["confidence"], min(max(0.55 + 0.45 * (1 - by[0] / close_m), 0.0), 1.0))
             if own["held"] is not None and own["held"][0]["object_id"] != by[1]:
                 out.append(_match(row, "transfer", min(own["held"][1], sure), item=item, giver=own["held"][0], receiver=holder))
-            own["held"] = (holder, sure)
-        for i in [i for i, own in state.items() if i not in now and row.t - own["seen"] > forget_us]:
+            own["held"] = (holder, sure, row.t)
+        for i in [i for i, own in state.items() if i not in now and (own["held"] is None and own["pending"] is None or own["held"] is not None and row.t - own["held"][2] > forget_us)]:
             del state[i]
         return out
 
     return fold(framed(tracks, frames), "source", ["t"], dict, step, MATCHES)
 
 
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of each box of a (x1, y1, x2, y2) with each of b; 0 where the union is empty."""
+    across = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
+    down = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    shared = across * down
+    whole = area(a)[:, None] + area(b)[None, :] - shared
+    return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
+
+
+def _boxes(rows: list[dict]) -> np.ndarray:
+    return np.array([(x["x1"], x["y1"], x["x2"], x["y2"]) for x in rows], dtype=np.float64).reshape(-1, 4)
+
+
 def track_objects(detections: DataFrame, least_iou: float = 0.25, most_missed: int = 5) -> DataFrame:
-    """Tracks from detection frames (source, t, detections): greedy best-overlap assignment within a class."""
-    schema = "source string, t long, object_id string, class string, confidence double, x1 double, y1 double, x2 double, y2 double, velocity_x double, velocity_y double, age int"
+    """Tracks from detection frames (source, t, detections): greedy best-overlap assignment within a class.
 
-    def overlap(a: dict, b: dict) -> float:
-        w = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]))
-        h = max(0.0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-        area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
-        whole = area(a) + area(b) - w * h
-        return w * h / whole if whole > 0 else 0.0
+    Of equal overlaps the newer track, then the later detection of the frame, comes first.
+    """
+    schema = "source string, t long, object_id string, class string, confidence double, x1 double, y1 double, x2 double, y2 double, velocity_x double, velocity_y double, age int"
 
     def step(state: dict, row: Any) -> list[tuple]:
         seen = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in row.detections]
-        tracks = state["tracks"]
-        scored = sorted(((overlap(tr, d), i, k) for i, tr in tracks.items() for k, d in enumerate(seen) if tr["class"].lower() == d["class"].lower()), reverse=True)
+        tracks, kinds = state["tracks"], {}
+        for k, d in enumerate(seen):
+            kinds.setdefault(d["class"].lower(), ([], []))[1].append(k)
+        for i, tr in tracks.items():
+            if tr["class"].lower() in kinds:
+                kinds[tr["class"].lower()][0].append(i)
+        scored = []
+        for ours, theirs in kinds.values():
+            if ours:
+                score = overlaps(_boxes([tracks[i] for i in ours]), _boxes([seen[k] for k in theirs]))
+                at, spot = np.nonzero(score >= least_iou)
+                scored += zip(score[at, spot].tolist(), [ours[x] for x in at], [theirs[x] for x in spot], strict=True)
         taken, used, out = set(), set(), []
-        for score, i, k in scored:
-            if score < least_iou or i in taken or k in used:
+        for _, i, k in sorted(scored, reverse=True):
+            if i in taken or k in used:
                 continue
             taken.add(i)
             used.add(k)
@@ -226,42 +261,38 @@ def track_objects(detections: DataFrame, least_iou: float = 0.25, most_missed: i
         for k, d in enumerate(seen):
             if k not in used:
                 state["n"] += 1
-                taken.add(i := f"{row.source}:track_{state['n']}")
-                tracks[i] = dict(d, t=row.t, missed=0, age=1, v=(None, None))
+                taken.add(state["n"])
+                tracks[state["n"]] = dict(d, t=row.t, missed=0, age=1, v=(None, None))
         for i in [i for i in tracks if i not in taken]:
             tracks[i]["missed"] += 1
             if tracks[i]["missed"] > most_missed:
                 del tracks[i]
         for i in sorted(taken):
             x = tracks[i]
-            out.append((row.source, row.t, i, x["class"], x["confidence"], x["x1"], x["y1"], x["x2"], x["y2"], *x["v"], x["age"]))
+            out.append((row.source, row.t, f"{row.source}:track_{i}", x["class"], x["confidence"], x["x1"], x["y1"], x["x2"], x["y2"], *x["v"], x["age"]))
         return out
 
     return fold(detections, "source", ["t"], lambda: {"tracks": {}, "n": 0}, step, schema)
 
 
 def suppressed_boxes(detections: DataFrame, most_iou: float = 0.45) -> DataFrame:
-    """Non-maximum suppression per frame and class of rows (source, t, class, confidence, x1, y1, x2, y2)."""
-    from pyspark.sql.types import StructType
-
-    schema: StructType = detections.schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        boxes = frame.sort_values(["confidence", "x1", "y1"], ascending=[False, True, True]).reset_index(drop=True)
-        for k, b in boxes.iterrows():
-            if all(boxes["class"][j] != b["class"] or _iou(boxes.iloc[j], b) <= most_iou for j in kept):
-                kept.append(k)
-        return boxes.iloc[kept]
-
-    return detections.groupBy("source", "t").applyInPandas(run, schema)
-
-
-def _iou(a: Any, b: Any) -> float:
-    w = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]))
-    h = max(0.0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-    whole = (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - w * h
-    return w * h / whole if whole > 0 else 0.0
+    """Non-maximum suppression per frame and class of rows (source, t, class, confidence, x1, y1, x2, y2).
+
+    The surest box of a class stays and those that overlap it by more than most_iou go, and so on with the rest.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda name: np.array(table.column(name).to_pylist())
+        boxes, kinds = np.stack([column(c).astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1), column("class")
+        left = np.lexsort((boxes[:, 1], boxes[:, 0], -column("confidence").astype(float)))
+        kept = []
+        while len(left):
+            best, left = left[0], left[1:]
+            kept.append(best)
+            left = left[(kinds[left] != kinds[best]) | (overlaps(boxes[best : best + 1], boxes[left])[0] <= most_iou)]
+        return table.take(pa.array(sorted(kept)))
+
+    return detections.groupBy("source", "t").applyInArrow(run, detections.schema)
 
 
 # Threshold, refractory time and label aliases of the audio classes.
