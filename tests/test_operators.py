@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import struct
 import wave
 
@@ -85,13 +86,58 @@ def test_tracker(spark):
     schema = "source string, t long, detections array<struct<class:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
     df = spark.createDataFrame([("c", 0, [box(0.0), box(100.0)]), ("c", S, [box(2.0), box(101.0)]), ("c", 2 * S, [])] + [("c", k * S, []) for k in range(3, 9)] + [("c", 9 * S, [box(2.0)])], schema)
     got = {(r.t // S, r.object_id): (r.age, r.velocity_x) for r in sequential.track_objects(df).collect()}
-    assert got == {(0, "c:track_1"): (1, None), (0, "c:track_2"): (1, None), (1, "c:track_1"): (2, 2.0), (1, "c:track_2"): (2, 1.0), (9, "c:track_3"): (1, None)} or len(got) == 5
+    assert got == {(0, "c:track_1"): (1, None), (0, "c:track_2"): (1, None), (1, "c:track_1"): (2, 2.0), (1, "c:track_2"): (2, 1.0), (9, "c:track_3"): (1, None)}
+
+
+def iou(a, b):
+    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+    return w * h / whole if whole else 0.0
+
+
+def test_the_tracker_box_by_box(spark):
+    """Against the rule told plainly: over ten tracks, many ties."""
+    dice = random.Random(4)
+    frames_ = [("c", k * S, [("car" if dice.random() < 0.7 else "bus", 0.9, x := 10.0 * dice.randint(0, 12), 0.0, x + 20.0, 20.0) for _ in range(dice.randint(0, 14))]) for k in range(40)]
+    known, n, want = {}, 0, []
+    for _, t, boxes in frames_:
+        pairs = sorted(((iou(b[1], d[2:]), i, k) for i, b in known.items() for k, d in enumerate(boxes) if b[0] == d[0] and iou(b[1], d[2:]) >= 0.25), reverse=True)
+        took, used = {}, set()
+        for _, i, k in pairs:
+            if i not in took and k not in used:
+                took[i] = k
+                used.add(k)
+        for i, k in took.items():
+            known[i] = [boxes[k][0], boxes[k][2:], 0, known[i][3] + 1]
+        for k, d in enumerate(boxes):
+            if k not in used:
+                n += 1
+                took[n], known[n] = k, [d[0], d[2:], 0, 1]
+        want += [(t, f"c:track_{i}", known[i][0], known[i][1][0], known[i][3]) for i in took]
+        for i in [i for i in known if i not in took]:
+            known[i][2] += 1
+            if known[i][2] > 5:
+                del known[i]
+    schema = "source string, t long, detections array<struct<class:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
+    got = [(r.t, r.object_id, r["class"], r.x1, r.age) for r in sequential.track_objects(spark.createDataFrame(frames_, schema)).collect()]
+    assert sorted(got) == sorted(want) and n > 15
 
 
 def test_suppression_of_boxes(spark):
     rows = [("c", 0, "car", 0.9, 0.0, 0.0, 10.0, 10.0), ("c", 0, "car", 0.8, 1.0, 0.0, 11.0, 10.0), ("c", 0, "car", 0.7, 50.0, 0.0, 60.0, 10.0)]
     df = spark.createDataFrame(rows, "source string, t long, class string, confidence double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.confidence for r in sequential.suppressed_boxes(df).collect()) == [0.7, 0.9]
+    dice = random.Random(6)
+    rows = [("c", k // 30, dice.choice(["car", "bus"]), (conf := dice.random()), x := dice.uniform(0, 40), 0.0, x + 20, 20.0) for k in range(120)]
+    want = []
+    for t in range(4):
+        kept = []
+        for r in sorted((r for r in rows if r[1] == t), key=lambda r: -r[3]):
+            if all(r[2] != o[2] or iou(r[4:], o[4:]) <= 0.45 for o in kept):
+                kept.append(r)
+        want += kept
+    got = sequential.suppressed_boxes(spark.createDataFrame(rows, df.schema)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) < 120
 
 
 def test_audio(spark):
@@ -133,6 +179,30 @@ def test_identity(spark):
     assert named == {"a": ("x", True), "x": ("x", True), "y": ("x", True), "z": ("z", False)}
 
 
+def test_one_to_one_is_the_greedy_choice(spark):
+    dice = random.Random(3)
+    rows = [(a, b, dice.randint(1, 9) / 10) for a in range(14) for b in range(14) if a != b and dice.random() < 0.4]
+    left, right, want = set(), set(), []
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.append((a, b))
+    got = identity.one_to_one(spark.createDataFrame(rows, "left_id int, right_id int, similarity double")).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == sorted(want)
+    assert identity.one_to_one(spark.createDataFrame([], "left_id int, right_id int, similarity double")).count() == 0
+
+
+def test_exits_go_by_the_centre(spark):
+    """A wide box in the middle of the frame does not exit, a small one near a side does; confidence is the lesser one."""
+    times = [k * S for k in range(8)]
+    rows = [track(t, "wide", x=200.0, y=400.0, size=600.0) for t in times[:4]] + [track(t, "small", x=30.0, y=490.0) for t in times[:4]]
+    assert found(tracks.exits(spark.createDataFrame(rows, TRACK), frames(spark, times, 1000.0))) == [(6.0, "exits", "small")]
+    rows = [track(0, "a", conf=0.4), track(S, "a", x=140.0, conf=0.8)]
+    assert [r.confidence for r in tracks.moving(spark.createDataFrame(rows, TRACK)).collect()] == [0.4]
+    people = spark.createDataFrame([track(0, "p", "person", conf=0.9), track(0, "q", "Person", x=110.0, conf=0.8)], TRACK)
+    speech = spark.createDataFrame([("cam", 0, 2, "hello", 0.3), ("cam", 0, 1, "x", 0.1)], "source string, t long, speakers int, text string, confidence double")
+    assert {r.confidence for r in tracks.conversations(people, speech).collect()} == {0.3}
+
+
 @pytest.mark.parametrize("few", [8000, 0])
 def test_components(spark, few, monkeypatch):
     from wayline.operators import components as C
@@ -186,8 +256,22 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(frame))
     got = recordings.read_detections(spark, str(tmp_path / "d.json")).first()
     assert got.detections[0].x2 == 3 and got.frame_width == 10
+    (tmp_path / "odd.json").write_text(json.dumps(frame | {"surprise": 1}) + "\n")
+    (tmp_path / "odder.json").write_text(json.dumps(frame | {"detections": [frame["detections"][0] | {"mask": 1}]}) + "\n")
+    for name in ("odd", "odder"):
+        with pytest.raises(Exception, match="unknown fields: (surprise|mask)"):
+            recordings.read_detections(spark, str(tmp_path / f"{name}.json")).collect()
     with pytest.raises(ValueError):
         recordings.replay_sources(spark, {"version": 2})
+    manifest = {"version": 1, "replay_id": "r", "sources": [{"source_id": "c", "modality": "video", "segments": [{"path": "a.mp4", "event_time_start": "2024-10-08T15:08:23Z", "duration_seconds": 2.5}, {"path": "b.mp4", "event_time_start": "2024-10-08T17:08:26+02:00", "duration_seconds": 1.0}]}]}
+    got = recordings.replay_sources(spark, manifest).orderBy("path").collect()
+    assert [(r.path, str(r.event_time_start), r.duration_seconds) for r in got] == [("a.mp4", "2024-10-08 15:08:23", 2.5), ("b.mp4", "2024-10-08 15:08:26", 1.0)]
+    manifest["sources"][0]["segments"][0]["event_time_start"] = "2024-10-08T15:08:23"
+    with pytest.raises(ValueError, match="time zone"):
+        recordings.replay_sources(spark, manifest)
+    (tmp_path / "a+b (1)" / "mic").mkdir(parents=True)
+    (tmp_path / "a+b (1)" / "mic" / "20240101_120000.wav").write_bytes(b"x")
+    assert recordings.recordings(spark, str(tmp_path / "a+b (1)")).first().device == "mic"
 
 
 def test_completions_round_trip(spark, sf, tmp_path):
@@ -223,3 +307,49 @@ def test_progress(spark):
     rows = [(k, t * S, p, "s", 1.0, "t", {"object": "x"}, {}) for k, (t, p) in enumerate([(0, "a"), (1, "b"), (2, "a"), (9, "a")])]
     got = [(r.bindings, r.satisfied, r.completed, r.expired) for r in progress_by_key(event, spark.createDataFrame(rows, SCHEMA)).collect()]
     assert got == [("X=x", 1, 1, 1)]
+
+
+def test_catalogues(spark):
+    from wayline.plans.events import EventError, parse_event
+    from wayline.sources import catalogues as C
+
+    found = C.signatures({"version": 1, "predicates": {"waves": {"description": "d", "arguments": {"object": "visual_object", "level": {"type": "number", "required": False, "minimum": 0, "maximum": 1}}}}})
+    assert found == {"waves": "object: visual_object, level?: number 0..1"}
+    parse_event({"event": "e", "roles": {"X": {"class": "person"}}, "pattern": {"waves": {"object": "X", "level": 0.5}}}, found)
+    with pytest.raises(EventError, match="unknown type"):
+        C.signatures({"version": 1, "predicates": {"waves": {"arguments": {"object": "spirit"}}}})
+    document = {
+        "version": 1,
+        "label_spaces": {"few": {"labels": ["car", "stop sign", "backpack"]}},
+        "providers": {
+            "eye": {"kind": "visual_detector", "native_label_space": "few", "expose_native_labels_as_semantic_classes": True, "semantic_classes": {"package": ["backpack"]}, "inputs": ["frame"], "outputs": ["boxes"]},
+            "old_eye": {"kind": "visual_detector", "native_labels": ["car"], "semantic_classes": {"car": ["car"]}, "enabled": False},
+            "ear": {"kind": "predicate_implementation", "predicates": {"audio_event": {"semantic_literals": {"class": {"alarm": {"native_labels": ["Siren"]}}}}}},
+            "pair": {"kind": "predicate_implementation", "predicates": {"near": {"visual_arguments": {"object_a": "*", "object_b": ["car"]}}}},
+        },
+    }
+    tables = C.providers(spark, document)
+    assert [r.labels for r in C.detectors_of(tables, "stop_sign").collect()] == [["stop sign"]] and C.detectors_of(tables, "car").count() == 1
+    asked = lambda predicate, **arguments: [r.provider for r in C.implementers_of(tables, predicate, arguments).collect()]
+    assert asked("near", object_a="bus", object_b="car") == ["pair"] and asked("near", object_a="bus", object_b="bus") == [] and asked("audio_event", **{"class": "alarm"}) == ["ear"]
+    document["providers"]["eye"]["semantic_classes"]["x"] = ["tree"]
+    document["providers"]["pair"]["colour"] = 1
+    with pytest.raises(EventError) as e:
+        C.providers(spark, document)
+    assert "labels that it does not see" in str(e.value) and "unknown field 'colour'" in str(e.value)
+    assert C.inventory(spark, {"providers": {"eye": {"implementation": ["a", "b"], "status": "ok"}}}).first().implementations == ["a", "b"]
+    plan = {"version": 1, "nodes": {"s": {"cpu_free": 4}, "e": {}}, "sources": {"cam": {"node_id": "s", "data_type": "video"}}, "links": [{"source_node": "s", "destination_node": "e", "latency_ms": 2, "bandwidth_mbps": 10}, {"source_node": "e", "destination_node": "s"}]}
+    got = C.deployment(spark, plan)
+    assert {(r.src, r.dst): r.mbps for r in workload.shortest_paths(got["links"]).collect()} == {("s", "e"): 10.0, ("e", "s"): None} and got["nodes"].where("cpu = 4").count() == 1
+    with pytest.raises(EventError, match="declared"):
+        C.deployment(spark, plan | {"sources": {"cam": {"node_id": "nowhere", "data_type": "video"}}})
+
+
+def test_replay_subscription_and_records(spark):
+    a = spark.createDataFrame([(1, "x", ["s1"]), (5, "y", ["s1", "s2"])], "t long, type string, sources array<string>")
+    both = evidence.replayed({"one": a, "two": a.where("t = 1").withColumn("t", F.lit(3).cast("long"))})
+    assert [(r.t, r.stream) for r in both.collect()] == [(1, "one"), (3, "two"), (5, "one")]
+    assert [r.t for r in evidence.subscribed(both, ["x"]).collect()] == [1, 3] and [r.t for r in evidence.subscribed(both, sources=["s1"]).collect()] == [1, 3]
+    rows = spark.createDataFrame([("cam", 7, None), ("cam", 7, None), ("cam", 8, 1.5)], "source string, t long, level double")
+    kept = evidence.recorded(rows, "level").dropDuplicates(["record_id"]).orderBy("event_time").collect()
+    assert [(r.source_id, r.event_time, json.loads(r.payload)) for r in kept] == [("cam", 7, {"source": "cam", "t": 7, "level": None}), ("cam", 8, {"source": "cam", "t": 8, "level": 1.5})]

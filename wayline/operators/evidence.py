@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,11 @@ def gated(rows: DataFrame, level: Column, on: float, off: float, key: str = "sou
 
 
 def sampled(rows: DataFrame, per_second: float, key: str = "source") -> DataFrame:
-    """The first row of each key in each slot of 1 / per_second seconds (t in microseconds)."""
-    slot = F.floor(F.col("t") / (1_000_000 / per_second))
-    first = Window.partitionBy(key, "__slot").orderBy("t")
-    return rows.withColumn("__slot", slot).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__slot", "__n")
+    """Rows of each key at most so often: each is let through that comes 1 / per_second seconds (t in microseconds) or
+    more after the last one that was."""
+    from wayline.operators.sequential import suppressed_repeats
+
+    return suppressed_repeats(rows, key, round(1_000_000 / per_second))
 
 
 def tumbling(rows: DataFrame, samples: str, rate: int, window_ms: int = 1000) -> DataFrame:
@@ -108,3 +111,28 @@ def leading(candidates: DataFrame, total: int) -> DataFrame:
     share = F.col("satisfied") / total
     best = Window.partitionBy("event").orderBy(F.desc("fraction"), F.asc_nulls_last("completed_at"), "matched_at", "candidate")
     return candidates.withColumn("fraction", share).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+
+
+def replayed(streams: dict[str, DataFrame], time: str = "t") -> DataFrame:
+    """Several sources as one table in the order of event time, each row with the name of its stream."""
+    named = [df.withColumn("stream", F.lit(name)) for name, df in sorted(streams.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).orderBy(time, "stream")
+
+
+def subscribed(rows: DataFrame, kinds: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
+    """Rows (type, sources) that a subscriber gets: of the kinds asked for, and from no source but those allowed.
+
+    None asks for anything. A row from no source passes any list of sources.
+    """
+    fits = F.lit(True) if kinds is None else F.col("type").isin(kinds)
+    if sources is not None:
+        fits = fits & (F.size(F.array_except("sources", F.lit(sources).cast("array<string>"))) == 0)
+    return rows.where(fits)
+
+
+def recorded(rows: DataFrame, kind: str, source: str = "source", time: str = "t") -> DataFrame:
+    """Stream rows as evidence records (record_id, source_id, event_time, kind, payload): the payload is the row as JSON,
+    and the id a hash of all of it, so that a row recorded twice has one id. Works on streams too."""
+    payload = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    own = rows.select(F.col(source).cast("string").alias("source_id"), F.col(time).alias("event_time"), F.lit(kind).alias("kind"), payload.alias("payload"))
+    return own.select(F.sha2(F.concat_ws("|", "source_id", F.col("event_time").cast("string"), "kind", "payload"), 256).alias("record_id"), "*")

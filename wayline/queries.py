@@ -12,7 +12,8 @@ from wayline.operators import audio, evidence, identity, sequential, tracks, wor
 from wayline.operators.matching import match_by_key, occurrences, progress_by_key
 from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
-from wayline.session import table
+from wayline.session import scratch, table
+from wayline.sources import recordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,19 +121,108 @@ def matcher_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_by_key(event("seq_within_greedy", pattern), from_events(table(spark, sf_dir, "events")))
 
 
-@query("nested_all_by_key")
+# SQL of nested patterns: k orders events by time and arrival, and first() is the first event of a type in a range of it
+BILLION = 1_000_000_000
+KEYED = f"e AS (SELECT *, epoch_us(ts)::HUGEINT * {BILLION} + event_id AS k FROM events)"
+
+
+def _until(k: str, us: int) -> str:
+    """The first k that is more than so many microseconds after another's time."""
+    return f"({k} // {BILLION} + {us + 1}) * {BILLION}"
+
+
+def _first(kind: str, user: str | None, after: str, before: str) -> str:
+    who = f"q.user_id = {user} AND " if user else ""
+    return f"(SELECT MIN(q.k) FROM e q WHERE {who}q.event_type = '{kind}' AND q.k > {after} AND q.k < {before})"
+
+
+def _at(k: str) -> str:
+    return f"make_timestamp(CAST({k} // {BILLION} AS BIGINT))"
+
+
+MINUTES = 60_000_000
+_OF_U = "CAST(user_id AS VARCHAR) AS u"
+_NESTED = f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 24 * HOUR)} AS h FROM e WHERE event_type = 'signup'),
+    f AS (SELECT *, {_first("view", "s.user_id", "s.k", "s.h")} AS v, {_first("click", "s.user_id", "s.k", "s.h")} AS c FROM s),
+    viewed AS (SELECT *, least(h, {_until("v", 5 * MINUTES)}) AS w FROM f WHERE v IS NOT NULL AND (c IS NULL OR v < c)),
+    then_clicked AS (SELECT *, {_first("click", "x.user_id", "x.v", "x.w")} AS c2 FROM viewed x),
+    clicked AS (SELECT *, {_first("view", "x.user_id", "x.c", "x.h")} AS v2, {_first("purchase", "x.user_id", "x.c", "x.h")} AS p FROM f x WHERE c IS NOT NULL AND (v IS NULL OR c < v)),
+    done AS (SELECT ts, user_id, {_first("purchase", "x.user_id", "x.c2", "x.w")} AS d FROM then_clicked x
+      UNION ALL SELECT ts, user_id, {_first("purchase", "x.user_id", "x.v2", "least(x.h, " + _until("x.v2", 5 * MINUTES) + ")")} AS d FROM clicked x WHERE v2 IS NOT NULL AND (p IS NULL OR v2 < p)
+      UNION ALL SELECT ts, user_id, {_first("view", "x.user_id", "x.p", "least(x.h, " + _until("x.p", 5 * MINUTES) + ")")} AS d FROM clicked x WHERE p IS NOT NULL AND (v2 IS NULL OR p < v2))
+    SELECT 'nested_all' AS event, ts AS matched_at, {_at("d")} AS completed_at, 'cam' || (user_id % 4) AS matched_source, 'signup' AS predicate, {_OF_U} FROM done WHERE d IS NOT NULL"""
+_USERS = lambda *kinds: [{k: {"object": "U"}} for k in kinds]
+_NESTED_ALL = {"seq": [*_USERS("signup"), {"within": {"max": "24h", "pattern": {"all": [*_USERS("view"), {"seq": _USERS("click", "purchase")}]}}}]}
+
+
+@query("nested_all_by_key", _NESTED)
 def nested_all_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operators nested in all have no plan of joins: evaluated per user."""
-    of = lambda x: {x: {"object": "U"}}
-    pattern = {"seq": [of("signup"), {"within": {"max": "24h", "pattern": {"all": [of("view"), {"seq": [of("click"), of("purchase")]}]}}}]}
-    return match_by_key(event("nested_all", pattern), from_events(table(spark, sf_dir, "events")))
+    """Operators nested in all, by the exact matcher for each user."""
+    return match_by_key(event("nested_all", _NESTED_ALL), from_events(table(spark, sf_dir, "events")))
+
+
+@query("nested_all", _NESTED)
+def nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a plan of joins."""
+    return occurrences(event("nested_all", _NESTED_ALL), from_events(table(spark, sf_dir, "events")))
+
+
+@query(
+    "convoy",
+    f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 6 * HOUR)} AS h FROM e WHERE event_type = 'signup'),
+    x AS (SELECT *, {_first("view", "s.user_id", "s.k", "s.h")} AS v FROM s), pair AS (SELECT x.ts, x.user_id, x.v, x.h, y.user_id AS other, y.k AS y FROM x JOIN s y ON y.user_id <> x.user_id AND y.k > x.k AND y.k < x.h WHERE v IS NOT NULL),
+    done AS (SELECT *, {_first("view", "pair.other", "pair.y", "pair.h")} AS w FROM pair)
+    SELECT 'convoy' AS event, ts AS matched_at, {_at("MIN(greatest(v, w))")} AS completed_at, 'cam' || (user_id % 4) AS matched_source, 'signup' AS predicate, {_OF_U}, CAST(other AS VARCHAR) AS v
+    FROM done WHERE abs(v // {BILLION} - w // {BILLION}) <= {5 * MINUTES} GROUP BY ts, user_id, other""",
+)
+def convoy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A convoy's shape: one comes, and while it stays and goes another does. Candidates live for six hours."""
+    pattern = {"seq": [{"signup": {"object": "U"}}, {"all": [{"view": {"object": "U"}}, {"seq": [{"signup": {"object": "V"}}, {"view": {"object": "V"}}]}]}]}
+    return occurrences(event("convoy", pattern), from_events(table(spark, sf_dir, "events")), horizon_ms=6 * HOUR // 1000)
+
+
+@query(
+    "rendezvous",
+    f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 10 * MINUTES)} AS h FROM e WHERE event_type = 'signup'),
+    met AS (SELECT s.event_id, s.ts, s.user_id, s.h, p.user_id AS v, MIN(p.k) FILTER (p.event_type = 'click') AS c, MIN(p.k) FILTER (p.event_type = 'view') AS b FROM s JOIN e p ON p.user_id <> s.user_id AND p.event_type IN ('click', 'view') AND p.k > s.k AND p.k < s.h GROUP BY ALL),
+    held AS (SELECT *, {_first("view", "met.v", _until("met.b", 2 * MINUTES - 1), "met.h")} AS f FROM met), anyway AS (SELECT *, least(coalesce(c, f), coalesce(f, c)) AS a FROM held)
+    SELECT 'rendezvous' AS event, x.ts AS matched_at, {_at("MIN(d.k)")} AS completed_at, 'cam' || (x.user_id % 4) AS matched_source, 'signup' AS predicate, CAST(x.user_id AS VARCHAR) AS u, CAST(v AS VARCHAR) AS v, CAST(d.user_id AS VARCHAR) AS w
+    FROM anyway x JOIN e d ON d.event_type = 'purchase' AND d.user_id <> x.user_id AND d.user_id <> x.v AND d.k > x.a AND d.k < x.h GROUP BY x.event_id, x.ts, x.user_id, v, d.user_id""",
+)
+def rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendezvous' shape: one comes, a second is sustained or acts, a third leaves; no roles in common, ten minutes in all."""
+    second = {"any": [{"for": {"duration": "2m", "pattern": {"view": {"object": "V"}}}}, {"click": {"object": "V"}}]}
+    pattern = {"seq": [{"signup": {"object": "U"}}, second, {"purchase": {"object": "W"}}]}
+    return occurrences(event("rendezvous", pattern), from_events(table(spark, sf_dir, "events")), horizon_ms=10 * MINUTES // 1000)
+
+
+@query(
+    "alarm_after_meeting",
+    f"""WITH {KEYED}, pair AS (SELECT a.user_id AS u, b.user_id AS v, least(a.k, b.k) AS s, greatest(a.k, b.k) AS m, CASE WHEN a.k < b.k THEN a.user_id ELSE b.user_id END AS who, CASE WHEN a.k < b.k THEN 'signup' ELSE 'purchase' END AS predicate FROM e a JOIN e b
+      ON a.event_type = 'signup' AND b.event_type = 'purchase' AND a.user_id <> b.user_id AND b.ts BETWEEN a.ts - INTERVAL 5 MINUTE AND a.ts + INTERVAL 5 MINUTE),
+    x AS (SELECT *, {_until("s", 4 * HOUR)} AS h FROM pair), y AS (SELECT *, {_first("error", None, "x.m", "x.h")} AS a FROM x), z AS (SELECT *, {_first("view", "y.u", "y.a", "least(y.h, " + _until("y.a", 2 * HOUR) + ")")} AS d FROM y WHERE a IS NOT NULL)
+    SELECT 'alarm_after_meeting' AS event, {_at("s")} AS matched_at, {_at("MIN(d)")} AS completed_at, 'cam' || (who % 4) AS matched_source, predicate, CAST(u AS VARCHAR) AS u, CAST(v AS VARCHAR) AS v FROM z WHERE d IS NOT NULL GROUP BY s, who, predicate, u, v""",
+)
+def alarm_after_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robbery's shape: two are there, an alarm without any object, then one of the two acts; four hours in all."""
+    rows = from_events(table(spark, sf_dir, "events"))
+    alarm = F.col("predicate") == "error"
+    rows = rows.withColumn("arguments", F.when(alarm, F.create_map(F.lit("class"), F.lit("alarm"))).otherwise(F.col("arguments"))).withColumn("predicate", F.when(alarm, "alarm").otherwise(F.col("predicate")))
+    pattern = {"seq": [{"all": [{"signup": {"object": "U"}}, {"purchase": {"object": "V"}}]}, {"alarm": {"class": "alarm"}}, {"within": {"max": "2h", "pattern": {"view": {"object": "U"}}}}]}
+    found = parse_event({"event": "alarm_after_meeting", "roles": {r: {"class": "user"} for r in "UV"}, "pattern": pattern}, USER | {"alarm": "class: audio_class"}, None)
+    return occurrences(found, rows, horizon_ms=4 * HOUR // 1000)
 
 
-@query("progress")
+_WAITING = f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 48 * HOUR)} AS h FROM e WHERE event_type = 'signup'), f AS (SELECT *, {_first("error", "s.user_id", "s.k", "s.h")} AS x FROM s), g AS (SELECT *, {_first("purchase", "f.user_id", "f.x", "f.h")} AS p FROM f),
+    last AS (SELECT user_id, MAX(k) AS l FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY 1), r AS (SELECT g.*, p IS NULL AND l < h AS waits, p IS NULL AND l >= h AS late FROM g JOIN last USING (user_id)),
+    n AS (SELECT *, COUNT(*) FILTER (p IS NOT NULL) OVER w AS completed, COUNT(*) FILTER (late) OVER w AS expired FROM r WINDOW w AS (PARTITION BY user_id))
+    SELECT CAST(user_id AS VARCHAR) AS key, ts AS matched_at, 'U=' || user_id AS bindings, CAST(1 + (x IS NOT NULL)::INT AS INT) AS satisfied, (1 + (x IS NOT NULL)::INT) / 3 AS fraction, CAST(completed AS INT) AS completed, CAST(expired AS INT) AS expired, CAST(0 AS INT) AS late FROM n WHERE waits"""
+
+
+@query("progress", _WAITING)
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open candidates of signup, then error and purchase, per user."""
-    of = lambda x: {x: {"object": "U"}}
-    pattern = {"seq": [of("signup"), {"within": {"max": "48h", "pattern": {"seq": [of("error"), of("purchase")]}}}]}
+    pattern = {"seq": [*_USERS("signup"), {"within": {"max": "48h", "pattern": {"seq": _USERS("error", "purchase")}}}]}
     return progress_by_key(event("progress", pattern), from_events(table(spark, sf_dir, "events")))
 
 
@@ -166,10 +256,11 @@ def user_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hour_frames(found: DataFrame) -> DataFrame:
-    """Every hour that any source saw, for each of the four sources."""
+def hour_frames(found: DataFrame, size: tuple[float, float] | None = None) -> DataFrame:
+    """Every hour that any source saw, for each of the four sources; with a frame size if one is given."""
     sources = F.array(*(F.lit(f"cam{k}") for k in range(4)))
-    return found.select("t").distinct().select(F.explode(sources).alias("source"), "t")
+    frames = found.select("t").distinct().select(F.explode(sources).alias("source"), "t")
+    return frames if size is None else frames.withColumns({"frame_width": F.lit(size[0]), "frame_height": F.lit(size[1])})
 
 
 def _flat(rows: DataFrame, *arguments: str) -> DataFrame:
@@ -187,21 +278,37 @@ def present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(tracks.present(found, hour_frames(found), 5 * HOUR), "object")
 
 
+GONE = """gone AS (SELECT s.source, s.object_id, s.t, MIN(f.t) AS gone FROM numbered s JOIN frames f ON f.source = s.source AND f.t >= s.after + 18000000000
+      AND (s.again IS NULL OR f.t < s.again) WHERE s.again IS NULL OR s.again > s.after GROUP BY s.source, s.object_id, s.t)"""
+
+
 @query(
     "exits",
-    f"""WITH {TRACKS}{EPISODES}, spans AS (SELECT *, MIN(t) OVER (PARTITION BY source, object_id, episode) AS since FROM numbered)
-    SELECT g.gone AS t, 'exits' AS predicate, s.source, s.confidence, s.object_id AS object FROM spans s JOIN (SELECT s.source, s.object_id, s.t, MIN(f.t) AS gone FROM spans s JOIN frames f ON f.source = s.source AND f.t >= s.after + 18000000000
-      AND (s.again IS NULL OR f.t < s.again) WHERE s.again IS NULL OR s.again > s.after GROUP BY s.source, s.object_id, s.t) g ON g.source = s.source AND g.object_id = s.object_id AND g.t = s.t WHERE s.t - s.since >= 3600000000""",
+    f"""WITH {TRACKS}{EPISODES}, {GONE}, spans AS (SELECT *, MIN(t) OVER (PARTITION BY source, object_id, episode) AS since, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM numbered)
+    SELECT g.gone AS t, 'exits' AS predicate, s.source, s.confidence, s.object_id AS object FROM spans s JOIN gone g ON g.source = s.source AND g.object_id = s.object_id AND g.t = s.t
+    WHERE s.t - s.since >= 3600000000 AND CASE WHEN least(cx, 960 - cx) <= least(cy, 560 - cy) THEN least(cx, 960 - cx) <= 240 ELSE least(cy, 560 - cy) <= 140 END""",
 )
 def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = user_tracks(spark, sf_dir)
-    return _flat(tracks.exits(found, hour_frames(found), 5 * HOUR, HOUR), "object")
+    return _flat(tracks.exits(found, hour_frames(found, (960.0, 560.0)), 5 * HOUR, HOUR), "object")
+
+
+@query(
+    "enters",
+    f"""WITH {TRACKS}{EPISODES}, {GONE}, fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, object_id, episode ORDER BY t) AS n FROM numbered) WHERE n = 1 AND t > (SELECT MIN(f.t) FROM frames f)),
+    held AS (SELECT s.*, g.gone FROM numbered s LEFT JOIN gone g ON g.source = s.source AND g.object_id = s.object_id AND g.t = s.t)
+    SELECT x.t, 'enters' AS predicate, x.source, x.confidence, x.object_id AS object FROM fresh x WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.source = x.source AND o.object_id <> x.object_id AND o.class = x.class AND o.t < x.t AND (o.again IS NULL OR o.again > x.t) AND (o.gone IS NULL OR o.gone >= x.t)
+      AND sqrt(((x.x1 + x.x2) / 2 - (o.x1 + o.x2) / 2) * ((x.x1 + x.x2) / 2 - (o.x1 + o.x2) / 2) + ((x.y1 + x.y2) / 2 - (o.y1 + o.y2) / 2) * ((x.y1 + x.y2) / 2 - (o.y1 + o.y2) / 2)) <= greatest(x.x2 - x.x1, x.y2 - x.y1, o.x2 - o.x1, o.y2 - o.y1))""",
+)
+def enters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    return _flat(sequential.enters(found, hour_frames(found), absence_us=5 * HOUR), "object")
 
 
 @query(
     "moving",
-    f"""WITH {TRACKS}, m AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, lag(t) OVER o AS wt, lag((x1 + x2) / 2) OVER o AS wx, lag((y1 + y2) / 2) OVER o AS wy, lag(x2 - x1) OVER o AS ww FROM tracks WINDOW o AS (PARTITION BY source, object_id ORDER BY t))
-    SELECT t, 'moving' AS predicate, source, confidence, object_id AS object FROM m WHERE t - wt >= 200000 AND sqrt((cx - wx) * (cx - wx) + (cy - wy) * (cy - wy)) / greatest((x2 - x1 + ww) / 2, 1.0) / ((t - wt) / 1000000) >= 0.0005""",
+    f"""WITH {TRACKS}, m AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, lag(t) OVER o AS wt, lag((x1 + x2) / 2) OVER o AS wx, lag((y1 + y2) / 2) OVER o AS wy, lag(x2 - x1) OVER o AS ww, lag(confidence) OVER o AS wc FROM tracks WINDOW o AS (PARTITION BY source, object_id ORDER BY t))
+    SELECT t, 'moving' AS predicate, source, least(confidence, wc) AS confidence, object_id AS object FROM m WHERE t - wt >= 200000 AND sqrt((cx - wx) * (cx - wx) + (cy - wy) * (cy - wy)) / greatest((x2 - x1 + ww) / 2, 1.0) / ((t - wt) / 1000000) >= 0.0005""",
 )
 def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(tracks.moving(user_tracks(spark, sf_dir), least_widths=0.0005), "object")
@@ -236,21 +343,55 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.interactions(user_tracks(spark, sf_dir), 20.0)
 
 
-@query("conversations", f"WITH {TRACKS}, speech AS (SELECT source, t FROM tracks GROUP BY source, t HAVING COUNT(DISTINCT class) >= 2) SELECT a.t, 'conversation' AS predicate, a.source, least(a.confidence, b.confidence) AS confidence, a.object_id AS participant_a, b.object_id AS participant_b FROM tracks a JOIN tracks b ON {PAIR} AND a.class = 'person' AND b.class = 'person' JOIN speech ON speech.source = a.source AND speech.t = a.t WHERE {METRES} <= 2.5")
+@query("conversations", f"WITH {TRACKS}, speech AS (SELECT source, t, MIN(x1 / 900) AS sure FROM tracks GROUP BY source, t HAVING COUNT(DISTINCT class) >= 2) SELECT a.t, 'conversation' AS predicate, a.source, least(a.confidence, b.confidence, sure) AS confidence, a.object_id AS participant_a, b.object_id AS participant_b FROM tracks a JOIN tracks b ON {PAIR} AND a.class = 'person' AND b.class = 'person' JOIN speech ON speech.source = a.source AND speech.t = a.t WHERE {METRES} <= 2.5")
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = user_tracks(spark, sf_dir)
-    speech = found.groupBy("source", "t").agg(F.count_distinct("class").alias("speakers"), F.lit("any words").alias("text"))
+    speech = found.groupBy("source", "t").agg(F.count_distinct("class").alias("speakers"), F.lit("any words").alias("text"), F.min(F.col("x1") / 900).alias("confidence"))
     return _flat(tracks.conversations(found, speech, required_terms="Words, any"), "participant_a", "participant_b")
 
 
 # hours stand for frames here, so the waits are hours too
-SCALED = {
-    "enters": {"absence_us": 5 * HOUR},
-    "boarding": {"close_m": 12.0, "moving_mps": 1.0, "stopped_us": 0, "wait_us": 48 * HOUR},
-    "transfers": {"close_m": 40.0, "stable_us": 0, "forget_us": 200 * HOUR},
-}
-for _name, _settings in SCALED.items():
-    QUERIES[_name] = lambda spark, sf_dir, f=getattr(sequential, _name), k=_settings: (lambda found: f(found, hour_frames(found), **k).drop("classes"))(user_tracks(spark, sf_dir))
+
+TICKS = "ticks AS (SELECT source, t, lag(t) OVER (PARTITION BY source ORDER BY t) AS before FROM frames)"
+_SPEED = "sqrt({0}.velocity_x * {0}.velocity_x + {0}.velocity_y * {0}.velocity_y) / greatest({0}.x2 - {0}.x1, 1.0) * 4.0"
+_CLOSEST = f"SELECT a.source, a.t, a.object_id AS person, b.object_id AS vehicle, row_number() OVER (PARTITION BY a.source, a.t, a.object_id ORDER BY {METRES}, b.object_id) AS n, {METRES} AS metres FROM tracks a JOIN tracks b ON a.source = b.source AND a.t = b.t AND a.class = 'person' AND b.class = 'car'"
+
+
+@query(
+    "boarding",
+    f"""WITH {TRACKS}, {TICKS}, closest AS (SELECT * FROM ({_CLOSEST}) WHERE n = 1 AND metres <= 12),
+    came AS (SELECT c.source, c.t, c.person, c.vehicle FROM closest c JOIN ticks k USING (source, t) JOIN tracks v ON v.source = c.source AND v.t = c.t AND v.object_id = c.vehicle
+      WHERE {_SPEED.format("v")} <= 1.0 AND NOT EXISTS (SELECT 1 FROM tracks w WHERE w.source = c.source AND w.object_id = c.person AND w.t = k.before)),
+    came2 AS (SELECT *, lead(t) OVER (PARTITION BY source, person ORDER BY t) AS next FROM came),
+    off AS (SELECT DISTINCT ON (c.source, c.person, c.vehicle) a.t, 'disembarks' AS predicate, c.source, least(a.confidence, b.confidence) AS confidence, c.person, c.vehicle FROM came2 c JOIN tracks a ON a.source = c.source AND a.object_id = c.person AND a.t >= c.t AND a.t - c.t <= 172800000000 AND (next IS NULL OR a.t < next)
+      JOIN tracks b ON b.source = c.source AND b.object_id = c.vehicle AND b.t = a.t WHERE {METRES} >= 20 ORDER BY c.source, c.person, c.vehicle, a.t),
+    left_ AS (SELECT c.source, c.t AS seen, k.t, c.person, c.vehicle, v.x1, v.x2, v.y1, v.y2 FROM closest c JOIN ticks k ON k.source = c.source AND k.before = c.t JOIN tracks v ON v.source = c.source AND v.t = c.t AND v.object_id = c.vehicle
+      WHERE NOT EXISTS (SELECT 1 FROM tracks w WHERE w.source = c.source AND w.object_id = c.person AND w.t = k.t)),
+    left2 AS (SELECT *, lead(t) OVER (PARTITION BY source, person ORDER BY t) AS next FROM left_),
+    onto AS (SELECT DISTINCT ON (l.source, l.person, l.vehicle) v.t, 'boards' AS predicate, l.source, v.confidence, l.person, l.vehicle FROM left2 l JOIN tracks v ON v.source = l.source AND v.object_id = l.vehicle AND v.t >= l.t AND v.t - l.seen <= 172800000000 AND (next IS NULL OR v.t < next)
+      WHERE {_SPEED.format("v")} > 1.0 OR sqrt(((v.x1 + v.x2) / 2 - (l.x1 + l.x2) / 2) * ((v.x1 + v.x2) / 2 - (l.x1 + l.x2) / 2) + ((v.y1 + v.y2) / 2 - (l.y1 + l.y2) / 2) * ((v.y1 + v.y2) / 2 - (l.y1 + l.y2) / 2)) / greatest(v.x2 - v.x1, 1.0) * 4.0 >= 2 ORDER BY l.source, l.person, l.vehicle, v.t)
+    SELECT * FROM off UNION ALL SELECT * FROM onto""",
+)
+def boarding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    return _flat(sequential.boarding(found, hour_frames(found), close_m=12.0, apart_m=20.0, moving_mps=1.0, stopped_us=0, wait_us=48 * HOUR), "person", "vehicle")
+
+
+@query(
+    "transfers",
+    f"""WITH RECURSIVE {TRACKS}, {TICKS}, near AS (SELECT a.source, a.t, a.object_id AS item, a.confidence AS sure, b.object_id AS holder, b.confidence AS own, {METRES} AS metres, row_number() OVER (PARTITION BY a.source, a.t, a.object_id ORDER BY {METRES}, b.object_id) AS n
+      FROM tracks a JOIN tracks b ON a.source = b.source AND a.t = b.t AND a.class = 'backpack' AND b.class IN ('person', 'car')),
+    v AS (SELECT i.source, i.t, i.object_id AS item, k.before, row_number() OVER (PARTITION BY i.source, i.object_id ORDER BY i.t) AS n, h.holder, least(i.confidence, h.own, least(greatest(0.55 + 0.45 * (1 - h.metres / 40), 0.0), 1.0)) AS sure
+      FROM tracks i JOIN ticks k USING (source, t) LEFT JOIN near h ON h.source = i.source AND h.t = i.t AND h.item = i.object_id AND h.n = 1 AND h.metres <= 40 WHERE i.class = 'backpack'),
+    walk AS (SELECT source, item, n, t, holder AS pending, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS DOUBLE) AS held_sure, CAST(NULL AS BIGINT) AS held_t, CAST(NULL AS VARCHAR) AS giver, CAST(NULL AS DOUBLE) AS confidence FROM v WHERE n = 1
+      UNION ALL SELECT source, item, n, t, holder, CASE WHEN confirmed THEN holder WHEN NOT lost THEN held END, CASE WHEN confirmed THEN sure WHEN NOT lost THEN held_sure END, CASE WHEN confirmed THEN t WHEN NOT lost THEN held_t END,
+        CASE WHEN confirmed AND NOT lost AND held <> holder THEN held END, least(held_sure, sure) FROM (SELECT v.source, v.item, v.n, v.t, v.holder, v.sure, w.held, w.held_sure, w.held_t, coalesce(w.held_t IS NOT NULL AND v.before > w.t AND v.before - w.held_t > 720000000000, false) AS lost,
+          coalesce(v.holder = w.pending AND NOT (w.held_t IS NOT NULL AND v.before > w.t AND v.before - w.held_t > 720000000000), false) AS confirmed FROM walk w JOIN v ON v.source = w.source AND v.item = w.item AND v.n = w.n + 1))
+    SELECT t, 'transfer' AS predicate, source, confidence, item, giver, pending AS receiver FROM walk WHERE giver IS NOT NULL""",
+)
+def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = user_tracks(spark, sf_dir)
+    return _flat(sequential.transfers(found, hour_frames(found), close_m=40.0, stable_us=0, forget_us=200 * HOUR), "item", "giver", "receiver")
 
 
 @query("tracked_objects")
@@ -260,10 +401,15 @@ def tracked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.track_objects(frames)
 
 
-@query("audio_events")
+@query(
+    "audio_events",
+    """WITH RECURSIVE m AS (SELECT 'mic' || (user_id % 16) AS source, epoch_us(ts) AS t, least(value / 100, 1.0) AS siren, value / 400 AS shot FROM events), a AS (SELECT source, t, siren FROM m WHERE siren >= 0.4),
+    n AS (SELECT source, t, MIN(t) OVER (PARTITION BY source ORDER BY t RANGE BETWEEN 1000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM a), walk AS (SELECT source, MIN(t) AS t FROM a GROUP BY source UNION ALL SELECT n.source, n.next FROM walk w JOIN n ON n.source = w.source AND n.t = w.t WHERE n.next IS NOT NULL)
+    SELECT t, 'audio_event' AS predicate, source, siren AS confidence, 'alarm' AS class FROM walk JOIN a USING (source, t) UNION ALL SELECT t, 'audio_event', source, least(shot, 1.0), 'gunshot' FROM m WHERE shot >= 0.35""",
+)
 def audio_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("mic"), F.col("user_id") % 16).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.create_map(F.lit("Siren"), F.least(F.col("value") / 100, F.lit(1.0)), F.lit("Machine gun"), F.col("value") / 400).alias("scores"))
-    return sequential.audio_events(rows).drop("classes")
+    return _flat(sequential.audio_events(rows), "class")
 
 
 # evidence, identity, workload
@@ -274,9 +420,15 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.gated(table(spark, sf_dir, "events"), F.col("value"), 60, 20, "user_id", "ts").select("user_id", "ts", "value")
 
 
-@query("sampled", "SELECT user_id, MIN(ts) AS ts FROM events GROUP BY user_id, epoch_us(ts) // 86400000000")
+def _spaced(us: int) -> str:
+    """Each user's events that are at least so long after the one that was let through before: walk."""
+    return f"""WITH RECURSIVE m AS (SELECT user_id, epoch_us(ts) AS t, event_id, ts FROM events), n AS (SELECT user_id, t, MIN(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {us} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM m),
+    walk AS (SELECT user_id, MIN(t) AS t FROM m GROUP BY user_id UNION ALL SELECT n.user_id, n.next FROM walk w JOIN n ON n.user_id = w.user_id AND n.t = w.t WHERE n.next IS NOT NULL)"""
+
+
+@query("sampled", _spaced(24 * HOUR) + " SELECT user_id, ts FROM walk JOIN m USING (user_id, t)")
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     return evidence.sampled(rows, 1 / 86400, "user_id").select("user_id", "ts")
 
 
@@ -363,6 +515,16 @@ def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.one_to_one(identity.association_candidates(moments(spark, sf_dir), 60_000_000, 0.3))
 
 
+@query(
+    "open_associations",
+    "WITH v AS (SELECT vec_id, vec_id % 3 AS s, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM v a JOIN v b ON a.label = b.label AND ((a.s = 0 AND b.s = 2) OR (a.s = 0 AND b.s = 1)) AND list_cosine_similarity(a.e, b.e) >= 0.35",
+)
+def open_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one model, whatever their times, between named pairs of sources."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), (F.col("vec_id") % 3).alias("source"), F.lit(0).alias("t"), F.col("label").cast("string").alias("model"), F.col("embedding").alias("vector"))
+    return identity.association_candidates(rows, None, 0.35, [(2, 0), (0, 1)]).select("left_id", "right_id")
+
+
 #: Edges between users of purchases that follow one another in the table; small groups, a few long chains.
 LINKED = "edges AS (SELECT DISTINCT a.user_id AS l, b.user_id AS r FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.value > 40 AND a.user_id <> b.user_id)"
 
@@ -405,13 +567,10 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.reconciled(rows.where("event_type = 'view'"), rows.where("event_type = 'click'")).select("provider", "action")
 
 
-@query("shortest_paths", "WITH RECURSIVE l AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, 1.0 + n_regionkey AS ms FROM nation), p(src, dst, ms, hops) AS (SELECT src, dst, ms, 1 FROM l UNION ALL SELECT p.src, l.dst, p.ms + l.ms, hops + 1 FROM p JOIN l ON p.dst = l.src WHERE hops < 6 AND p.src <> l.dst) SELECT src, dst, MIN(ms) AS latency_ms FROM p GROUP BY 1, 2")
+@query("shortest_paths", "WITH RECURSIVE l AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, CAST(1 + n_regionkey AS DOUBLE) AS ms FROM nation), p(src, dst, ms, hops) AS (SELECT src, dst, ms, 1 FROM l UNION ALL SELECT p.src, l.dst, p.ms + l.ms, hops + 1 FROM p JOIN l ON p.dst = l.src WHERE hops < 24 AND p.src <> l.dst) SELECT src, dst, MIN(ms) AS latency_ms FROM p GROUP BY 1, 2")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 1) % 25).alias("dst"), (1.0 + F.col("n_regionkey")).cast("double").alias("latency_ms"), F.lit(100.0).alias("mbps"))
-    return workload.shortest_paths(links, 5).select("src", "dst", "latency_ms")
-
-
-SQL["shortest_paths"] = SQL["shortest_paths"].replace("1.0 + n_regionkey", "CAST(1 + n_regionkey AS DOUBLE)")
+    return workload.shortest_paths(links).select("src", "dst", "latency_ms")
 
 
 @query("voices", "SELECT vec_id, least(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / 64) / 0.1, 1.0) >= 1 AS loud FROM embeddings")
@@ -419,13 +578,13 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(V.voice(F.col("embedding"), 0.1) >= 1, F.lit(False)).alias("loud"))
 
 
-@query("smoothed_throughput")
+@query("smoothed_throughput", "WITH n AS (SELECT CAST(user_id AS VARCHAR) AS link, epoch_us(ts) AS t, list(value) OVER (PARTITION BY user_id ORDER BY ts) AS l FROM events) SELECT link, t, list_reduce(l, lambda a, x: CAST(0.3 AS DOUBLE) * x + (1 - CAST(0.3 AS DOUBLE)) * a) AS smoothed FROM n")
 def smoothed_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("mbps"))
     return workload.smoothed(rows)
 
 
-@query("evidence_relay")
+@query("evidence_relay", _spaced(6 * HOUR) + " SELECT user_id, t, event_id FROM walk JOIN m USING (user_id, t)")
 def evidence_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
     return sequential.suppressed_repeats(rows, "user_id", 6 * HOUR)
@@ -438,9 +597,115 @@ def localized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.localized(rows, 0.2).select("vec_id", F.round("bearing_degrees", 3).alias("bearing_degrees"))
 
 
-@query("recipes", "WITH RECURSIVE p AS (SELECT 'n' || n_nationkey AS provider, CASE WHEN n_nationkey >= 5 THEN 't' || (n_nationkey // 5) END AS i, 't' || (n_nationkey // 5 + 1) AS o FROM nation WHERE n_nationkey % 5 < 2), r(chain, i) AS (SELECT provider, i FROM p WHERE o = 't5' UNION ALL SELECT p.provider || '>' || r.chain, p.i FROM r JOIN p ON p.o = r.i) SELECT chain FROM r WHERE i IS NULL")
+@query("recipes", "WITH RECURSIVE p AS (SELECT 'n' || n_nationkey AS provider, CASE WHEN n_nationkey >= 5 THEN 't' || (n_nationkey // 5) END AS i, 't' || (n_nationkey // 5 + 1) AS o FROM nation), r(chain, i) AS (SELECT provider, i FROM p WHERE o = 't5' UNION ALL SELECT p.provider || '>' || r.chain, p.i FROM r JOIN p ON p.o = r.i) SELECT chain FROM r WHERE i IS NULL")
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as providers in five layers, two a layer: every chain through them."""
+    """Nations as providers in five layers: every chain through them."""
     layer = F.floor(F.col("n_nationkey") / 5)
-    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("provider"), F.when(F.col("n_nationkey") >= 5, F.concat(F.lit("t"), layer)).alias("input"), F.concat(F.lit("t"), layer + 1).alias("output"), (F.col("n_nationkey") % 5 < 2).alias("enabled"))
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("provider"), F.when(F.col("n_nationkey") >= 5, F.concat(F.lit("t"), layer)).alias("input"), F.concat(F.lit("t"), layer + 1).alias("output"), F.lit(True).alias("enabled"))
     return workload.recipes(rows, "t5").select(F.array_join("chain", ">").alias("chain"))
+
+
+# operators of the pipelines around detectors, on the same tables
+
+
+@query(
+    "follows_across",
+    f"""WITH {TRACKS}, w AS (SELECT *, (x1 + x2) / 2 AS wx, (y1 + y2) / 2 AS wy, sqrt(velocity_x * velocity_x + velocity_y * velocity_y) AS speed FROM tracks) SELECT a.t, 'follows' AS predicate, a.source, least(a.confidence, b.confidence) AS confidence, a.object_id AS leader, b.object_id AS follower FROM w a JOIN w b ON a.source <> b.source AND a.t = b.t AND a.object_id <> b.object_id
+    WHERE a.speed > 1e-9 AND b.speed > 1e-9 AND a.velocity_x * b.velocity_x + a.velocity_y * b.velocity_y >= 0.5 * a.speed * b.speed AND (a.wx - b.wx) * a.velocity_x + (a.wy - b.wy) * a.velocity_y > 0 AND sqrt((a.wx - b.wx) * (a.wx - b.wx) + (a.wy - b.wy) * (a.wy - b.wy)) <= 120""",
+)
+def follows_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of different sources in one world frame, where boxes' centres stand for places in the world."""
+    placed = user_tracks(spark, sf_dir).withColumns({"world_x": F.expr("(x1 + x2) / 2"), "world_y": F.expr("(y1 + y2) / 2"), "world_frame": F.lit("map")})
+    return _flat(tracks.follows_across(placed, 120.0, apart_us=HOUR), "leader", "follower")
+
+
+BOXES = "b AS (SELECT event_id, 'cam' || (user_id % 4) AS source, epoch_us(date_trunc('day', ts)) AS t, event_type AS class, value AS confidence, CAST(event_id * 37 % 300 AS DOUBLE) AS x1, CAST(event_id * 53 % 200 AS DOUBLE) AS y1 FROM events)"
+
+
+def user_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event as a box of 60 by 60 in its day's frame."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))))
+    boxes = rows.select("event_id", F.concat(F.lit("cam"), F.col("user_id") % 4).alias("source"), "t", F.col("event_type").alias("class"), F.col("value").alias("confidence"), F.expr("CAST(event_id * 37 % 300 AS DOUBLE)").alias("x1"), F.expr("CAST(event_id * 53 % 200 AS DOUBLE)").alias("y1"))
+    return boxes.withColumns({"x2": F.col("x1") + 60, "y2": F.col("y1") + 60})
+
+
+@query("suppressed_boxes")
+def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequential.suppressed_boxes(user_boxes(spark, sf_dir)).select("event_id", "source", "t", "class")
+
+
+@query("projected", "SELECT event_id, (0.5 * x + 3.0) / (0.001 * y + 1.0) AS world_x, (0.25 * y - 2.0) / (0.001 * y + 1.0) AS world_y FROM (SELECT event_id, CAST(event_id * 37 % 300 AS DOUBLE) + 30 AS x, CAST(event_id * 53 % 200 AS DOUBLE) + 60 AS y FROM events)")
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of each box's lower edge on the ground, through a homography."""
+    x, y = V.projected((F.col("x1") + F.col("x2")) / 2, F.col("y2"), [0.5, 0.0, 3.0, 0.0, 0.25, -2.0, 0.0, 0.001, 1.0])
+    return user_boxes(spark, sf_dir).select("event_id", x.alias("world_x"), y.alias("world_y"))
+
+
+@query("normalized_vectors", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 9) AS first, round(list_sum(list_transform(e, lambda x: x * x)) / list_dot_product(e, e), 9) AS length FROM v")
+def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = V.normalized(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", F.round(F.element_at("u", 1), 9).alias("first"), F.round(V.norm(F.col("u")), 9).alias("length"))
+
+
+@query("speaker_vectors", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(list_avg(e), 9) AS mean, round(sqrt(list_dot_product(e, e) / len(e)), 9) AS rms, round(list_sum(list_transform(range(2, len(e) + 1), lambda i: CASE WHEN (e[i - 1] < 0) <> (e[i] < 0) THEN 1 ELSE 0 END)) / (len(e) - 1), 9) AS crossings FROM v")
+def speaker_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.speaker_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return rows.select("vec_id", *(F.round(F.element_at("v", k + 1), 9).alias(n) for k, n in enumerate(("mean", "rms", "crossings"))))
+
+
+@query("speakers")
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as segments, one a second, of sixteen microphones."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("mic"), F.col("vec_id") % 16).alias("source"), F.col("vec_id").alias("t"), F.col("embedding").alias("vector"))
+    return sequential.speakers(rows)
+
+
+@query(
+    "seen_and_heard",
+    """WITH b AS (SELECT event_id, user_id % 4 AS site, epoch_us(date_trunc('day', ts)) AS t, event_type, event_id * 37 % 360 AS bearing, least(value / 100, 1.0) AS confidence FROM events), p AS (SELECT s.site, s.t, v.event_id AS object_id, s.event_id AS sound, abs(((s.bearing - v.bearing + 180) % 360 + 360) % 360 - 180) AS error, least(s.confidence, v.confidence) AS sure
+      FROM b s JOIN b v ON s.site = v.site AND s.t = v.t AND s.event_type = 'error' AND v.event_type = 'view') SELECT site, t, object_id, CAST(error AS DOUBLE) AS error_degrees, (1 - error / 20.0::DOUBLE) * sure AS score FROM p WHERE error <= 20""",
+)
+def seen_and_heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as sounds and views as sights of a day at one of four sites."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("site"), F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("t"), "event_type", F.col("event_id").alias("object_id"), F.expr("CAST(event_id * 37 % 360 AS DOUBLE)").alias("bearing_degrees"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
+    return audio.seen_and_heard(rows.where("event_type = 'error'"), rows.where("event_type = 'view'"), 20.0)
+
+
+@query(
+    "recanonicalised",
+    f"""WITH RECURSIVE {LINKED}, users AS (SELECT user_id, MIN(ts) AS f FROM events GROUP BY user_id), both_ways AS (SELECT l, r FROM edges UNION SELECT r, l FROM edges), reach(a, b) AS (SELECT user_id, user_id FROM users UNION SELECT reach.a, both_ways.r FROM reach JOIN both_ways ON reach.b = both_ways.l),
+    named AS (SELECT reach.a AS id, min_by(reach.b, u.f) AS c FROM reach JOIN users u ON u.user_id = reach.b GROUP BY reach.a), days AS (SELECT epoch_us(date_trunc('day', ts)) AS matched_at, user_id, MAX(ts) AS done FROM events GROUP BY 1, 2)
+    SELECT matched_at, c AS u, MIN(done) AS completed_at FROM days JOIN named ON id = user_id GROUP BY 1, 2""",
+)
+def recanonicalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day as an occurrence; after users have been merged, equal ones count once."""
+    days = table(spark, sf_dir, "events").groupBy(F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("matched_at"), F.col("user_id").alias("u")).agg(F.max("ts").alias("completed_at"))
+    return identity.recanonicalised(days, ["u"], identities(spark, sf_dir))
+
+
+@query("stored_segments", f"WITH {SEGMENTS}, kept AS (SELECT *, event_end + INTERVAL 30 DAY AS gone FROM segments WHERE source % 2 = 0 UNION ALL SELECT *, event_end + INTERVAL 60 DAY AS gone FROM segments WHERE source % 2 = 1) SELECT segment, event_start, event_end FROM kept WHERE event_start < TIMESTAMP '1996-03-01' AND event_end > TIMESTAMP '1996-02-01' AND gone > TIMESTAMP '1996-04-15'")
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments added to a store that has some of them already, then those that touch February and have not expired."""
+    day = lambda n: F.expr(f"event_end + INTERVAL {n} DAY").alias("expires_at")
+    every = segments(spark, sf_dir)
+    store = every.where("source % 2 = 0").select("*", day(30))
+    held = evidence.added(store, every.select("*", day(60)), "segment")
+    at = lambda d: F.expr(f"TIMESTAMP_NTZ'{d}'")
+    return evidence.segments_touching(held, at("1996-02-01"), at("1996-03-01"), at=at("1996-04-15")).select("segment", "event_start", "event_end")
+
+
+@query("completions_written", SQL["seq_within_greedy"].replace("CAST(s.user_id AS VARCHAR) AS u", "CAST(s.user_id AS VARCHAR) AS u").replace(", s.event_type AS predicate", ""))
+def completions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's occurrences written as JSON lines and read again."""
+    path = scratch(spark, "completions")
+    recordings.write_completions(QUERIES["seq_within_greedy"](spark, sf_dir), ["U"], path)
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return recordings.read_completions(spark, path).select("event", plain("matched_at"), plain("completed_at"), "matched_source", F.col("bindings")["U"].alias("u"))
+
+
+@query("in_one_stream", "SELECT ts AS event_time, 'b' AS stream, event_id FROM events WHERE event_type = 'view' AND user_id % 4 IN (0, 1) UNION ALL SELECT ts, 'a', event_id FROM events WHERE event_type = 'click' AND user_id % 4 IN (0, 1)")
+def in_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks replayed together, and of that what comes from two of four sources."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("event_time"), "event_id", "event_type", F.array(F.concat(F.lit("cam"), F.col("user_id") % 4)).alias("sources"))
+    both = evidence.replayed({"a": rows.where("event_type = 'click'"), "b": rows.where("event_type = 'view'")}, "event_time")
+    return evidence.subscribed(both, sources=["cam0", "cam1"]).select("event_time", "stream", "event_id")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 BOX = "x1: double, y1: double, x2: double, y2: double"
 FRAMES = "type string, source_id string, event_time timestamp, frame_id string, image_width double, image_height double, detections array<struct<class_name: string, confidence: double, bbox: array<double>, detection_id: string>>"
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 COMPLETIONS = "event string, completed_at timestamp, matched_at timestamp, matched_source string, bindings map<string,string>, cell_id string, schema_version int"
 
 
@@ -40,7 +43,8 @@ def read_wav(spark: SparkSession, path: str, window_ms: int = 1000) -> DataFrame
 def recordings(spark: SparkSession, path: str) -> DataFrame:
     """(path, device, start, length) of media below a folder: the first folder names the device, the file the start."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    below = F.regexp_extract("path", f"{path.rstrip('/')}/(.*)$", 1)
+    root = path.rstrip("/").replace("\\E", "\\E\\\\E\\Q")  # quoted: a path may have any characters
+    below = F.regexp_extract("path", f"\\Q{root}\\E/(.*)$", 1)
     stamp = F.regexp_extract(below, r"(\d{8}[-_T]?\d{6})", 1)
     start = F.try_to_timestamp(F.regexp_replace(stamp, "[^0-9]", ""), F.lit("yyyyMMddHHmmss"))
     media = files.where(F.lower("path").rlike(r"\.(mp4|mkv|avi|mov|wav|flac|mp3)$"))
@@ -48,28 +52,38 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Detection frames from JSON lines, one row a frame: a line that does not fit the schema fails the read."""
-    rows = spark.read.schema(FRAMES).option("mode", "FAILFAST").json(path)
+    """Detection frames from JSON lines, one row a frame: a line that does not fit the schema, or has fields that are not
+    in it, fails the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    fields = lambda schema: F.lit(re.findall(r"(\w+):? (?:string|double|timestamp|array)", schema)).cast("array<string>")
+    top, _, inner = FRAMES.partition("array<struct<")
+    keys = F.flatten(F.transform(F.from_json("value", "detections array<map<string,string>>")["detections"], F.map_keys))
+    odd = F.array_union(F.array_except(F.json_object_keys("value"), fields(top + "array")), F.array_except(F.coalesce(keys, F.array().cast("array<string>")), fields(inner)))
+    read = F.from_json("value", FRAMES, {"mode": "FAILFAST"})
+    known = F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(odd, ", "))).cast("string")).otherwise(F.lit("x"))
+    rows = lines.select(F.when(known == "x", read).alias("f")).select("f.*")
     box = lambda d: F.struct(d["class_name"].alias("class"), d["confidence"].alias("confidence"), *(F.element_at(d["bbox"], k + 1).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))))
     return rows.select(F.col("source_id").alias("source"), F.unix_micros("event_time").alias("t"), "frame_id", F.col("image_width").alias("frame_width"), F.col("image_height").alias("frame_height"), F.transform("detections", box).alias("detections"))
 
 
 def write_completions(completions: DataFrame, roles: list[str], path: str) -> None:
-    """Completions as JSON lines with a version."""
+    """Completions as JSON lines with a version, times to the microsecond with their zone."""
     pairs = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(r.upper()).alias("key"), F.col(r.lower()).alias("value")) for r in roles)), lambda e: e["value"].isNotNull()))
-    rows = completions.select("event", "completed_at", "matched_at", "matched_source", pairs.alias("bindings"), F.lit(1).alias("schema_version"))
-    rows.write.mode("append").json(path)
+    times = [F.col(c).cast("timestamp").alias(c) for c in ("completed_at", "matched_at")]
+    rows = completions.select("event", *times, "matched_source", pairs.alias("bindings"), F.lit(1).alias("schema_version"))
+    rows.write.mode("append").option("timestampFormat", STAMP).json(path)
 
 
 def read_completions(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Completions of the version that is asked for; rows of others are an error."""
-    rows = spark.read.schema(COMPLETIONS).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(COMPLETIONS).option("mode", "FAILFAST").option("timestampFormat", STAMP).json(path)
     checked = F.when(F.col("schema_version") == version, F.col("schema_version")).otherwise(F.raise_error(F.lit("another version of completions")))
     return rows.withColumn("schema_version", checked)
 
 
 def replay_sources(spark: SparkSession, manifest: dict) -> DataFrame:
-    """One row a segment of a replay manifest, with its start; segments of one source may not repeat a path and start."""
+    """One row a segment of a replay manifest, with its start, which names its time zone; segments of one source may not
+    repeat a path and start."""
     if manifest.get("version") != 1 or not manifest.get("replay_id") or float(manifest.get("speed", 1)) <= 0:
         raise ValueError("a manifest needs version 1, a replay_id and a positive speed")
     rows, seen = [], set()
@@ -77,6 +91,9 @@ def replay_sources(spark: SparkSession, manifest: dict) -> DataFrame:
         if s["modality"] not in ("video", "audio") or s.get("rotation_degrees", 0) not in (0, 90, 180, 270):
             raise ValueError(f"source {s['source_id']}: modality or rotation")
         for part in s.get("segments") or [s]:
+            start = part["event_time_start"]
+            if not (start.tzinfo if isinstance(start, datetime) else re.search(r"(Z|[+-]\d\d:?\d\d)$", str(start))):
+                raise ValueError(f"source {s['source_id']}: {start} has no time zone")
             key = (s["source_id"], part["path"], str(part["event_time_start"]))
             if key in seen:
                 raise ValueError(f"source {s['source_id']}: a segment twice")
