@@ -5,7 +5,7 @@ import pytest
 
 from wayline.operators.matching import match_by_key, occurrences
 from wayline.plans.compiler import Unsupported, compile_event
-from wayline.plans.events import parse_event
+from wayline.plans.events import longest_ms, parse_event
 from wayline.plans.matcher import Match, Matcher, echoes
 from wayline.plans.matches import SCHEMA
 
@@ -180,17 +180,60 @@ def test_empty_tables(spark):
     assert occurrences(e, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def streamed(spark, folder, e, df, parts, lateness, forget_us=None):
+    """The occurrences of a stream of the rows, in so many files, and the rows of state of each micro-batch."""
+    from wayline.streaming.live import match_stream
+
+    for k in range(parts):
+        df.where(df["part"] == k).drop("part").coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(folder / "in"))
+    out = match_stream(e, stream, "who", lateness, forget_us)
+    run = out.writeStream.format("parquet").option("checkpointLocation", str(folder / "state")).outputMode("append").trigger(availableNow=True).start(str(folder / "out"))
+    run.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    return set(rows_of(e, spark.read.parquet(str(folder / "out")))), states
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from wayline.streaming.live import match_stream
-
     e, rows = event({"seq": [one("a", "X"), {"within": {"max": "20s", "pattern": one("b", "X")}}]}), random_rows(9)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("time", F.timestamp_micros("t")).withColumn("who", F.col("arguments")["object"]).where("who IS NOT NULL")
-    for k in range(3):
-        df.where(F.floor(F.col("seq") / 40) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = match_stream(e, stream, "who", "1 minute").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
-    run.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert set(rows_of(e, got)) == exact(e, rows)
+    got, _ = streamed(spark, tmp_path, e, df.withColumn("part", F.floor(F.col("seq") / 40)), 3, "1 minute")
+    assert got == exact(e, rows)
+
+
+def test_the_state_of_idle_keys_is_dropped(spark, tmp_path):
+    """Eight keys speak once, a ninth goes on: the watermark passes the windows of the eight, whose state goes."""
+    from pyspark.sql import functions as F
+
+    e = event({"seq": [one("a", "X"), {"within": {"max": "20s", "pattern": one("b", "X")}}]})
+    rows = [(k, k * S, "a", "s", 1.0, "t", {"object": f"idle{k}"}, {}) for k in range(8)]
+    rows += [(100 + k, (100 * k + 50) * S, "ab"[k % 2], "s", 1.0, "t", {"object": "busy"}, {}) for k in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("time", F.timestamp_micros("t")).withColumn("who", F.col("arguments")["object"])
+    got, states = streamed(spark, tmp_path, e, df.withColumn("part", F.when(F.col("seq") < 100, 0).otherwise(F.col("seq") - 99).cast("int")), 6, "1 second")
+    assert got == exact(e, rows) and max(states) >= 8 and states[-1] <= 1
+
+
+def test_how_long_candidates_live():
+    ms = lambda pattern: longest_ms(event(pattern).pattern)
+    assert ms(one("a", "X")) == 0 and ms({"seq": [one("a", "X"), one("b", "X")]}) is None
+    assert ms({"seq": [one("a", "X"), {"within": {"max": "20s", "pattern": one("b", "X")}}, {"within": {"min": "1s", "max": "2s", "pattern": one("c", "X")}}]}) == 23_000
+    assert ms({"all": [one("a", "X"), one("b", "X")]}) == 300_000 and ms({"for": {"duration": "2s", "pattern": one("a", "X")}}) is None
+
+
+def test_equal_candidates_complete_once():
+    """Two matches at one time by two arrivals are one observation, and candidates that become equal are told once."""
+    e = event({"seq": [one("a", "X"), {"any": [one("b", "X"), one("c", "X")]}]})
+    matcher = Matcher(e)
+    rows = trace("0:a(x) 0:a(x) 1:b(x) 1:c(x)")
+    done = [c for r in rows for c in matcher.feed(Match(r[1], r[0], r[2], r[3], r[4], r[6], r[7]))]
+    assert len(done) == 1
+
+
+def test_the_matcher_in_order_keeps_little():
+    e = event({"seq": [one("a", "X"), {"within": {"max": "20s", "pattern": one("b", "X")}}]})
+    rows = [(k, k * S, "ab"[k % 3 == 1], "s", 1.0, "t", {"object": "x"}, {}) for k in range(8000)]
+    some, every = Matcher(e, in_order=True), Matcher(e)
+    feed = lambda m: [c for r in rows for c in m.feed(Match(r[1], r[0], r[2], r[3], r[4], r[6], r[7]))]
+    assert feed(some) == feed(every) and len(some.seen) < 1200 < len(every.seen)

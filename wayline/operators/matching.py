@@ -53,7 +53,7 @@ def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> Da
             out = []
             for r in batch.itertuples(index=False):
                 if matcher is None or r[0] != current:
-                    current, matcher = r[0], Matcher(event)
+                    current, matcher = r[0], Matcher(event, in_order=True)
                 for c in matcher.feed(Match(r[1], r[2], r[3], r[4], r[5], dict(r[6]), dict(r[7]))):
                     out.append((event.name, _at(c.matched_at), _at(c.completed_at), c.matched_source, c.predicate, *(c.bindings.get(x) for x in roles)))
             yield pd.DataFrame(out, columns=names)
@@ -80,7 +80,7 @@ def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) ->
             for r in batch.itertuples(index=False):
                 if matcher is None or r[0] != current:
                     close()
-                    current, matcher, done = r[0], Matcher(event), 0
+                    current, matcher, done = r[0], Matcher(event, in_order=True), 0
                 done += len(matcher.feed(Match(r[1], r[2], r[3], r[4], r[5], dict(r[6]), dict(r[7]))))
             yield pd.DataFrame(out, columns=names)
             out = []

@@ -97,6 +97,37 @@ class Event:
         return tuple(r for r in self.pattern.role_names() if all(r in dict(x.roles).values() for x in leaves))
 
 
+def longest_ms(pattern: Pattern) -> int | None:
+    """How long after its seed a candidate can still become complete, at most; None if there is no bound."""
+
+    def after(node: Pattern) -> int | None:
+        """From a node's activation."""
+        if node.op == "within":
+            return node.least_ms + node.most_ms
+        parts = [after(c) for c in node.children]
+        if node.op in ("leaf", "for") or None in parts:
+            return None
+        return sum(parts) if node.op == "seq" else max(parts)
+
+    def seeded(node: Pattern) -> int | None:
+        if node.op == "leaf":
+            return 0
+        if node.op == "within":
+            return node.most_ms
+        if node.op == "seq":
+            parts = [seeded(node.children[0]), *map(after, node.children[1:])]
+            return None if None in parts else sum(parts)
+        if node.op == "for":
+            return None
+        parts = [seeded(c) for c in node.children]
+        if node.op == "any" or None in parts:
+            return None if None in parts else max(parts)
+        # the first child that is complete opens the window for the rest
+        return max(parts) + node.most_ms
+
+    return seeded(pattern)
+
+
 def duration_ms(value: Any) -> int:
     found = _DURATION.fullmatch(value) if isinstance(value, str) else None
     if not found:

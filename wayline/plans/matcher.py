@@ -70,6 +70,8 @@ def echoes(said: str | None, value: object) -> bool:
 @dataclass
 class Matcher:
     event: Event
+    #: Matches come in order, so a repeat can only be of the present time.
+    in_order: bool = False
     late: int = 0
     expired: int = 0
     candidates: list[Candidate] = field(default_factory=list)
@@ -199,6 +201,9 @@ class Matcher:
             return []
         self.seen.add(key)
         self.late += self.clock is not None and m.t < self.clock
+        if self.in_order and self.clock is not None and m.t > self.clock and len(self.seen) > 2 * len(self.candidates) + 1000:
+            self.forget_before(m.t)
+            self.seen.add(key)
         self.clock = m.t if self.clock is None else max(self.clock, m.t)
         kept, grown = [], []
         for c in self.candidates:
@@ -239,9 +244,23 @@ class Matcher:
         return out
 
     def forget_before(self, t: int) -> None:
-        """Drop keys of repeats older than t and candidates that have expired by then."""
-        self.seen = {k for k in self.seen if k[2] >= t}
-        self.candidates = [c for c in self.candidates if self.state(c, t)[0] != FAILED]
+        """Drop candidates that have failed by then, and what only matches older than t could repeat.
+
+        Occurrences stay known as long as a candidate of their seed is open.
+        """
+        kept = []
+        for c in self.candidates:
+            if self.state(c, t)[0] == FAILED:
+                self.expired += 1
+            else:
+                kept.append(c)
+        self.candidates = kept
+        seeds = {(c.seed_leaf, c.seed_t) for c in kept}
+        self.seen = {k for k in self.seen if k[2] >= t or k[0] == "c" and (k[1], k[2]) in seeds}
+
+    def idle(self) -> bool:
+        """Whether nothing but the clock would be lost with the state."""
+        return not self.candidates and not self.seen
 
     def dump(self) -> bytes:
         return pickle.dumps((self.late, self.expired, self.candidates, self.seen, self.clock))
