@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -224,6 +225,39 @@ def test_workload(spark):
     assert ms == 1005.0
 
 
+def test_recipe_trees_take_all_inputs(spark):
+    rows = [("cam", ["video"], "boxes", True), ("cam2", ["video"], "boxes", True), ("trk", ["boxes"], "tracks", True), ("av", ["tracks", "audio"], "talk", True), ("loop", ["talk"], "boxes", True), ("off", ["audio"], "talk", False), ("none", [], "map", True), ("both", ["map", "talk"], "view", True)]
+    df = spark.createDataFrame(rows, "provider string, inputs array<string>, output string, enabled boolean")
+
+    def brute(target, stack=()):
+        if target in ("video", "audio"):
+            return [target]
+        out = []
+        for provider, inputs, output, on in rows:
+            if on and output == target and target not in stack:
+                choices = [brute(i, (*stack, target)) for i in inputs]
+                for combination in itertools.product(*choices):
+                    out.append(f"{provider}({','.join(combination)})")
+        return out
+
+    for target in ("boxes", "talk", "view", "map"):
+        assert sorted(r.recipe for r in workload.recipe_trees(df, ["video", "audio"], target).collect()) == sorted(brute(target))
+    assert workload.recipe_trees(df, ["video", "audio"], "talk", most=1).count() == 1
+
+
+def test_what_is_fed_starts_first(spark):
+    actions = spark.createDataFrame([("n", p, "START") for p in "abcd"] + [("n", "k", "KEEP"), ("m", "a", "START")], "node string, provider string, action string")
+    feeds = spark.createDataFrame([("n", "a", "b"), ("n", "b", "c"), ("n", "a", "c"), ("n", "c", "k"), ("m", "a", "z")], "node string, provider string, consumer string")
+    got = {(r.node, r.provider): r.turn for r in workload.start_order(actions, feeds).collect()}
+    assert got == {("n", "a"): 2, ("n", "b"): 1, ("n", "c"): 0, ("n", "d"): 0, ("m", "a"): 0}
+
+
+def test_the_leading_candidate(spark):
+    rows = [("e", 1, 3, 0, None, 5), ("e", 2, 3, 1, 9, 6), ("e", 3, 3, 1, 8, 7), ("e", 4, 2, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "event string, candidate int, satisfied int, completed int, completed_at int, matched_at int")
+    assert [r.candidate for r in evidence.leading(df, 4).collect()] == [3]
+
+
 def test_shortest_paths_have_no_limit_of_hops(spark):
     schema = "src string, dst string, latency_ms double, mbps double"
     ring = [(f"n{k}", f"n{(k + 1) % 20}", 1.0 + k % 5, 100.0) for k in range(20)]
@@ -305,8 +339,8 @@ def test_progress(spark):
 
     event = parse_event({"event": "e", "roles": {"X": {"class": "x"}}, "pattern": {"seq": [{"a": {"object": "X"}}, {"within": {"max": "5s", "pattern": {"b": {"object": "X"}}}}]}}, {"a": "object: visual_object", "b": "object: visual_object"}, None)
     rows = [(k, t * S, p, "s", 1.0, "t", {"object": "x"}, {}) for k, (t, p) in enumerate([(0, "a"), (1, "b"), (2, "a"), (9, "a")])]
-    got = [(r.bindings, r.satisfied, r.completed, r.expired) for r in progress_by_key(event, spark.createDataFrame(rows, SCHEMA)).collect()]
-    assert got == [("X=x", 1, 1, 1)]
+    got = [(r.bindings, r.satisfied, r.completed, r.expired, r.failures) for r in progress_by_key(event, spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [("X=x", 1, 1, 1, "1: window 1")]
 
 
 def test_catalogues(spark):

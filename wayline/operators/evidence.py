@@ -107,9 +107,11 @@ def counter_rates(samples: DataFrame, key: str, counter: str) -> DataFrame:
 
 
 def leading(candidates: DataFrame, total: int) -> DataFrame:
-    """Per event the candidate that is furthest: by share done, then the earliest."""
+    """Per event the candidate that is furthest: by share done, leaves met, completions (if there is such a column), then
+    the earliest completion and seed."""
     share = F.col("satisfied") / total
-    best = Window.partitionBy("event").orderBy(F.desc("fraction"), F.asc_nulls_last("completed_at"), "matched_at", "candidate")
+    more = [F.desc_nulls_last("completed")] if "completed" in candidates.columns else []
+    best = Window.partitionBy("event").orderBy(F.desc("fraction"), F.desc("satisfied"), *more, F.asc_nulls_last("completed_at"), "matched_at", "candidate")
     return candidates.withColumn("fraction", share).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 

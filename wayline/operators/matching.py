@@ -62,9 +62,12 @@ def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> Da
 
 
 def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
-    """Where each key stands after its last match: one row per open candidate, and the counts of the key's others."""
+    """Where each key stands after its last match: one row per open candidate, and the counts of the key's others.
+
+    failures tells which nodes ended candidates, by their path of child numbers, why and how often.
+    """
     total = sum(1 for _ in event.pattern.leaves())
-    schema = "key string, matched_at timestamp_ntz, bindings string, satisfied int, fraction double, completed int, expired int, late int"
+    schema = "key string, matched_at timestamp_ntz, bindings string, satisfied int, fraction double, completed int, expired int, late int, failures string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +77,8 @@ def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) ->
             if matcher is not None:
                 for c in matcher.candidates:
                     ids = ",".join(f"{r}={v}" for r, v in c.bindings)
-                    out.append((current, _at(c.seed_t), ids, len(c.hits), len(c.hits) / total, done, matcher.expired, matcher.late))
+                    why = ", ".join(f"{path}: {text} {n}" for (path, text), n in sorted(matcher.failures.items()))
+                    out.append((current, _at(c.seed_t), ids, len(c.hits), len(c.hits) / total, done, matcher.expired, matcher.late, why))
 
         for batch in batches:
             for r in batch.itertuples(index=False):

@@ -77,12 +77,58 @@ def recipes(providers: DataFrame, wanted: str, most_depth: int = 8) -> DataFrame
     return done.select("chain", F.size("chain").alias("steps"))
 
 
+def recipe_trees(providers: DataFrame, raw: list[str], wanted: str, most_depth: int = 8, most: int = 64) -> DataFrame:
+    """(recipe, depth) for a type of data, of enabled providers (provider, inputs array, output) over raw types.
+
+    A provider takes all of its inputs, each by any of that type's recipes; a type is never needed for itself. Recipes
+    are built from the raw types on, and `most` of a type are kept, shallow ones first and then by name.
+    """
+    spark = providers.sparkSession
+    enabled = providers.where("enabled").select("provider", F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"), "output")
+    widest = enabled.agg(F.max(F.size("inputs"))).first()[0] or 0
+    known = spark.createDataFrame([(t, t, [t], 0) for t in raw], "type string, recipe string, uses array<string>, depth int")
+    rank = Window.partitionBy("type").orderBy("depth", "recipe")
+    count = -1
+    for depth in range(1, most_depth + 1):
+        part = enabled.withColumns({"parts": F.array().cast("array<string>"), "uses": F.array().cast("array<string>")})
+        for k in range(widest):
+            open_ = part.where(F.size("inputs") > k).join(known.select("type", "recipe", F.col("uses").alias("more")), F.get("inputs", F.lit(k)) == F.col("type"))
+            open_ = open_.select("provider", "inputs", "output", F.array_append("parts", F.col("recipe")).alias("parts"), F.array_union("uses", "more").alias("uses"))
+            part = part.where(F.size("inputs") <= k).unionByName(open_)
+        new = part.where(~F.array_contains("uses", F.col("output"))).select(F.col("output").alias("type"), F.concat("provider", F.lit("("), F.array_join("parts", ","), F.lit(")")).alias("recipe"), F.array_append("uses", F.col("output")).alias("uses"), F.lit(depth).alias("depth"))
+        every = known.unionByName(new).groupBy("type", "recipe").agg(F.min(F.struct("depth", "uses")).alias("m")).select("type", "recipe", "m.uses", "m.depth")
+        known = written(every.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= most).drop("n"), "recipes")
+        before, count = count, known.count()
+        if count == before:
+            break
+    return known.where(F.col("type") == wanted).select("recipe", "depth")
+
+
 def reconciled(running: DataFrame, wanted: DataFrame) -> DataFrame:
     """START, KEEP or STOP for each (node, provider) of what runs and what is wanted."""
     both = running.select("node", "provider", F.lit(True).alias("r")).distinct().join(wanted.select("node", "provider", F.lit(True).alias("w")).distinct(), ["node", "provider"], "full")
     return both.select("node", "provider", F.when(F.col("r") & F.col("w"), "KEEP").when(F.col("w"), "START").otherwise("STOP").alias("action"))
 
 
+def start_order(actions: DataFrame, feeds: DataFrame) -> DataFrame:
+    """What is to start, with `turn`: consumers before what feeds them, so that nothing is sent before it is heard.
+
+    feeds (node, provider, consumer) are the streams within a node. A turn is the longest way to a provider that feeds
+    nobody; in a ring, which has no such order, turns stop growing after as many rounds as there are providers.
+    """
+    start = actions.where("action = 'START'").select("node", "provider")
+    turns = written(start.withColumn("turn", F.lit(0)), "turns")
+    edges = written(feeds.join(start, ["node", "provider"], "left_semi").join(start.withColumnRenamed("provider", "consumer"), ["node", "consumer"], "left_semi").where("provider <> consumer"), "feeds")
+    for _ in range(turns.count()):
+        ahead = edges.join(turns.withColumnRenamed("provider", "consumer"), ["node", "consumer"]).groupBy("node", "provider").agg((F.max("turn") + 1).alias("ahead"))
+        new = written(turns.join(ahead, ["node", "provider"], "left").select("node", "provider", F.greatest("turn", F.coalesce("ahead", F.lit(0))).alias("turn")), "turns")
+        done = not new.join(turns.withColumnRenamed("turn", "was"), ["node", "provider"]).where("turn > was").take(1)
+        turns = new
+        if done:
+            break
+    return turns
+
+
 def smoothed(samples: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Exponentially weighted throughput per link of samples (link, t, mbps); the first one is taken as it is."""
     from wayline.operators.sequential import fold

@@ -8,6 +8,7 @@ leaves wait and until when, is a function of these and of the time.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
@@ -76,23 +77,27 @@ class Matcher:
     expired: int = 0
     candidates: list[Candidate] = field(default_factory=list)
     seen: set = field(default_factory=set)
+    #: (path of the node, why) -> candidates that it was the first to end
+    failures: Counter = field(default_factory=Counter)
 
     def __post_init__(self) -> None:
         self.leaves = list(self.event.pattern.leaves())
         self._numbered: dict[int, tuple[int, ...]] = {}
-        self._number(self.event.pattern, 0)
+        self._paths: dict[int, str] = {}
+        self._number(self.event.pattern, 0, "")
         self.first = self._seeds(self.event.pattern)
         self.clock: int | None = None
 
-    def _number(self, node: Pattern, at: int) -> int:
+    def _number(self, node: Pattern, at: int, path: str) -> int:
         """Each node's own leaves, as a range of numbers; by identity, as equal leaves may occur twice."""
         start = at
+        self._paths[id(node)] = path
         if node.op == "leaf":
             at += 1
         kids = []
-        for child in node.children:
+        for k, child in enumerate(node.children):
             kids.append(at)
-            at = self._number(child, at)
+            at = self._number(child, at, f"{path}.{k}" if path else str(k))
         self._numbered[id(node)] = (start, *kids)
         return at
 
@@ -109,14 +114,16 @@ class Matcher:
         return self._state(self.event.pattern, 0, c.seed_t, now, None, dict(c.hits), dict(c.since))
 
     def _state(self, node, at, active, now, until, hits, since):
+        """Status, time, and what is waited for; in place of that, where a node has failed, the first path and reason."""
         start = self._numbered[id(node)]
+        failed = lambda why: (FAILED, None, [(self._paths[id(node)], why)])
         if node.op == "leaf":
             return (DONE, hits[start[0]], []) if start[0] in hits else (PENDING, None, [Waiting(start[0], until, False)])
         if node.op == "for":
             leaf = start[1]
             if leaf in hits:
                 return DONE, hits[leaf], []
-            return (FAILED, None, []) if until is not None and now > until else (PENDING, None, [Waiting(leaf, until, True)])
+            return failed("window of an ancestor") if until is not None and now > until else (PENDING, None, [Waiting(leaf, until, True)])
         sub = lambda k, a, u: self._state(node.children[k], start[1 + k], a, now, u, hits, since)
         if node.op == "seq":
             for k in range(len(node.children)):
@@ -133,22 +140,25 @@ class Matcher:
             status, t, waits = sub(0, opens, until)
             if status == DONE and opens <= t <= closes:
                 return DONE, t, []
-            return (FAILED, None, []) if status == FAILED or now > closes else (PENDING, None, waits)
+            if status == FAILED:
+                return FAILED, None, waits
+            return failed("window") if now > closes else (PENDING, None, waits)
         parts = [sub(k, active, until) for k in range(len(node.children))]
         times = sorted(t for status, t, _ in parts if status == DONE)
         waits = [w for status, _, ws in parts if status == PENDING for w in ws]
         need = {"all": len(parts), "any": 1, "k_of_n": node.k}[node.op]
-        if node.op == "all" and any(status == FAILED for status, _, _ in parts):
-            return FAILED, None, []
+        broken = next((ws for status, _, ws in parts if status == FAILED), None)
+        if node.op == "all" and broken is not None:
+            return FAILED, None, broken
         if len(times) >= need:
             return DONE, times[need - 1], []
         if len(times) + sum(status == PENDING for status, _, _ in parts) < need:
-            return FAILED, None, []
+            return failed("too few left")
         if times and node.op != "any":
             closes = times[0] + node.most_ms * MS
             until = closes if until is None else min(until, closes)
             if now > until:
-                return FAILED, None, []
+                return failed("window for the rest")
             waits = [w._replace(until=until if w.until is None else min(w.until, until)) for w in waits]
         return PENDING, None, waits
 
@@ -207,9 +217,9 @@ class Matcher:
         self.clock = m.t if self.clock is None else max(self.clock, m.t)
         kept, grown = [], []
         for c in self.candidates:
-            status, _, _ = self.state(c, self.clock)
+            status, _, why = self.state(c, self.clock)
             if status == FAILED:
-                self.expired += 1
+                self._failed(why)
                 continue
             branches = []
             if m.t >= c.seed_t:
@@ -230,19 +240,23 @@ class Matcher:
                 grown.append(self._hit(Candidate(m.t, leaf, m.source), leaf, sustained, m.t, fits))
         out = []
         for c in grown:
-            status, t, _ = self.state(c, m.t)
+            status, t, why = self.state(c, m.t)
             if status == DONE:
                 occurrence = ("c", c.seed_leaf, c.seed_t, c.seed_source, c.bindings)
                 if occurrence not in self.seen:
                     self.seen.add(occurrence)
                     out.append(Completion(c.seed_t, t, c.seed_source, dict(c.bindings), self.leaves[c.seed_leaf].predicate))
             elif status == FAILED:
-                self.expired += 1
+                self._failed(why)
             else:
                 kept.append(c)
         self.candidates = kept
         return out
 
+    def _failed(self, why: list[tuple[str, str]]) -> None:
+        self.expired += 1
+        self.failures[why[0]] += 1
+
     def forget_before(self, t: int) -> None:
         """Drop candidates that have failed by then, and what only matches older than t could repeat.
 
@@ -250,8 +264,9 @@ class Matcher:
         """
         kept = []
         for c in self.candidates:
-            if self.state(c, t)[0] == FAILED:
-                self.expired += 1
+            status, _, why = self.state(c, t)
+            if status == FAILED:
+                self._failed(why)
             else:
                 kept.append(c)
         self.candidates = kept
@@ -263,8 +278,8 @@ class Matcher:
         return not self.candidates and not self.seen
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.late, self.expired, self.candidates, self.seen, self.clock))
+        return pickle.dumps((self.late, self.expired, self.candidates, self.seen, self.clock, self.failures))
 
     def load(self, state: bytes) -> Matcher:
-        self.late, self.expired, self.candidates, self.seen, self.clock = pickle.loads(state)
+        self.late, self.expired, self.candidates, self.seen, self.clock, self.failures = pickle.loads(state)
         return self

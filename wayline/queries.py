@@ -216,7 +216,7 @@ def alarm_after_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WAITING = f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 48 * HOUR)} AS h FROM e WHERE event_type = 'signup'), f AS (SELECT *, {_first("error", "s.user_id", "s.k", "s.h")} AS x FROM s), g AS (SELECT *, {_first("purchase", "f.user_id", "f.x", "f.h")} AS p FROM f),
     last AS (SELECT user_id, MAX(k) AS l FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY 1), r AS (SELECT g.*, p IS NULL AND l < h AS waits, p IS NULL AND l >= h AS late FROM g JOIN last USING (user_id)),
     n AS (SELECT *, COUNT(*) FILTER (p IS NOT NULL) OVER w AS completed, COUNT(*) FILTER (late) OVER w AS expired FROM r WINDOW w AS (PARTITION BY user_id))
-    SELECT CAST(user_id AS VARCHAR) AS key, ts AS matched_at, 'U=' || user_id AS bindings, CAST(1 + (x IS NOT NULL)::INT AS INT) AS satisfied, (1 + (x IS NOT NULL)::INT) / 3 AS fraction, CAST(completed AS INT) AS completed, CAST(expired AS INT) AS expired, CAST(0 AS INT) AS late FROM n WHERE waits"""
+    SELECT CAST(user_id AS VARCHAR) AS key, ts AS matched_at, 'U=' || user_id AS bindings, CAST(1 + (x IS NOT NULL)::INT AS INT) AS satisfied, (1 + (x IS NOT NULL)::INT) / 3 AS fraction, CAST(completed AS INT) AS completed, CAST(expired AS INT) AS expired, CAST(0 AS INT) AS late, CASE WHEN expired > 0 THEN '1: window ' || expired ELSE '' END AS failures FROM n WHERE waits"""
 
 
 @query("progress", _WAITING)
@@ -619,12 +619,9 @@ def follows_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(tracks.follows_across(placed, 120.0, apart_us=HOUR), "leader", "follower")
 
 
-BOXES = "b AS (SELECT event_id, 'cam' || (user_id % 4) AS source, epoch_us(date_trunc('day', ts)) AS t, event_type AS class, value AS confidence, CAST(event_id * 37 % 300 AS DOUBLE) AS x1, CAST(event_id * 53 % 200 AS DOUBLE) AS y1 FROM events)"
-
-
 def user_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event as a box of 60 by 60 in its day's frame."""
-    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))))
+    """An event as a box of 60 by 60 in its week's frame."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.date_trunc("week", F.col("ts").cast("timestamp"))))
     boxes = rows.select("event_id", F.concat(F.lit("cam"), F.col("user_id") % 4).alias("source"), "t", F.col("event_type").alias("class"), F.col("value").alias("confidence"), F.expr("CAST(event_id * 37 % 300 AS DOUBLE)").alias("x1"), F.expr("CAST(event_id * 53 % 200 AS DOUBLE)").alias("y1"))
     return boxes.withColumns({"x2": F.col("x1") + 60, "y2": F.col("y1") + 60})
 
