@@ -1,4 +1,8 @@
 import math
+import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -50,3 +54,13 @@ def test_queries_without_sql(spark, sf):
 def test_the_entry_has_rows(spark):
     assert entry.entry(spark).count() == 69
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_entry_without_the_corpus_operators(tmp_path):
+    """With the subpackage and its pipeline gone, everything else is still there."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "wayline", tmp_path / "wayline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry.__file__, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
