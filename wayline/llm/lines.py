@@ -301,7 +301,7 @@ def repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     counts = every.groupBy("id").agg(F.min(F.struct("doc_id", "own", "line")).alias("first"), F.count("*").alias("n"))
     classed = written(counts.join(found, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("class")), "line-counts")
     firsts = classed.groupBy("class").agg(F.min(F.struct("first", "id")).alias("kept"), F.sum("n").alias("in_class")).where("in_class > 1")
-    dropping = written(classed.join(firsts, "class").select("id", "kept"), "line-firsts")
+    dropping = classed.join(firsts, "class").select("id", "kept")
     # neither these nor the lines that go have a bound, so they are never broadcast
     going = every.join(dropping.hint("merge"), "id").where(F.struct("doc_id", "own", "line") != F.col("kept.first"))
     return going.select("doc_id", "own", "line", (F.col("id") == F.col("kept.id")).alias("exact"))
@@ -314,7 +314,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_list("line")).alias("gone")
     )
     own = rows.select("doc_id", "own", F.coalesce(F.size(F.split("text", "\n", -1)).cast("long") * F.when(F.col("text").isNotNull(), 1), F.lit(0)).alias("n_lines"))
-    return own.join(written(gone, "line-report"), ["doc_id", "own"], "left").select(
+    return own.join(gone, ["doc_id", "own"], "left").select(
         "doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed")
     )
 
@@ -324,7 +324,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     stay only if `emptied` says so; those that had nothing else to begin with always stay."""
     doc, own, gone, lines = (unused(x, docs.columns) for x in ("__doc", "__own", "__gone", "__lines"))
     found = repeats(_rows(docs), edits, min_chars).groupBy(F.col("doc_id").alias(doc), F.col("own").alias(own))
-    drops = written(found.agg(F.collect_list("line").alias(gone)), "line-report")
+    drops = found.agg(F.collect_list("line").alias(gone))
     same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own))
     joined = docs.join(drops.hint("merge"), same, "left")
     # a set difference of line numbers: looking each line up in the list would take its length times theirs
