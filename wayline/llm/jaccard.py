@@ -238,7 +238,7 @@ def _grouped(docs: DataFrame, n: int, share: tuple[int, int], block: int) -> Dat
     # the least row of each component of more than one class, for the members that are not alone
     least = found.join(classes.select(F.col("rep").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("kept"))
     named = found.join(least, "component").select(F.col("id").alias("rep"), "kept")
-    named = written(classes.select("rep", "s2", "least").join(named, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("kept", "least").alias("kept")), "named")
+    named = classes.select("rep", "s2", "least").join(named, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("kept", "least").alias("kept"))
     whole = profile.select("doc_id", "own", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2")
     return whole.join(named, ["s1", "s2"], "left").select("doc_id", "own", "n_shingles", "kept")
 
@@ -261,7 +261,7 @@ def one_of_each(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100))
     doc, own, times = (unused(x, docs.columns) for x in ("__doc", "__own", "__times"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("own", F.xxhash64("text"))
     decided = _grouped(rows, n, share, BLOCK).where("kept IS NOT NULL")
-    keys = written(decided.groupBy("doc_id", "own").agg(F.first("kept").alias("kept"), F.count("*").alias("times")), "decided")
+    keys = decided.groupBy("doc_id", "own").agg(F.first("kept").alias("kept"), F.count("*").alias("times"))
     keys = keys.where("times > 1 OR kept <> struct(doc_id, own)").select(F.col("doc_id").alias(doc), F.col("own").alias(own), F.when(F.expr("kept = struct(doc_id, own)"), F.col("times")).alias(times))
     keys = written(keys, "gone")
     same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own))
