@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, collisions, fingerprint, jaccard, language, lines, packing, secrets, toxicity, warc
+from wayline.llm import bpe, chat, collisions, divergence, fingerprint, jaccard, language, lines, negatives, packing, secrets, toxicity, warc
 from wayline.session import scratch, table, written
 
 
@@ -104,7 +104,39 @@ def op7_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+#: A conversation whose turns say what the template itself does.
+_ODD = "SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    found = chat.read_back(chat.whole(rows.union(spark.sql(_ODD))))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(told).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        digest(F.col("learnt")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(negatives.integers(moved), F.col("id") % 50 == 0)
+
+
 QUERIES = {
+    "op13_negatives": op13_negatives,
+    "op12_divergence": op12_divergence,
+    "op11_chat": op11_chat,
     "op7_collisions": op7_collisions,
     "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
@@ -129,7 +161,29 @@ def _spans_of(rank: int, rule: secrets.Rule) -> str:
 _SPANS = " UNION ALL ".join(_spans_of(k, r) for k, r in enumerate(secrets.RULES))
 _SPAN = "kind || ':' || start || ':' || (start + size)"
 
+#: The length of a text once its escapes and control strings are escaped.
+_ESCAPED = "length(replace(replace(replace(replace(replace(t, '\\', '\\\\'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>'), '<s>', '<\\s>'))"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op11_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        b AS (SELECT *, {_ESCAPED} AS n, {_ESCAPED.replace("(t,", "(r,")} AS m, row_number() OVER w > 1 AND lag(r) OVER w = r AS goes_on FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t))
+        SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256, coalesce(CAST(SUM(length(t)) FILTER (r = 'assistant') AS BIGINT), 0) AS loss_chars,
+          sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(SUM(n + CASE WHEN goes_on THEN 3 ELSE m + 17 END) AS BIGINT) AS formatted_chars FROM b GROUP BY conv_id""",
+    "op12_divergence": f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents), g AS (SELECT DISTINCT lang, source FROM d),
+        w AS (SELECT i, lang, source, unnest(regexp_extract_all({_LOWER.format("t")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d), c AS (SELECT lang, source, term, COUNT(*) AS n, COUNT(DISTINCT i) AS docs FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, SUM(n) AS total FROM c GROUP BY ALL HAVING SUM(docs) >= 10), v AS (SELECT lang, COUNT(*) AS v, SUM(total) AS whole FROM k GROUP BY lang),
+        m AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term), s AS (SELECT lang, source, SUM(n) AS own FROM m GROUP BY ALL),
+        p AS (SELECT m.*, 1 + 1000000000 * (n + 2)::HUGEINT // (own + 2 * v) AS p, 1 + 1000000000 * (total + 2)::HUGEINT // (whole + 2 * v) AS q FROM m JOIN s ON s.lang = m.lang AND s.source = m.source JOIN v ON v.lang = m.lang),
+        x AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+        f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 10""",
+    "op13_negatives": """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 50 = 0 AND b.id <> a.id AND len(a.v) = len(b.v)),
+        p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s WHERE same) WHERE n <= 5),
+        r AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3""",
     "op6_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}), g AS (SELECT doc_id, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex,
         string_agg({_SPAN}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg({_SPAN}, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
