@@ -246,7 +246,7 @@ def test_node_pairs_are_dropped_and_nothing_is_lost():
     for r in range(200):
         best = sorted((-score[r, c], c) for c in range(4000) if own[c] == labels[r] and c != r)[:5]
         assert got[r] == ([-s for s, _ in best], [c for _, c in best])
-    assert sum(seen) < 0.1 * 200 * 4000  # labels alone leave a third
+    assert sum(seen) < 0.2 * 200 * 4000  # labels alone leave a third
 
 
 def test_shares_of_scores_round_as_the_rule_says(spark):
