@@ -1,7 +1,9 @@
 """Operators whose state runs along a source's frames: trackers, entries, boarding, custody, refractory audio.
 
-Spark deals the rows by source and sorts them by time; a small fold keeps the state of the source at hand, so a task
-holds one frame and the objects in view. Times are microseconds.
+Spark deals the rows by segments of sources, which begin where an operator's state is provably empty (`restarts`), or by
+what the state is kept for (an item, a class of sound), and sorts them by time; a small fold keeps the state at hand, so
+a task holds one frame and the objects in view. A source that is never quiet for as long as the operator remembers has
+no restart points and stays one segment; `restarts.cuts` tells which. Times are microseconds.
 """
 
 from __future__ import annotations
@@ -13,31 +15,37 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayline.functions.geometry import PACKAGES, VEHICLES, WIDTHS
+from wayline.operators.restarts import FIRST, beside, bucket_width, clocked, running, segments_of_frames, segments_of_rows
+from wayline.operators.tracks import nearest_holders
+from wayline.session import written
 
 SECOND = 1_000_000
 MATCHES = "t long, predicate string, source string, confidence double, provider string, arguments map<string,string>, classes map<string,string>"
 TRACK = ("object_id", "class", "confidence", "x1", "y1", "x2", "y2", "world_x", "world_y", "world_frame", "velocity_x", "velocity_y", "age")
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], schema: str) -> DataFrame:
+def fold(rows: DataFrame, key: str | list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], schema: str) -> DataFrame:
     """step(state, row) -> rows out, over each key's rows in order. Rows and state never leave the key's task."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    names, keys = [x.split()[0] for x in schema.split(", ")], [key] if isinstance(key, str) else key
+    spots = [rows.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), None
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if getattr(r, key) != current:
-                    current, state = getattr(r, key), start()
+                own = [r[k] for k in spots]
+                if own != current:
+                    current, state = own, start()
                 out += step(state, r)
             yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def framed(tracks: DataFrame, frames: DataFrame) -> DataFrame:
@@ -88,8 +96,16 @@ def _match(row: Any, predicate: str, confidence: float, **who: dict) -> tuple:
     return (row.t, predicate, row.source, float(min(max(confidence, 0.0), 1.0)), "tracks", {k: v["object_id"] for k, v in who.items()}, {k: v["class"] for k, v in who.items()})
 
 
+def _segmented(tracks: DataFrame, frames: DataFrame, empty_before: Column) -> DataFrame:
+    """framed() rows with the segment of each."""
+    return framed(tracks, frames).join(segments_of_frames(tracks, frames, empty_before), ["source", "t"])
+
+
 def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us: int = 1_500_000) -> DataFrame:
-    """Objects that come into view and move: not those of a source's first frame, nor such as replace one just lost."""
+    """Objects that come into view and move: not those of a source's first frame, nor such as replace one just lost.
+
+    Nothing is remembered after frames without any object for absence_us.
+    """
 
     def step(state: dict, row: Any) -> list[tuple]:
         now, active, out = _objects(row), state["active"], []
@@ -101,7 +117,7 @@ def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us:
                 cx, cy = _centre(x)
                 size = lambda y: max(y["x2"] - y["x1"], y["y2"] - y["y1"])
                 replaces = any(o["last"]["class"].lower() == x["class"].lower() and hypot(cx - _centre(o["last"])[0], cy - _centre(o["last"])[1]) <= max(size(x), size(o["last"])) for o in lost)
-                if state["begun"] and not replaces:
+                if (state["begun"] or row.segment != FIRST) and not replaces:
                     a["came"] = (cx, cy, max(5.0, 0.25 * min(x["x2"] - x["x1"], x["y2"] - x["y1"])))
             a["last"], a["missing"] = x, None
             if a["came"] is not None and (x.get("age") or 1) >= least_age:
@@ -117,13 +133,15 @@ def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us:
         state["begun"] = True
         return out
 
-    return fold(framed(tracks, frames), "source", ["t"], lambda: {"active": {}, "begun": False}, step, MATCHES)
+    gone = (F.col("before") > F.col("was")) & (F.col("before") - F.col("was_after") >= absence_us)
+    return fold(_segmented(tracks, frames, gone), ["source", "segment"], ["t"], lambda: {"active": {}, "begun": False}, step, MATCHES)
 
 
 def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m: float = 2.0, apart_m: float = 5.0, moving_mps: float = 0.75, stopped_us: int = SECOND // 2, wait_us: int = 8 * SECOND) -> DataFrame:
     """boards: a person vanishes by a vehicle that then leaves. disembarks: one appears by a stopped vehicle, then parts.
 
-    A person is a candidate for one vehicle at a time, the one that was nearest last.
+    A person is a candidate for one vehicle at a time, the one that was nearest last; a pair is told of once. Nothing
+    but that is remembered after a frame without any object and wait_us without one.
     """
     nearest = lambda p, among: min(((_metres(p, c), i) for i, c in among.items()), default=None)
 
@@ -151,22 +169,23 @@ def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m
                 del state["off"][i]
             elif i in people and c in cars and _metres(people[i], cars[c]) >= apart_m:
                 del state["off"][i]
-                if ("off", i, c) not in state["told"]:
-                    state["told"].add(("off", i, c))
-                    out.append(tell("disembarks", min(people[i]["confidence"], cars[c]["confidence"]), i, c))
+                out.append(tell("disembarks", min(people[i]["confidence"], cars[c]["confidence"]), i, c))
         for i, (c, t, then) in list(state["on"].items()):
             if row.t - t > wait_us:
                 del state["on"][i]
             elif c in cars and (_moved(then, cars[c]) >= leave_m or (_speed(cars[c]) or 0.0) > moving_mps):
                 del state["on"][i]
-                if ("on", i, c) not in state["told"]:
-                    state["told"].add(("on", i, c))
-                    out.append(tell("boards", cars[c]["confidence"], i, c))
+                out.append(tell("boards", cars[c]["confidence"], i, c))
         state.update(people=people, cars=cars, t=row.t)
         return out
 
-    start = lambda: {"people": {}, "cars": {}, "stopped": {}, "on": {}, "off": {}, "told": set(), "t": None}
-    return fold(framed(tracks, frames), "source", ["t"], start, step, MATCHES)
+    start = lambda: {"people": {}, "cars": {}, "stopped": {}, "on": {}, "off": {}, "t": None}
+    gone = (F.col("before") > F.col("was")) & (F.col("t") - F.col("was") > wait_us)
+    found = fold(_segmented(tracks, frames, gone), ["source", "segment"], ["t"], start, step, MATCHES)
+    pair = found.withColumns({"person": F.col("arguments")["person"], "vehicle": F.col("arguments")["vehicle"]})
+    first = pair.groupBy("source", "predicate", "person", "vehicle").agg(F.min(F.struct("t", "confidence")).alias("m"))
+    of = lambda a, b: F.create_map(F.lit("person"), a, F.lit("vehicle"), b)
+    return first.select("m.t", "predicate", "source", "m.confidence", F.lit("tracks").alias("provider"), of(F.col("person"), F.col("vehicle")).alias("arguments"), of(F.lit("person"), F.lit("vehicle")).alias("classes"))
 
 
 def _position(a: dict) -> tuple[float, float]:
@@ -183,33 +202,36 @@ def _moved(then: dict, now: dict) -> float:
 def transfers(tracks: DataFrame, frames: DataFrame, close_m: float = 1.5, stable_us: int = SECOND, forget_us: int = 5 * SECOND) -> DataFrame:
     """Custody of items: a new nearest holder, in a later frame still the nearest and for stable_us at least, takes over.
 
-    Custody of an item out of view is forgotten forget_us after it was last confirmed.
+    Custody of an item out of view is forgotten forget_us after it was last confirmed. Items know nothing of one another,
+    so each is a stream of its own: its sightings, with the nearest holder in reach and the frame before each.
     """
 
     def step(state: dict, row: Any) -> list[tuple]:
-        now, out = _objects(row), []
-        holders = {i: x for i, x in now.items() if _is(x, ("person", *VEHICLES))}
-        for i, item in ((i, x) for i, x in now.items() if _is(x, PACKAGES)):
-            own = state.setdefault(i, {"pending": None, "held": None})
-            by = min(((_metres(item, h), k) for k, h in holders.items()), default=None)
-            if by is None or by[0] > close_m:
-                own["pending"] = None
-                continue
-            if own["pending"] is None or own["pending"][0] != by[1]:
-                own["pending"] = (by[1], row.t)
-                continue
-            if row.t - own["pending"][1] < stable_us:
-                continue
-            holder = holders[by[1]]
-            sure = min(item["confidence"], holder["confidence"], min(max(0.55 + 0.45 * (1 - by[0] / close_m), 0.0), 1.0))
-            if own["held"] is not None and own["held"][0]["object_id"] != by[1]:
-                out.append(_match(row, "transfer", min(own["held"][1], sure), item=item, giver=own["held"][0], receiver=holder))
-            own["held"] = (holder, sure, row.t)
-        for i in [i for i, own in state.items() if i not in now and (own["held"] is None and own["pending"] is None or own["held"] is not None and row.t - own["held"][2] > forget_us)]:
-            del state[i]
+        held, pending = state.get("held"), state.get("pending")
+        if held is not None and _known(row.before) and row.before > state["t"] and row.before - held[3] > forget_us:
+            held = pending = None  # a frame without the item came so late
+        state.update(t=row.t, held=held, pending=pending)
+        if row.holder is None:
+            state["pending"] = None
+            return []
+        if pending is None or pending[0] != row.holder:
+            state["pending"] = (row.holder, row.t)
+            return []
+        if row.t - pending[1] < stable_us:
+            return []
+        sure = min(row.confidence, row.holder_confidence, min(max(0.55 + 0.45 * (1 - row.metres / close_m), 0.0), 1.0))
+        out = []
+        if held is not None and held[0] != row.holder:
+            who = {"item": (row.object_id, row.kind), "giver": held[:2], "receiver": (row.holder, row.holder_class)}
+            out.append((row.t, "transfer", row.source, float(min(max(min(held[2], sure), 0.0), 1.0)), "tracks", {k: v[0] for k, v in who.items()}, {k: v[1] for k, v in who.items()}))
+        state["held"] = (row.holder, row.holder_class, sure, row.t)
         return out
 
-    return fold(framed(tracks, frames), "source", ["t"], dict, step, MATCHES)
+    near = nearest_holders(tracks, 1).where(F.col("metres") <= close_m).select("source", "t", F.col("item").alias("object_id"), "holder", "holder_class", "holder_confidence", "metres")
+    items = tracks.where(F.lower("class").isin(*PACKAGES)).select("source", "t", "object_id", F.col("class").alias("kind"), "confidence")
+    clock = clocked(frames, bucket_width(frames)).select("source", "t", "before")
+    rows = items.join(near, ["source", "t", "object_id"], "left").join(clock, ["source", "t"])
+    return fold(rows, ["source", "object_id"], ["t"], dict, step, MATCHES)
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,9 +251,11 @@ def _boxes(rows: list[dict]) -> np.ndarray:
 def track_objects(detections: DataFrame, least_iou: float = 0.25, most_missed: int = 5) -> DataFrame:
     """Tracks from detection frames (source, t, detections): greedy best-overlap assignment within a class.
 
-    Of equal overlaps the newer track, then the later detection of the frame, comes first.
+    Of equal overlaps the newer track, then the later detection of the frame, comes first. Nothing but the number of
+    tracks so far is remembered after more than most_missed frames without detections; segments number their own tracks,
+    and what precedes them is added.
     """
-    schema = "source string, t long, object_id string, class string, confidence double, x1 double, y1 double, x2 double, y2 double, velocity_x double, velocity_y double, age int"
+    schema = "source string, segment long, t long, number long, class string, confidence double, x1 double, y1 double, x2 double, y2 double, velocity_x double, velocity_y double, age int"
 
     def step(state: dict, row: Any) -> list[tuple]:
         seen = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in row.detections]
@@ -269,10 +293,18 @@ def track_objects(detections: DataFrame, least_iou: float = 0.25, most_missed: i
                 del tracks[i]
         for i in sorted(taken):
             x = tracks[i]
-            out.append((row.source, row.t, f"{row.source}:track_{i}", x["class"], x["confidence"], x["x1"], x["y1"], x["x2"], x["y2"], *x["v"], x["age"]))
+            out.append((row.source, row.segment, row.t, i, x["class"], x["confidence"], x["x1"], x["y1"], x["x2"], x["y2"], *x["v"], x["age"]))
         return out
 
-    return fold(detections, "source", ["t"], lambda: {"tracks": {}, "n": 0}, step, schema)
+    gone = F.col("n") - F.col("was_n") - 1 > most_missed
+    cut = segments_of_frames(detections.where(F.size("detections") > 0), detections, gone)
+    own = written(fold(detections.select("source", "t", "detections").join(cut, ["source", "t"]), ["source", "segment"], ["t"], lambda: {"tracks": {}, "n": 0}, step, schema), "tracks")
+    before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("source", "segment").agg(F.max("number").alias("tracks"))
+    earlier = totals.select(F.col("source").alias("of"), F.col("segment").alias("at"), F.coalesce(F.sum("tracks").over(before), F.lit(0)).alias("earlier"))
+    named = own.join(earlier, own["source"].eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")))
+    name = F.concat("source", F.lit(":track_"), (F.col("number") + F.col("earlier")).cast("string"))
+    return named.select("source", "t", name.alias("object_id"), "class", "confidence", "x1", "y1", "x2", "y2", "velocity_x", "velocity_y", "age")
 
 
 def suppressed_boxes(detections: DataFrame, most_iou: float = 0.45) -> DataFrame:
@@ -300,34 +332,64 @@ AUDIO = {"gunshot": (0.35, 0, ("Gunshot, gunfire", "Machine gun", "Fusillade")),
 
 
 def audio_events(windows: DataFrame, audio: dict[str, tuple[float, int, tuple[str, ...]]] = AUDIO, least_consecutive: int = 1) -> DataFrame:
-    """audio_event matches from (source, t, scores map<string,double>): thresholds, runs of windows, refractory times."""
+    """audio_event matches from (source, t, scores map<string,double>): thresholds, runs of windows, refractory times.
+
+    Each class of a source is a stream of its own, cut where a run of windows begins that is a refractory time away from
+    the run before. Windows below the threshold only end runs.
+    """
+    least = max(least_consecutive, 1)
+    score = lambda labels: F.greatest(F.lit(0.0), F.lit(0.0), *(F.coalesce(F.col("scores")[x], F.lit(0.0)) for x in labels))
+    classes = F.array(*(F.struct(F.lit(name).alias("class"), F.lit(threshold).alias("least"), F.lit(quiet).cast("long").alias("quiet"), score(labels).alias("score")) for name, (threshold, quiet, labels) in sorted(audio.items())))
+    rows = windows.select("source", "t", F.explode(classes).alias("c")).select("source", "t", "c.*").withColumn("hot", F.col("score") >= F.col("least"))
+    key, width = ["source", "class"], bucket_width(windows)
+    if least > 1:
+        rows = beside(rows, key, "t", width, {"was_hot": "hot"}).withColumn("begins", ~F.coalesce("was_hot", F.lit(False)))
+    else:
+        rows = rows.withColumn("begins", F.lit(True))  # any window is a run
+    hot = beside(rows.where("hot"), key, "t", width, {"was": "t"})
+    point = F.when(F.col("begins") & (F.col("t") - F.col("was") >= F.col("quiet")), F.col("t"))
+    cut = running(hot, key, "t", width, "segment", point).select("source", "class", "t", "score", "quiet", "begins", F.coalesce("segment", F.lit(FIRST)).alias("segment"))
 
     def step(state: dict, row: Any) -> list[tuple]:
-        scores, out = dict(row.scores), []
-        for name, (threshold, refractory, labels) in sorted(audio.items()):
-            own = state.setdefault(name, {"run": 0, "last": None})
-            score = max((scores.get(x, 0.0) for x in labels), default=0.0)
-            own["run"] = own["run"] + 1 if score >= threshold else 0
-            if own["run"] < max(least_consecutive, 1) or own["last"] is not None and row.t < own["last"] + refractory:
-                continue
-            own.update(run=0, last=row.t)
-            out.append((row.t, "audio_event", row.source, float(min(score, 1.0)), "audio", {"class": name}, {}))
-        return out
+        state["run"] = 1 if least > 1 and row.begins else state.get("run", 0) + 1
+        if state["run"] < least or "last" in state and row.t < state["last"] + row.quiet:
+            return []
+        state.update(run=0, last=row.t)
+        return [(row.t, "audio_event", row.source, float(min(row.score, 1.0)), "audio", {"class": row[1]}, {})]
 
-    return fold(windows, "source", ["t"], dict, step, MATCHES)
+    return fold(cut, ["source", "class", "segment"], ["t"], dict, step, MATCHES)
 
 
 def suppressed_repeats(rows: DataFrame, key: str, quiet_us: int = 2 * SECOND) -> DataFrame:
-    """Of rows (key, t), those at least quiet_us after the last one that was let through, per key."""
+    """Of rows (key, t), those at least quiet_us after the last one that was let through, per key.
 
-    def step(state: dict, row: Any) -> list[tuple]:
-        if "last" in state and row.t - state["last"] < quiet_us:
-            return []
-        state["last"] = row.t
-        return [tuple(row)]
+    A row that comes quiet_us after the one before it is let through whatever was before: a restart point. Inside a
+    segment only the rows let through are steps. Of rows of one key and time, one is let through if quiet_us is not 0.
+    """
+    cut = segments_of_rows(rows, [key], quiet_us)
+    keys = [cut.columns.index(c) for c in (key, "segment")]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return fold(rows, key, ["t"], dict, step, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, free = None, 0
+        for batch in batches:
+            t = batch.column("t").to_numpy(zero_copy_only=False)
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            kept, at = [], 0
+            while at < len(own):
+                end = at + 1
+                if own[at] != current:
+                    current, free = own[at], t[at]
+                # rows are sorted: the group's end, and from row let through to row let through
+                while end < len(own) and own[end] == current:
+                    end += 1
+                while (at := at + int(np.searchsorted(t[at:end], free))) < end:
+                    kept.append(at)
+                    free, at = t[at] + quiet_us, at + 1
+                at = end
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return cut.repartition(key, "segment").sortWithinPartitions(key, "segment", "t").mapInArrow(run, schema)
 
 
 def speakers(segments: DataFrame, least_cosine: float = 0.75) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
-from wayline.operators import audio, evidence, identity, sequential, tracks, workload
+from wayline.operators import audio, evidence, identity, restarts, sequential, tracks, workload
 from wayline.operators.matching import match_by_key, occurrences, progress_by_key
 from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
@@ -432,6 +432,17 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.sampled(rows, 1 / 86400, "user_id").select("user_id", "ts")
 
 
+@query(
+    "restart_points",
+    f"""WITH g AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events), s AS (SELECT user_id, MAX(CASE WHEN t - was >= {24 * HOUR} THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS segment FROM g),
+    n AS (SELECT user_id, segment, COUNT(*) AS own FROM s GROUP BY ALL) SELECT user_id, COUNT(*) AS segments, MAX(own) AS longest, CAST(SUM(own) AS BIGINT) AS rows FROM n GROUP BY user_id""",
+)
+def restart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the streams of users are cut where a user is quiet for a day."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return restarts.cuts(restarts.segments_of_rows(rows, ["user_id"], 24 * HOUR), ["user_id"])
+
+
 @query("latest_value", "SELECT p.event_id, (SELECT max_by(v.value, v.event_id) FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts) AS value FROM events p WHERE p.event_type = 'purchase'")
 def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
