@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 
+from wayline.operators import restarts
 from wayline.operators.matching import match_by_key, occurrences
 from wayline.plans.compiler import Unsupported, compile_event
 from wayline.plans.events import longest_ms, parse_event
@@ -157,6 +158,24 @@ def test_nested_patterns_agree_with_the_exact_matcher(spark, name):
     assert {w for w in want if w[1] - w[0] <= 15 * S} >= short and short <= want
 
 
+@pytest.mark.parametrize("k", [2, 6, 7])
+def test_pointers_go_over_buckets_of_time(spark, monkeypatch, k):
+    monkeypatch.setattr(restarts, "ROWS", 15)
+    e, rows = event(PATTERNS[k]), random_rows(k + 20)
+    assert sorted(rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA))), key=str) == sorted(exact(e, rows), key=str)
+
+
+def test_states_without_a_binding_leaf_are_not_written(spark, monkeypatch):
+    """Greedy leaves are looked up: no table is written, and the plan has no join."""
+    from wayline.plans import compiler
+
+    monkeypatch.setattr(compiler, "written", lambda df, tag: pytest.fail(tag))
+    rows = spark.createDataFrame(random_rows(3), SCHEMA)
+    for pattern in (PATTERNS[2], {"seq": [one("a", "X"), inside("9s", one("b", "X"), "2s"), one("c", "X")]}):
+        plan = compile_event(event(pattern), rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+
+
 def test_what_has_no_bound_needs_a_horizon_or_a_key(spark):
     e = nested_event({"seq": [one("a", "X"), one("b", "Y")]})
     df = spark.createDataFrame(random_rows(5), SCHEMA)

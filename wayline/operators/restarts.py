@@ -68,6 +68,26 @@ def running(rows: DataFrame, key: list[str], time: str, width: int | None, name:
     return out.select(*rows.columns, both.alias(name))
 
 
+def onward(rows: DataFrame, key: list[str], time: str, ties: list[Column], width: int | None, values: dict[str, Column]) -> DataFrame:
+    """rows with the least of each value over a row and those after it in its key, in the order of time and then ties.
+
+    Of values that grow along that order this is the next one that is not null.
+    """
+    own = rows.withColumns({f"__v{k}": v for k, v in enumerate(values.values())})
+    order = [F.desc(time), *(c.desc() for c in ties)]
+    least = lambda w, k: F.min(f"__v{k}").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if width is None:
+        here = Window.partitionBy(*key).orderBy(*order)
+        return own.withColumns({n: least(here, k) for k, n in enumerate(values)}).select(*rows.columns, *values)
+    own = own.withColumn("__bucket", _bucket(time, width))
+    later = Window.partitionBy(*key).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = own.groupBy(*key, "__bucket").agg(*(F.min(f"__v{k}").alias(f"__f{k}") for k in range(len(values))))
+    carried = firsts.select(*key, "__bucket", *(F.min(f"__f{k}").over(later).alias(f"__c{k}") for k in range(len(values))))
+    here = Window.partitionBy(*key, "__bucket").orderBy(*order)
+    out = _back(own.withColumns({n: least(here, k) for k, n in enumerate(values)}), carried, key)
+    return out.select(*rows.columns, *(F.coalesce(n, f"__c{k}").alias(n) for k, n in enumerate(values)))
+
+
 def clocked(frames: DataFrame, width: int | None) -> DataFrame:
     """(source, t, before, after) of all frames: the times of the frames beside each."""
     return beside(frames.select("source", "t").distinct(), ["source"], "t", width, {"before": "t"}, {"after": "t"})

@@ -3,12 +3,17 @@
 What a candidate waits for depends on which leaves it has met, and the windows on when. So a plan goes from state to
 state, a state being the set of leaves met and of sustained ones begun, fewest first: a table holds all candidates of a
 state, whatever the order in which they met its leaves, with seed, last match, the time of each leaf met and a column
-per role. In a state, a leaf that binds a new object joins every later match; one that binds none takes the first
-(`min(struct(t, seq))`), and the first match that only such leaves take uses the candidate up, so that a leaf that
-binds joins no match after it. All operators, nested in any way, are rules for a state's waits and windows (`waits`).
-
-Shared roles are join keys. Where a leaf shares none, its window, or the horizon that bounds how long any candidate
-lives, cuts both sides into time buckets, which makes the range join an equi join.
+per role. In a state, a leaf that binds a new object joins every later match; one that binds none takes the first, and
+the first match that only such leaves take uses the candidate up, so that a leaf that binds joins no match after it. All
+operators, nested in any way, are rules for a state's waits and windows (`waits`).
+
+Leaves that bind nothing new need no join: matches of the same objects are sorted together once, and the next match of
+each leaf is a pointer, a running value from the end (`next_of`); buckets of time keep an object that has very many
+matches from being one task's work. Matches that seed or bind bring their pointers with them (n_ columns), which stay
+right for leaves that go on waiting; only where there is none are candidates themselves sorted among the matches
+(`pointed`). Shared roles are the keys of the joins that remain. Where a leaf shares
+none, its window, or the horizon that bounds how long any candidate lives, cuts both sides into time buckets, which
+makes the range join an equi join.
 """
 
 from __future__ import annotations
@@ -19,11 +24,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.restarts import bucket_width, onward
 from wayline.plans.events import BROADER, CLASSES, Event, Pattern
 from wayline.plans.matches import observed_once
 from wayline.session import written
 
 MS, NEVER = 1000, 1 << 62
+#: Copies of a state's plan that may stand in the plans of the states after it before it is written.
+COPIES = 8
 _PLAIN = ["s_t", "s_seq", "s_source", "s_leaf"]
 
 
@@ -35,9 +43,10 @@ def compile_event(event: Event, matches: DataFrame, horizon_ms: int | None = Non
     """All occurrences of the event: event, matched_at, completed_at, matched_source, predicate, and a column a role.
 
     An occurrence is told apart by its seed and bindings; the earliest completion counts. With a horizon, candidates
-    end that long after their seed.
+    end that long after their seed. Building the plan runs jobs: the span of the matches is read, and tables of states
+    with a leaf that binds are written.
     """
-    return _Compiler(event, observed_once(matches), horizon_ms).run()
+    return _Compiler(event, matches, horizon_ms).run()
 
 
 class Wait(NamedTuple):
@@ -73,26 +82,33 @@ def _both(conditions: list[Column]) -> Column:
 
 class _Compiler:
     def __init__(self, event: Event, matches: DataFrame, horizon_ms: int | None):
-        self.event, self.matches, self.horizon = event, matches, horizon_ms
+        self.event, self.matches, self.horizon = event, observed_once(matches), horizon_ms
         self.order = list(event.pattern.leaves())
         self.durations: dict[int, int] = {}
+        self.width = bucket_width(matches)
+        self.copies: dict[State, int] = {}
 
     def run(self) -> DataFrame:
         roles = self.event.pattern.role_names()
         open_: dict[State, list[DataFrame]] = {}
         for leaf, sustained in self.first(self.event.pattern, 0):
             state = State(frozenset(), frozenset({leaf})) if sustained else State(frozenset({leaf}), frozenset())
-            open_.setdefault(state, []).append(self.seed(leaf, sustained))
+            open_.setdefault(state, []).append(self.seed(leaf, sustained, state))
+            self.copies[state] = self.copies.get(state, 0) + 1
         done = []
         while open_:
             state = min(open_, key=lambda s: (2 * len(s.met) + len(s.begun), sorted(s.met)))
-            rows = reduce(DataFrame.unionByName, open_.pop(state))
+            parts = open_.pop(state)
+            # pointers that some ways to this state lack are looked up again
+            lacked = {c for p in parts for c in p.columns if c.startswith("n_") and not all(c in q.columns for q in parts)}
+            rows = reduce(DataFrame.unionByName, [p.drop(*lacked) for p in parts])
             t, waits, _, _ = self.root(state)
             if t is not None:
-                done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_"))))
+                done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_", "n_"))))
                 continue
             for after, more in self.advanced(state, rows, waits):
                 open_.setdefault(after, []).append(more)
+                self.copies[after] = self.copies.get(after, 0) + self.copies[state]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
         names = [f"r_{r}" for r in roles]
         best = rows.groupBy("s_leaf", "s_t", "s_source", *names).agg(F.min("act").alias("done"))
@@ -192,22 +208,53 @@ class _Compiler:
     def roles(self, leaf: int) -> list[str]:
         return [f"r_{r}" for _, r in self.order[leaf].roles]
 
-    def seed(self, leaf: int, sustained: bool) -> DataFrame:
-        own = self.leaf(self.order[leaf])
+    def seed(self, leaf: int, sustained: bool, state: State) -> DataFrame:
+        own = self.leading(leaf, self.targets(leaf, state, self.roles(leaf)))
         seed = {"s_t": F.col("t"), "s_seq": F.col("seq"), "s_source": F.col("source"), "s_leaf": F.lit(leaf), "l_t": F.col("t"), "l_seq": F.col("seq"), (f"b_{leaf}" if sustained else f"h_{leaf}"): F.col("t")}
-        return own.withColumns(seed).select(*seed, *self.roles(leaf))
+        return own.withColumns(seed).select(*seed, *self.roles(leaf), *(c for c in own.columns if c.startswith("n_")))
+
+    # pointers
+
+    def targets(self, leaf: int, after: State, has: list[str]) -> list[int]:
+        """The leaves that a state waits for next and that a match of `leaf`, which leads to it, can point to."""
+        t, waits, _, _ = self.root(after)
+        fits = lambda w: self.roles(w.leaf) and set(self.roles(w.leaf)) <= set(self.roles(leaf)) <= set(has)
+        return [] if t is not None else [w.leaf for w in waits if w.opens is None and w.leaf not in after.begun and fits(w)]
+
+    def leading(self, leaf: int, targets: list[int]) -> DataFrame:
+        """The matches of a leaf with n_<target>: (m_t, m_seq) of the next match of each target with the same objects."""
+        own = self.leaf(self.order[leaf])
+        groups: dict[tuple[str, ...], list[int]] = {}
+        for k in targets:
+            groups.setdefault(tuple(sorted(self.roles(k))), []).append(k)
+        for roles, some in groups.items():
+            own = self.next_of(own, F.col("t"), F.col("seq"), roles, some, "n_")
+        return own
+
+    def next_of(self, rows: DataFrame, t: Column, seq: Column, roles: tuple[str, ...], leaves: list[int], prefix: str) -> DataFrame:
+        """rows with (m_t, m_seq) of the first match after (t, seq) of each leaf, all of which carry just these roles."""
+        key = [f"k_{r}" for r in roles]
+        held = F.struct(*rows.columns)
+        own = rows.select(*(F.col(r).alias(k) for r, k in zip(roles, key, strict=True)), t.alias("t"), seq.alias("seq"), F.lit(None).cast("int").alias("leaf"), held.alias("row"))
+        empty = F.lit(None).cast(own.schema["row"].dataType)
+        parts = [self.leaf(self.order[k]).select(*(F.col(r).alias(x) for r, x in zip(roles, key, strict=True)), "t", "seq", F.lit(k).alias("leaf"), empty.alias("row")) for k in leaves]
+        match = F.struct(F.col("t").alias("m_t"), F.col("seq").alias("m_seq"))
+        # a row comes after a match of its own time and number, and so does not see it
+        found = onward(reduce(DataFrame.unionByName, parts, own), key, "t", [F.col("seq"), F.col("row").isNotNull()], self.width, {f"{prefix}{k}": F.when(F.col("leaf") == k, match) for k in leaves})
+        return found.where(F.col("row").isNotNull()).select("row.*", *(f"{prefix}{k}" for k in leaves))
 
     # from state to state
 
-    def joined(self, candidates: DataFrame, waits: list[Wait], state: State) -> DataFrame:
+    def joined(self, candidates: DataFrame, waits: list[Wait], state: State, targets: tuple[int, ...] = ()) -> DataFrame:
         """Candidates with each later match that fits one of the waits, which share the roles that the candidates have.
 
-        Columns leaf, m_t, m_seq, and m_ before each role that the leaves carry.
+        Columns leaf, m_t, m_seq, m_ before each role that the leaves carry, and p_<target>: the match's pointers.
         """
         has = [c for c in candidates.columns if c.startswith("r_")]
         roles = self.roles(waits[0].leaf)
         shared, new = [r for r in roles if r in has], [r for r in roles if r not in has]
-        parts = [self.leaf(self.order[w.leaf]).select(F.lit(w.leaf).alias("leaf"), F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles)) for w in waits]
+        led = [F.col(f"n_{k}").alias(f"p_{k}") for k in targets]
+        parts = [self.leading(w.leaf, list(targets)).select(F.lit(w.leaf).alias("leaf"), F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles), *led) for w in waits]
         m, c = reduce(DataFrame.unionByName, parts), candidates
         on = [c[r] == m[f"m_{r}"] for r in shared]
         if not shared:
@@ -229,20 +276,23 @@ class _Compiler:
             fits.append(_both(own))
         on.append(reduce(lambda a, b: a | b, fits))
         on += [m[f"m_{r}"] != c[h] for r in new for h in has]
-        return c.join(m, _both(on)).select(*candidates.columns, "leaf", "m_t", "m_seq", *(F.col(f"m_{r}").alias(f"m_{r}") for r in new))
+        return c.join(m, _both(on)).select(*candidates.columns, "leaf", "m_t", "m_seq", *(F.col(f"m_{r}").alias(f"m_{r}") for r in new), *(f"p_{k}" for k in targets))
 
     def after(self, state: State, wait: Wait) -> State:
         if wait.sustained and wait.leaf not in state.begun:
             return State(state.met, state.begun | {wait.leaf})
         return State(state.met | {wait.leaf}, state.begun - {wait.leaf})
 
-    def moved(self, rows: DataFrame, columns: list[str], state: State, wait: Wait) -> tuple[State, DataFrame]:
-        """The candidates of the next state: the match is their last one, and the leaf's time is known."""
+    def moved(self, rows: DataFrame, columns: list[str], state: State, wait: Wait, pointing: list[int], targets: tuple[int, ...] = ()) -> tuple[State, DataFrame]:
+        """The candidates of the next state: the match is their last one, and the leaf's time is known.
+
+        Pointers to the leaves `pointing` are still right, those of the match are added.
+        """
         after, k = self.after(state, wait), wait.leaf
         name = f"h_{k}" if k in after.met else f"b_{k}"
-        kept = [c for c in columns if c not in ("l_t", "l_seq", f"b_{k}")]
+        gone = {"l_t", "l_seq", f"b_{k}", *(c for c in columns if c.startswith("n_") and int(c[2:]) not in pointing)}
         new = [r for r in self.roles(k) if r not in columns]
-        return after, rows.select(*kept, F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new))
+        return after, rows.select(*(c for c in columns if c not in gone), F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new), *(F.col(f"p_{x}").alias(f"n_{x}") for x in targets))
 
     def advanced(self, state: State, rows: DataFrame, waits: list[Wait]) -> list[tuple[State, DataFrame]]:
         columns = rows.columns
@@ -254,36 +304,61 @@ class _Compiler:
             return self.weighed(state, rows, plain, binding)
         out, marked = [], rows
         if plain:
-            groups: dict[tuple[str, ...], list[Wait]] = {}
-            for w in plain:
-                groups.setdefault(tuple(sorted(self.roles(w.leaf))), []).append(w)
-            if len(groups) + bool(binding) > 1:
-                rows = written(rows, "state")
-            found = [self.joined(rows, g, state) for g in groups.values()]
-            if binding:  # candidates that no such match uses up
-                found.append(rows.withColumns({"leaf": F.lit(None).cast("int"), "m_t": F.lit(None).cast("long"), "m_seq": F.lit(None).cast("long")}))
-            firsts = [F.min(F.when(F.col("leaf") == w.leaf, F.struct("m_t", "m_seq"))).alias(f"f_{w.leaf}") for w in plain]
-            marked = reduce(DataFrame.unionByName, found).groupBy(*columns).agg(*firsts)
+            marked = self.pointed(rows, plain, state)
             marked = marked.withColumn("star", F.least(*(f"f_{w.leaf}" for w in plain)) if len(plain) > 1 else F.col(f"f_{plain[0].leaf}"))
-        if len(plain) + len(binding) > 1:
+        branches = len(plain) + len(binding)
+        if binding and branches > 1 or branches * self.copies[state] > COPIES:
             marked = written(marked, "state")
+            self.copies[state] = 1
+        # a pointer of a leaf that goes on waiting lies at or after the match; it is spent if that match fits its leaf too
+        lasting = lambda w: [x.leaf for x in plain if x.leaf != w.leaf and named(x) != named(w) and f"n_{x.leaf}" in columns]
         for w in plain:
             taken = marked.where(F.col(f"f_{w.leaf}") == F.col("star")).withColumns({"m_t": F.col("star.m_t"), "m_seq": F.col("star.m_seq")})
-            out.append(self.moved(taken, columns, state, w))
+            out.append(self.moved(taken, columns, state, w, lasting(w)))
         for w in binding:
-            found = self.joined(marked, [w], state)
+            kept = lasting(w)
+            after = self.after(state, w)
+            targets = tuple(k for k in self.targets(w.leaf, after, [*columns, *self.roles(w.leaf)]) if k not in kept)
+            if plain:  # the candidate is used up by then
+                w = w.ending(F.col("star.m_t"), None)
+            found = self.joined(marked, [w], state, targets)
             if plain:
                 found = found.where(F.col("star").isNull() | (F.struct("m_t", "m_seq") < F.col("star")))
             if w.sustained and self.root(State(state.met | {w.leaf}, state.begun))[0] is not None:
                 # nothing follows it: for each binding, evidence that began later is complete no earlier
-                keep = [*columns, *(f"m_{r}" for r in self.roles(w.leaf) if r not in columns)]
+                keep = [*columns, *(f"m_{r}" for r in self.roles(w.leaf) if r not in columns), *(f"p_{k}" for k in targets)]
                 found = found.groupBy(*keep).agg(F.min(F.struct("m_t", "m_seq")).alias("m")).select(*keep, "m.m_t", "m.m_seq")
-            out.append(self.moved(found, columns, state, w))
+            out.append(self.moved(found, columns, state, w, kept, targets))
         return out
 
+    def pointed(self, rows: DataFrame, waits: list[Wait], state: State) -> DataFrame:
+        """rows with f_<leaf> for each wait: (m_t, m_seq) of the first match that fits it, null if none does in time."""
+        out, groups = rows, {}
+        for w in waits:
+            after = [x for x in (w.opens, F.col(f"b_{w.leaf}") + self.durations[w.leaf] if w.leaf in state.begun else None) if x is not None]
+            if not self.roles(w.leaf):
+                out = self.first_joined(out, w, state)
+            elif not after and f"n_{w.leaf}" in rows.columns:
+                out = out.withColumn(f"f_{w.leaf}", F.col(f"n_{w.leaf}"))
+            else:
+                groups.setdefault((tuple(sorted(self.roles(w.leaf))), w.leaf if after else None), []).append((w.leaf, after))
+        last = F.struct(F.col("l_t").alias("t"), F.col("l_seq").alias("seq"))
+        for (roles, _), own in groups.items():
+            opens = [F.struct(x.cast("long").alias("t"), F.lit(-NEVER).alias("seq")) for x in own[0][1]]
+            since = F.greatest(last, *opens) if opens else last
+            out = self.next_of(out, since["t"], since["seq"], roles, [k for k, _ in own], "f_")
+        return out.withColumns({f"f_{w.leaf}": F.when(F.col(f"f_{w.leaf}.m_t") <= w.until, F.col(f"f_{w.leaf}")) for w in waits if w.until is not None})
+
+    def first_joined(self, rows: DataFrame, w: Wait, state: State) -> DataFrame:
+        """The same for a leaf without roles: the join by time buckets, as there is nothing to sort by."""
+        rows = written(rows.withColumn("cid", F.monotonically_increasing_id()), "state")
+        first = self.joined(rows, [w], state).groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias(f"f_{w.leaf}"))
+        return rows.join(first, "cid", "left").drop("cid")
+
     def weighed(self, state: State, rows: DataFrame, plain: list[Wait], binding: list[Wait]) -> list[tuple[State, DataFrame]]:
         """The same where one match can fit leaves of both sorts: it uses a candidate up only if it fits none that binds,
         and none that is being sustained."""
+        rows = rows.drop(*(c for c in rows.columns if c.startswith("n_")))
         columns = rows.columns
         rows = written(rows.withColumn("cid", F.monotonically_increasing_id()), "state")
         parts = [self.joined(rows, [w], state).withColumn("keeps", F.lit(w in binding)) for w in (*plain, *binding)]
@@ -297,7 +372,7 @@ class _Compiler:
         star = uses.groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias("star"))
         live = fits.join(star, "cid", "left").where(F.col("star").isNull() | (F.struct("m_t", "m_seq") <= F.col("star"))).drop("star", "keeps")
         live = written(live, "fits")
-        return [self.moved(rows.join(live.where(F.col("leaf") == w.leaf), "cid"), columns, state, w) for w in (*plain, *binding)]
+        return [self.moved(rows.join(live.where(F.col("leaf") == w.leaf), "cid"), columns, state, w, []) for w in (*plain, *binding)]
 
 
 def _echoes(said: Column, value: object) -> Column:
