@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
 
 from wayline.operators import restarts
 from wayline.operators.matching import match_by_key, occurrences
-from wayline.plans.compiler import Unsupported, compile_event
+from wayline.plans.compiler import Unsupported, compile_ends, compile_event
 from wayline.plans.events import longest_ms, parse_event
 from wayline.plans.matcher import Match, Matcher, echoes
 from wayline.plans.matches import SCHEMA
@@ -176,6 +177,49 @@ def test_states_without_a_binding_leaf_are_not_written(spark, monkeypatch):
         assert "Join" not in plan
 
 
+ENDING = [
+    {"seq": [one("a", "X"), inside("9s", {"all": [one("b", "X"), one("c", "X")]})]},
+    {"seq": [one("a", "X"), inside("30s", {"seq": [one("b", "X"), inside("8s", one("c", "X"))]})]},
+    {"k_of_n": {"k": 2, "patterns": [one("a", "X"), {"seq": [one("b", "X"), inside("4s", one("c", "X"))]}, one("c", "X")]}},
+    {"seq": [one("a", "X"), inside("12s", {"for": {"duration": "3s", "pattern": one("b", "X")}}, "2s"), one("c", "X")]},
+    {"seq": [one("a", "X"), inside("9s", two("X", "Y")), inside("9s", one("b", "X"))]},
+]
+
+
+@pytest.mark.parametrize("k", range(len(ENDING)))
+def test_ends_of_candidates_are_those_of_the_exact_matcher(spark, k):
+    """Open candidates, and what ended the others: by the node whose window passed first."""
+    e, rows = event(ENDING[k]), random_rows(k + 60, 90)
+    keyed = {}
+    for r in rows:
+        if who := r[6].get("x") or r[6].get("object"):
+            keyed.setdefault(who, []).append(r)
+    used = {x.predicate for x in e.pattern.leaves()}
+    open_, why, done = Counter(), Counter(), set()
+    for who, own in keyed.items():
+        matcher = Matcher(e)
+        last = None
+        for r in own:
+            if r[2] not in used:
+                continue
+            if last is not None:  # windows pass one by one, so that the first names the reason
+                for t in range(last + 1, r[1], S // 2):
+                    matcher.forget_before(t)
+            for c in matcher.feed(Match(r[1], r[0], r[2], r[3], r[4], r[6], r[7])):
+                done.add((who, c.matched_at, c.completed_at, c.matched_source, tuple(sorted(c.bindings.items()))))
+            last = r[1]
+        matcher.forget_before(last if last is not None else 0)
+        open_.update((who, c.seed_t, len(c.hits), c.bindings) for c in matcher.candidates)
+        why.update({f"{path}: {text}": n for (path, text), n in matcher.failures.items()})
+    got = compile_ends(e, spark.createDataFrame(rows, SCHEMA)).collect()
+    us = lambda t: round((t - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    bound = lambda r: tuple((x, r[x.lower()]) for x in sorted(e.pattern.role_names()) if r[x.lower()] is not None)
+    assert Counter((r.key, us(r.matched_at), r.satisfied, bound(r)) for r in got if r.status == "open") == open_
+    assert Counter(r.reason for r in got if r.status == "expired") == why and (why or k == 2)
+    assert {(r.key, us(r.matched_at), us(r.ended_at), r.matched_source, bound(r)) for r in got if r.status == "completed"} == done
+    assert all((r.ended_at is None) == (r.status == "open") for r in got)
+
+
 def test_what_has_no_bound_needs_a_horizon_or_a_key(spark):
     e = nested_event({"seq": [one("a", "X"), one("b", "Y")]})
     df = spark.createDataFrame(random_rows(5), SCHEMA)

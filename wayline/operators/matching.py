@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.plans.compiler import Unsupported, compile_event
+from wayline.plans.compiler import Unsupported, compile_ends, compile_event
 from wayline.plans.events import Event
 from wayline.plans.matcher import Match, Matcher
 from wayline.plans.matches import observed_once
+from wayline.session import written
 
 
 def completion_schema(event: Event) -> str:
@@ -61,37 +62,29 @@ def match_by_key(event: Event, matches: DataFrame, key: str | None = None) -> Da
     return _dealt(event, matches, key).mapInPandas(run, completion_schema(event))
 
 
-def progress_by_key(event: Event, matches: DataFrame, key: str | None = None) -> DataFrame:
+def progress_by_key(event: Event, matches: DataFrame, horizon_ms: int | None = None) -> DataFrame:
     """Where each key stands after its last match: one row per open candidate, and the counts of the key's others.
 
-    failures tells which nodes ended candidates, by their path of child numbers, why and how often.
+    The key is the role that all leaves carry; without one there is one key, null. expired counts the candidates whose
+    window has passed, failures the nodes (by their path of child numbers) whose window that was, why and how often.
+    late is 0, as a table has no late matches.
     """
     total = sum(1 for _ in event.pattern.leaves())
-    schema = "key string, matched_at timestamp_ntz, bindings string, satisfied int, fraction double, completed int, expired int, late int, failures string"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, matcher, done, out = None, None, 0, []
-
-        def close() -> None:
-            if matcher is not None:
-                for c in matcher.candidates:
-                    ids = ",".join(f"{r}={v}" for r, v in c.bindings)
-                    why = ", ".join(f"{path}: {text} {n}" for (path, text), n in sorted(matcher.failures.items()))
-                    out.append((current, _at(c.seed_t), ids, len(c.hits), len(c.hits) / total, done, matcher.expired, matcher.late, why))
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if matcher is None or r[0] != current:
-                    close()
-                    current, matcher, done = r[0], Matcher(event, in_order=True), 0
-                done += len(matcher.feed(Match(r[1], r[2], r[3], r[4], r[5], dict(r[6]), dict(r[7]))))
-            yield pd.DataFrame(out, columns=names)
-            out = []
-        close()
-        yield pd.DataFrame(out, columns=names)
-
-    return _dealt(event, matches, key).mapInPandas(run, schema)
+    every = written(compile_ends(event, matches, horizon_ms).where("status <> 'used'"), "ends")
+    ended = every.where("status <> 'open'").groupBy("key", "status", "reason").agg(F.count("*").cast("int").alias("n"))
+    why = F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", F.concat_ws(" ", "reason", "n"))))
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0)).cast("int").alias(status)
+    counts = ended.groupBy(F.col("key").alias("of")).agg(of("completed"), of("expired"), F.array_sort(why).alias("why"))
+    ids = F.concat_ws(",", *(F.concat(F.lit(f"{r}="), F.col(r.lower())) for r in sorted(event.pattern.role_names())))
+    rows = every.where("status = 'open'")
+    rows = rows.join(counts, rows["key"].eqNullSafe(counts["of"]), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("key", "matched_at", ids.alias("bindings"), "satisfied", (F.col("satisfied") / total).alias("fraction"), count("completed"), count("expired"), F.lit(0).alias("late"), F.coalesce(F.array_join("why.col2", ", "), F.lit("")).alias("failures"))
+
+
+def failures(event: Event, matches: DataFrame, horizon_ms: int | None = None) -> DataFrame:
+    """(state, satisfied, reason, n): how many candidates expired with which leaves met, and which window that was."""
+    return compile_ends(event, matches, horizon_ms).where("status = 'expired'").groupBy("state", "satisfied", "reason").agg(F.count("*").alias("n"))
 
 
 def occurrences(event: Event, matches: DataFrame, key: str | None = None, horizon_ms: int | None = None) -> DataFrame:

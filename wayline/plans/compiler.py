@@ -49,6 +49,18 @@ def compile_event(event: Event, matches: DataFrame, horizon_ms: int | None = Non
     return _Compiler(event, matches, horizon_ms).run()
 
 
+def compile_ends(event: Event, matches: DataFrame, horizon_ms: int | None = None) -> DataFrame:
+    """All candidates that the event ever had, and how each ended: a column a role, and key, matched_at,
+    matched_source, predicate, state (the leaves met), satisfied (their number), status, ended_at and reason.
+
+    A candidate is `completed`, `used` by the match that took it on to another state, `expired` when the time of the
+    last match passes its deadline, or still `open`. reason names the node (path of child numbers) whose window was the
+    first to pass, and how. The last match is that of the candidate's key, if all leaves carry one role, else that of the
+    table. A completed candidate is told apart by its seed and bindings.
+    """
+    return _Compiler(event, matches, horizon_ms).ends()
+
+
 class Wait(NamedTuple):
     """A leaf that a state waits for: from when, until when, and the length of the shortest window around it."""
 
@@ -76,6 +88,10 @@ def _shorter(*widths: int | None) -> int | None:
     return min((w for w in widths if w is not None), default=None)
 
 
+def _stamp(us: str) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
 def _both(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -89,7 +105,18 @@ class _Compiler:
         self.copies: dict[State, int] = {}
 
     def run(self) -> DataFrame:
-        roles = self.event.pattern.role_names()
+        best = self.completed(self.walk())
+        return best.select(F.lit(self.event.name).alias("event"), _stamp("s_t").alias("matched_at"), _stamp("done").alias("completed_at"), F.col("s_source").alias("matched_source"), self.predicate().alias("predicate"), *(F.col(f"r_{r}").alias(r.lower()) for r in self.event.pattern.role_names()))
+
+    def completed(self, done: list[DataFrame]) -> DataFrame:
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+        return rows.groupBy("s_leaf", "s_t", "s_source", *(f"r_{r}" for r in self.event.pattern.role_names())).agg(F.min("act").alias("done"))
+
+    def predicate(self) -> Column:
+        return F.element_at(F.lit([x.predicate for x in self.order]).cast("array<string>"), F.col("s_leaf") + 1)
+
+    def walk(self, ended: list[DataFrame] | None = None) -> list[DataFrame]:
+        """The completed candidates of each state; ended gets those that stopped in a state, or may stop there."""
         open_: dict[State, list[DataFrame]] = {}
         for leaf, sustained in self.first(self.event.pattern, 0):
             state = State(frozenset(), frozenset({leaf})) if sustained else State(frozenset({leaf}), frozenset())
@@ -102,19 +129,104 @@ class _Compiler:
             # pointers that some ways to this state lack are looked up again
             lacked = {c for p in parts for c in p.columns if c.startswith("n_") and not all(c in q.columns for q in parts)}
             rows = reduce(DataFrame.unionByName, [p.drop(*lacked) for p in parts])
-            t, waits, _, _ = self.root(state)
+            t, waits, deadline, _ = self.root(state)
             if t is not None:
                 done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_", "n_"))))
                 continue
-            for after, more in self.advanced(state, rows, waits):
+            marked, moves = self.advanced(state, rows, waits)
+            if ended is not None:
+                ended.append(self.stopped(state, marked, deadline))
+            for after, more in moves:
                 open_.setdefault(after, []).append(more)
                 self.copies[after] = self.copies.get(after, 0) + self.copies[state]
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
-        names = [f"r_{r}" for r in roles]
-        best = rows.groupBy("s_leaf", "s_t", "s_source", *names).agg(F.min("act").alias("done"))
-        predicate = F.element_at(F.lit([x.predicate for x in self.order]).cast("array<string>"), F.col("s_leaf") + 1)
-        at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-        return best.select(F.lit(self.event.name).alias("event"), at("s_t").alias("matched_at"), at("done").alias("completed_at"), F.col("s_source").alias("matched_source"), predicate.alias("predicate"), *(F.col(f"r_{r}").alias(r.lower()) for r in roles))
+        return done
+
+    # how candidates end
+
+    def stopped(self, state: State, rows: DataFrame, deadline: Column | None) -> DataFrame:
+        """A state's candidates with the time of the match that used them up, their deadline, and why it is one."""
+        ends = F.lit(None).cast("long") if deadline is None else deadline
+        roles = [F.col(f"r_{r}") if f"r_{r}" in rows.columns else F.lit(None).cast("string").alias(f"r_{r}") for r in self.event.pattern.role_names()]
+        used = F.col("star.m_t") if "star" in rows.columns else F.lit(None).cast("long")
+        if deadline is None:
+            why = None
+        else:
+            _, why = self.failing(self.event.pattern, 0, "", F.col("s_t"), self.until(), state, deadline + 1)
+        return rows.select(
+            "s_t", "s_source", "s_leaf", *roles, F.lit(",".join(map(str, sorted(state.met)))).alias("state"), F.lit(len(state.met)).alias("satisfied"),
+            used.cast("long").alias("used"), ends.cast("long").alias("deadline"), (F.lit(None).cast("string") if why is None else F.coalesce(why, F.lit(": horizon"))).alias("reason"),
+        )
+
+    def until(self) -> Column | None:
+        return None if self.horizon is None else F.col("s_t") + self.horizon * MS
+
+    def failing(self, node: Pattern, at: int, path: str, active: Column, until: Column | None, state: State, now: Column) -> tuple[Column | None, Column | None]:
+        """When the node was complete, or else why it has failed by `now`: null if it has not."""
+        said = lambda why: F.lit(f"{path}: {why}")
+        if node.op == "leaf":
+            return (F.col(f"h_{at}"), None) if at in state.met else (None, None)
+        if node.op == "for":
+            if at in state.met:
+                return F.col(f"h_{at}"), None
+            return None, None if until is None else F.when(now > until, said("window of an ancestor"))
+        places = self.places(node, at)
+        inner = lambda k, a, u: self.failing(node.children[k], places[k], f"{path}.{k}" if path else str(k), a, u, state, now)
+        if node.op == "seq":
+            for k in range(len(places)):
+                t, why = inner(k, active, until)
+                if t is None:
+                    return None, why
+                active = t
+            return active, None
+        if node.op == "within":
+            opens, closes = active + node.least_ms * MS, active + node.most_ms * MS
+            t, why = inner(0, opens, _least(until, closes))
+            if t is not None:
+                return t, None
+            own = F.when(now > closes, said("window"))
+            return None, F.when(now >= opens, own if why is None else F.coalesce(why, own))
+        parts = [inner(k, active, until) for k in range(len(places))]
+        times = [t for t, _ in parts if t is not None]
+        need = {"all": len(parts), "any": 1, "k_of_n": node.k}[node.op]
+        if len(times) >= need:
+            return (times[0] if len(times) == 1 else F.greatest(*times)), None
+        broken = [why for _, why in parts if why is not None]
+        reasons = []
+        if broken and node.op == "all":
+            reasons.append(F.coalesce(*broken))
+        if broken:
+            failed = reduce(lambda a, b: a + b, [why.isNotNull().cast("int") for why in broken])
+            reasons.append(F.when(len(parts) - failed < need, said("too few left")))
+        if times and node.op != "any":
+            reasons.append(F.when(now > _least(until, _least(*times) + node.most_ms * MS), said("window for the rest")))
+        return None, F.coalesce(*reasons) if reasons else None
+
+    def ends(self) -> DataFrame:
+        ended: list[DataFrame] = []
+        done = self.completed(self.walk(ended))
+        names = ["s_t", "s_source", "s_leaf", *(f"r_{r}" for r in self.event.pattern.role_names())]
+        none = F.lit(None).cast("string")
+        if not ended:  # a single leaf completes at once
+            ended = [done.limit(0).select(*names, none.alias("state"), F.lit(0).alias("satisfied"), F.lit(None).cast("long").alias("used"), F.lit(None).cast("long").alias("deadline"), none.alias("reason"))]
+        rows = reduce(DataFrame.unionByName, ended)
+        common = self.event.common_roles()
+        used = self.matches.where(F.col("predicate").isin(sorted({x.predicate for x in self.order})))
+        if common:
+            names_of = {(x.predicate, a) for x in self.order for a, r in x.roles if r == common[0]}
+            by = F.coalesce(*(F.when(F.col("predicate") == p, F.col("arguments")[a]) for p, a in sorted(names_of)))
+            last = used.groupBy(by.alias("key")).agg(F.max("t").alias("now"))
+            rows = rows.withColumn("key", F.col(f"r_{common[0]}")).join(last, "key")
+        else:
+            rows = rows.withColumns({"key": none, "now": F.lit(used.agg(F.max("t")).first()[0]).cast("long")})
+        late = F.coalesce(F.col("deadline") < F.col("now"), F.lit(False))
+        status = F.when(F.col("used").isNotNull(), "used").when(late, "expired").otherwise("open")
+        of = rows.select(*names, "key", "state", "satisfied", status.alias("status"), F.coalesce("used", F.when(late, F.col("deadline"))).alias("ended"), F.when(F.col("used").isNull() & late, F.col("reason")).alias("reason"))
+        key = F.col(f"r_{common[0]}") if common else F.lit(None).cast("string")
+        complete = done.select(*names, key.alias("key"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("int").alias("satisfied"), F.lit("completed").alias("status"), F.col("done").alias("ended"), F.lit(None).cast("string").alias("reason"))
+        return of.unionByName(complete).select(
+            "key", _stamp("s_t").alias("matched_at"), F.col("s_source").alias("matched_source"), self.predicate().alias("predicate"), *(F.col(f"r_{r}").alias(r.lower()) for r in self.event.pattern.role_names()),
+            "state", "satisfied", "status", _stamp("ended").alias("ended_at"), "reason",
+        )
 
     # what a state waits for
 
@@ -138,8 +250,7 @@ class _Compiler:
         return out
 
     def root(self, state: State):
-        until = None if self.horizon is None else F.col("s_t") + self.horizon * MS
-        return self.waits(self.event.pattern, 0, F.col("s_t"), until, None if self.horizon is None else self.horizon * MS, state)
+        return self.waits(self.event.pattern, 0, F.col("s_t"), self.until(), None if self.horizon is None else self.horizon * MS, state)
 
     def waits(self, node: Pattern, at: int, active: Column, until: Column | None, width: int | None, state: State) -> tuple[Column | None, list[Wait], Column | None, int | None]:
         """When the node was complete, or else its waits and its deadline: the time after which it has failed."""
@@ -294,7 +405,8 @@ class _Compiler:
         new = [r for r in self.roles(k) if r not in columns]
         return after, rows.select(*(c for c in columns if c not in gone), F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new), *(F.col(f"p_{x}").alias(f"n_{x}") for x in targets))
 
-    def advanced(self, state: State, rows: DataFrame, waits: list[Wait]) -> list[tuple[State, DataFrame]]:
+    def advanced(self, state: State, rows: DataFrame, waits: list[Wait]) -> tuple[DataFrame, list[tuple[State, DataFrame]]]:
+        """The state's candidates with `star`, the match that uses each up, and those of the states after it."""
         columns = rows.columns
         plain = [w for w in waits if all(r in columns for r in self.roles(w.leaf))]
         binding = [w for w in waits if w not in plain]
@@ -329,7 +441,7 @@ class _Compiler:
                 keep = [*columns, *(f"m_{r}" for r in self.roles(w.leaf) if r not in columns), *(f"p_{k}" for k in targets)]
                 found = found.groupBy(*keep).agg(F.min(F.struct("m_t", "m_seq")).alias("m")).select(*keep, "m.m_t", "m.m_seq")
             out.append(self.moved(found, columns, state, w, kept, targets))
-        return out
+        return marked, out
 
     def pointed(self, rows: DataFrame, waits: list[Wait], state: State) -> DataFrame:
         """rows with f_<leaf> for each wait: (m_t, m_seq) of the first match that fits it, null if none does in time."""
@@ -355,7 +467,7 @@ class _Compiler:
         first = self.joined(rows, [w], state).groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias(f"f_{w.leaf}"))
         return rows.join(first, "cid", "left").drop("cid")
 
-    def weighed(self, state: State, rows: DataFrame, plain: list[Wait], binding: list[Wait]) -> list[tuple[State, DataFrame]]:
+    def weighed(self, state: State, rows: DataFrame, plain: list[Wait], binding: list[Wait]) -> tuple[DataFrame, list[tuple[State, DataFrame]]]:
         """The same where one match can fit leaves of both sorts: it uses a candidate up only if it fits none that binds,
         and none that is being sustained."""
         rows = rows.drop(*(c for c in rows.columns if c.startswith("n_")))
@@ -372,7 +484,7 @@ class _Compiler:
         star = uses.groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias("star"))
         live = fits.join(star, "cid", "left").where(F.col("star").isNull() | (F.struct("m_t", "m_seq") <= F.col("star"))).drop("star", "keeps")
         live = written(live, "fits")
-        return [self.moved(rows.join(live.where(F.col("leaf") == w.leaf), "cid"), columns, state, w, []) for w in (*plain, *binding)]
+        return rows.join(star, "cid", "left"), [self.moved(rows.join(live.where(F.col("leaf") == w.leaf), "cid"), columns, state, w, []) for w in (*plain, *binding)]
 
 
 def _echoes(said: Column, value: object) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as V
 from wayline.operators import audio, evidence, identity, restarts, sequential, tracks, workload
-from wayline.operators.matching import match_by_key, occurrences, progress_by_key
+from wayline.operators import matching
+from wayline.operators.matching import match_by_key, occurrences
 from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
 from wayline.session import scratch, table
@@ -213,17 +214,23 @@ def alarm_after_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(found, rows, horizon_ms=4 * HOUR // 1000)
 
 
-_WAITING = f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 48 * HOUR)} AS h FROM e WHERE event_type = 'signup'), f AS (SELECT *, {_first("error", "s.user_id", "s.k", "s.h")} AS x FROM s), g AS (SELECT *, {_first("purchase", "f.user_id", "f.x", "f.h")} AS p FROM f),
-    last AS (SELECT user_id, MAX(k) AS l FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY 1), r AS (SELECT g.*, p IS NULL AND l < h AS waits, p IS NULL AND l >= h AS late FROM g JOIN last USING (user_id)),
-    n AS (SELECT *, COUNT(*) FILTER (p IS NOT NULL) OVER w AS completed, COUNT(*) FILTER (late) OVER w AS expired FROM r WINDOW w AS (PARTITION BY user_id))
+_WAITED = f"""WITH {KEYED}, s AS (SELECT *, {_until("k", 48 * HOUR)} AS h FROM e WHERE event_type = 'signup'), f AS (SELECT *, {_first("error", "s.user_id", "s.k", "s.h")} AS x FROM s), g AS (SELECT *, {_first("purchase", "f.user_id", "f.x", "f.h")} AS p FROM f),
+    last AS (SELECT user_id, MAX(k) AS l FROM e WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY 1), r AS (SELECT g.*, p IS NULL AND l < h AS waits, p IS NULL AND l >= h AS late FROM g JOIN last USING (user_id))"""
+_WAITING = f"""{_WAITED}, n AS (SELECT *, COUNT(*) FILTER (p IS NOT NULL) OVER w AS completed, COUNT(*) FILTER (late) OVER w AS expired FROM r WINDOW w AS (PARTITION BY user_id))
     SELECT CAST(user_id AS VARCHAR) AS key, ts AS matched_at, 'U=' || user_id AS bindings, CAST(1 + (x IS NOT NULL)::INT AS INT) AS satisfied, (1 + (x IS NOT NULL)::INT) / 3 AS fraction, CAST(completed AS INT) AS completed, CAST(expired AS INT) AS expired, CAST(0 AS INT) AS late, CASE WHEN expired > 0 THEN '1: window ' || expired ELSE '' END AS failures FROM n WHERE waits"""
+_SIGNUP_ERROR_PURCHASE = {"seq": [*_USERS("signup"), {"within": {"max": "48h", "pattern": {"seq": _USERS("error", "purchase")}}}]}
 
 
 @query("progress", _WAITING)
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open candidates of signup, then error and purchase, per user."""
-    pattern = {"seq": [*_USERS("signup"), {"within": {"max": "48h", "pattern": {"seq": _USERS("error", "purchase")}}}]}
-    return progress_by_key(event("progress", pattern), from_events(table(spark, sf_dir, "events")))
+    return matching.progress_by_key(event("progress", _SIGNUP_ERROR_PURCHASE), from_events(table(spark, sf_dir, "events")))
+
+
+@query("failures", f"{_WAITED} SELECT CASE WHEN x IS NULL THEN '0' ELSE '0,1' END AS state, CAST(1 + (x IS NOT NULL)::INT AS INT) AS satisfied, '1: window' AS reason, COUNT(*) AS n FROM r WHERE late GROUP BY ALL")
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of them expired in which state."""
+    return matching.failures(event("failures", _SIGNUP_ERROR_PURCHASE), from_events(table(spark, sf_dir, "events")))
 
 
 @query("observed_once", "SELECT MIN(event_id) AS seq, ts AS at, event_type AS predicate, CAST(user_id AS VARCHAR) AS object FROM events GROUP BY ts, event_type, user_id")
