@@ -15,6 +15,7 @@ from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
 from wayline.session import scratch, table
 from wayline.sources import recordings
+from wayline.streaming import candidates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,6 +234,14 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.failures(event("failures", _SIGNUP_ERROR_PURCHASE), from_events(table(spark, sf_dir, "events")))
 
 
+@query("streamed_within", SQL["seq_within_greedy"].replace("'seq_within_greedy'", "'streamed_within'"))
+def streamed_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship on a stream: the events as files in the order of time, users as keys."""
+    rows = from_events(table(spark, sf_dir, "events")).withColumn("who", F.col("arguments")["object"])
+    pattern = {"seq": [*_USERS("signup"), {"within": {"max": "24h", "pattern": _USERS("purchase")[0]}}]}
+    return candidates.replayed_matches(event("streamed_within", pattern), rows, "who").where("late IS NULL").drop("late")
+
+
 @query("observed_once", "SELECT MIN(event_id) AS seq, ts AS at, event_type AS predicate, CAST(user_id AS VARCHAR) AS object FROM events GROUP BY ts, event_type, user_id")
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = from_events(table(spark, sf_dir, "events"))
