@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -474,3 +475,31 @@ def test_isotonic_fit_rises():
     raw = dice.normal(size=400)
     at, share = toxicity.isotonic(raw, (dice.random(400) < 1 / (1 + np.exp(-raw))).astype(float))
     assert (np.diff(at) > 0).all() and (np.diff(share) >= 0).all()
+
+
+def test_a_sample_of_labels_is_drawn_from_distinct_texts(spark):
+    """Through the query's own function: most labelled rows are copies, and the other texts still reach the learner."""
+    texts = [f"text {k}" if k >= 20_000 else f"copy {k % 3}" for k in range(21_000)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, own string").unionByName(spark.createDataFrame([(20_001, "another", "x"), (20_002, None, "x")], "doc_id long, text string, own string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(21_000)], "doc_id long, toxic int")
+    learnt = {k for k in range(21_000) if zlib.crc32(str(k).encode()) % 5}
+    every = {(t, k % 2) for k, t in enumerate(texts) if k in learnt} | {(t, k % 2) for k, t in ((20_001, "another"), (20_002, None)) if k in learnt}
+    got = [(r.text, r.label) for r in queries.labelled(docs, labels, 10**6).collect()]
+    assert set(got) == every and len(got) < len(every) + 20
+    some = queries.labelled(docs, labels, 300).collect()
+    assert 200 < len({(r.text, r.label) for r in some}) < 400
+
+
+def test_two_runs_that_begin_with_one_empty_ledger(spark, tmp_path):
+    """Both add the same blobs: every document still has one row."""
+
+    class Twice(secrets.Ledger):
+        def add(self, fresh):
+            super().add(fresh)
+            super().add(fresh)
+
+    docs = spark.createDataFrame([(1, "password=abcdef99"), (2, "nothing"), (3, "password=abcdef99")], "doc_id long, text string")
+    got = secrets.scan_paths(docs, ledger=Twice(spark, str(tmp_path / "one"))).collect()
+    assert sorted((r.path, len(r.spans)) for r in got) == [(1, 1), (2, 0), (3, 1)]
+    masked = secrets.redacted(docs, ledger=Twice(spark, str(tmp_path / "two"))).collect()
+    assert sorted((r.doc_id, r.text) for r in masked) == [(1, "[SECRET]"), (2, "nothing"), (3, "[SECRET]")]

@@ -69,14 +69,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = toxicity.SAMPLE) -> DataFrame:
     """Texts with their toxic labels, of about `sample` learnable ones: text and label.
 
-    The sample is drawn by id from the distinct (id, label) pairs before the join. It is broadcast if it is as small
-    as that makes it, which its count shows, and joined by a shuffle otherwise.
+    The sample is drawn from the distinct (text, label) pairs, by a hash of the text and with one document for each, so
+    that copies neither fill nor empty it; only hashes of texts meet the labels. What is joined back is broadcast if it
+    is as small as the sample makes it, which its count shows, and joined by a shuffle otherwise.
     """
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("sample")).alias("own")
+    small = lambda df: F.broadcast(df) if df.count() <= 4 * sample else df
     marks = labels.where((language.fold_of("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).distinct()
-    spot = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    marks = written(marks.where(spot < min(1.0, sample / max(marks.count(), 1))), "marks")
-    marks = F.broadcast(marks) if marks.count() <= 4 * sample else marks
-    return docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id").select("text", "label")
+    of = docs.select(F.col("doc_id").cast("long"), own).join(small(written(marks, "labels")), "doc_id")
+    texts = written(of.groupBy("own", "label").agg(F.min("doc_id").alias("doc_id")), "marks")
+    spot = F.pmod("own", F.lit(1 << 32)).cast("double") / float(1 << 32)
+    chosen = written(texts.where(spot < min(1.0, sample / max(texts.count(), 1))), "marks")
+    return docs.select(F.col("doc_id").cast("long"), "text", own).join(small(chosen), ["doc_id", "own"]).select("text", "label")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

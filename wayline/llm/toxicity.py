@@ -4,8 +4,8 @@ A lexicon is learned from labelled training texts: words, beginnings of words (t
 with look-alike characters undone, each with the log-odds of its documents being toxic. The features of a text are
 densities and counts of lexicon entries at several strengths, their nearness to second-person words, the shares of
 capitals, punctuation and obfuscated words, and its length. Histogram trees are boosted on the driver on those
-features of about SAMPLE labelled texts at most; a fifth of them is kept for the isotonic fit. Whole texts are read,
-and a score depends on the text alone.
+features of about SAMPLE labelled texts at most, whose words also bound the lexicon; a fifth of them is kept for the
+isotonic fit. Whole texts are read, and a score depends on the text alone.
 
 Null texts count as empty and get a score like any other. Rows without a label, or with another than 0 and 1, teach
 nothing; without rows of both labels every score is the share of ones, or 0. A text counts once for each of its labels,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wayline.session import written
 
-SAMPLE, ENTRIES, LEAST_DOCUMENTS = 12000, 20000, 4
+SAMPLE, LEAST_DOCUMENTS = 12000, 4
 PREFIXES = range(3, 9)
 # Second-person words of the four languages, and look-alikes with the letters they stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
@@ -239,7 +239,7 @@ def _lexicon(counts: DataFrame, total: Row | None, halves: str) -> Lexicon:
     odds = F.log((ones + 0.5) / (n[1] + 1.0)) - F.log((zeros + 0.5) / (n[0] + 1.0))
     certain = F.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
     scored = counts.where("key <> ''").withColumn("odds", odds).withColumn("z", F.abs(odds) / certain).where(F.col("z") >= 2)
-    return Lexicon({r["key"]: float(r["odds"]) for r in scored.orderBy(F.desc("z"), "key").limit(ENTRIES).collect()})
+    return Lexicon({r["key"]: float(r["odds"]) for r in scored.select("key", "odds").collect()})
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
