@@ -131,14 +131,13 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def known(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans) of all blobs of addressed() versions, after those that the ledger lacks have been scanned."""
+    """(blob, spans) of the blobs in which something is found, after those of addressed() versions that the ledger lacks
+    have been scanned. Another run may have added the same blobs, so rows are gathered by blob."""
     before = ledger.read()
-    if before.take(1):
-        ledger.add(scan(versions, before, rules))
-        return written(findings(ledger.read(), rules), "findings")
-    ledger.add(scan(versions, None, rules))
-    # another run may have begun with the same empty ledger and added the same blobs
-    return findings(ledger.read(), rules)
+    again = bool(before.take(1))
+    ledger.add(scan(versions, before if again else None, rules))
+    found = findings(ledger.read().where(F.size("spans") > 0), rules)
+    return written(found, "findings") if again else found
 
 
 def scan_paths(versions: DataFrame, path: str = "doc_id", text: str = "text", version: str | None = None, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
