@@ -39,8 +39,9 @@ def transfer_ms(latency, mbps, size):
 def shortest_paths(links: DataFrame, most_hops: int | None = None) -> DataFrame:
     """Least latency between nodes of links (src, dst, latency_ms, mbps), with the narrowest hop's bandwidth.
 
-    An unknown bandwidth makes the whole path's unknown. Paths grow hop by hop until none improves, which takes
-    latencies that are not negative. Where most_hops is given, paths of at most that many hops after the first count.
+    An unknown bandwidth makes the whole path's unknown. Paths are joined with paths, so that their hops double in each
+    round, until none improves, which takes latencies that are not negative: log2 of the longest path's hops in rounds.
+    Where most_hops is given, paths grow hop by hop instead, by at most that many hops after the first.
     """
     best = Window.partitionBy("src", "dst").orderBy("latency_ms", F.desc_nulls_last("mbps"))
     first = lambda df: df.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
@@ -49,7 +50,7 @@ def shortest_paths(links: DataFrame, most_hops: int | None = None) -> DataFrame:
         raise ValueError("a negative latency: paths could improve without end")
     paths = hop
     for _ in count() if most_hops is None else range(most_hops):
-        p, h = paths.alias("p"), hop.alias("h")
+        p, h = paths.alias("p"), (paths if most_hops is None else hop).alias("h")
         narrow = F.when(F.col("p.mbps").isNotNull() & F.col("h.mbps").isNotNull(), F.least("p.mbps", "h.mbps"))
         longer = p.join(h, (F.col("p.dst") == F.col("h.src")) & (F.col("p.src") != F.col("h.dst"))).select(F.col("p.src"), F.col("h.dst"), (F.col("p.latency_ms") + F.col("h.latency_ms")).alias("latency_ms"), narrow.alias("mbps"))
         new = written(first(paths.unionByName(longer)), "paths")
