@@ -130,3 +130,22 @@ def test_audio_events_are_those_of_one_fold(spark, monkeypatch, least):
                     want.append((t, source, name, scores[label]))
     got = sequential.audio_events(spark.createDataFrame(windows, "source string, t long, scores map<string,double>"), least_consecutive=least)
     assert sorted((r.t, r.source, r.arguments["class"], r.confidence) for r in got.collect()) == sorted(want)
+
+
+def test_followers_across_sources_are_found_over_the_borders_of_cells(spark):
+    dice = random.Random(8)
+    rows = []
+    for k in range(220):
+        x, y, vx, vy = dice.uniform(-40, 40), dice.choice([0.0, 15.0, dice.uniform(-40, 40)]), dice.choice([-1.0, 0.0, 1.0, 2.0]), dice.choice([0.0, 1.0, None])
+        rows.append((f"s{k % 3}", dice.randrange(0, 4 * SECOND), f"o{k % 90}", "car", 0.9, 0.0, 0.0, 10.0, 10.0, x, y, dice.choice(["map", "map", None]), vx, vy, 3))
+    rows += [("s0", 0, "far", "car", 0.9, 0.0, 0.0, 1.0, 1.0, float("inf"), 1e300, "map", 1.0, 0.0, 3), ("s1", 0, "near", "car", 0.9, 0.0, 0.0, 1.0, 1.0, float("-inf"), 0.0, "map", 1.0, 0.0, 3)]
+    want = Counter()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] or a[2] == b[2] or abs(a[1] - b[1]) >= SECOND or a[11] is None or a[11] != b[11] or None in (*a[12:14], *b[12:14]):
+                continue
+            dx, dy, va, vb = a[9] - b[9], a[10] - b[10], (a[12] ** 2 + a[13] ** 2) ** 0.5, (b[12] ** 2 + b[13] ** 2) ** 0.5
+            if va > 1e-9 and vb > 1e-9 and a[12] * b[12] + a[13] * b[13] >= 0.5 * va * vb and dx * a[12] + dy * a[13] > 0 and (dx * dx + dy * dy) ** 0.5 <= 15:
+                want[max(a[1], b[1]), a[0], a[2], b[2]] += 1
+    got = tracks.follows_across(spark.createDataFrame(rows, TRACKS)).collect()
+    assert Counter((r.t, r.source, r.arguments["leader"], r.arguments["follower"]) for r in got) == want and want
