@@ -17,7 +17,6 @@ it (numRowsDroppedByWatermark).
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
