@@ -5,6 +5,7 @@ import random
 import struct
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,16 +181,37 @@ def test_identity(spark):
     assert named == {"a": ("x", True), "x": ("x", True), "y": ("x", True), "z": ("z", False)}
 
 
-def test_one_to_one_is_the_greedy_choice(spark):
+@pytest.mark.parametrize("most", [identity.LINKS, 5])
+def test_one_to_one_is_the_greedy_choice(spark, most):
+    """A thicket with ties, a chain and a star, in one task a component and, above five pairs, by rounds."""
     dice = random.Random(3)
     rows = [(a, b, dice.randint(1, 9) / 10) for a in range(14) for b in range(14) if a != b and dice.random() < 0.4]
+    rows += [(100 + k // 2, 200 + (k + 1) // 2, 0.5 + k / 1000) for k in range(8)] + [(300, 400 + k, 0.5) for k in range(4)]
     left, right, want = set(), set(), []
     for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
         if a not in left and b not in right:
             left.add(a), right.add(b), want.append((a, b))
-    got = identity.one_to_one(spark.createDataFrame(rows, "left_id int, right_id int, similarity double")).collect()
+    got = identity.one_to_one(spark.createDataFrame([*rows, (None, 1, 0.9)], "left_id int, right_id int, similarity double"), most).collect()
     assert sorted((r.left_id, r.right_id) for r in got) == sorted(want)
-    assert identity.one_to_one(spark.createDataFrame([], "left_id int, right_id int, similarity double")).count() == 0
+    assert identity.one_to_one(spark.createDataFrame([], "left_id int, right_id int, similarity double"), most).count() == 0
+
+
+@pytest.mark.parametrize("block,least,pairs", [(identity.BLOCK, 0.9, None), (100, 0.9, None), (100, 0.0, [(2, 0)])])
+def test_an_open_gap_finds_every_pair(spark, monkeypatch, block, least, pairs):
+    """Clusters of two models against all pairs, cut into blocks; vectors that are zero, null, odd or of another length."""
+    monkeypatch.setattr(identity, "BLOCK", block)
+    g = np.random.default_rng(1)
+    base = g.normal(size=(20, 8))
+    v = [(i, i % 3, "m" if i % 5 else "k", (base[i % 20] + g.normal(size=8) * 0.3).tolist()) for i in range(400)]
+    v += [(700, 0, "m", [0.0] * 8), (701, 1, "m", None), (702, None, "m", [1.0] * 8), (703, 1, "m", [1.0, 2.0]), (704, 2, "m", [2.0, 1.0]), (705, 2, "m", [])]
+    cosine = lambda x, y: np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) or 1.0)
+    meets = lambda s, r: s is not None and r is not None and s < r and (pairs is None or (s, r) in pairs or (r, s) in pairs)
+    want = {(i, j) for i, s, m, x in v for j, r, k, y in v if x and y and m == k and len(x) == len(y) and meets(s, r) and cosine(x, y) >= least}
+    odd = [(706, 1, "m", [float("nan")] * 8), (707, 2, "m", [1.0] * 7 + [None])]
+    rows = spark.createDataFrame(v + odd, "object_id int, source int, model string, vector array<double>").withColumn("t", F.lit(0))
+    got = [tuple(r) for r in identity.association_candidates(rows, None, least, pairs).select("left_id", "right_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert identity.association_candidates(rows.limit(0), None, least, pairs).count() == 0
 
 
 def test_exits_go_by_the_centre(spark):

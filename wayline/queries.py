@@ -537,9 +537,22 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), (F.col("vec_id") % 2).alias("source"), (F.col("vec_id") * 1_000_000).alias("t"), F.lit("m@1").alias("model"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-@query("associations")
+@query(
+    "associations",
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON b.vec_id BETWEEN a.vec_id - 60 AND a.vec_id + 60 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+    o AS (SELECT l, r, s, row_number() OVER (ORDER BY s DESC, l, r) AS n FROM c WHERE s >= 0.3),
+    w(n, ls, rs) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT o.n, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END FROM w JOIN o ON o.n = w.n + 1),
+    taken AS (SELECT unnest(ls) AS l, unnest(rs) AS r FROM w WHERE n = (SELECT COUNT(*) FROM o)) SELECT l AS left_id, r AS right_id, round(s, 9) AS similarity FROM taken JOIN o USING (l, r)""",
+)
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.one_to_one(identity.association_candidates(moments(spark, sf_dir), 60_000_000, 0.3))
+    chosen = identity.one_to_one(identity.association_candidates(moments(spark, sf_dir), 60_000_000, 0.3))
+    return chosen.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("associations_at_any_time", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND list_cosine_similarity(a.e, b.e) >= 0.35")
+def associations_at_any_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model for all vectors, whatever their times."""
+    return identity.association_candidates(moments(spark, sf_dir), None, 0.35).select("left_id", "right_id")
 
 
 @query(
