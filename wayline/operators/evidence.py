@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayline.operators.restarts import beside, bucket_width, running
 
 def gated(rows: DataFrame, level: Column, on: float, off: float, key: str = "source", order: str = "t") -> DataFrame:
     """Rows let through by a gate that opens at `on` or more and closes at `off` or less, per key."""
@@ -16,6 +17,37 @@ def gated(rows: DataFrame, level: Column, on: float, off: float, key: str = "sou
     return rows.withColumn("__open", F.coalesce(state, F.lit(False))).where("__open").drop("__open")
 
 
+def frame_levels(frames: DataFrame, key: str = "source", order: str = "t", cells: int = 64) -> DataFrame:
+    """frames (key, order, pixels, height, width) with level: how much a frame differs from the one before it, 0 to 1.
+
+    pixels are values 0 to 255 row by row, each pixel's channels together; at most the first three count, by their mean.
+    About `cells` rows and columns of a frame are compared, by the mean of the absolute differences. A first frame, one of
+    another shape than the one before, and one whose pixels are null or fewer than its shape needs have level 0. Frames are
+    put beside one another by buckets of time; order is a number.
+    """
+    h, w = F.col("height").cast("int"), F.col("width").cast("int")
+    channels = F.floor(F.try_divide(F.size("pixels"), h * w)).cast("int")
+    down, across = (F.greatest(F.lit(1), F.floor(x / cells).cast("int")) for x in (h, w))
+    shade = lambda r, c: F.aggregate(F.slice("pixels", (r * w + c) * channels + 1, F.least(channels, F.lit(3))), F.lit(0.0), lambda a, x: a + x.cast("double"), lambda a: a / F.least(channels, F.lit(3)))
+    rows = F.transform(F.sequence(F.lit(0), h - 1, down), lambda r: F.transform(F.sequence(F.lit(0), w - 1, across), lambda c: shade(r, c)))
+    whole = (h > 0) & (w > 0) & (F.size("pixels") > 0) & (channels > 0)
+    seen = frames.withColumn("__seen", F.when(whole, F.struct(h.alias("h"), w.alias("w"), F.flatten(rows).alias("thumb"))))
+    pairs = beside(seen, [key], order, bucket_width(seen, order), {"__was": "__seen"})
+    differ = F.aggregate(F.zip_with("__seen.thumb", "__was.thumb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x) / F.size("__seen.thumb") / 255
+    same = (F.col("__seen.h") == F.col("__was.h")) & (F.col("__seen.w") == F.col("__was.w"))
+    return pairs.withColumn("level", F.when(same, differ).otherwise(0.0)).drop("__seen", "__was")
+
+
+def gated_by_time(rows: DataFrame, level: Column, on: float, off: float, key: str = "source", order: str = "t") -> DataFrame:
+    """gated by buckets of time, so that no task sorts a whole source. order is a number; of rows at one time an opening
+    one comes last. off must be below on."""
+    if not 0 <= off < on:
+        raise ValueError("a gate's lower threshold must be below its upper one, and neither negative")
+    signal = F.when(level >= on, F.lit(True)).when(level <= off, F.lit(False))
+    latest = F.when(signal.isNotNull(), F.struct(F.col(order).alias("at"), signal.alias("open")))
+    return running(rows, [key], order, bucket_width(rows, order), "__state", latest).where("__state.open").drop("__state")
+
+
 def sampled(rows: DataFrame, per_second: float, key: str = "source") -> DataFrame:
     """Rows of each key at most so often: each is let through that comes 1 / per_second seconds (t in microseconds) or
     more after the last one that was."""

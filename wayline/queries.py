@@ -14,7 +14,7 @@ from wayline.operators.matching import match_by_key, occurrences
 from wayline.plans.events import Event, parse_event
 from wayline.plans.matches import from_events, observed_once
 from wayline.session import scratch, table
-from wayline.sources import recordings
+from wayline.sources import history, recordings
 from wayline.streaming import candidates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,6 +436,17 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.gated(table(spark, sf_dir, "events"), F.col("value"), 60, 20, "user_id", "ts").select("user_id", "ts", "value")
 
 
+#: Embeddings as frames of 8 by 8 pixels of four cameras.
+FRAMES = "frames AS (SELECT vec_id % 4 AS source, vec_id AS t, list_transform(embedding, lambda x: floor(128 + 200 * CAST(x AS DOUBLE))) AS pixels FROM embeddings)"
+
+
+@query("gated_frames", f"WITH {FRAMES}, d AS (SELECT source, t, pixels, lag(pixels) OVER (PARTITION BY source ORDER BY t) AS was FROM frames), l AS (SELECT source, t, coalesce(list_sum(list_transform(range(1, 65), lambda i: abs(pixels[i] - was[i]))) / 64 / 255, 0) AS level FROM d) SELECT source, t, round(level, 9) AS level FROM (SELECT *, last_value(CASE WHEN level >= 0.115 THEN 1 WHEN level <= 0.1 THEN 0 END IGNORE NULLS) OVER (PARTITION BY source ORDER BY t) AS g FROM l) WHERE g = 1")
+def gated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that a gate on the difference to the frame before lets through."""
+    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("source"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: F.floor(128 + 200 * x.cast("double"))).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return evidence.gated_by_time(evidence.frame_levels(frames), F.col("level"), 0.115, 0.1).select("source", "t", F.round("level", 9).alias("level"))
+
+
 def _spaced(us: int) -> str:
     """Each user's events that are at least so long after the one that was let through before: walk."""
     return f"""WITH RECURSIVE m AS (SELECT user_id, epoch_us(ts) AS t, event_id, ts FROM events), n AS (SELECT user_id, t, MIN(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {us} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM m),
@@ -731,6 +742,33 @@ def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.segments_touching(held, at("1996-02-01"), at("1996-03-01"), at=at("1996-04-15")).select("segment", "event_start", "event_end")
 
 
+HISTORY = " UNION ALL ".join(f"SELECT '{how}' AS how, segment FROM kept WHERE event_end >= event_start AND {where} AND gone > TIMESTAMP '1996-04-15'" for how, where in (("overlap", "event_start < TIMESTAMP '1996-03-01' AND event_end > TIMESTAMP '1996-02-01'"), ("contained", "event_start >= TIMESTAMP '1996-02-01' AND event_end <= TIMESTAMP '1996-03-01'"), ("covering", "event_start <= TIMESTAMP '1996-02-01' AND event_end >= TIMESTAMP '1996-03-01'")))
+
+
+@query("history_by_time", f"WITH {SEGMENTS}, kept AS (SELECT *, event_end + INTERVAL 30 DAY AS gone FROM segments WHERE source % 2 = 0 UNION ALL SELECT *, event_end + INTERVAL 60 DAY AS gone FROM segments WHERE source % 2 = 1) {HISTORY}")
+def history_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store laid out by time: written, added to, rid of what has expired, and asked in three ways."""
+    path, every = scratch(spark, "history"), segments(spark, sf_dir)
+    day = lambda n: F.expr(f"event_end + INTERVAL {n} DAY").alias("expires_at")
+    history.store_segments(every.where("source % 2 = 0").select("*", day(30)), path, "segment")
+    history.add_segments(every.select("*", day(60)), path, "segment")
+    at = lambda d: F.expr(f"TIMESTAMP_NTZ'{d}'")
+    history.expire_segments(spark, path, at("1996-04-15"))
+    found = [history.segments_between(spark, path, at("1996-02-01"), at("1996-03-01"), how).select(F.lit(how).alias("how"), "segment") for how in ("overlap", "contained", "covering")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("wav_windows", "SELECT 'mic' || (vec_id // 400) AS recording, CAST(1000000 * (vec_id % 400) AS BIGINT) AS t, list_sum(list_transform(embedding, lambda x, i: i * floor(20000 * CAST(x AS DOUBLE)))) AS total FROM embeddings")
+def wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as seconds of sound of 64 samples, written as WAV files of 400 seconds and read by ranges of 100 windows."""
+    path = scratch(spark, "sound")
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("mic"), F.floor(F.col("vec_id") / 400)).alias("recording"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: F.floor(20000 * x.cast("double")) / 32768).alias("samples"))
+    recordings.write_wav(rows, path, 64)
+    read = recordings.read_wav_windows(spark, path, 1000, 100)
+    total = F.aggregate(F.transform("samples", lambda x, i: (i + 1) * F.rint(x.cast("double") * 32768)), F.lit(0.0), lambda a, x: a + x)
+    return read.select(F.regexp_extract("path", "([^/]+)[.]wav$", 1).alias("recording"), "t", total.alias("total"))
+
+
 @query("completions_written", SQL["seq_within_greedy"].replace("CAST(s.user_id AS VARCHAR) AS u", "CAST(s.user_id AS VARCHAR) AS u").replace(", s.event_type AS predicate", ""))
 def completions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship's occurrences written as JSON lines and read again."""
