@@ -67,6 +67,43 @@ def test_motion_and_pairs(spark):
     assert found(tracks.follows(spark.createDataFrame(pair, TRACK))) == [(0.0, "follows", "tail", "lead")]
 
 
+@pytest.mark.parametrize("crowd", [200, 3])
+def test_pairs_of_large_frames(spark, monkeypatch, crowd):
+    """Objects of many sizes, some placed in one of two worlds, against all pairs: as they are, and cut into cells."""
+    monkeypatch.setattr(tracks, "CROWD", crowd)
+    dice = random.Random(9)
+    one = lambda t, k: track(t, f"o{k}", dice.choice(["person", "car", "dog", "odd"]), dice.uniform(-300, 900), dice.uniform(0, 500), v=(dice.uniform(-2, 2), dice.uniform(-2, 2)), world=dice.choice([None, (dice.uniform(-9, 30), dice.uniform(0, 30))]), size=dice.choice([0.2, 3.0, 20.0, 60.0, 250.0]))
+    rows = [list(one(t, k)) for t, n in ((0, 70), (1, 3), (2, 40)) for k in range(n)]
+    for r in rows[::3]:
+        r[11] = r[11] and "other"
+    rows += [["cam", 0, "none", "car", 0.9, *[None] * 9, 5], ["cam", 0, "far", "car", 0.9, 1e300, 0.0, 1e300, 20.0, None, None, None, 1.0, 0.0, 5]]
+    df = spark.createDataFrame(rows, TRACK)
+
+    def told(test):
+        return sorted((a[1] / S, a[2], b[2]) for a, b in itertools.permutations([r for r in rows if r[5] is not None], 2) if a[1] == b[1] and test(a, b))
+
+    wide = lambda r: r[7] - r[5]
+    same = lambda a, b: a[9] is not None and b[9] is not None and a[11] == b[11]
+    apart = lambda a, b: math.hypot((a[5] + a[7] - b[5] - b[7]) / 2, (a[6] + a[8] - b[6] - b[8]) / 2)
+    gap = lambda a, b: apart(a, b) / max((wide(a) + wide(b)) / 2, 1.0)
+    world = lambda a, b: math.hypot(a[9] - b[9], a[10] - b[10])
+    nominal = lambda r: {"person": 0.55, "car": 4.0, "dog": 0.8}.get(r[3], 1.0)
+    metres = lambda a, b: world(a, b) if same(a, b) else gap(a, b) * (nominal(a) + nominal(b)) / 2
+    clear = lambda a, b: iou(a[5:9], b[5:9]) <= 0
+    names = lambda df: [(t, a, b) for t, _, a, b in found(df)]
+    want = told(lambda a, b: clear(a, b) and (world(a, b) <= 5 if same(a, b) else gap(a, b) <= 1.5))
+    assert names(tracks.near(df, max_gap=1.5)) == want and len(want) > 50
+    assert names(tracks.near(df, max_distance_m=2.0)) == told(lambda a, b: clear(a, b) and metres(a, b) <= 2)
+    people = told(lambda a, b: a[3] == b[3] == "person" and metres(a, b) <= 2.5)
+    speech = spark.createDataFrame([("cam", t, 2, "x") for t in range(3)], "source string, t long, speakers int, text string")
+    assert names(tracks.conversations(df, speech)) == people and people
+    # all pairs of the rule itself
+    monkeypatch.setattr(tracks, "CROWD", 10**9)
+    every = names(tracks.follows(df, 4.0))
+    monkeypatch.setattr(tracks, "CROWD", crowd)
+    assert names(tracks.follows(df, 4.0)) == every and every
+
+
 def test_boarding(spark):
     car = lambda t, x: track(t, "car", x=x, world=(x, 0.0), v=(0.0, 0.0))
     man = lambda t, x: track(t, "man", "person", x=x, world=(x, 1.0))

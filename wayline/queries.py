@@ -576,18 +576,18 @@ def open_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.association_candidates(rows, None, 0.35, [(2, 0), (0, 1)]).select("left_id", "right_id")
 
 
-#: Edges between users of purchases that follow one another in the table; small groups, a few long chains.
-LINKED = "edges AS (SELECT DISTINCT a.user_id AS l, b.user_id AS r FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' AND a.value > 40 AND a.user_id <> b.user_id)"
+#: Edges between users of purchases that follow one another in the table and cost about the same; users are of two classes.
+LINKED = "edges AS (SELECT DISTINCT a.user_id AS l, b.user_id AS r FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'purchase' AND b.event_type = 'purchase' AND abs(a.value - b.value) <= 10 AND a.user_id <> b.user_id)"
 
 
-@query("identities", f"WITH RECURSIVE {LINKED}, users AS (SELECT user_id, MIN(ts) AS f FROM events GROUP BY user_id), both_ways AS (SELECT l, r FROM edges UNION SELECT r, l FROM edges), reach(a, b) AS (SELECT user_id, user_id FROM users UNION SELECT reach.a, both_ways.r FROM reach JOIN both_ways ON reach.b = both_ways.l) SELECT reach.a AS object_id, min_by(reach.b, u.f) AS canonical_id FROM reach JOIN users u ON u.user_id = reach.b GROUP BY reach.a")
+@query("identities", f"WITH RECURSIVE {LINKED}, users AS (SELECT user_id, MIN(ts) AS f FROM events GROUP BY user_id), both_ways AS (SELECT l, r FROM edges UNION SELECT r, l FROM edges), reach(a, b) AS (SELECT user_id, user_id FROM users UNION SELECT reach.a, both_ways.r FROM reach JOIN both_ways ON reach.b = both_ways.l) SELECT reach.a AS object_id, min_by(reach.b, u.f) AS canonical_id, COUNT(DISTINCT reach.b % 5 = 0) > 1 AS conflict FROM reach JOIN users u ON u.user_id = reach.b GROUP BY reach.a")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    seen = events.groupBy(F.col("user_id").alias("object_id")).agg(F.min("ts").alias("first_seen")).withColumn("class", F.lit("user"))
+    seen = events.groupBy(F.col("user_id").alias("object_id")).agg(F.min("ts").alias("first_seen")).withColumn("class", F.when(F.col("object_id") % 5 == 0, "car").otherwise("person"))
     a, b = events.alias("a"), events.alias("b")
-    both = (F.col("a.event_type") == "purchase") & (F.col("b.event_type") == "purchase") & (F.col("a.value") > 40) & (F.col("a.user_id") != F.col("b.user_id"))
+    both = (F.col("a.event_type") == "purchase") & (F.col("b.event_type") == "purchase") & (F.abs(F.col("a.value") - F.col("b.value")) <= 10) & (F.col("a.user_id") != F.col("b.user_id"))
     linked = a.join(b, F.col("b.event_id") == F.col("a.event_id") + 1).where(both).select(F.col("a.user_id").alias("left_id"), F.col("b.user_id").alias("right_id")).distinct()
-    return identity.identities(seen, linked).select("object_id", "canonical_id")
+    return identity.identities(seen, linked).select("object_id", "canonical_id", "conflict")
 
 
 @query("coalesced_demands", "SELECT user_id % 4 AS site, event_type AS predicate, MIN(ts) AS expires_at, COUNT(DISTINCT user_id) AS consumers FROM events GROUP BY 1, 2")
@@ -612,9 +612,10 @@ def ranked_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.ranked(rows).select("request", "plan", F.col("rank").cast("long").alias("rank"))
 
 
-@query("reconciled", "SELECT coalesce(r.user_id, w.user_id) AS provider, CASE WHEN r.user_id IS NULL THEN 'START' WHEN w.user_id IS NULL THEN 'STOP' ELSE 'KEEP' END AS action FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 60) r FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 60) w ON r.user_id = w.user_id")
+@query("reconciled", "WITH e AS (SELECT user_id * 1000 + dayofyear(ts) AS provider, event_type FROM events) SELECT coalesce(r.provider, w.provider) AS provider, CASE WHEN r.provider IS NULL THEN 'START' WHEN w.provider IS NULL THEN 'STOP' ELSE 'KEEP' END AS action FROM (SELECT DISTINCT provider FROM e WHERE event_type = 'view') r FULL JOIN (SELECT DISTINCT provider FROM e WHERE event_type = 'click') w ON r.provider = w.provider")
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("value > 60").select(F.lit("n").alias("node"), F.col("user_id").alias("provider"), "event_type")
+    """A user's day as a provider: running if it has a view, wanted if it has a click."""
+    rows = table(spark, sf_dir, "events").select(F.lit("n").alias("node"), (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("provider"), "event_type")
     return workload.reconciled(rows.where("event_type = 'view'"), rows.where("event_type = 'click'")).select("provider", "action")
 
 
@@ -644,7 +645,7 @@ def evidence_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("localized")
 def localized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as one channel of sound, and the same two samples later as the other."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("left"), F.concat(F.slice("embedding", 3, 62), F.slice("embedding", 1, 2)).alias("right"), F.lit(16000).alias("rate"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("left"), F.concat(F.slice("embedding", F.lit(3), F.greatest(F.size("embedding") - 2, F.lit(0))), F.slice("embedding", 1, 2)).alias("right"), F.lit(16000).alias("rate"))
     return audio.localized(rows, 0.2).select("vec_id", F.round("bearing_degrees", 3).alias("bearing_degrees"))
 
 
