@@ -105,6 +105,24 @@ def test_open_windows_are_bounded_and_packed_to_the_end():
     assert len(done) == -(-2000 * 1100 // 2048)
 
 
+def test_what_is_open_at_the_end_is_placed_by_the_rule():
+    """Every id is in one piece, one window at most is not full, and few documents are cut that a window could hold."""
+    sizes = np.maximum(1, np.random.default_rng(0).lognormal(5.5, 1.3, 3000)).astype(int)
+    docs = [(k, np.arange(n, dtype="u4")) for k, n in enumerate(sizes)]
+    done, found = list(packing.windows(docs, 2048)), defaultdict(list)
+    fills = [sum(len(ids) for _, _, ids, _ in w) for w in done]
+    assert max(fills) == 2048 and sum(f < 2048 for f in fills) <= 1
+    for w in done:
+        for doc, start, ids, n in w:
+            assert n == sizes[doc] and ids.tolist() == list(range(start, start + len(ids))) and len(ids)
+            found[doc].append((start, len(ids)))
+    for doc, pieces in found.items():
+        ends = [0, *(start + n for start, n in sorted(pieces))]
+        assert [start for start, _ in sorted(pieces)] == ends[:-1] and ends[-1] == sizes[doc]
+    assert sum(len(pieces) > -(-sizes[doc] // 2048) for doc, pieces in found.items()) < 10
+    assert len(list(packing.windows(docs[:1], 2048))) == 1 and not list(packing.windows([], 2048))
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(None, "a"), (1, None), (1, None), (2, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
     rows = packing.with_crc(packing.pack(df, BYTES)).collect()

@@ -4,8 +4,9 @@ Every task packs the documents of its own partition, so nothing is shuffled and
 A document is its token ids followed by an end id. Windows' worth of ids at its front become windows of their own;
 the rest goes to the fill level that leaves the smallest sum of squared counts of partially filled windows. The
 counts are kept in a level array; at most MAX_OPEN windows are open, and beyond that a document is cut to complete
-the fullest one. When a partition ends, the pieces of its open windows are laid end to end, so one partly filled
-window a partition remains at most.
+the fullest one. When a partition ends, the pieces of the emptiest open window are placed in the other ones by the same
+rule, again and again; a piece that fits in none is cut to complete the fullest. One partly filled window a partition
+remains at most.
 
 Null texts count as empty, an empty document is its end id alone, equal rows are packed as separate documents, a
 null id stays null, an empty table gives no rows, and columns other than the two named are ignored.
@@ -76,8 +77,11 @@ class LevelArray:
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
 
-    def choose(self, size: int) -> int:
-        """The level (0: a new window) with the least change of the sum of squares; ties go to the fullest."""
+    def choose(self, size: int, new: bool = True) -> int | None:
+        """The level (0: a new window) with the least change of the sum of squares; ties go to the fullest.
+
+        Without new, None where no open window has room.
+        """
         top = self.window - size
         held, then = self.counts[: top + 1], self.counts[size:]
         change = 2 * (then - held) + 2
@@ -88,6 +92,10 @@ class LevelArray:
             change[top] = 1 - 2 * held[top] if held[top] else change[top]
         else:
             change[0] = 0
+        if not new:
+            change[0] = np.iinfo(np.int64).max
+            if not held[1:].any():
+                return None
         return top - int(np.argmin(change[::-1]))
 
     def take(self, level: int) -> list:
@@ -105,6 +113,9 @@ class LevelArray:
     def fullest(self) -> int:
         return int(np.flatnonzero(self.counts)[-1])
 
+    def emptiest(self) -> int:
+        return int(np.flatnonzero(self.counts)[0])
+
 
 def windows(documents: Iterable[tuple[int | None, np.ndarray]], window: int, max_open: int = MAX_OPEN) -> Iterator[list]:
     """Completed windows as lists of pieces (doc id, start, ids, document's ids)."""
@@ -127,18 +138,22 @@ def windows(documents: Iterable[tuple[int | None, np.ndarray]], window: int, max
                 yield pieces
             else:
                 levels.put(level + size, pieces)
-    pieces, free = [], window
-    for level in range(window, 0, -1):
-        for held in levels.open[level]:
-            for doc, start, ids, n in held:
-                while len(ids):
-                    pieces.append((doc, start, ids[:free], n))
-                    start, ids, free = start + free, ids[free:], free - len(pieces[-1][2])
-                    if free == 0:
-                        yield pieces
-                        pieces, free = [], window
-    if pieces:
-        yield pieces
+    while levels.n_open > 1:
+        for doc, start, ids, n in levels.take(levels.emptiest()):
+            while len(ids):
+                level = levels.choose(len(ids), new=False)
+                if level is None:
+                    level = levels.fullest() if levels.n_open else 0
+                pieces = levels.take(level)
+                pieces.append((doc, start, ids[: window - level], n))
+                size = len(pieces[-1][2])
+                start, ids = start + size, ids[size:]
+                if level + size == window:
+                    yield pieces
+                else:
+                    levels.put(level + size, pieces)
+    if levels.n_open:
+        yield levels.take(levels.fullest())
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, max_open: int = MAX_OPEN) -> DataFrame:
