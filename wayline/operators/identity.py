@@ -168,7 +168,8 @@ def one_to_one(candidates: DataFrame, most: int = LINKS) -> DataFrame:
             yield batch.take(pa.array(kept, pa.int64())).select(["left_id", "right_id", "similarity"])
 
     order = [F.desc("similarity"), "left_id", "right_id"]
-    small = grouped.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", *order)
+    # dealt by a hash: a shuffle by the join's own key would be left out, and adaptive execution may undo the join's
+    small = grouped.join(large, "component", "left_anti").repartition(F.xxhash64("component")).sortWithinPartitions("component", *order)
     taken = small.select("component", "left_id", "right_id", "similarity").mapInArrow(greedy, schema)
     if not large.take(1):
         return taken
