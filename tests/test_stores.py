@@ -87,6 +87,10 @@ def test_recordings_are_written_in_the_order_of_time(spark, tmp_path):
     got = {r.path.split("/")[-1]: r.samples for r in recordings.read_wav(spark, str(tmp_path / "out")).collect()}
     assert got == {"a.wav": [-0.25, 0.5, 32767 / 32768], "b.wav": [-1.0]}
     assert recordings.write_wav(rows.limit(0), str(tmp_path / "nothing"), 8).count() == 0
+    # recordings that lie over many partitions are one file each
+    many = spark.range(0, 4000, 1, 16).selectExpr("concat('m', id div 300) AS recording", "id AS t", "array(id / 32768D, 0D) AS samples")
+    done = recordings.write_wav(many, str(tmp_path / "many"), 8)
+    assert done.count() == 14 and {r.frames for r in done.collect()} == {600, 200}
 
 
 @pytest.mark.parametrize("bucket", [200_000, 3])
