@@ -300,3 +300,23 @@ def test_the_matcher_in_order_keeps_little():
     some, every = Matcher(e, in_order=True), Matcher(e)
     feed = lambda m: [c for r in rows for c in m.feed(Match(r[1], r[0], r[2], r[3], r[4], r[6], r[7]))]
     assert feed(some) == feed(every) and len(some.seen) < 1200 < len(every.seen)
+
+
+def test_a_leaf_without_objects_is_looked_up(spark, monkeypatch):
+    """Meetings are not joined with every alarm of their horizon, nor written for it."""
+    from wayline.plans import compiler
+
+    monkeypatch.setattr(compiler, "written", lambda df, tag: pytest.fail(tag))
+    e = event({"seq": [{"all": [one("a", "X"), one("b", "Y")]}, ALARM, inside("20s", one("c", "X"))]})
+    rows = random_rows(31)
+    assert set(rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA), 60_000))) <= exact(e, rows)
+
+
+@pytest.mark.parametrize("pattern", [{"all": [one("a", "X"), one("b", "Y")]}, {"seq": [one("a", "X"), inside("9s", one("b", "Y"))]}])
+def test_the_first_match_of_each_binding_needs_no_grouping(spark, pattern):
+    e, rows = event(pattern), random_rows(33)
+    found = compile_event(e, spark.createDataFrame(rows, SCHEMA))
+    assert sorted(rows_of(e, found), key=str) == sorted(exact(e, rows), key=str)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = [*rows, *((r[0] + 1000, *r[1:6], r[6] | {"more": "1"}, r[7]) for r in rows)]  # two matches of one time and object
+    assert sorted(rows_of(e, compile_event(e, spark.createDataFrame(twice, SCHEMA))), key=str) == sorted(exact(e, twice), key=str)

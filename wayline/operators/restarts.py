@@ -34,18 +34,21 @@ def _back(rows: DataFrame, carried: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(named, on, "left").drop(*(f"__{k}" for k in key), "____bucket")
 
 
-def beside(rows: DataFrame, key: list[str], time: str, width: int | None, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
-    """rows with columns of the row before and of the row after, as new name -> column, in the order of time in each key."""
+def beside(rows: DataFrame, key: list[str], time: str, width: int | None, before: dict[str, str] | None = None, after: dict[str, str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """rows with columns of the row before and of the row after, as new name -> column, in the order of time in each key.
+
+    Rows of one time go by the columns ties; these have to come first in before and after, after time if that is there.
+    """
     before, after = before or {}, after or {}
     last, first = (F.struct(F.col(time).alias("__at"), *(F.col(c).alias(n) for n, c in d.items())) for d in (before, after))
     own = rows.withColumns({"__last": last, "__first": first} | ({} if width is None else {"__bucket": _bucket(time, width)}))
     if width is None:
-        here = Window.partitionBy(*key).orderBy(time)
+        here = Window.partitionBy(*key).orderBy(time, *(ties or []))
         return own.select(*rows.columns, *(F.lag("__last").over(here)[n].alias(n) for n in before), *(F.lead("__first").over(here)[n].alias(n) for n in after))
     edges = own.groupBy(*key, "__bucket").agg(F.max("__last").alias("__l"), F.min("__first").alias("__f"))
     along = Window.partitionBy(*key).orderBy("__bucket")
     carried = edges.select(*key, "__bucket", F.lag("__l").over(along).alias("__was"), F.lead("__f").over(along).alias("__next"))
-    here = Window.partitionBy(*key, "__bucket").orderBy(time)
+    here = Window.partitionBy(*key, "__bucket").orderBy(time, *(ties or []))
     sides = {"__p": F.lag("__last").over(here), "__n": F.lead("__first").over(here)}
     out = _back(own.withColumns(sides), carried, key)
     found = {n: F.coalesce("__p", "__was")[n] for n in before} | {n: F.coalesce("__n", "__next")[n] for n in after}

@@ -11,7 +11,10 @@ Leaves that bind nothing new need no join: matches of the same objects are sorte
 each leaf is a pointer, a running value from the end (`next_of`); buckets of time keep an object that has very many
 matches from being one task's work. Matches that seed or bind bring their pointers with them (n_ columns), which stay
 right for leaves that go on waiting; only where there is none are candidates themselves sorted among the matches
-(`pointed`). Shared roles are the keys of the joins that remain. Where a leaf shares
+(`pointed`). Leaves that every completion needs are pointed to as well, long before they are waited for (e_ columns):
+matches from which one is out of reach seed and bind nothing, and a needed match that lies after a candidate's last one is
+the next one still. A leaf that binds and completes takes the first match of each binding, which the match itself tells
+by the one before it. Shared roles are the keys of the joins that remain. Where a leaf shares
 none, its window, or the horizon that bounds how long any candidate lives, cuts both sides into time buckets, which
 makes the range join an equi join.
 """
@@ -24,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.restarts import bucket_width, onward
+from wayline.operators.restarts import beside, bucket_width, onward
 from wayline.plans.events import BROADER, CLASSES, Event, Pattern
 from wayline.plans.matches import observed_once
 from wayline.session import written
@@ -103,14 +106,21 @@ class _Compiler:
         self.durations: dict[int, int] = {}
         self.width = bucket_width(matches)
         self.copies: dict[State, int] = {}
+        #: Leaves without which nothing completes; left out where ends are asked for, as all candidates have one.
+        self.needed: set[int] = set()
 
     def run(self) -> DataFrame:
+        if not all(set(self.roles(k)) == set(self.roles(0)) for k in range(len(self.order))):
+            self.needed = self.compulsory(self.event.pattern, 0)
         best = self.completed(self.walk())
         return best.select(F.lit(self.event.name).alias("event"), _stamp("s_t").alias("matched_at"), _stamp("done").alias("completed_at"), F.col("s_source").alias("matched_source"), self.predicate().alias("predicate"), *(F.col(f"r_{r}").alias(r.lower()) for r in self.event.pattern.role_names()))
 
     def completed(self, done: list[DataFrame]) -> DataFrame:
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
-        return rows.groupBy("s_leaf", "s_t", "s_source", *(f"r_{r}" for r in self.event.pattern.role_names())).agg(F.min("act").alias("done"))
+        keys = ["s_leaf", "s_t", "s_source", *(f"r_{r}" for r in self.event.pattern.role_names())]
+        if self.told_apart:
+            return rows.select(*keys, F.col("act").alias("done"))
+        return rows.groupBy(*keys).agg(F.min("act").alias("done"))
 
     def predicate(self) -> Column:
         return F.element_at(F.lit([x.predicate for x in self.order]).cast("array<string>"), F.col("s_leaf") + 1)
@@ -118,20 +128,24 @@ class _Compiler:
     def walk(self, ended: list[DataFrame] | None = None) -> list[DataFrame]:
         """The completed candidates of each state; ended gets those that stopped in a state, or may stop there."""
         open_: dict[State, list[DataFrame]] = {}
-        for leaf, sustained in self.first(self.event.pattern, 0):
+        firsts = self.first(self.event.pattern, 0)
+        for leaf, sustained in firsts:
             state = State(frozenset(), frozenset({leaf})) if sustained else State(frozenset({leaf}), frozenset())
             open_.setdefault(state, []).append(self.seed(leaf, sustained, state))
             self.copies[state] = self.copies.get(state, 0) + 1
         done = []
+        # seeds that take one leaf more, the first match of each binding: no candidate of a binding has another beside it
+        seeds = list(open_)
+        self.told_apart = bool(self.needed) and len(seeds) == len(firsts) and all(self.completes_at_once(s) for s in seeds) and all(map(self.distinct, sorted(leaf for leaf, _ in firsts)))
         while open_:
             state = min(open_, key=lambda s: (2 * len(s.met) + len(s.begun), sorted(s.met)))
             parts = open_.pop(state)
             # pointers that some ways to this state lack are looked up again
-            lacked = {c for p in parts for c in p.columns if c.startswith("n_") and not all(c in q.columns for q in parts)}
+            lacked = {c for p in parts for c in p.columns if c[:2] in ("n_", "e_") and not all(c in q.columns for q in parts)}
             rows = reduce(DataFrame.unionByName, [p.drop(*lacked) for p in parts])
             t, waits, deadline, _ = self.root(state)
             if t is not None:
-                done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_", "n_"))))
+                done.append(rows.withColumn("act", t).drop(*(c for c in rows.columns if c[:2] in ("h_", "b_", "l_", "n_", "e_"))))
                 continue
             marked, moves = self.advanced(state, rows, waits)
             if ended is not None:
@@ -141,6 +155,24 @@ class _Compiler:
                 self.copies[after] = self.copies.get(after, 0) + self.copies[state]
         return done
 
+    def compulsory(self, node: Pattern, at: int) -> set[int]:
+        """The leaves that have to be met for the node to be complete."""
+        if node.op == "leaf":
+            return {at}
+        need = {"any": 1, "k_of_n": node.k}.get(node.op, len(node.children))
+        if need < len(node.children):
+            return set()
+        return {x for child, place in zip(node.children, self.places(node, at), strict=True) for x in self.compulsory(child, place)}
+
+    def completes_at_once(self, state: State) -> bool:
+        """Whether the state waits for one leaf, which binds, and is complete with its first match."""
+        t, waits, _, _ = self.root(state)
+        return t is None and len(waits) == 1 and not state.begun and not waits[0].sustained and not set(self.roles(waits[0].leaf)) <= {r for k in state.met for r in self.roles(k)} and self.root(self.after(state, waits[0]))[0] is not None
+
+    def distinct(self, leaf: int) -> bool:
+        """Whether no two matches of a leaf have one time, source and objects."""
+        return self.leaf(self.order[leaf]).groupBy("t", "source", *self.roles(leaf)).count().where("count > 1").isEmpty()
+
     # how candidates end
 
     def stopped(self, state: State, rows: DataFrame, deadline: Column | None) -> DataFrame:
@@ -320,16 +352,31 @@ class _Compiler:
         return [f"r_{r}" for _, r in self.order[leaf].roles]
 
     def seed(self, leaf: int, sustained: bool, state: State) -> DataFrame:
-        own = self.leading(leaf, self.targets(leaf, state, self.roles(leaf)))
+        own = self.reaching(leaf, state, self.targets(leaf, state, self.roles(leaf)))
+        if self.horizon is not None:
+            own = self.within_reach(own, F.col("t") + self.horizon * MS)
         seed = {"s_t": F.col("t"), "s_seq": F.col("seq"), "s_source": F.col("source"), "s_leaf": F.lit(leaf), "l_t": F.col("t"), "l_seq": F.col("seq"), (f"b_{leaf}" if sustained else f"h_{leaf}"): F.col("t")}
-        return own.withColumns(seed).select(*seed, *self.roles(leaf), *(c for c in own.columns if c.startswith("n_")))
+        return own.withColumns(seed).select(*seed, *self.roles(leaf), *(c for c in own.columns if c[:2] in ("n_", "e_")))
 
     # pointers
 
+    def reaching(self, leaf: int, after: State, targets: list[int], shared: list[str] | None = None) -> DataFrame:
+        """leading() of the matches after which every needed leaf with no other objects comes again, with e_<leaf>: its next
+        match. after is the state that the match leads to; leaves of only the roles `shared` have theirs already."""
+        fits = lambda k: set(self.roles(k)) <= set(self.roles(leaf)) and not (shared is not None and set(self.roles(k)) <= set(shared))
+        coming = [k for k in sorted(self.needed - after.met - after.begun - {leaf}) if fits(k)]
+        own = self.leading(leaf, sorted({*targets, *coming}))
+        own = own.withColumns({f"e_{k}": F.col(f"n_{k}") for k in coming}).drop(*(f"n_{k}" for k in coming if k not in targets))
+        return own.where(_both([F.col(f"e_{k}").isNotNull() for k in coming])) if coming else own
+
+    def within_reach(self, rows: DataFrame, until: Column) -> DataFrame:
+        coming = [F.col(f"{c}.m_t") <= until for c in rows.columns if c.startswith("e_")]
+        return rows.where(_both(coming)) if coming else rows
+
     def targets(self, leaf: int, after: State, has: list[str]) -> list[int]:
         """The leaves that a state waits for next and that a match of `leaf`, which leads to it, can point to."""
         t, waits, _, _ = self.root(after)
-        fits = lambda w: self.roles(w.leaf) and set(self.roles(w.leaf)) <= set(self.roles(leaf)) <= set(has)
+        fits = lambda w: set(self.roles(w.leaf)) <= set(self.roles(leaf)) <= set(has)
         return [] if t is not None else [w.leaf for w in waits if w.opens is None and w.leaf not in after.begun and fits(w)]
 
     def leading(self, leaf: int, targets: list[int]) -> DataFrame:
@@ -356,16 +403,28 @@ class _Compiler:
 
     # from state to state
 
-    def joined(self, candidates: DataFrame, waits: list[Wait], state: State, targets: tuple[int, ...] = ()) -> DataFrame:
+    def joined(self, candidates: DataFrame, waits: list[Wait], state: State, targets: tuple[int, ...] = (), following: State | None = None) -> DataFrame:
         """Candidates with each later match that fits one of the waits, which share the roles that the candidates have.
 
-        Columns leaf, m_t, m_seq, m_ before each role that the leaves carry, and p_<target>: the match's pointers.
+        Columns leaf, m_t, m_seq, m_ before each role that the leaves carry, and p_<target>: the match's pointers. With the
+        state that follows, from which ends are not asked for, matches that lead nowhere are left out, columns e_ are added,
+        and of a leaf that completes only the first match of each binding is joined.
         """
         has = [c for c in candidates.columns if c.startswith("r_")]
         roles = self.roles(waits[0].leaf)
         shared, new = [r for r in roles if r in has], [r for r in roles if r not in has]
         led = [F.col(f"n_{k}").alias(f"p_{k}") for k in targets]
-        parts = [self.leading(w.leaf, list(targets)).select(F.lit(w.leaf).alias("leaf"), F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles), *led) for w in waits]
+        known = lambda own: [c for c in own.columns if c.startswith("e_")]
+        ends = following is not None and not waits[0].sustained and waits[0].leaf not in state.begun and self.root(following)[0] is not None
+        if following is None:
+            parts = [self.leading(w.leaf, list(targets)) for w in waits]
+        else:
+            parts = [self.reaching(w.leaf, following, list(targets), has) for w in waits]
+        if ends:
+            parts = [beside(p, roles, "t", self.width, {"q_t": "t", "q_seq": "seq"}, ties=["seq"]) for p in parts]
+            led += [F.col("q_t"), F.col("q_seq")]
+        more = known(parts[0])
+        parts = [p.select(F.lit(w.leaf).alias("leaf"), F.col("t").alias("m_t"), F.col("seq").alias("m_seq"), *(F.col(r).alias(f"m_{r}") for r in roles), *led, *(F.col(c).alias(f"m_{c}") for c in more)) for p, w in zip(parts, waits, strict=True)]
         m, c = reduce(DataFrame.unionByName, parts), candidates
         on = [c[r] == m[f"m_{r}"] for r in shared]
         if not shared:
@@ -387,7 +446,12 @@ class _Compiler:
             fits.append(_both(own))
         on.append(reduce(lambda a, b: a | b, fits))
         on += [m[f"m_{r}"] != c[h] for r in new for h in has]
-        return c.join(m, _both(on)).select(*candidates.columns, "leaf", "m_t", "m_seq", *(F.col(f"m_{r}").alias(f"m_{r}") for r in new), *(f"p_{k}" for k in targets))
+        if ends:  # the match before it, of the same binding, did not fit
+            before = (F.col("q_t") < F.col("l_t")) | ((F.col("q_t") == F.col("l_t")) & (F.col("q_seq") <= F.col("l_seq")))
+            on.append(F.col("q_t").isNull() | before | (F.lit(False) if waits[0].opens is None else F.col("q_t") < waits[0].opens))
+        if self.horizon is not None:
+            on += [F.col(f"m_{e}.m_t") <= F.col("s_t") + self.horizon * MS for e in more]
+        return c.join(m, _both(on)).select(*(x for x in candidates.columns if x not in more), "leaf", "m_t", "m_seq", *(F.col(f"m_{r}").alias(f"m_{r}") for r in new), *(f"p_{k}" for k in targets), *(F.col(f"m_{e}").alias(e) for e in more))
 
     def after(self, state: State, wait: Wait) -> State:
         if wait.sustained and wait.leaf not in state.begun:
@@ -401,9 +465,10 @@ class _Compiler:
         """
         after, k = self.after(state, wait), wait.leaf
         name = f"h_{k}" if k in after.met else f"b_{k}"
-        gone = {"l_t", "l_seq", f"b_{k}", *(c for c in columns if c.startswith("n_") and int(c[2:]) not in pointing)}
+        gone = {"l_t", "l_seq", f"b_{k}", f"e_{k}", *(c for c in columns if c.startswith("n_") and int(c[2:]) not in pointing)}
+        fresh = [c for c in rows.columns if c.startswith("e_") and c not in columns]
         new = [r for r in self.roles(k) if r not in columns]
-        return after, rows.select(*(c for c in columns if c not in gone), F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new), *(F.col(f"p_{x}").alias(f"n_{x}") for x in targets))
+        return after, rows.select(*(c for c in columns if c not in gone), F.col("m_t").alias("l_t"), F.col("m_seq").alias("l_seq"), F.col("m_t").alias(name), *(F.col(f"m_{r}").alias(r) for r in new), *(F.col(f"p_{x}").alias(f"n_{x}") for x in targets), *fresh)
 
     def advanced(self, state: State, rows: DataFrame, waits: list[Wait]) -> tuple[DataFrame, list[tuple[State, DataFrame]]]:
         """The state's candidates with `star`, the match that uses each up, and those of the states after it."""
@@ -417,6 +482,8 @@ class _Compiler:
         out, marked = [], rows
         if plain:
             marked = self.pointed(rows, plain, state)
+            vain = [F.col(f"f_{w.leaf}").isNotNull() for w in plain if w.leaf in self.needed]
+            marked = marked.where(_both(vain)) if vain else marked
             marked = marked.withColumn("star", F.least(*(f"f_{w.leaf}" for w in plain)) if len(plain) > 1 else F.col(f"f_{plain[0].leaf}"))
         branches = len(plain) + len(binding)
         if binding and branches > 1 or branches * self.copies[state] > COPIES:
@@ -433,12 +500,12 @@ class _Compiler:
             targets = tuple(k for k in self.targets(w.leaf, after, [*columns, *self.roles(w.leaf)]) if k not in kept)
             if plain:  # the candidate is used up by then
                 w = w.ending(F.col("star.m_t"), None)
-            found = self.joined(marked, [w], state, targets)
+            found = self.joined(marked, [w], state, targets, after if self.needed else None)
             if plain:
                 found = found.where(F.col("star").isNull() | (F.struct("m_t", "m_seq") < F.col("star")))
             if w.sustained and self.root(State(state.met | {w.leaf}, state.begun))[0] is not None:
                 # nothing follows it: for each binding, evidence that began later is complete no earlier
-                keep = [*columns, *(f"m_{r}" for r in self.roles(w.leaf) if r not in columns), *(f"p_{k}" for k in targets)]
+                keep = [c for c in found.columns if c not in ("leaf", "m_t", "m_seq") and (c in columns or c[:2] in ("m_", "p_", "e_"))]
                 found = found.groupBy(*keep).agg(F.min(F.struct("m_t", "m_seq")).alias("m")).select(*keep, "m.m_t", "m.m_seq")
             out.append(self.moved(found, columns, state, w, kept, targets))
         return marked, out
@@ -448,9 +515,9 @@ class _Compiler:
         out, groups = rows, {}
         for w in waits:
             after = [x for x in (w.opens, F.col(f"b_{w.leaf}") + self.durations[w.leaf] if w.leaf in state.begun else None) if x is not None]
-            if not self.roles(w.leaf):
-                out = self.first_joined(out, w, state)
-            elif not after and f"n_{w.leaf}" in rows.columns:
+            if not self.roles(w.leaf) and w.until is None and f"n_{w.leaf}" not in rows.columns:
+                raise Unsupported(f"{self.order[w.leaf].predicate} shares no role with what precedes it and has no bounded window: a horizon would bound it")
+            if not after and f"n_{w.leaf}" in rows.columns:
                 out = out.withColumn(f"f_{w.leaf}", F.col(f"n_{w.leaf}"))
             else:
                 groups.setdefault((tuple(sorted(self.roles(w.leaf))), w.leaf if after else None), []).append((w.leaf, after))
@@ -458,19 +525,20 @@ class _Compiler:
         for (roles, _), own in groups.items():
             opens = [F.struct(x.cast("long").alias("t"), F.lit(-NEVER).alias("seq")) for x in own[0][1]]
             since = F.greatest(last, *opens) if opens else last
-            out = self.next_of(out, since["t"], since["seq"], roles, [k for k, _ in own], "f_")
+            leaves, early = [k for k, _ in own], [F.col(f"e_{k}") for k, _ in own if f"e_{k}" in rows.columns]
+            if len(early) < len(leaves):
+                out = self.next_of(out, since["t"], since["seq"], roles, leaves, "f_")
+                continue
+            # the first match after an earlier one, if it comes later than `since`, is the first after that
+            self.copies[state] *= 2
+            right = F.coalesce(_both([F.struct(e["m_t"].alias("t"), e["m_seq"].alias("seq")) > since for e in early]), F.lit(False))
+            out = out.where(right).withColumns({f"f_{k}": F.col(f"e_{k}") for k in leaves}).unionByName(self.next_of(out.where(~right), since["t"], since["seq"], roles, leaves, "f_"))
         return out.withColumns({f"f_{w.leaf}": F.when(F.col(f"f_{w.leaf}.m_t") <= w.until, F.col(f"f_{w.leaf}")) for w in waits if w.until is not None})
 
-    def first_joined(self, rows: DataFrame, w: Wait, state: State) -> DataFrame:
-        """The same for a leaf without roles: the join by time buckets, as there is nothing to sort by."""
-        rows = written(rows.withColumn("cid", F.monotonically_increasing_id()), "state")
-        first = self.joined(rows, [w], state).groupBy("cid").agg(F.min(F.struct("m_t", "m_seq")).alias(f"f_{w.leaf}"))
-        return rows.join(first, "cid", "left").drop("cid")
-
     def weighed(self, state: State, rows: DataFrame, plain: list[Wait], binding: list[Wait]) -> tuple[DataFrame, list[tuple[State, DataFrame]]]:
         """The same where one match can fit leaves of both sorts: it uses a candidate up only if it fits none that binds,
         and none that is being sustained."""
-        rows = rows.drop(*(c for c in rows.columns if c.startswith("n_")))
+        rows = rows.drop(*(c for c in rows.columns if c[:2] in ("n_", "e_")))
         columns = rows.columns
         rows = written(rows.withColumn("cid", F.monotonically_increasing_id()), "state")
         parts = [self.joined(rows, [w], state).withColumn("keeps", F.lit(w in binding)) for w in (*plain, *binding)]
