@@ -320,3 +320,15 @@ def test_the_first_match_of_each_binding_needs_no_grouping(spark, pattern):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
     twice = [*rows, *((r[0] + 1000, *r[1:6], r[6] | {"more": "1"}, r[7]) for r in rows)]  # two matches of one time and object
     assert sorted(rows_of(e, compile_event(e, spark.createDataFrame(twice, SCHEMA))), key=str) == sorted(exact(e, twice), key=str)
+
+
+def test_matches_from_which_nothing_completes_meet_no_candidates(spark, monkeypatch):
+    """Of a convoy, those that never go, or go after the horizon, are joined with nothing."""
+    from wayline.plans import compiler
+
+    met = []
+    monkeypatch.setattr(compiler._Compiler, "reaching", lambda self, *a, own=compiler._Compiler.reaching: met.append(own(self, *a)) or met[-1])
+    e = event({"seq": [one("a", "X"), {"all": [one("b", "X"), {"seq": [one("a", "Y"), one("b", "Y")]}]}]})
+    rows = trace("0:a(x) 1:a(p) 2:a(y) 3:b(x) 4:b(y) 90:b(p) 91:a(z)")
+    assert set(rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA), 60_000))) == {(0, 4 * S, "s", "a", "x", "y")}
+    assert {r.r_X for r in met[0].where("e_1.m_t <= t + 60000000").collect()} == {"x", "y"} and all("z" not in r for d in met for r in d.collect())
