@@ -446,3 +446,26 @@ def test_replay_subscription_and_records(spark):
     rows = spark.createDataFrame([("cam", 7, None), ("cam", 7, None), ("cam", 8, 1.5)], "source string, t long, level double")
     kept = evidence.recorded(rows, "level").dropDuplicates(["record_id"]).orderBy("event_time").collect()
     assert [(r.source_id, r.event_time, json.loads(r.payload)) for r in kept] == [("cam", 7, {"source": "cam", "t": 7, "level": None}), ("cam", 8, {"source": "cam", "t": 8, "level": 1.5})]
+
+
+@pytest.mark.parametrize("n", [30, 400])
+def test_the_nearest_are_found_by_rings(spark, n):
+    """All the nearest, in image and world, as by brute force, and without a table of pairs."""
+    from wayline.functions import geometry as G
+
+    dice = random.Random(n)
+    rows = []
+    for k in range(n):
+        x, y, w = dice.choice([dice.uniform(0, 900), 40.0]), dice.uniform(-300, 500), dice.choice([0.5, 20.0, 45.0, 300.0 if k == 3 else 30.0])
+        world = dice.choice([(None, None, None)] * 3 + [(dice.uniform(0, 50), dice.uniform(0, 50), dice.choice("vw"))])
+        rows.append(("s", k % 2, f"o{k}", dice.choice(["person", "car", "backpack", "dog"]), 0.9, x, y, x + w, y + 30.0, *world))
+    df = spark.createDataFrame(rows, "source string, t long, object_id string, class string, confidence double, x1 double, y1 double, x2 double, y2 double, world_x double, world_y double, world_frame string")
+    a, b = df.where("class = 'backpack'").alias("a"), df.where("class IN ('person', 'car')").alias("b")
+    every = a.join(b, F.expr("a.t = b.t")).select("a.t", "a.object_id", G.distance_m("a", "b").alias("m"), F.col("b.object_id").alias("h")).collect()
+    of = {}
+    for r in every:
+        of.setdefault((r.t, r.object_id), []).append((r.m, r.h))
+    want = {(*who, k + 1, h, m) for who, own in of.items() for k, (m, h) in enumerate(sorted(own)[:2])}
+    plan = tracks.nearest_holders(df, 2)
+    assert {(r.t, r.item, r["rank"], r.holder, r.metres) for r in plan.collect()} == want and want
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
