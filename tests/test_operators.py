@@ -469,3 +469,11 @@ def test_the_nearest_are_found_by_rings(spark, n):
     plan = tracks.nearest_holders(df, 2)
     assert {(r.t, r.item, r["rank"], r.holder, r.metres) for r in plan.collect()} == want and want
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boarding_is_cut_by_vehicles(spark):
+    """A source that is never empty is no single task: nothing is folded along it."""
+    rows = [track(k * S, "car", x=100.0) for k in range(4)] + [track(k * S, "car", x=400.0) for k in (4, 5)] + [track(k * S, "p", "person", 110.0) for k in range(3)]
+    plan = sequential.boarding(spark.createDataFrame(rows, TRACK), frames(spark, [k * S for k in range(6)]))
+    assert found(plan) == [(4.0, "boards", "p", "car")]
+    assert "MapInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString()

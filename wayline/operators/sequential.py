@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayline.functions.geometry import PACKAGES, VEHICLES, WIDTHS
+from wayline.functions import geometry as G
+from wayline.functions.geometry import PACKAGES, VEHICLES
+from wayline.operators.nearest import nearest
 from wayline.operators.restarts import FIRST, beside, bucket_width, clocked, running, segments_of_frames, segments_of_rows
 from wayline.operators.tracks import nearest_holders
 from wayline.session import written
@@ -69,29 +71,6 @@ def _known(v: Any) -> bool:
     return v is not None and v == v
 
 
-def _metres(a: dict, b: dict) -> float:
-    if _known(a.get("world_x")) and _known(b.get("world_x")) and a.get("world_frame") == b.get("world_frame"):
-        return hypot(a["world_x"] - b["world_x"], a["world_y"] - b["world_y"])
-    (ax, ay), (bx, by) = _centre(a), _centre(b)
-    mean = max((a["x2"] - a["x1"] + b["x2"] - b["x1"]) / 2, 1.0)
-    return hypot(ax - bx, ay - by) / mean * (_width(a) + _width(b)) / 2
-
-
-def _width(a: dict) -> float:
-    return WIDTHS.get(a["class"].lower(), 1.0)
-
-
-def _speed(a: dict) -> float | None:
-    if not _known(a.get("velocity_x")):
-        return None
-    v = hypot(a["velocity_x"], a["velocity_y"])
-    return v if _known(a.get("world_x")) else v / max(a["x2"] - a["x1"], 1.0) * _width(a)
-
-
-def _is(a: dict, kinds: tuple[str, ...]) -> bool:
-    return a["class"].lower() in kinds
-
-
 def _match(row: Any, predicate: str, confidence: float, **who: dict) -> tuple:
     return (row.t, predicate, row.source, float(min(max(confidence, 0.0), 1.0)), "tracks", {k: v["object_id"] for k, v in who.items()}, {k: v["class"] for k, v in who.items()})
 
@@ -140,65 +119,47 @@ def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us:
 def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m: float = 2.0, apart_m: float = 5.0, moving_mps: float = 0.75, stopped_us: int = SECOND // 2, wait_us: int = 8 * SECOND) -> DataFrame:
     """boards: a person vanishes by a vehicle that then leaves. disembarks: one appears by a stopped vehicle, then parts.
 
-    A person is a candidate for one vehicle at a time, the one that was nearest last; a pair is told of once. Nothing
-    but that is remembered after a frame without any object and wait_us without one.
+    A person is a candidate for one vehicle at a time, the one that was nearest last; a pair is told of once. What a
+    person waits for is the later sightings of its vehicle within wait_us, so these are joins by vehicle and slots of
+    that length; the nearest vehicles are those of `nearest`.
     """
-    nearest = lambda p, among: min(((_metres(p, c), i) for i, c in among.items()), default=None)
-
-    def step(state: dict, row: Any) -> list[tuple]:
-        now, out = _objects(row), []
-        people = {i: x for i, x in now.items() if _is(x, ("person",))}
-        cars = {i: x for i, x in now.items() if _is(x, VEHICLES)}
-        stopped = state["stopped"]
-        for i in [i for i in stopped if i not in cars]:
-            del stopped[i]
-        for i, x in cars.items():
-            if (_speed(x) or 0.0) <= moving_mps:
-                stopped.setdefault(i, row.t)
-            else:
-                stopped.pop(i, None)
-        tell = lambda what, sure, i, c: (row.t, what, row.source, float(min(max(sure, 0.0), 1.0)), "tracks", {"person": i, "vehicle": c}, {"person": "person", "vehicle": "vehicle"})
-        for i, p in people.items():
-            if i not in state["people"] and (by := nearest(p, cars)) and by[0] <= close_m and by[1] in stopped and row.t - stopped[by[1]] >= stopped_us:
-                state["off"][i] = (by[1], row.t)
-        for i, p in state["people"].items():
-            if i not in people and (by := nearest(p, state["cars"])) and by[0] <= close_m:
-                state["on"][i] = (by[1], state["t"], state["cars"][by[1]])
-        for i, (c, t) in list(state["off"].items()):
-            if row.t - t > wait_us:
-                del state["off"][i]
-            elif i in people and c in cars and _metres(people[i], cars[c]) >= apart_m:
-                del state["off"][i]
-                out.append(tell("disembarks", min(people[i]["confidence"], cars[c]["confidence"]), i, c))
-        for i, (c, t, then) in list(state["on"].items()):
-            if row.t - t > wait_us:
-                del state["on"][i]
-            elif c in cars and (_moved(then, cars[c]) >= leave_m or (_speed(cars[c]) or 0.0) > moving_mps):
-                del state["on"][i]
-                out.append(tell("boards", cars[c]["confidence"], i, c))
-        state.update(people=people, cars=cars, t=row.t)
-        return out
-
-    start = lambda: {"people": {}, "cars": {}, "stopped": {}, "on": {}, "off": {}, "t": None}
-    gone = (F.col("before") > F.col("was")) & (F.col("t") - F.col("was") > wait_us)
-    found = fold(_segmented(tracks, frames, gone), ["source", "segment"], ["t"], start, step, MATCHES)
-    pair = found.withColumns({"person": F.col("arguments")["person"], "vehicle": F.col("arguments")["vehicle"]})
-    first = pair.groupBy("source", "predicate", "person", "vehicle").agg(F.min(F.struct("t", "confidence")).alias("m"))
+    missing = {c: F.lit(None).cast("string" if c == "world_frame" else "double") for c in TRACK if c not in tracks.columns and c != "age"}
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in ("world_x", "world_y", "velocity_x", "velocity_y")}
+    width = bucket_width(frames)
+    seen = tracks.withColumns(missing).withColumns(clean).withColumn("world_frame", F.coalesce("world_frame", F.lit(""))).join(clocked(frames, width), ["source", "t"])
+    kind, key = F.lower("class"), ["source", "object_id"]
+    is_person, is_vehicle = kind == "person", kind.isin(*VEHICLES)
+    people = beside(seen.where(is_person), key, "t", width, {"was": "t"}, {"again": "t"})
+    moving = F.coalesce(G.speed_mps(), F.lit(0.0)) > moving_mps
+    cars = beside(seen.where(is_vehicle).withColumn("moving", moving), key, "t", width, {"was": "t", "was_moving": "moving"})
+    stops = F.when(~F.col("moving") & (F.col("was").isNull() | (F.col("was") < F.col("before")) | F.col("was_moving")), F.col("t"))
+    cars = running(cars, key, "t", width, "stopped", stops).withColumn("stood", ~F.col("moving") & (F.col("t") - F.col("stopped") >= stopped_us))
+    close = nearest(seen, is_person, is_vehicle, 1).where(F.col("metres") <= close_m).select("source", "t", F.col("item").alias("person"), F.col("holder").alias("vehicle"))
+    by = people.select("source", "t", F.col("object_id").alias("person"), "was", "again", "before", "after").join(close, ["source", "t", "person"])
+    then = cars.select("source", "t", F.col("object_id").alias("vehicle"), "stood", F.struct(F.col("world_x").alias("wx"), F.col("world_y").alias("wy"), G.centre()[0].alias("x"), G.centre()[1].alias("y")).alias("then"))
+    by = by.join(then, ["source", "t", "vehicle"])
+    slot = lambda t: F.floor(t / F.lit(max(wait_us, 1))).cast("long")
+    waiting = lambda rows: beside(rows, ["source", "person"], "t", width, after={"next": "from"}).withColumn("slot", F.explode(F.sequence(slot(F.col("t")), slot(F.col("t") + wait_us))))
+    told = lambda c, v: (F.col(f"{v}.t") >= F.col(f"{c}.from")) & (F.col(f"{v}.t") - F.col(f"{c}.t") <= wait_us) & (F.col(f"{c}.next").isNull() | (F.col(f"{v}.t") < F.col(f"{c}.next")))
+    # a person that was not in the frame before, by a vehicle that stands: until both are apart in one frame
+    came = waiting(by.where((F.col("before").isNull() | F.col("was").isNull() | (F.col("was") < F.col("before"))) & F.col("stood")).withColumn("from", F.col("t"))).alias("c")
+    a, b = people.withColumn("slot", slot(F.col("t"))).alias("a"), cars.alias("b")
+    later = came.join(a, (F.col("a.source") == F.col("c.source")) & (F.col("a.object_id") == F.col("c.person")) & (F.col("a.slot") == F.col("c.slot")) & told("c", "a"))
+    parted = later.join(b, (F.col("b.source") == F.col("c.source")) & (F.col("b.object_id") == F.col("c.vehicle")) & (F.col("b.t") == F.col("a.t"))).where(G.distance_m("a", "b") >= apart_m)
+    off = parted.select("c.source", F.lit("disembarks").alias("predicate"), "c.person", "c.vehicle", F.col("a.t").alias("t"), F.least("a.confidence", "b.confidence").alias("sure"))
+    # a person that is not in the next frame, by a vehicle: until that one has come away or is fast
+    left = waiting(by.where(F.col("after").isNotNull() & (F.col("again").isNull() | (F.col("again") > F.col("after")))).withColumn("from", F.col("after"))).alias("l")
+    b = cars.withColumn("slot", slot(F.col("t"))).alias("b")
+    x, y = G.centre("b")
+    raw = G.apart(F.coalesce("l.then.wx", "l.then.x"), F.when(F.col("l.then.wx").isNotNull(), F.col("l.then.wy")).otherwise(F.col("l.then.y")), F.coalesce("b.world_x", x), F.when(F.col("b.world_x").isNotNull(), F.col("b.world_y")).otherwise(y))
+    come = F.when(F.col("b.world_x").isNotNull(), raw).otherwise(raw / F.greatest(G.width("b"), F.lit(1.0)) * G.nominal_width("b"))
+    gone = left.join(b, (F.col("b.source") == F.col("l.source")) & (F.col("b.object_id") == F.col("l.vehicle")) & (F.col("b.slot") == F.col("l.slot")) & told("l", "b")).where((come >= leave_m) | F.col("b.moving"))
+    on = gone.select("l.source", F.lit("boards").alias("predicate"), "l.person", "l.vehicle", F.col("b.t").alias("t"), F.col("b.confidence").alias("sure"))
+    first = off.unionByName(on).groupBy("source", "predicate", "person", "vehicle").agg(F.min(F.struct("t", F.least(F.greatest("sure", F.lit(0.0)), F.lit(1.0)).alias("confidence"))).alias("m"))
     of = lambda a, b: F.create_map(F.lit("person"), a, F.lit("vehicle"), b)
     return first.select("m.t", "predicate", "source", "m.confidence", F.lit("tracks").alias("provider"), of(F.col("person"), F.col("vehicle")).alias("arguments"), of(F.lit("person"), F.lit("vehicle")).alias("classes"))
 
 
-def _position(a: dict) -> tuple[float, float]:
-    return (a["world_x"], a["world_y"]) if _known(a.get("world_x")) else _centre(a)
-
-
-def _moved(then: dict, now: dict) -> float:
-    """How far an object has come: in the world, or by the width of its present box."""
-    (ax, ay), (bx, by) = _position(then), _position(now)
-    raw = hypot(ax - bx, ay - by)
-    return raw if _known(now.get("world_x")) else raw / max(now["x2"] - now["x1"], 1.0) * _width(now)
-
-
 def transfers(tracks: DataFrame, frames: DataFrame, close_m: float = 1.5, stable_us: int = SECOND, forget_us: int = 5 * SECOND) -> DataFrame:
     """Custody of items: a new nearest holder, in a later frame still the nearest and for stable_us at least, takes over.
 
