@@ -329,7 +329,7 @@ def surviving(ours: dict, theirs: dict, wants: dict, groups: dict[int, Cells], c
 
 
 def search(rows: DataFrame, anchors: DataFrame, groups: dict[int, Cells], cells: dict[int, Cells], same: bool, most: int, part: int = PART) -> DataFrame:
-    """(key, slot, score, id) for anchors (key, label, v, length, cell, low, high): the candidates that tasks found.
+    """(key, slot, score, id, rank) for anchors (key, label, v, length, cell, low, high): the candidates that tasks found.
 
     low and high list the ranges of scores that an anchor wants; slot is the number of the range. A task keeps the first
     `most` of its own candidates in each.
@@ -339,7 +339,7 @@ def search(rows: DataFrame, anchors: DataFrame, groups: dict[int, Cells], cells:
     spark = rows.sparkSession
     schema = "key long, slot int, score long, id long"
     if not pairs:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", rank int")
     parts = lambda n: -(-n // part)
     table = spark.createDataFrame([(n, g, c, parts(ours[n, g][0]), parts(theirs[n, c][0])) for n, g, c in pairs], "length int, group int, cell int, anchor_parts int, parts int")
     if len(pairs) <= GROUPS * CELLS:  # always so, but for vectors of many lengths
