@@ -477,3 +477,29 @@ def test_boarding_is_cut_by_vehicles(spark):
     plan = sequential.boarding(spark.createDataFrame(rows, TRACK), frames(spark, [k * S for k in range(6)]))
     assert found(plan) == [(4.0, "boards", "p", "car")]
     assert "MapInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_speakers_are_those_of_the_plain_rule():
+    """Centroids as arrays choose what sums over all of them choose, also with equal, empty and unknown vectors."""
+    draw = np.random.default_rng(5)
+    vectors = [*(draw.normal(size=8) + 2 * draw.integers(-1, 2, 8) for _ in range(400)), np.zeros(8), np.eye(8)[0], np.eye(8)[0], np.full(8, 1e-170), np.full(8, np.nan), np.eye(8)[1]]
+    draw.shuffle(vectors)
+    vectors = [np.array([np.float32(x) for x in v], dtype=np.float64) for v in vectors]
+    cosine = lambda v, c: (sum(a * b for a, b in zip(v, c, strict=True)) / d) if (d := math.sqrt(sum(a * a for a in v)) * math.sqrt(sum(b * b for b in c))) else 0.0
+    plain, own, found = [], [], sequential.Centroids()
+    for v in vectors:
+        best = max(((cosine(v.tolist(), c), -k) for k, (c, _) in enumerate(plain)), default=(-1.0, 0))
+        sure, at = found.nearest(v, 0.75)
+        assert (sure >= 0.75) == (best[0] >= 0.75)
+        if best[0] >= 0.75:
+            k = -best[1]
+            c, n = plain[k]
+            plain[k] = ([(a * n + b) / (n + 1) for a, b in zip(c, v.tolist(), strict=True)], n + 1)
+            assert at == k and sure == best[0]
+            found.put(k, (found.rows[k] * n + v) / (n + 1), n + 1)
+        else:
+            plain.append((v.tolist(), 1))
+            found.put(len(plain) - 1, v, 1)
+        own.append(len(plain))
+    assert found.members == [n for _, n in plain] and len(plain) > 16
+    np.testing.assert_array_equal(found.rows[: len(plain)], [c for c, _ in plain])

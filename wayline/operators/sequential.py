@@ -353,20 +353,56 @@ def suppressed_repeats(rows: DataFrame, key: str, quiet_us: int = 2 * SECOND) ->
     return cut.repartition(key, "segment").sortWithinPartitions(key, "segment", "t").mapInArrow(run, schema)
 
 
+class Centroids:
+    """Running centroids of one source: vectors as rows of an array that doubles, their lengths and numbers of members."""
+
+    def __init__(self) -> None:
+        self.rows, self.lengths, self.members = np.zeros((0, 0)), np.zeros(0), []
+
+    def put(self, k: int, v: np.ndarray, members: int) -> None:
+        if k == len(self.rows):
+            grown, lengths = np.zeros((max(16, 2 * k), len(v))), np.zeros(max(16, 2 * k))
+            if k:
+                grown[:k], lengths[:k] = self.rows, self.lengths
+            self.rows, self.lengths = grown, lengths
+        self.members[k : k + 1] = [members]
+        self.rows[k], self.lengths[k] = v, sqrt(float(v @ v))
+
+    def nearest(self, v: np.ndarray, least: float) -> tuple[float, int]:
+        """The greatest cosine and its first centroid; some cosine under `least` where none reaches that.
+
+        All cosines are one product of arrays. What that may round differently, next to the greatest, is summed again, and
+        so is what has no length that can be divided by.
+        """
+        n, own, length = len(self.members), v.tolist(), sqrt(float(v @ v))
+        if not n:
+            return -1.0, 0
+        plain = ~((self.lengths[:n] > 1e-100) & (self.lengths[:n] < 1e100)) | (not 1e-100 < length < 1e100)
+        if not plain.all():
+            cosines = np.full(n, -2.0)
+            np.divide(self.rows[:n] @ v, length * self.lengths[:n], out=cosines, where=~plain)
+            if not plain.any() and cosines.max() < least - 1e-9:
+                return float(cosines.max()), 0
+            plain |= cosines >= cosines.max() - 1e-9
+        d = sqrt(sum(a * a for a in own))
+        cosine = lambda c: (sum(a * b for a, b in zip(own, c, strict=True)) / e) if (e := d * sqrt(sum(b * b for b in c))) else 0.0
+        some = np.flatnonzero(plain)
+        best = max((cosine(self.rows[k].tolist()), -int(k)) for k in some)
+        return best[0], -best[1]
+
+
 def speakers(segments: DataFrame, least_cosine: float = 0.75) -> DataFrame:
     """speaker_id for segments (source, t, vector): each joins the nearest centroid or begins a new one."""
 
-    def step(state: dict, row: Any) -> list[tuple]:
-        v = [float(x) for x in row.vector]
-        cosine = lambda c: (sum(a * b for a, b in zip(v, c, strict=True)) / d) if (d := sqrt(sum(a * a for a in v)) * sqrt(sum(b * b for b in c))) else 0.0
-        best = max(((cosine(c), -k) for k, (c, _) in enumerate(state["centroids"])), default=(-1.0, 0))
-        if best[0] >= least_cosine:
-            k = -best[1]
-            c, n = state["centroids"][k]
-            state["centroids"][k] = ([(a * n + b) / (n + 1) for a, b in zip(c, v, strict=True)], n + 1)
+    def step(found: Centroids, row: Any) -> list[tuple]:
+        v = np.array(row.vector, dtype=np.float64)
+        cosine, k = found.nearest(v, least_cosine)
+        if cosine >= least_cosine:
+            n = found.members[k]
+            found.put(k, (found.rows[k] * n + v) / (n + 1), n + 1)
         else:
-            k = len(state["centroids"])
-            state["centroids"].append((v, 1))
+            k = len(found.members)
+            found.put(k, v, 1)
         return [(row.source, row.t, f"speaker_{k + 1}")]
 
-    return fold(segments, "source", ["t"], lambda: {"centroids": []}, step, "source string, t long, speaker_id string")
+    return fold(segments, "source", ["t"], Centroids, step, "source string, t long, speaker_id string")
