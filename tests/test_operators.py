@@ -503,3 +503,9 @@ def test_speakers_are_those_of_the_plain_rule():
         own.append(len(plain))
     assert found.members == [n for _, n in plain] and len(plain) > 16
     np.testing.assert_array_equal(found.rows[: len(plain)], [c for c, _ in plain])
+
+
+def test_blocks_of_an_open_gap_grow_with_the_table():
+    """A vector goes to each block of the other side: more vectors make larger blocks, not more, while a task can hold them."""
+    assert identity.block_of(2000, 64) == identity.BLOCK and identity.block_of(600_000, 64) == 37_500
+    assert identity.block_of(10_000_000, 64) == identity.NUMBERS // 64 and identity.block_of(10_000_000, 4096) == identity.BLOCK

@@ -18,8 +18,10 @@ from wayline.session import written
 
 #: Links of a component that one task takes in order.
 LINKS = 200_000
-#: The most centres that vectors are dealt to where times do not part them, and vectors of a block.
+#: The most centres that vectors are dealt to where times do not part them, and the least vectors of a block.
 CENTRES, BLOCK = 256, 4096
+#: Blocks grow with the table, to this share of it, but not beyond so many numbers: each vector goes to most blocks.
+SHARE, NUMBERS = 16, 1 << 22
 #: Radians by which rounding may move an angle.
 SLACK = 1e-4
 
@@ -51,20 +53,28 @@ def association_candidates(vectors: DataFrame, gap_us: int | None, least: float
     return found.where(F.col("similarity") >= least)
 
 
+def block_of(total: int, longest: int) -> int:
+    """The vectors of a block, of so many vectors of at most so many numbers."""
+    return max(BLOCK, min(-(-total // SHARE), NUMBERS // longest))
+
+
 def open_pairs(rows: DataFrame, least: float, pairs: list[tuple] | None = None) -> DataFrame:
     """The pairs of association_candidates at any times, from rows (object_id, source, model, unit, n); none is missed.
 
-    The vectors with the least hashes, one for BLOCK rows and at most CENTRES, are centres for their length; every vector is dealt to the cell of
+    The vectors with the least hashes, one for a block of rows and at most CENTRES, are centres for their length; every vector is dealt to the cell of
     the nearest, and a cell's radius is the greatest angle in it. By the triangle inequality of angles, a vector's partners
     lie in cells whose centre is no further from it than the radius and the least similarity's angle together, and it goes
-    to those alone. Cells are cut into blocks of about BLOCK vectors on both sides, a pair of blocks is a task's product, and
-    what passes is summed again in the order of `dot`. Vectors without clusters meet all cells: then these are blocked
-    products of all pairs, each vector sent once a cell. The driver holds the centres and a line for each cell.
+    to those alone. Cells are cut into blocks of BLOCK vectors, or a share of all, on both sides, a pair of blocks is a task's
+    product, and what passes is summed again in the order of `dot`. Vectors without clusters meet all cells: then these are
+    blocked products of all pairs, each vector sent once a block, of which there are no more for more vectors until a block
+    has NUMBERS numbers. The driver holds the centres and a line for each cell.
     """
     if least > 0:  # a vector of length zero has no angle, and a similarity of 0 to all
         rows = rows.where(dot(F.col("unit"), F.col("unit")) > 0)
     rows = written(rows.select("object_id", "source", "model", "unit", "n"), "vectors")
-    few = min(CENTRES, 1 + rows.count() // BLOCK)
+    total, longest = rows.agg(F.count("*"), F.max("n")).first()
+    block = block_of(total, longest or 1)
+    few = min(CENTRES, 1 + total // block)
     drawn = rows.select("n", "unit", F.xxhash64("unit").alias("h")).distinct().orderBy("h").limit(few).collect()
     centres = {n: np.array([r.unit for r in drawn if r.n == n]) for n in {r.n for r in drawn}}
 
@@ -100,11 +110,12 @@ def open_pairs(rows: DataFrame, least: float, pairs: list[tuple] | None = None)
     # nothing is further than pi: a least similarity of 0 or less leaves no cell out
     reach = np.arccos(min(least, 1.0)) + SLACK if least > 0 else 10.0
     right = dealt.drop("angle")
-    left = written(rows.mapInArrow(met, fields("cells", ArrayType(IntegerType()))).withColumn("cell", F.explode("cells")).drop("cells"), "meeting")
+    # the lists of cells are written, their copies of vectors are only dealt
+    left = written(rows.mapInArrow(met, fields("cells", ArrayType(IntegerType()))), "meeting").withColumn("cell", F.explode("cells")).drop("cells")
 
     def blocks(side: DataFrame) -> Column:
-        sizes = side.groupBy("n", "cell").count().where(F.col("count") > BLOCK).collect()
-        known = [F.lit(x) for r in sizes for x in (f"{r.n}:{r.cell}", -(-r["count"] // BLOCK))]
+        sizes = side.groupBy("n", "cell").count().where(F.col("count") > block).collect()
+        known = [F.lit(x) for r in sizes for x in (f"{r.n}:{r.cell}", -(-r["count"] // block))]
         return F.coalesce(F.create_map(*known)[F.concat_ws(":", "n", "cell")], F.lit(1)).cast("int") if known else F.lit(1)
 
     salt, n_left, n_right = F.xxhash64("object_id", "source", "unit"), blocks(left), blocks(right)
@@ -122,8 +133,9 @@ def open_pairs(rows: DataFrame, least: float, pairs: list[tuple] | None = None)
             fits = np.array([[x < y and (allowed is None or (x, y) in allowed) for y in names] for x in names])
             sa, sb = (np.array([number[x] for x in side["source"]]) for side in (one, other))
             ia, ib = one["object_id"].to_numpy(), other["object_id"].to_numpy()
-            for at in range(0, len(a), 512):
-                i, j = np.nonzero((a[at : at + 512] @ b.T >= least - 1e-9) & fits[sa[at : at + 512]][:, sb])
+            step = max(1, 512 * 4096 // len(b))
+            for at in range(0, len(a), step):
+                i, j = np.nonzero((a[at : at + step] @ b.T >= least - 1e-9) & fits[sa[at : at + step]][:, sb])
                 i, total = i + at, np.zeros(len(i))
                 for k in range(a.shape[1]):
                     total += a[i, k] * b[j, k]
