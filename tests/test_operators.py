@@ -509,3 +509,25 @@ def test_blocks_of_an_open_gap_grow_with_the_table():
     """A vector goes to each block of the other side: more vectors make larger blocks, not more, while a task can hold them."""
     assert identity.block_of(2000, 64) == identity.BLOCK and identity.block_of(600_000, 64) == 37_500
     assert identity.block_of(10_000_000, 64) == identity.NUMBERS // 64 and identity.block_of(10_000_000, 4096) == identity.BLOCK
+
+
+def test_followers_across_are_those_of_all_pairs(spark):
+    """Cells behind a leader, slots with a time so near: against all pairs, also far out and at the edges of slots."""
+    g = random.Random(4)
+    rows = []
+    for k in range(300):
+        x, y = (g.choice((-1, 1)) * g.uniform(0, 60) for _ in "xy")
+        far = g.choice((0.0, 0.0, 0.0, 1e13))
+        rows.append((f"cam{k % 3}", g.randrange(-3, 4) * S // 2 + g.choice((0, 0, 1)), f"o{k}", "person", 1.0, 0.0, 0.0, 1.0, 1.0, x + far, y, "w", float(g.randint(-2, 2)), float(g.randint(-2, 2))))
+    rows.append(("cam0", 0, "unplaced", "person", 1.0, 0.0, 0.0, 1.0, 1.0, None, 0.0, "w", 1.0, 0.0))
+    want = set()
+    for a, b in itertools.permutations([r for r in rows if r[9] is not None], 2):
+        (ax, ay, av, aw), (bx, by, bv, bw) = (a[9], a[10], a[12], a[13]), (b[9], b[10], b[12], b[13])
+        speeds = math.hypot(av, aw) * math.hypot(bv, bw)
+        behind = speeds > 0 and av * bv + aw * bw >= 0.5 * speeds and (ax - bx) * av + (ay - by) * aw > 0
+        if a[0] != b[0] and abs(a[1] - b[1]) < S and behind and math.sqrt((ax - bx) ** 2 + (ay - by) ** 2) <= 15:
+            want.add((max(a[1], b[1]), a[2], b[2]))
+    kinds = "source string, t long, object_id string, class string, confidence double, x1 double, y1 double, x2 double, y2 double, world_x double, world_y double, world_frame string, velocity_x double, velocity_y double"
+    across = tracks.follows_across(spark.createDataFrame(rows, kinds))
+    got = [(r.t, r.arguments["leader"], r.arguments["follower"]) for r in across.collect()]
+    assert len(got) == len(set(got)) > 50 and set(got) == want
