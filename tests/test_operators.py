@@ -531,3 +531,17 @@ def test_followers_across_are_those_of_all_pairs(spark):
     across = tracks.follows_across(spark.createDataFrame(rows, kinds))
     got = [(r.t, r.arguments["leader"], r.arguments["follower"]) for r in across.collect()]
     assert len(got) == len(set(got)) > 50 and set(got) == want
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 7])
+def test_what_is_replaced_is_found_by_a_grid(monkeypatch, pairs):
+    """Entries are held against what is lost in arrays, a bounded number of pairs at a time, and not object by object."""
+    monkeypatch.setattr(sequential, "PAIRS", pairs)
+    g = np.random.default_rng(6)
+    x = {"t": g.integers(0, 20, 300), "x": g.uniform(-50, 900, 300), "y": g.uniform(0, 500, 300), "size": g.uniform(1, 40, 300)}
+    o = {"since": g.integers(0, 15, 200), "x": g.uniform(0, 950, 200), "y": g.uniform(-40, 500, 200), "size": g.uniform(1, 40, 200)}
+    o["until"] = o["since"] + g.integers(0, 9, 200)
+    x["x"][0], o["y"][0] = np.nan, np.inf
+    plain = [any(math.hypot(x["x"][i] - o["x"][j], x["y"][i] - o["y"][j]) <= max(x["size"][i], o["size"][j]) and o["since"][j] <= x["t"][i] <= o["until"][j] for j in range(200)) for i in range(300)]
+    assert sequential.replaced(x, o).tolist() == plain and 20 < sum(plain) < 280
+    assert not sequential.replaced(x, {k: v[:0] for k, v in o.items()}).any()

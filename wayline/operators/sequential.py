@@ -9,7 +9,7 @@ no restart points and stays one segment; `restarts.cuts` tells which. Times are
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import hypot, sqrt
+from math import sqrt
 from typing import Any
 
 import numpy as np
@@ -21,9 +21,10 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geometry as G
 from wayline.functions.geometry import PACKAGES, VEHICLES
-from wayline.operators.nearest import nearest
+from wayline.operators.nearest import PAIRS, nearest
 from wayline.operators.restarts import FIRST, beside, bucket_width, clocked, running, segments_of_frames, segments_of_rows
-from wayline.operators.tracks import nearest_holders
+from wayline.operators.tracks import _matches as matches
+from wayline.operators.tracks import episodes, nearest_holders
 from wayline.session import written
 
 SECOND = 1_000_000
@@ -50,19 +51,6 @@ def fold(rows: DataFrame, key: str | list[str], order: list[str], start: Callabl
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def framed(tracks: DataFrame, frames: DataFrame) -> DataFrame:
-    """One row per frame with its tracks, those without any too: (source, t, frame_width, frame_height, tracks)."""
-    have = [c for c in TRACK if c in tracks.columns]
-    held = tracks.groupBy("source", "t").agg(F.array_sort(F.collect_list(F.struct(*have))).alias("tracks"))
-    size = [c for c in ("frame_width", "frame_height") if c in frames.columns]
-    return frames.select("source", "t", *size).distinct().join(held, ["source", "t"], "left").withColumn("tracks", F.coalesce("tracks", F.array().cast(held.schema["tracks"].dataType)))
-
-
-def _objects(row: Any) -> dict[str, dict]:
-    as_dict = lambda x: x.asDict() if hasattr(x, "asDict") else dict(x)
-    return {x["object_id"]: x for x in map(as_dict, row.tracks)}
-
-
 def _centre(x: dict) -> tuple[float, float]:
     return (x["x1"] + x["x2"]) / 2, (x["y1"] + x["y2"]) / 2
 
@@ -71,49 +59,80 @@ def _known(v: Any) -> bool:
     return v is not None and v == v
 
 
-def _match(row: Any, predicate: str, confidence: float, **who: dict) -> tuple:
-    return (row.t, predicate, row.source, float(min(max(confidence, 0.0), 1.0)), "tracks", {k: v["object_id"] for k, v in who.items()}, {k: v["class"] for k, v in who.items()})
-
+def replaced(x: dict[str, np.ndarray], o: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether each box x (t, x, y, size) has one of o (since, until, x, y, size) at that time within the greater size.
 
-def _segmented(tracks: DataFrame, frames: DataFrame, empty_before: Column) -> DataFrame:
-    """framed() rows with the segment of each."""
-    return framed(tracks, frames).join(segments_of_frames(tracks, frames, empty_before), ["source", "t"])
+    Those of o are sorted by the cells of a grid as wide as the greatest size, so that a box meets the nine around it.
+    """
+    out = np.zeros(len(x["t"]), bool)
+    o = {k: v[np.isfinite(o["x"]) & np.isfinite(o["y"])] for k, v in o.items()}
+    asks = np.flatnonzero(np.isfinite(x["x"]) & np.isfinite(x["y"]))
+    if not len(asks) or not len(o["x"]):
+        return out
+    low = {c: min(o[c].min(), x[c][asks].min()) for c in "xy"}
+    span = max(max(o[c].max(), x[c][asks].max()) - low[c] for c in "xy")
+    sizes = np.concatenate([x["size"][asks], o["size"]])
+    side = max(sizes[np.isfinite(sizes)].max(initial=0.0) * (1 + 1e-9) if not np.isinf(sizes).any() else span, span / 1e6) or 1.0
+    cell = lambda v, c: np.floor((v - low[c]) / side).astype(np.int64) + 1
+    rows = int(span / side) + 4
+    at = cell(o["y"], "y") * rows + cell(o["x"], "x")
+    order = np.argsort(at, kind="stable")
+    at, o = at[order], {k: v[order] for k, v in o.items()}
+    for k in (-1, 0, 1):
+        own = (cell(x["y"][asks], "y") + k) * rows + cell(x["x"][asks], "x")
+        begin, end = np.searchsorted(at, own - 1, "left"), np.searchsorted(at, own + 1, "right")
+        ends, cut = np.cumsum(end - begin), 0
+        while cut < len(asks):
+            upto = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + PAIRS, "right")))
+            n = (end - begin)[cut:upto]
+            i = np.repeat(asks[cut:upto], n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[cut:upto], n)
+            near = np.hypot(x["x"][i] - o["x"][j], x["y"][i] - o["y"][j]) <= np.maximum(x["size"][i], o["size"][j])
+            out[i[near & (o["since"][j] <= x["t"][i]) & (x["t"][i] <= o["until"][j])]] = True
+            cut = upto
+    return out
 
 
 def enters(tracks: DataFrame, frames: DataFrame, least_age: int = 3, absence_us: int = 1_500_000) -> DataFrame:
     """Objects that come into view and move: not those of a source's first frame, nor such as replace one just lost.
 
-    Nothing is remembered after frames without any object for absence_us.
+    Lost is what is not in the frame and not yet gone (`episodes`). What comes and what is lost meet by source, class and slots
+    of absence_us, in a grid; the rest are joins by episode.
     """
-
-    def step(state: dict, row: Any) -> list[tuple]:
-        now, active, out = _objects(row), state["active"], []
-        lost = [a for i, a in active.items() if i not in now]
-        for i, x in now.items():
-            a = active.get(i)
-            if a is None:
-                a = active[i] = {"last": x, "came": None, "missing": None}
-                cx, cy = _centre(x)
-                size = lambda y: max(y["x2"] - y["x1"], y["y2"] - y["y1"])
-                replaces = any(o["last"]["class"].lower() == x["class"].lower() and hypot(cx - _centre(o["last"])[0], cy - _centre(o["last"])[1]) <= max(size(x), size(o["last"])) for o in lost)
-                if (state["begun"] or row.segment != FIRST) and not replaces:
-                    a["came"] = (cx, cy, max(5.0, 0.25 * min(x["x2"] - x["x1"], x["y2"] - x["y1"])))
-            a["last"], a["missing"] = x, None
-            if a["came"] is not None and (x.get("age") or 1) >= least_age:
-                cx, cy = _centre(x)
-                if not _known(getattr(row, "frame_width", None)) or hypot(cx - a["came"][0], cy - a["came"][1]) >= a["came"][2]:
-                    a["came"] = None
-                    out.append(_match(row, "enters", x["confidence"], object=x))
-        for i in [i for i in active if i not in now]:
-            a = active[i]
-            a["missing"] = row.t if a["missing"] is None else a["missing"]
-            if row.t - a["missing"] >= absence_us:
-                del active[i]
-        state["begun"] = True
-        return out
-
-    gone = (F.col("before") > F.col("was")) & (F.col("before") - F.col("was_after") >= absence_us)
-    return fold(_segmented(tracks, frames, gone), ["source", "segment"], ["t"], lambda: {"active": {}, "begun": False}, step, MATCHES)
+    have, key = [c for c in TRACK if c in tracks.columns], ["source", "object_id"]
+    single = tracks.repartition(*key).groupBy(*key, "t").agg(F.max(F.struct(*have)).alias("b")).select("source", "t", "b.*")
+    age = F.col("age") if "age" in have else F.lit(None).cast("int")
+    x, y = G.centre()
+    tall = F.col("y2") - F.col("y1")
+    grown = F.coalesce(F.when(age != 0, age), F.lit(1)) >= least_age
+    seen = episodes(single, frames, absence_us).select(*key, "t", "class", "confidence", "episode", "since", "gone_at", grown.alias("grown"), x.alias("x"), y.alias("y"), F.greatest(G.width(), tall).alias("size"), F.greatest(F.lit(5.0), F.least(G.width(), tall) * 0.25).alias("away"))
+    seen = written(seen.withColumn("again", F.lead("t").over(Window.partitionBy(*key).orderBy("t"))), "seen")
+    ticks = clocked(frames, bucket_width(frames)).select("source", "t", "after")
+    first = ticks.groupBy("source").agg(F.min("t").alias("first"))
+    slot = lambda t: F.floor(t / F.lit(max(absence_us, 1))).cast("long")
+    kind = F.lower("class").alias("kind")
+    fresh = seen.where(F.col("t") == F.col("since")).join(first, "source").where(F.col("t") > F.col("first")).select("source", kind, slot(F.col("t")).alias("slot"), "t", "object_id", "episode", "x", "y", "size", "away")
+    missing = seen.join(ticks, ["source", "t"]).where(F.col("after").isNotNull() & (F.col("again").isNull() | (F.col("again") > F.col("after"))))
+    until = F.coalesce(F.least("gone_at", F.col("again") - 1), F.lit(1 << 62))
+    slots = F.sequence(slot(F.col("after")), slot(F.col("after") + max(absence_us - 1, 0)))
+    slots = F.array_distinct(F.concat(slots, F.when(F.col("gone_at").isNotNull(), F.array(slot(F.col("gone_at")))).otherwise(F.array().cast("array<bigint>"))))
+    lost = missing.select(F.col("source").alias("of"), kind, F.explode(slots).alias("slot"), F.col("after").alias("since"), until.alias("until"), *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "size")))
+    names = {f.name: f.dataType.simpleString() for f in fresh.schema}
+    kept = ("source", "object_id", "episode", "x", "y", "away")
+
+    def run(came: pa.Table, gone: pa.Table) -> pa.Table:
+        arrays = lambda rows, *columns: {c.removeprefix("o_"): rows.column(c).to_numpy() for c in columns}
+        hidden = replaced(arrays(came, "t", "x", "y", "size"), arrays(gone, "since", "until", "o_x", "o_y", "o_size"))
+        return came.filter(pa.array(~hidden)).select(kept)
+
+    came = fresh.groupBy("source", "kind", "slot").cogroup(lost.groupBy("of", "kind", "slot")).applyInArrow(run, ", ".join(f"{c} {names[c]}" for c in kept)).withColumnsRenamed({"x": "came_x", "y": "came_y", "away": "least"})
+    rows = seen.where("grown").join(came, ["source", "object_id", "episode"])
+    if "frame_width" in frames.columns:
+        rows = rows.join(frames.groupBy("source", "t").agg(F.max("frame_width").alias("frame_width")), ["source", "t"])
+        unknown = F.col("frame_width").isNull() | F.isnan(F.col("frame_width").cast("double"))
+        rows = rows.where(unknown | (F.hypot(F.col("x") - F.col("came_x"), F.col("y") - F.col("came_y")) >= F.col("least")))
+    told = rows.groupBy("source", "object_id", "episode").agg(F.min(F.struct("t", "confidence", "class")).alias("m")).select("source", "object_id", "m.*")
+    return matches(told, "enters", {"object": F.col("object_id")}, {"object": F.col("class")}, F.col("confidence"))
 
 
 def boarding(tracks: DataFrame, frames: DataFrame, close_m: float = 3.0, leave_m: float = 2.0, apart_m: float = 5.0, moving_mps: float = 0.75, stopped_us: int = SECOND // 2, wait_us: int = 8 * SECOND) -> DataFrame:
