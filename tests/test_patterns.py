@@ -332,3 +332,20 @@ def test_matches_from_which_nothing_completes_meet_no_candidates(spark, monkeypa
     rows = trace("0:a(x) 1:a(p) 2:a(y) 3:b(x) 4:b(y) 90:b(p) 91:a(z)")
     assert set(rows_of(e, compile_event(e, spark.createDataFrame(rows, SCHEMA), 60_000))) == {(0, 4 * S, "s", "a", "x", "y")}
     assert {r.r_X for r in met[0].where("e_1.m_t <= t + 60000000").collect()} == {"x", "y"} and all("z" not in r for d in met for r in d.collect())
+
+
+@pytest.mark.parametrize(
+    "second", [one("b", "Y"), {"any": [lasting("3s", one("b", "Y")), one("c", "Y")]}, {"any": [one("c", "Y"), lasting("2s", one("c", "Y"))]}]
+)
+def test_children_without_common_roles_are_neither_grouped_nor_written(spark, monkeypatch, second):
+    """Threes of a sequence of three: each is told once, by joins in slots of time alone."""
+    from wayline.plans import compiler
+
+    monkeypatch.setattr(compiler, "written", lambda df, tag: pytest.fail(tag))
+    e, rows = event({"seq": [one("a", "X"), second, one("a", "Z")]}), random_rows(41)
+    df, every = spark.createDataFrame(rows, SCHEMA), exact(e, rows)
+    for horizon in (600, 20):
+        found = compile_event(e, df, horizon * 1000)
+        assert sorted(rows_of(e, found), key=str) == sorted((r for r in every if r[1] - r[0] <= horizon * S), key=str)
+        top = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert "Aggregate" not in top and every
