@@ -545,3 +545,28 @@ def test_what_is_replaced_is_found_by_a_grid(monkeypatch, pairs):
     plain = [any(math.hypot(x["x"][i] - o["x"][j], x["y"][i] - o["y"][j]) <= max(x["size"][i], o["size"][j]) and o["since"][j] <= x["t"][i] <= o["until"][j] for j in range(200)) for i in range(300)]
     assert sequential.replaced(x, o).tolist() == plain and 20 < sum(plain) < 280
     assert not sequential.replaced(x, {k: v[:0] for k, v in o.items()}).any()
+
+
+def test_overlaps_by_cells_are_those_of_all_pairs():
+    dice = np.random.default_rng(3)
+    boxes = [np.concatenate([p, p + dice.uniform(-1, 12, (n, 2))], axis=1) for n in (120, 90) for p in [dice.uniform(-40, 60, (n, 2))]]
+    boxes[0][5] = np.nan
+    boxes[1][7, 2] = np.inf
+    for least in (0.1, 0.25, 0.0):
+        with np.errstate(invalid="ignore"):
+            every = sequential.overlaps(*boxes)
+        score, at, spot = sequential.overlapping(*boxes, least, 500)
+        assert {(i, k): s for s, i, k in zip(score, at, spot, strict=True)} == {(i, k): every[i, k] for i, k in zip(*np.nonzero(every >= least), strict=True)}
+
+
+def test_sounds_meet_only_bearings_of_near_sectors(spark):
+    angles = [-190.0, -10.0, 0.0, 9.99, 10.0, 30.0, 179.0, 181.0, 350.0, 359.9, 365.0, None]
+    sounds = spark.createDataFrame([("p", 1, a, 0.5) for a in angles], "site string, t long, bearing_degrees double, confidence double")
+    seen = sounds.withColumn("object_id", F.col("bearing_degrees").cast("string"))
+    known = [a for a in angles if a is not None]
+    for most in (20.0, 7.0, 90.0, 150.0, 180.0):
+        found = audio.seen_and_heard(sounds, seen, most)
+        assert "__sector" in found._jdf.queryExecution().optimizedPlan().toString()
+        told = sorted((r.object_id, round(r.error_degrees, 6)) for r in found.collect())
+        error = lambda a, b: abs((a - b + 180) % 360 - 180)
+        assert told == sorted((str(b), round(error(a, b), 6)) for a in known for b in known if error(a, b) <= most)

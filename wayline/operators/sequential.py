@@ -224,67 +224,136 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
 
 
-def _boxes(rows: list[dict]) -> np.ndarray:
-    return np.array([(x["x1"], x["y1"], x["x2"], x["y2"]) for x in rows], dtype=np.float64).reshape(-1, 4)
+def overlapping(a: np.ndarray, b: np.ndarray, least: float, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, row of a, row of b) of the pairs whose overlap is at least `least`.
+
+    Boxes that overlap have corners within the greatest width and height: a's are sorted into cells of that size, and each
+    of b looks into the nine around it, some `most` pairs at a time. All pairs are compared where none need overlap.
+    """
+    out, every = [], np.arange(len(a))
+    if least > 0:
+        some, own = np.flatnonzero(np.isfinite(a).all(axis=1)), np.flatnonzero(np.isfinite(b).all(axis=1))
+        both = np.concatenate([a[some], b[own]])
+        low, size = (both[:, :2].min(axis=0), np.maximum((both[:, 2:] - both[:, :2]).max(axis=0), 1e-9)) if len(both) else (np.zeros(2), np.ones(2))
+        cell = lambda x: np.minimum((x[:, :2] - low) / size, 1e8).astype(np.int64) + 1
+        across = int(cell(both)[:, 0].max(initial=0)) + 3
+        named = lambda c: c[:, 1] * across + c[:, 0]
+        order = np.argsort(named(cell(a[some])), kind="stable")
+        every, keys, mine = some[order], named(cell(a[some]))[order], named(cell(b[own]))
+        starts = np.stack([np.searchsorted(keys, mine + k * across - 1) for k in (-1, 0, 1)], axis=1).ravel()
+        counts = np.stack([np.searchsorted(keys, mine + k * across + 1, "right") for k in (-1, 0, 1)], axis=1).ravel() - starts
+        own = np.repeat(own, 3)
+    else:
+        starts, counts, own = np.zeros(len(b), dtype=np.int64), np.full(len(b), len(a)), np.arange(len(b))
+    done, ends = 0, np.cumsum(counts)
+    while done < len(own):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+        n = counts[done:upto]
+        at = every[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[done:upto], n)]
+        spot = np.repeat(own[done:upto], n)
+        p, q = a[at], b[spot]
+        wide = np.clip(np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0]), 0, None)
+        shared = wide * np.clip(np.minimum(p[:, 3], q[:, 3]) - np.maximum(p[:, 1], q[:, 1]), 0, None)
+        whole = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1]) + (q[:, 2] - q[:, 0]) * (q[:, 3] - q[:, 1]) - shared
+        score = np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
+        fits = score >= least
+        out.append((score[fits], at[fits], spot[fits]))
+        done = upto
+    empty = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), empty, empty)
+
+
+class Tracks:
+    """The tracks of one class in one segment, by arrays: number, number and time of the last frame, age, box."""
+
+    def __init__(self) -> None:
+        self.born = 0
+        self.number = self.frame = self.t = self.age = np.zeros(0, dtype=np.int64)
+        self.box = np.zeros((0, 4))
+
+    def feed(self, frame: int, t: int, boxes: np.ndarray, least_iou: float, most_missed: int) -> tuple[np.ndarray, ...]:
+        """(number, age, velocity_x, velocity_y) of a frame's boxes."""
+        alive = frame - self.frame - 1 <= most_missed
+        for x in ("number", "frame", "t", "age", "box"):
+            setattr(self, x, getattr(self, x)[alive])
+        score, at, spot = overlapping(self.box, boxes, least_iou)
+        order = np.lexsort((-spot, -at, -score))  # numbers grow with the place
+        ours, theirs = np.full(len(boxes), -1), [False] * len(self.number)
+        for i, k in zip(at[order].tolist(), spot[order].tolist(), strict=True):
+            if not theirs[i] and ours[k] < 0:
+                theirs[i], ours[k] = True, i
+        old, new = np.flatnonzero(ours >= 0), np.flatnonzero(ours < 0)
+        was = ours[old]
+        number, age, v = np.empty(len(boxes), dtype=np.int64), np.ones(len(boxes), dtype=np.int64), np.full((len(boxes), 2), np.nan)
+        number[old], number[new] = self.number[was], self.born + 1 + np.arange(len(new))
+        age[old] = self.age[was] + 1
+        centre = lambda x: (x[:, :2] + x[:, 2:]) / 2
+        seconds = ((t - self.t[was]) / SECOND)[:, None]
+        v[old] = np.divide(centre(boxes[old]) - centre(self.box[was]), seconds, out=np.full((len(old), 2), np.nan), where=seconds > 0)
+        self.frame[was], self.t[was], self.age[was], self.box[was] = frame, t, age[old], boxes[old]
+        more = lambda x, value: np.concatenate([x, np.full(len(new), value, dtype=np.int64)])
+        self.frame, self.t, self.age = more(self.frame, frame), more(self.t, t), more(self.age, 1)
+        self.number, self.box = np.concatenate([self.number, number[new]]), np.concatenate([self.box, boxes[new]])
+        self.born += len(new)
+        return number, age, v[:, 0], v[:, 1]
 
 
 def track_objects(detections: DataFrame, least_iou: float = 0.25, most_missed: int = 5) -> DataFrame:
     """Tracks from detection frames (source, t, detections): greedy best-overlap assignment within a class.
 
     Of equal overlaps the newer track, then the later detection of the frame, comes first. Nothing but the number of
-    tracks so far is remembered after more than most_missed frames without detections; segments number their own tracks,
-    and what precedes them is added.
+    tracks so far is remembered after more than most_missed frames without detections. Classes do not meet: each class
+    of a segment is folded for itself and numbers its own tracks, which are then numbered along the source by the frame and the
+    place in it that they begin with.
     """
-    schema = "source string, segment long, t long, number long, class string, confidence double, x1 double, y1 double, x2 double, y2 double, velocity_x double, velocity_y double, age int"
+    columns = ["source", "segment", "kind", "t", "n", "spot", "class", "confidence", "x1", "y1", "x2", "y2"]
+    schema = "source string, segment long, kind string, t long, n long, spot int, class string, confidence double, x1 double, y1 double, x2 double, y2 double, number long, age int, velocity_x double, velocity_y double"
 
-    def step(state: dict, row: Any) -> list[tuple]:
-        seen = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in row.detections]
-        tracks, kinds = state["tracks"], {}
-        for k, d in enumerate(seen):
-            kinds.setdefault(d["class"].lower(), ([], []))[1].append(k)
-        for i, tr in tracks.items():
-            if tr["class"].lower() in kinds:
-                kinds[tr["class"].lower()][0].append(i)
-        scored = []
-        for ours, theirs in kinds.values():
-            if ours:
-                score = overlaps(_boxes([tracks[i] for i in ours]), _boxes([seen[k] for k in theirs]))
-                at, spot = np.nonzero(score >= least_iou)
-                scored += zip(score[at, spot].tolist(), [ours[x] for x in at], [theirs[x] for x in spot], strict=True)
-        taken, used, out = set(), set(), []
-        for _, i, k in sorted(scored, reverse=True):
-            if i in taken or k in used:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tracks, left = None, Tracks(), None
+
+        def told(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            nonlocal current, tracks
+            keys, boxes, out = list(zip(rows["source"], rows["segment"], rows["kind"], strict=True)), rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=np.float64), []
+            n, t = rows["n"].to_numpy(), rows["t"].to_numpy()
+            for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
+                if keys[low] != current:
+                    current, tracks = keys[low], Tracks()
+                out.append(tracks.feed(int(n[low]), int(t[low]), boxes[low:high], least_iou, most_missed))
+            number, age, vx, vy = (np.concatenate(x) for x in zip(*out, strict=True))
+            return rows.assign(number=number, age=age.astype(np.int32), velocity_x=vx, velocity_y=vy)
+
+        for batch in batches:
+            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            if not len(rows):
                 continue
-            taken.add(i)
-            used.add(k)
-            was, new = tracks[i], dict(seen[k])
-            seconds = (row.t - was["t"]) / SECOND
-            (ax, ay), (bx, by) = _centre(was), _centre(new)
-            new.update(t=row.t, missed=0, age=was["age"] + 1, v=((bx - ax) / seconds, (by - ay) / seconds) if seconds > 0 else (None, None))
-            tracks[i] = new
-        for k, d in enumerate(seen):
-            if k not in used:
-                state["n"] += 1
-                taken.add(state["n"])
-                tracks[state["n"]] = dict(d, t=row.t, missed=0, age=1, v=(None, None))
-        for i in [i for i in tracks if i not in taken]:
-            tracks[i]["missed"] += 1
-            if tracks[i]["missed"] > most_missed:
-                del tracks[i]
-        for i in sorted(taken):
-            x = tracks[i]
-            out.append((row.source, row.segment, row.t, i, x["class"], x["confidence"], x["x1"], x["y1"], x["x2"], x["y2"], *x["v"], x["age"]))
-        return out
+            changed = np.zeros(len(rows), dtype=bool)
+            for c in ("source", "segment", "kind", "t"):
+                own = rows[c].to_numpy()
+                changed[1:] |= own[1:] != own[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(changed)])
+            left, rows = rows.iloc[starts[-1] :].reset_index(drop=True), rows.iloc[: starts[-1]]  # a frame may go on in the next batch
+            if len(rows):
+                yield told(rows, starts[:-1])
+        if left is not None:
+            yield told(left, np.array([0]))
 
     gone = F.col("n") - F.col("was_n") - 1 > most_missed
     cut = segments_of_frames(detections.where(F.size("detections") > 0), detections, gone)
-    own = written(fold(detections.select("source", "t", "detections").join(cut, ["source", "t"]), ["source", "segment"], ["t"], lambda: {"tracks": {}, "n": 0}, step, schema), "tracks")
-    before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    totals = own.groupBy("source", "segment").agg(F.max("number").alias("tracks"))
-    earlier = totals.select(F.col("source").alias("of"), F.col("segment").alias("at"), F.coalesce(F.sum("tracks").over(before), F.lit(0)).alias("earlier"))
-    named = own.join(earlier, own["source"].eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")))
-    name = F.concat("source", F.lit(":track_"), (F.col("number") + F.col("earlier")).cast("string"))
-    return named.select("source", "t", name.alias("object_id"), "class", "confidence", "x1", "y1", "x2", "y2", "velocity_x", "velocity_y", "age")
+    width = bucket_width(detections)
+    frames = running(cut, ["source"], "t", width, "n", F.lit(1).cast("long"), F.sum)
+    seen = detections.select("source", "t", F.posexplode("detections").alias("spot", "d")).join(frames, ["source", "t"])
+    seen = seen.select("source", "segment", F.lower("d.class").alias("kind"), "t", "n", "spot", *(F.col(f"d.{c}").alias(c) for c in columns[6:]))
+    own = written(seen.repartition("source", "segment", "kind").sortWithinPartitions("source", "segment", "kind", "t", "spot").mapInPandas(run, schema), "tracks")
+    born = own.where("age = 1").select("source", "segment", "kind", "number", "t", "spot")
+    many = born.groupBy("source", "t").agg(F.count("*").alias("own"))
+    earlier = running(many, ["source"], "t", width, "upto", F.col("own"), F.sum).select("source", "t", (F.col("upto") - F.col("own")).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("source", "t").orderBy("spot"))
+    names = born.withColumn("place", place).join(earlier, ["source", "t"]).select("source", "segment", "kind", "number", (F.col("place") + F.col("earlier")).alias("track"))
+    names = names.withColumnsRenamed({c: f"of_{c}" for c in ("source", "segment", "kind", "number")})
+    named = own.join(names, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("source", "segment", "kind", "number")])
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return named.select("source", "t", F.concat("source", F.lit(":track_"), F.col("track").cast("string")).alias("object_id"), "class", "confidence", "x1", "y1", "x2", "y2", known("velocity_x"), known("velocity_y"), "age")
 
 
 def suppressed_boxes(detections: DataFrame, most_iou: float = 0.45) -> DataFrame:
