@@ -119,3 +119,10 @@ def test_levels_of_frames_and_the_gate(spark, monkeypatch, bucket):
     assert sorted(r.t for r in evidence.gated_by_time(levels, F.col("level"), 0.33, 0.25).collect()) == through and 0 < len(through) < len(frames)
     with pytest.raises(ValueError, match="below"):
         evidence.gated_by_time(levels, F.col("level"), 0.1, 0.1)
+
+
+def test_a_segment_is_shuffled_once_and_copied_where_it_is_written(spark):
+    rows = spark.sql("SELECT id AS segment, TIMESTAMP_NTZ'1996-01-01' AS event_start, TIMESTAMP_NTZ'1996-06-01' AS event_end FROM range(10)")
+    laid = history._laid_out(rows, history.DAY)
+    plan = laid._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("RebalancePartitions") and laid.count() == 10 * 153

@@ -23,14 +23,18 @@ def _bucket(time: Column, seconds: int) -> Column:
 
 
 def _laid_out(segments: DataFrame, seconds: int) -> DataFrame:
-    """A copy for each bucket. What has a time missing, or ends before it starts, is no interval and is not stored."""
+    """A copy for each bucket. What has a time missing, or ends before it starts, is no interval and is not stored.
+
+    Segments are dealt out by the first bucket and copied where they are written, so that one copy of each is shuffled.
+    """
     proper = segments.where("event_start <= event_end").withColumn("first_bucket", _bucket(F.col("event_start"), seconds))
-    return proper.withColumn("bucket", F.explode(F.sequence("first_bucket", _bucket(F.col("event_end"), seconds))))
+    # one bucket may hold a third of all segments: adaptive execution deals a large one to several tasks
+    dealt = proper.hint("rebalance", F.col("first_bucket"))
+    return dealt.withColumn("bucket", F.explode(F.sequence("first_bucket", _bucket(F.col("event_end"), seconds))))
 
 
 def _append(segments: DataFrame, path: str, seconds: int) -> None:
-    # one bucket may hold a third of all segments: adaptive execution deals a large one to several tasks
-    _laid_out(segments, seconds).hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
+    _laid_out(segments, seconds).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -45,9 +49,9 @@ def store_segments(segments: DataFrame, path: str, key: str, seconds: int = 30 *
 
 def add_segments(fresh: DataFrame, path: str, key: str, seconds: int = 30 * DAY) -> None:
     """Adds segments whose key the store does not have. Of the store the keys alone are read, and only files of the buckets
-    that fresh segments touch are written."""
+    that fresh segments touch are written. The store's files are listed before, so what is being added is not read."""
     keys = stored(fresh.sparkSession, path).select(key)
-    _append(written(fresh.dropDuplicates([key]).join(keys, key, "left_anti").select(fresh.columns), "fresh"), path, seconds)
+    _append(fresh.join(keys, key, "left_anti").select(fresh.columns).dropDuplicates([key]), path, seconds)
 
 
 def segments_between(spark: SparkSession, path: str, start: Column, end: Column, how: str = "overlap", at: Column | None = None, seconds: int = 30 * DAY) -> DataFrame:
