@@ -96,3 +96,74 @@ def test_late_matches_are_counted_and_offered():
     out = fed(p, [(3, 15 * S, "b", "s", 1.0, "t", {"object": "x"}, {}), (4, 9 * S, "b", "s", 1.0, "t", {"object": "x"}, {})])
     assert list(out["late"].dropna()) == [2] and list(out["x"].dropna()) == ["x"]
     assert json.loads(states["known"].held[None][0])[0] == 25 * S
+
+
+def at(k, t, predicate, who="x"):
+    return (k, t * S, predicate, "s", 1.0, "t", {"object": who}, {})
+
+
+def watched(e, lives, slot_us):
+    """A processor that forgets the timers that it deletes, and what fires those that the watermark has passed."""
+    p, states, timers = processor(e, lives)
+    p.slot_us, p.handle.deleteTimer = slot_us, timers.remove
+
+    def passed(watermark_ms):
+        for t in sorted(t for t in timers if t <= watermark_ms):
+            list(p.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_ms), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)))
+            timers.remove(t)
+
+    return p, states, timers, passed
+
+
+def test_a_key_with_little_open_is_one_value_and_one_timer():
+    e = event({"seq": [one("a", "X"), inside("20s", one("b", "X"))]})
+    p, states, timers, passed = watched(e, 20 * S, 10 * S)
+    assert len(fed(p, [at(k, 7 * k, "ab"[k % 2]) for k in range(40)])) == 20  # over 28 slots
+    assert states["candidates"].touched == states["lists"].touched == 0 and len(timers) == 1
+    fed(p, [at(50, 290, "a")])
+    assert len(timers) == 1 and "[273000000" not in states["known"].held[None][0]
+    assert list(fed(p, [at(51, 309, "b")])["matched_at"]) == [pd.Timestamp(290, unit="s")]
+    assert states["candidates"].touched == states["lists"].touched == 0 and len(timers) == 1
+    passed(400_000)
+    assert not states["known"].held and not timers
+
+
+@pytest.mark.parametrize("kept", [0, 3, 12])
+@pytest.mark.parametrize("k", range(len(PATTERNS)))
+def test_keys_go_from_a_value_to_maps_and_back(monkeypatch, k, kept):
+    from wayline.streaming import candidates
+
+    monkeypatch.setattr(candidates, "KEPT", kept)
+    e, lives = event(PATTERNS[k]), (20 + 90 * k) * S
+    rows = [r for r in sorted(random_rows(k + 9), key=lambda r: (r[1], r[0])) if r[6].get("object")]
+    p, states, timers, passed = watched(e, lives, lives // 2)
+    out, spilled = [], 0
+    for i in range(0, len(rows), 4):
+        found = fed(p, rows[i : i + 4])
+        out += [] if found is None else [tuple(x) for x in found[["matched_at", "completed_at", "matched_source", "x"]].itertuples(index=False)]
+        spilled += bool(states["candidates"].held)
+        passed(rows[min(i + 3, len(rows) - 1)][1] // 1000)
+    want = exact(e, rows)
+    assert len(out) == len(set(out)) == len(want) and want
+    assert spilled or kept == 12
+    passed(1 << 50)
+    assert not any(s.held for s in states.values()) and not timers
+
+
+def test_a_window_that_opens_after_the_others_have_closed_is_waited_for():
+    e = event({"seq": [one("a", "X"), {"any": [inside("10s", one("b", "X")), inside("30s", one("c", "X"), "20s")]}]})
+    p, _, _, passed = watched(e, 30 * S, 15 * S)
+    assert fed(p, [at(1, 1, "a")]) is None
+    passed(18_000)
+    assert list(fed(p, [at(2, 26, "c")])["x"]) == ["x"]
+
+
+def test_parts_of_several_files_are_one_micro_batch_each(spark, monkeypatch):
+    from wayline.streaming import candidates
+
+    monkeypatch.setattr(candidates, "FILE_ROWS", 10)
+    e, rows = event(PATTERNS[0]), random_rows(9)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("who", F.col("arguments")["object"]).where("who IS NOT NULL")
+    out = replayed_matches(e, df, "who", 3)
+    assert out.where("late IS NOT NULL").count() == 0 and sorted(rows_of(e, out)) == sorted(exact(e, rows))
+    assert replayed_matches(e, df.limit(0), "who", 3).count() == 0
