@@ -163,6 +163,19 @@ def test_jaccard(spark, monkeypatch, n, share, heavy, block):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), exact.find(d)) for d in sets}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_boilerplate_of_rare_words_makes_no_candidate_group_of_the_documents_that_have_it(spark, monkeypatch, few):
+    dice, members = random.Random(5), []
+    monkeypatch.setattr(jaccard, "FEW_IDS", few)
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: members.append(out := written(df, tag)) or out if tag == "members" else written(df, tag))
+    line = " ".join(f"terms{k}" for k in range(60))
+    rows = [(k, " ".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)) + " " + line) for k in range(300)]
+    copies = [(300 + k, rows[k][1].replace(line, line + " end")) for k in range(0, 300, 30)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows + copies, DOCS), 4, (85, 100)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - 300 if k >= 300 else k for k, _ in rows + copies}
+    assert members[0].count() < 60
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, "a b"), (5, "A b"), (6, "a b c d e"), (6, "a b c d e"), (7, " \n ")]
     df = spark.createDataFrame(rows, DOCS).withColumn("component", F.lit("x"))

@@ -1,9 +1,11 @@
 """Exact Jaccard join of documents on word n-grams, as a blocked sparse matrix product.
 
 1. Word counts over all documents, in a table of fixed size, order n-grams from rare words to common ones. Any
-   fixed order serves a correct join; this one keeps shared boilerplate out of the way.
+   fixed order serves a correct join.
 2. Each document's set is profiled: size, signature, and its prefix, the n-grams of which two sets as alike as asked
-   must share one. Equal sets collapse to their least id.
+   must share one. Equal sets collapse to their least id. N-grams that more than HEAVY prefixes have, boilerplate of
+   rare words, are then put last in the order, the more frequent the later, and the sets that had one in their prefix
+   get another. Otherwise they would chain most of a large table to one candidate group.
 3. The product of the prefix incidences gives, for each pair of sets, how many prefix n-grams they share; pairs whose
    sizes, counts and positions leave no room for the overlap asked for are discarded. An n-gram that more than HEAVY
    sets of about one size have in their prefixes is not multiplied out: it makes one candidate group of them. N-grams
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,11 +40,15 @@ from wayline.llm.shingles import mix, shingle_hashes, shingle_rarity, word_hashe
 from wayline.session import unused, written
 
 TABLE_BITS, CHUNK, HEAVY = 20, 1 << 14, 64
+#: N-grams that are put last, at most: others keep their place.
+LAST = 1 << 20
 #: A block has so many documents or n-grams, about, at most.
 BLOCK, BLOCK_GRAMS = 512, 700_000
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-FEW_IDS = 200_000
-LEVELS = 4095
+#: Rows of ids that may be broadcast; more are joined by a shuffle, of the texts whose bit is set among so many.
+FEW_IDS, BITS = 200_000, 1 << 26
+#: Places in the order: those of n-grams by their words, and above them, those of the n-grams that are put last.
+LEVELS, TOP = 4031, 4095
+TAIL = (1 << 52) - 1
 #: Words that a task holds before it counts them.
 WORDS = 1 << 20
 #: A set of at least STEPS[k] n-grams must share k + 2 prefix n-grams with another such set.
@@ -91,10 +98,26 @@ def _chunks(totals: np.ndarray, salt: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(counts, pa.binary())], schema=_CHUNKS)
 
 
-def ordered_set(words: np.ndarray, n: int, common: np.ndarray) -> np.ndarray:
-    """The distinct shingles, those of rare words first; rarity is in the top 12 bits, the hash in the others."""
-    rarity = np.minimum(shingle_rarity(words, n, common), LEVELS)
-    return np.unique((rarity << np.uint64(52)) | (shingle_hashes(words, n) >> np.uint64(12)))
+def ordered_set(words: np.ndarray, n: int, common: np.ndarray, last: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The distinct shingles, those of rare words first; rarity is in the top 12 bits, the hash in the others.
+
+    last has the hashes, sorted, and the rarities of those that come after all others.
+    """
+    rarity, tails = np.minimum(shingle_rarity(words, n, common), LEVELS), shingle_hashes(words, n) >> np.uint64(12)
+    if last is not None and len(last[0]):
+        at = np.minimum(np.searchsorted(last[0], tails), len(last[0]) - 1)
+        rarity = np.where(last[0][at] == tails, last[1][at], rarity)
+    return np.unique((rarity << np.uint64(52)) | tails)
+
+
+def frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, of those of grams (gram) that are in more than HEAVY rows, and their places in the order."""
+    counted = grams.groupBy(F.col("gram").bitwiseAND(F.lit(TAIL)).alias("tail")).agg(F.count("*").alias("sets")).where(F.col("sets") > HEAVY)
+    found = counted.orderBy(F.desc("sets")).limit(LAST).toArrow()
+    tails, sets = (found.column(c).to_numpy().astype(np.int64) for c in ("tail", "sets"))
+    order = np.argsort(tails)
+    levels = np.minimum(LEVELS + 1 + np.floor(2 * np.log2(np.maximum(sets, 1))), TOP)
+    return tails[order].astype(np.uint64), levels[order].astype(np.uint64)
 
 
 def prefix_length(size: int, share: tuple[int, int]) -> int:
@@ -135,10 +158,13 @@ def candidates(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     return kept.select("a", "b").unionByName(heavy)
 
 
-def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+def profiles(docs: DataFrame, n: int, share: tuple[int, int], common: Broadcast) -> DataFrame:
     """Size, signature and prefix of the set of each of docs (doc_id, own, text)."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(commonness(docs))
+    return _profiled(docs, n, share, common, None, 1)
+
+
+def _profiled(docs: DataFrame, n: int, share: tuple[int, int], common: Broadcast, last: Broadcast | None, times: int) -> DataFrame:
+    """profiles() with prefixes in the order of `last`, and so many times as long; signatures know nothing of it."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +174,9 @@ def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
                 sizes.append(len(own))
                 ones.append(int(np.add.reduce(mix(own), dtype=np.uint64).astype(np.int64)))
                 twos.append(int(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).astype(np.int64)))
-                prefixes.append(own[: prefix_length(len(own), share)].astype(np.int64))
+                if last is not None:
+                    own = ordered_set(words, n, common.value, last.value)
+                prefixes.append(own[: times * prefix_length(len(own), share)].astype(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             offsets = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
@@ -158,6 +186,64 @@ def profiles(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
     return docs.select("doc_id", "own", "text").mapInArrow(profiled, "doc_id long, own long, n_shingles long, s1 long, s2 long, prefix array<long>")
 
 
+def having(classes: DataFrame, last: Broadcast, wanted: bool = True) -> DataFrame:
+    """The classes (doc_id, own, rep, n_shingles, prefix) with an n-gram in their prefix that comes last, or those without one."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = last.value[0]
+        for batch in batches:
+            lists = batch.column(4)
+            own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64(TAIL)
+            hits = np.cumsum(tails[np.minimum(np.searchsorted(tails, own), len(tails) - 1)] == own)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sums = np.concatenate(([0], hits))[np.concatenate(([0], ends))]
+            yield batch.filter(pa.array((sums[1:] > sums[:-1]) == wanted))
+
+    columns = classes.select("least.doc_id", "least.own", "rep", "n_shingles", "prefix")
+    return columns.mapInArrow(found, columns.schema)
+
+
+def marked(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """The documents whose doc_id and own are in a table, and few others: a bitmap of a fixed size tells them, no shuffle."""
+    spot = F.pmod(F.xxhash64("doc_id", "own"), F.lit(BITS)) + 1
+    at = F.bitmap_bit_position(spot)
+    marks = side.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(marks), F.bitmap_bucket_number(spot) == F.col("__bucket"))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
+
+
+def picked(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """docs joined with a written table by doc_id and own; texts that take no part are not shuffled."""
+    if side.count() <= FEW_IDS:
+        return docs.join(F.broadcast(side), ["doc_id", "own"])
+    return marked(docs, side).join(side.hint("merge"), ["doc_id", "own"])
+
+
+def settled(docs: DataFrame, classes: DataFrame, n: int, share: tuple[int, int], common: Broadcast) -> DataFrame:
+    """(rep, n_shingles, prefix) of the classes, in an order in which what many prefixes have comes last.
+
+    What comes instead of it is looked up in the sets that have it, three prefixes far, as it may be as frequent. All sets
+    that have any of it in their prefix are profiled again; the others' prefixes are the same in the new order.
+    """
+    context = docs.sparkSession.sparkContext
+    last = frequent(classes.select(F.explode("prefix").alias("gram")))
+    if not len(last[0]):
+        return classes.select("rep", "n_shingles", "prefix")
+
+    def again(order: Broadcast, times: int) -> DataFrame:
+        side = written(having(classes, order).select("doc_id", "own", "rep"), "having")
+        found = _profiled(marked(docs, side), n, share, common, order, times).drop("s1", "s2")
+        return found.join(side, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("rep", "n_shingles", "prefix")
+
+    more = frequent(again(context.broadcast(last), 3).select(F.explode("prefix").alias("gram")))
+    tails, levels = (np.concatenate(x) for x in zip(last, more, strict=True))
+    high = np.lexsort((levels, tails))[::-1]  # the higher of two levels
+    tails, first = np.unique(tails[high], return_index=True)
+    order = context.broadcast((tails, levels[high][first]))
+    return having(classes, order, False).select("rep", "n_shingles", "prefix").unionByName(written(again(order, 1), "prefixes"))
+
+
 def linked(sets: list[np.ndarray], sides: np.ndarray | None, share: tuple[int, int]) -> list[tuple[int, int]]:
     """Pairs of places that link; where sides are given, of different sides only. Overlaps by matrix products."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -195,12 +281,13 @@ def _grouped(docs: DataFrame, n: int, share: tuple[int, int], block: int) -> Dat
 
     kept (doc_id, own) is the least row of the row's component; null where the set is empty or the id null.
     """
-    profile = written(profiles(docs, n, share), "profiles")
+    common = docs.sparkSession.sparkContext.broadcast(commonness(docs))
+    profile = written(profiles(docs, n, share, common), "profiles")
     useful = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     grouped = useful.groupBy(F.col("s1").alias("rep"), "s2").agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
     classes = written(grouped, "classes")
 
-    group = written(components(candidates(classes, share)), "candidates")
+    group = written(components(candidates(settled(docs, classes, n, share, common), share)), "candidates")
     counted = group.join(classes.select(F.col("rep").alias("id"), "n_shingles", "least"), "id")
     counted = written(counted, "candidate-sizes")
     sizes = counted.groupBy("component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("grams"))
@@ -231,9 +318,7 @@ def _grouped(docs: DataFrame, n: int, share: tuple[int, int], block: int) -> Dat
         edges = forest.edges()
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    member = written(member, "members")
-    side = F.broadcast(member) if member.count() <= FEW_IDS else member.hint("merge")
-    blocks = docs.join(side, ["doc_id", "own"]).select("id", "text", "task", "side")
+    blocks = picked(docs, written(member, "members")).select("id", "text", "task", "side")
     found = written(components(blocks.groupBy("task").applyInArrow(multiplied, "a long, b long")), "linked")
     # the least row of each component of more than one class, for the members that are not alone
     least = found.join(classes.select(F.col("rep").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("kept"))
