@@ -104,6 +104,16 @@ def test_pairs_of_large_frames(spark, monkeypatch, crowd):
     assert names(tracks.follows(df, 4.0)) == every and every
 
 
+@pytest.mark.parametrize("by_widths", [False, True])
+def test_two_objects_of_a_large_frame_meet_once(spark, monkeypatch, by_widths):
+    """In cells as wide as the frame, in small ones, and between objects of different widths."""
+    monkeypatch.setattr(tracks, "CROWD", 3)
+    dice = random.Random(4)
+    rows = [track(0, f"o{k}", dice.choice(["person", "car"]), dice.uniform(0, 900), dice.uniform(0, 500), size=dice.choice([20.0, 60.0, 250.0])) for k in range(40)]
+    pairs = tracks.close_pairs(spark.createDataFrame(rows, TRACK), 15.0, by_widths, 15.0).select("a.object_id", "b.object_id").collect()
+    assert len(pairs) == len({frozenset(p) for p in pairs}) > 500
+
+
 def test_boarding(spark):
     car = lambda t, x: track(t, "car", x=x, world=(x, 0.0), v=(0.0, 0.0))
     man = lambda t, x: track(t, "man", "person", x=x, world=(x, 1.0))
