@@ -114,6 +114,12 @@ def test_two_objects_of_a_large_frame_meet_once(spark, monkeypatch, by_widths):
     assert len(pairs) == len({frozenset(p) for p in pairs}) > 500
 
 
+def test_pairs_of_few_rows_are_many_tasks(spark):
+    rows = [track(k % 30, f"o{k}") for k in range(300)]
+    pairs = tracks.close_pairs(spark.createDataFrame(rows, TRACK), 4.0, True, 5.0)
+    assert len(set(r.p for r in pairs.select(F.spark_partition_id().alias("p")).collect())) > 4
+
+
 def test_boarding(spark):
     car = lambda t, x: track(t, "car", x=x, world=(x, 0.0), v=(0.0, 0.0))
     man = lambda t, x: track(t, "man", "person", x=x, world=(x, 1.0))
