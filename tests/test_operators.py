@@ -586,3 +586,14 @@ def test_sounds_meet_only_bearings_of_near_sectors(spark):
         told = sorted((r.object_id, round(r.error_degrees, 6)) for r in found.collect())
         error = lambda a, b: abs((a - b + 180) % 360 - 180)
         assert told == sorted((str(b), round(error(a, b), 6)) for a in known for b in known if error(a, b) <= most)
+
+
+def test_what_is_seen_and_heard_comes_in_runs(spark):
+    """Rows of an object together, by the bearings of the sounds: a column holds few runs of values, not one a row."""
+    dice = random.Random(6)
+    one = lambda k: (0, 0, f"o{k}", float(dice.randrange(90, 96)), dice.random())
+    df = spark.createDataFrame([one(k) for k in range(90)], "site int, t long, object_id string, bearing_degrees double, confidence double")
+    rows = audio.seen_and_heard(df.where("object_id < 'o4'"), df.where("object_id >= 'o4'")).select("object_id", "error_degrees").collect()
+    assert len(rows) == 34 * 56
+    assert len(list(itertools.groupby(rows, lambda r: r.object_id))) == 56
+    assert len(list(itertools.groupby(rows))) <= 56 * 6
