@@ -176,6 +176,16 @@ def test_boilerplate_of_rare_words_makes_no_candidate_group_of_the_documents_tha
     assert members[0].count() < 60
 
 
+def test_the_pipeline_stage_compares_no_documents_for_their_boilerplate(spark, monkeypatch):
+    dice, members = random.Random(7), []
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: members.append(out := written(df, tag)) or out if tag == "members" else written(df, tag))
+    line = " ".join(f"terms{k}" for k in range(50))
+    rows = [(k, " ".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)) + " " + line) for k in range(200)]
+    copies = [(200 + k, rows[k][1].replace(line, line + " end")) for k in range(0, 200, 20)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows + copies, DOCS), 5, (80, 100)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(200)) and members[0].count() < 60
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, "a b"), (5, "A b"), (6, "a b c d e"), (6, "a b c d e"), (7, " \n ")]
     df = spark.createDataFrame(rows, DOCS).withColumn("component", F.lit("x"))
